@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +44,14 @@ def text_or_empty(column: str = "text") -> Column:
 def id_bucket(column: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; NULL for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+@contextmanager
+def session_conf(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Set a session option for the jobs that run inside."""
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
