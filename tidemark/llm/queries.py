@@ -15,6 +15,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import pii
+
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import simhash
 
@@ -27,8 +33,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import secrets
+
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op5_simhash, op7_language_id)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op4_pii, op5_simhash, op7_language_id, op8_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
