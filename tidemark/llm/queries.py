@@ -15,6 +15,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import decontamination
+
+    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import pii
 
@@ -39,9 +45,17 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import line_dedup
+
+    return line_dedup.digest(line_dedup.deduplicate(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_pii, op5_simhash, op7_language_id, op8_secrets)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op4_pii, op5_simhash, op7_language_id, op8_secrets, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tidemark.llm import decontamination, line_dedup
+
+    return {"op2_decontamination": decontamination.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
