@@ -21,6 +21,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import quality
+
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import pii
 
@@ -33,6 +39,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import neighbours
+
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import language_id
 
@@ -52,7 +64,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op4_pii, op5_simhash, op7_language_id, op8_secrets, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op3_quality, op4_pii, op5_simhash, op6_neighbours, op7_language_id, op8_secrets, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
