@@ -63,8 +63,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.deduplicate(table(spark, sf_dir, "documents")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op3_quality, op4_pii, op5_simhash, op6_neighbours, op7_language_id, op8_secrets, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op3_quality, op4_pii, op5_simhash, op6_neighbours, op7_language_id, op8_secrets, op10_line_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -188,9 +188,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The row of each component whose id is the component's; all columns stay; repeated rows of that id count once."""
-    keep = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep_id"))
-    keep = materialize(keep, "keep")
-    again = keep.groupBy("__keep_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__keep_id"]), "left_semi")
+    """The rows whose id is their component's; all columns stay; repeated rows of such an id count once."""
+    found = materialize(near_duplicates(docs).select("doc_id", "component_id"), "found")
+    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = materialize(found.where(~same).select(F.col("doc_id").alias("__gone_id")).distinct(), "gone")
+    again = found.where(same).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    kept = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone_id"]), "left_anti")
     return kept.dropDuplicates(["doc_id"]) if again else kept
