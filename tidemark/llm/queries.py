@@ -57,6 +57,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import suffix_dedup
+
+    return suffix_dedup.digest(suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), with_bytes=False))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import line_dedup
 
@@ -70,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op3_quality, op4_pii, op5_simhash, op6_neighbours, op7_language_id, op8_secrets, op10_line_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op3_quality, op4_pii, op5_simhash, op6_neighbours, op7_language_id, op8_secrets, op9_suffix_dedup, op10_line_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
