@@ -6,8 +6,7 @@ meet the hashes of the items; each hit fixes an alignment of an item along a doc
 the share of the item's tokens that the document has at the same places.  Alignments at or over the threshold count.
 
 Windows, hashes, the look-up and the verification are one pipelined pass over each text: the documents are not shuffled.
-The benchmark's hashes are broadcast while there are no more than ``BROADCAST_ROWS`` of them and joined by a shuffle
-beyond.  A hash that many windows of the corpus have costs its own look-ups only, as the other side is grouped by hash.
+The benchmark's hashes are broadcast while their count is under a bound and joined by a shuffle beyond.  A hash that many windows of the corpus have costs its own look-ups only, as the other side is grouped by hash.
 
 Defined results: null or empty text gives no row; items under ``MIN_WORDS`` tokens are not sought; items shorter than the
 masks are sought whole and exactly at first, then verified like the others; one row per doc_id and item with its best
@@ -20,14 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import materialize
+from tidemark.llm.runtime import materialize, side
 
 #: Places that count are 1.
 MASKS = ("11101001011", "11011010011", "10110110101")
 SPAN = len(MASKS[0])
 MIN_WORDS = 5
 MIN_OVERLAP = 0.8
-BROADCAST_ROWS = 1_000_000
 NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
 
 
@@ -57,9 +55,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, threshold: float = MIN_OVERL
     full = F.size("words") >= SPAN
     of_items = seeded(items, short).where(full | (F.col("at") == 0))
     seeds = materialize(of_items.groupBy("seed", "item_id", "at").agg(F.first("words").alias("item")).groupBy("seed").agg(F.collect_list(F.struct("item_id", F.col("at").alias("item_at"), "item")).alias("places")), "seeds")
-    few = seeds.count() <= BROADCAST_ROWS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words")).where(F.size("words") >= MIN_WORDS)
-    hits = seeded(texts, short).join(F.broadcast(seeds) if few else seeds, "seed")
+    hits = seeded(texts, short).join(side(seeds), "seed")
     aligned = hits.select("doc_id", "words", "at", F.explode("places").alias("p")).select("doc_id", "words", (F.col("at") - F.col("p.item_at")).alias("start"), "p.item_id", "p.item")
     head = F.greatest(-F.col("start"), F.lit(0))
     faced = F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.size("item") - head)
@@ -76,7 +73,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, threshold: float = MIN_OVERL
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows without a contaminating overlap; all columns stay."""
     dirty = materialize(overlaps(docs, benchmark).select(F.col("doc_id").alias("__dirty")).distinct(), "dirty")
-    return docs.join(dirty, docs["doc_id"].cast("long").eqNullSafe(dirty["__dirty"]), "left_anti")
+    return docs.join(side(dirty), docs["doc_id"].cast("long").eqNullSafe(dirty["__dirty"]), "left_anti")
 
 
 #: DuckDB SQL of overlaps(documents, benchmark); texts are tokenised, seeded and verified alike, with token strings as keys.

@@ -11,9 +11,10 @@ variant at the same place; a line one insertion longer leaves a variant that is
 reduced to its earliest line before the join back, so a group of any size gives as many rows as it has and no pairs.  The
 distance of each line and its earliest neighbour is then verified word by word.
 
-Scale: shuffled are narrow rows (hashes, positions), the expanded variants of the lines that pass the sieve, and the texts
-once, to take the lines out.  The words of expanded lines come from a second read of the texts against the positions
-sought, which are broadcast only while they are under ``BROADCAST_ROWS`` and joined by a shuffle beyond.
+Scale: shuffled are narrow rows (hashes, positions) and the expanded variants of the lines that pass the sieve.  The words
+of expanded lines come from a second read of the texts against the positions sought, and the lines that go meet the texts
+in a third; both sides are written tables that are broadcast while their counted rows are under a bound and joined by a
+shuffle of the texts beyond.
 
 Defined results: null or empty text has no line to drop and stays as it is; rows with one doc_id stand at one place, so
 repeated rows keep or lose the same lines; a null doc_id comes after all others; an empty table gives no rows; extra
@@ -25,11 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import materialize
+from tidemark.llm.runtime import materialize, side
 
 BLANKS = r"[ \t\r\f\x0B]+"
 MIN_WORDS, NEAR_WORDS = 3, 8
-BROADCAST_ROWS = 1_000_000
 LAST = (1 << 63) - 1
 
 
@@ -39,7 +39,8 @@ def place(doc: Column, line: Column) -> Column:
 
 
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, BLANKS, -1), lambda w: w != "")
+    """The words of a line; a line without any gives one empty word."""
+    return F.split(F.btrim(line, F.lit(" \t\r\f\x0b")), BLANKS, -1)
 
 
 def without(words: Column, i: Column) -> Column:
@@ -47,15 +48,15 @@ def without(words: Column, i: Column) -> Column:
     return F.concat(F.slice(words, F.lit(1), i), F.slice(words, i + 2, F.size(words)))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc (id), line (number from 0) and words of every line of at least MIN_WORDS words."""
+def split_lines(docs: DataFrame) -> DataFrame:
+    """doc (id), line (number from 0) and raw text of every line."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    split = texts.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
-    return split.select("doc", "line", words_of(F.col("words")).alias("words")).where(F.size("words") >= MIN_WORDS)
+    return texts.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
 
 
-def hashed(found: DataFrame) -> DataFrame:
-    """Two hashes of each line, and for lines that may have neighbours those of their halves."""
+def hashed(docs: DataFrame) -> DataFrame:
+    """Hashes of each line of at least MIN_WORDS words, and for lines that may have neighbours those of their halves."""
+    found = split_lines(docs).select("doc", "line", words_of(F.col("raw")).alias("words")).where(F.size("words") >= MIN_WORDS)
     n, words = F.size("words"), F.col("words")
     near = n >= NEAR_WORDS
 
@@ -65,41 +66,50 @@ def hashed(found: DataFrame) -> DataFrame:
 
     large, small = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
     return found.select(
-        "doc", "line", n.alias("n"), F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), F.col("words")).alias("h2"),
+        "doc", "line", F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"),
         half(large, False).alias("a"), half(large, True).alias("b"), F.when(n % 2 == 0, half(small, False)).alias("c"), F.when(n % 2 == 0, half(small, True)).alias("d"),
     )
 
 
 def sifted(distinct: DataFrame) -> DataFrame:
-    """Hashes and first place of the lines that share a half with another line."""
-    keys = distinct.where("a is not null").select("h1", "h2", "first", F.explode(F.array("a", "b", "c", "d")).alias("key")).where("key is not null")
+    """first (place) of the lines that share a half with another line, and whether they share a first and a last half."""
+    halves = F.array(*[F.struct(F.lit(side).alias("last"), F.col(c).alias("key")) for c, side in (("a", False), ("b", True), ("c", False), ("d", True))])
+    keys = distinct.where("a is not null").select("first", F.explode(halves).alias("k")).select("first", "k.*").where("key is not null")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return keys.join(shared, "key", "left_semi").select("h1", "h2", "first").distinct()
+    return keys.join(shared, "key", "left_semi").groupBy("first").agg(F.max(~F.col("last")).alias("head"), F.max("last").alias("tail"))
 
 
 def fetched(docs: DataFrame, sought: DataFrame) -> DataFrame:
-    """h1, h2, first and words of the lines sought."""
-    found = lines(docs).where(F.size("words") >= NEAR_WORDS).withColumn("first", place(F.col("doc"), F.col("line")))
-    side = F.broadcast(sought) if sought.count() <= BROADCAST_ROWS else sought
-    return found.join(side, "first").select("h1", "h2", "first", "words").dropDuplicates(["h1", "h2"])
+    """first, words, head and tail of the lines sought."""
+    found = split_lines(docs).select(place(F.col("doc"), F.col("line")).alias("first"), "raw").join(side(sought), "first")
+    return found.select("first", words_of(F.col("raw")).alias("words"), "head", "tail").dropDuplicates(["first"])
 
 
 def neighbours(expanded: DataFrame) -> DataFrame:
-    """h1, h2 of each line with a neighbour at an earlier place, and the first place of its earliest neighbour."""
-    variants = expanded.select("h1", "h2", "first", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("i")).select(
-        "h1", "h2", "first", "i", F.xxhash64(without(F.col("words"), F.col("i"))).alias("key")
-    )
-    whole = expanded.select("h1", "h2", "first", F.lit(-1).alias("i"), F.xxhash64("words").alias("key"))
+    """first of each line with a neighbour at an earlier place, and least, the place of its earliest neighbour.
+
+    A line that shares its first half with another is one edit off behind that half only, and the other way about, so
+    words are deleted there only.
+    """
+    n = F.size("words")
+    middle = F.floor((n - 1) / 2).cast("int")
+    begin, end = F.when(F.col("tail"), 0).otherwise(middle), F.when(F.col("head"), n - 1).otherwise(n - middle - 1)
+    variants = expanded.select("first", "words", F.explode(F.sequence(begin, end)).alias("i")).select("first", "i", F.xxhash64(without(F.col("words"), F.col("i"))).alias("key"))
+    whole = expanded.select("first", F.lit(-1).alias("i"), F.xxhash64("words").alias("key"))
     keyed = materialize(variants.unionByName(whole), "variants")
-    groups = keyed.groupBy("key", "i").agg(F.min("first").alias("least"), F.count("*").alias("n"))
-    # substitution: the same variant by deleting at the same place
-    swapped = keyed.where("i >= 0").join(groups.where("i >= 0 and n > 1"), ["key", "i"]).where("least < first").select("h1", "h2", "least")
-    # insertion and deletion: a variant that is a whole line
-    wholes = keyed.where("i < 0").select("key", F.col("first").alias("whole"), F.col("h1").alias("w1"), F.col("h2").alias("w2"))
-    cut = keyed.where("i >= 0").join(wholes.select("key", "whole"), "key").where("whole < first").select("h1", "h2", F.col("whole").alias("least"))
-    longer = groups.where("i >= 0").groupBy("key").agg(F.min("least").alias("least"))
-    grown = wholes.join(longer, "key").where("least < whole").select(F.col("w1").alias("h1"), F.col("w2").alias("h2"), "least")
-    return swapped.unionByName(cut).unionByName(grown).groupBy("h1", "h2").agg(F.min("least").alias("least"))
+    groups = keyed.repartition("key").groupBy("key", "i").agg(F.min("first").alias("least"), F.count("*").alias("n"))
+    whole_and_cut = [F.min(F.when(F.col("i") < 0, F.col("least"))).alias("whole"), F.min(F.when(F.col("i") >= 0, F.col("least"))).alias("cut")]
+    both = groups.groupBy("key").agg(*whole_and_cut).where("whole is not null and cut is not null")
+    # what a row of keyed meets: the earliest with the same word deleted; the line that its variant is; the variant that it is
+    meets = (
+        groups.where("i >= 0 and n > 1").select("key", "i", "least")
+        .unionByName(both.select("key", F.lit(-1).alias("i"), F.col("cut").alias("least")))
+        .unionByName(both.select("key", F.lit(-2).alias("i"), F.col("whole").alias("least")))
+    )
+    meets = materialize(meets, "meets")
+    meets = meets.select(F.col("key").alias("k"), F.col("i").alias("at"), "least")
+    met = keyed.join(side(meets), F.col("key") == F.col("k")).where(((F.col("i") == F.col("at")) | ((F.col("at") == -2) & (F.col("i") >= 0))) & (F.col("least") < F.col("first")))
+    return met.groupBy("first").agg(F.min("least").alias("least"))
 
 
 def within_one(x: Column, y: Column) -> Column:
@@ -112,20 +122,20 @@ def within_one(x: Column, y: Column) -> Column:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc and the array of line numbers that go, for documents that lose any."""
-    all_lines = materialize(hashed(lines(docs)), "lines")
+    all_lines = materialize(hashed(docs), "lines")
     where = place(F.col("doc"), F.col("line"))
     least = [F.min(c).alias(c) for c in "abcd"]
     distinct = materialize(all_lines.groupBy("h1", "h2").agg(F.min(where).alias("first"), *least), "distinct")
-    expanded = materialize(fetched(docs, materialize(sifted(distinct), "sifted")), "expanded")
-    close = neighbours(expanded)
+    expanded = materialize(fetched(docs, materialize(sifted(distinct), "sifted")), "expanded").select("first", "words", "head", "tail")
     words = expanded.select("first", "words")
     judged = (
-        close.join(expanded.select("h1", "h2", "words"), ["h1", "h2"])
+        neighbours(expanded)
+        .join(words, "first")
         .join(words.select(F.col("first").alias("least"), F.col("words").alias("other")), "least")
         .where(within_one(F.col("words"), F.col("other")))
-        .select("h1", "h2", F.lit(True).alias("close"))
+        .select("first", F.lit(True).alias("close"))
     )
-    fate = distinct.select("h1", "h2", "first").join(materialize(judged, "close"), ["h1", "h2"], "left")
+    fate = distinct.select("h1", "h2", "first").join(materialize(judged, "close"), "first", "left")
     gone = all_lines.select("doc", "line", "h1", "h2").join(fate, ["h1", "h2"]).where(F.coalesce("close", F.lit(False)) | (where > F.col("first")))
     return gone.groupBy("doc").agg(F.collect_set("line").alias("lines"))  # bounded by the lines of one document
 
@@ -133,7 +143,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """All rows and columns of docs with the text less its duplicate lines, and __n_lines, __n_removed beside them."""
     gone = materialize(removed_lines(docs), "gone").select(F.col("doc").alias("__doc"), F.col("lines").alias("__gone"))
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__doc"]), "left")
+    joined = docs.join(side(gone), docs["doc_id"].cast("long").eqNullSafe(gone["__doc"]), "left")
     split = F.split(F.col("text").cast("string"), "\n", -1)
     kept = F.array_join(F.filter(split, lambda line, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     return joined.select(

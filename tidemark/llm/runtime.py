@@ -37,6 +37,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow written table as one side of a join: broadcast while it is counted at or under the bound, else shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

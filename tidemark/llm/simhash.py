@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import materialize, session_conf
+from tidemark.llm.runtime import materialize, session_conf, side
 
 SEED = 42
 
@@ -193,5 +193,5 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("component_id"))
     gone = materialize(found.where(~same).select(F.col("doc_id").alias("__gone_id")).distinct(), "gone")
     again = found.where(same).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    kept = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone_id"]), "left_anti")
+    kept = docs.join(side(gone), docs["doc_id"].cast("long").eqNullSafe(gone["__gone_id"]), "left_anti")
     return kept.dropDuplicates(["doc_id"]) if again else kept
