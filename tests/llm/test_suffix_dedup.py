@@ -51,11 +51,15 @@ def test_matches_brute_force(spark):
         assert got(sd.deduplicate(df)) == brute(rows, 100)
 
 
+def test_common_grams_leave_the_merge(spark, monkeypatch):
+    monkeypatch.setattr(sd, "HOT", 2)
+    rows = list(enumerate(corpus(6)))
+    assert got(sd.deduplicate(documents(spark, rows))) == brute(rows, 100)
+
+
 def test_other_lengths_and_long_parts(spark, monkeypatch):
     rows = list(enumerate(corpus(3, 20)))
     monkeypatch.setattr(sd, "BUFFER", 300)
-    rows = [(i, t) for i, t in rows]
-    texts, _ = sd.keyed(documents(spark, rows))
     assert got(sd.deduplicate(documents(spark, rows), length=60, gram=16)) == brute(rows, 60)
 
 

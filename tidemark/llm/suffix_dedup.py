@@ -7,13 +7,15 @@ at the same place, so each repeat is seen at one, and nothing is lost.
 
 1. Anchors (a map): hash of the gram at the anchor, digest of its whole context (the bytes from which any string of
    ``length`` around the anchor is made), document, place.
+   Repeats of a context within a task's batch are known there, so they are dealt evenly and not by their gram.
 2. One shuffle by gram hash, sorted.  A stream over each partition drops grams that occur once.  Anchors whose whole
    context stood earlier are settled there, as equal contexts are one suffix; the first of each context goes on if its
    gram has other contexts too.  The stream holds one row at a time, whatever the size of a group of copies.
 3. Suffix sort of those.  Each task sorts its suffixes into runs, front-codes them (length of the prefix shared with the
    one before, and the rest), and deals the runs to ranges of the gram hash; each range merges its runs by a loser tree
    that knows for each contender how much it shares with the last winner and compares bytes beyond that only.  A range
-   holds about ``RANGE`` suffixes, by count.
+   holds about ``RANGE`` suffixes, by count; a gram with more than ``HOT`` contexts leaves the merge, and the strings
+   around its anchors are dealt by their own digests.
 4. In the merged order, suffixes that share enough to the right are neighbours, and their left contexts, sorted the same
    way, give those that share enough to the left.  For each split of ``length`` between left and right the earliest of a
    class stays and the strings of the others go.
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.runtime import materialize
 
-LENGTH, GRAM, RANGE, BUFFER = 100, 24, 60_000, 1 << 20
+LENGTH, GRAM, RANGE, HOT, BUFFER, COLLAPSE = 100, 24, 60_000, 240_000, 1 << 18, 1_000_000
 BASE = 0x9E3779B97F4A7C15 | 1
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
@@ -106,36 +108,65 @@ def anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
         doc, shift, low, high = (np.array([g[k] for g in group], np.int64)[of] for k in (0, 2, 3, 4))
         place = at - (np.cumsum(lengths) - lengths)[of] + shift
         mine = (place >= low) & (place < high)
+        h = mixed(h)  # an anchor is a least hash: mixed again, its bits are even
         out = pd.DataFrame({"gram": h.view(np.int64), "context": digest.view(np.int64), "doc": doc, "spot": place << 16 | left << 8 | right})
         return out[mine]
 
+    def repeats_marked(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        """Anchors in order of document and place: all but the first of a context are repeats, whatever other tasks hold."""
+        rows = pd.concat(parts, ignore_index=True)
+        key = rows["gram"].to_numpy().view(np.uint64) * np.uint64(BASE) + rows["context"].to_numpy().view(np.uint64)
+        order = np.argsort(key, kind="stable")
+        again = np.zeros(len(rows), bool)
+        again[order[1:]] = key[order[1:]] == key[order[:-1]]
+        deal = np.where(again, mixed(rows["spot"].to_numpy().view(np.uint64) + rows["doc"].to_numpy().view(np.uint64) * np.uint64(BASE)).view(np.int64), rows["gram"])
+        return rows.assign(again=again, deal=deal)
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, size = [], 0
+        group, size, parts, held = [], 0, [], 0
         for batch in batches:
-            for doc, text in zip(batch["doc"].to_numpy(), batch["text"], strict=True):
-                data = text.encode("utf-8", "surrogatepass")
+            docs, texts = batch["doc"].to_numpy(), batch["text"].to_numpy()
+            for k in np.argsort(docs, kind="stable"):
+                data = texts[k].encode("utf-8", "surrogatepass")
                 if len(data) < length:
                     continue
                 for a in range(0, len(data), BUFFER):  # long texts in parts that overlap by all that an anchor depends on
                     begin, stop = max(0, a - margin), min(len(data), a + BUFFER)
                     part = data[begin : stop + length]
-                    group.append((doc, part, begin, a, stop))
+                    group.append((docs[k], part, begin, a, stop))
                     size += len(part)
                     if size >= BUFFER:
-                        yield emit(group)
+                        parts.append(emit(group))
+                        held += len(parts[-1])
                         group, size = [], 0
-        if group:
-            yield emit(group)
+                        if held >= COLLAPSE:
+                            yield repeats_marked(parts)
+                            parts, held = [], 0
+            if group:
+                parts.append(emit(group))
+                group, size = [], 0
+            if parts:  # the next batch may hold smaller ids
+                yield repeats_marked(parts)
+                parts, held = [], 0
 
-    return texts.select("doc", "text").mapInPandas(scan, "gram long, context long, doc long, spot long")
+    return texts.select("doc", "text").mapInPandas(scan, "gram long, context long, doc long, spot long, again boolean, deal long")
 
 
 def settled(found: DataFrame, length: int) -> DataFrame:
     """done, gram, doc, spot or stretch: repeats of a whole context as stretches, and the first of contexts to sort."""
 
+    def done(doc: np.ndarray, spot: np.ndarray) -> pd.DataFrame:
+        place, left, right = spot >> 16, spot >> 8 & 255, spot & 255
+        ok = left + right >= length
+        return pd.DataFrame({"done": True, "gram": 0, "doc": doc[ok], "spot": ((place - left) << 32 | (place + right))[ok]})
+
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head, sent = None, False  # the first row of the current context, and whether it has gone on
         for batch in batches:
+            known = batch["again"].to_numpy(bool)
+            if known.any():
+                yield done(batch["doc"].to_numpy(np.int64)[known], batch["spot"].to_numpy(np.int64)[known])
+                batch = batch[~known]
             g, c, d, s = (batch[k].to_numpy(np.int64) for k in ("gram", "context", "doc", "spot"))
             if not len(g):
                 continue
@@ -152,17 +183,8 @@ def settled(found: DataFrame, length: int) -> DataFrame:
             was_sent = held and sent
             if was_sent:
                 send[0] = False
-            rows, pick = np.flatnonzero(again), np.flatnonzero(send)
-            place, left, right = s[rows] >> 16, s[rows] >> 8 & 255, s[rows] & 255
-            ok = left + right >= length
-            yield pd.DataFrame(
-                {
-                    "done": np.repeat([True, False], [ok.sum(), len(pick)]),
-                    "gram": np.concatenate([np.zeros(ok.sum(), np.int64), g[pick]]),
-                    "doc": np.concatenate([d[rows][ok], d[pick]]),
-                    "spot": np.concatenate([((place - left) << 32 | (place + right))[ok], s[pick]]),
-                }
-            )
+            yield done(d[again], s[again])
+            yield pd.DataFrame({"done": False, "gram": g[send], "doc": d[send], "spot": s[send]})
             h = heads[-1]
             head, sent = (g[h], c[h], d[h], s[h]), bool(send[h]) or (h == 0 and was_sent)
 
@@ -252,10 +274,6 @@ def loser_tree_merge(runs: list[Run]) -> Iterator[tuple[int, bytes, int]]:
 
 def sorted_runs(texts: DataFrame, firsts: DataFrame, length: int, gram: int, ranges: int) -> DataFrame:
     """One row per task batch and range: a front-coded run of the suffixes, with what each needs for step 4."""
-    wanted = firsts.groupBy("doc").agg(F.collect_list(F.struct("gram", "spot")).alias("a"))  # anchors of one text
-    wanted = wanted.select(F.col("doc").alias("of"), F.transform("a", lambda x: x["gram"]).alias("grams"), F.transform("a", lambda x: x["spot"]).alias("spots"))
-    joined = texts.select("doc", "text").join(wanted, F.col("doc") == F.col("of")).select("doc", "text", "grams", "spots")
-
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, docs, spots, lefts = [], [], [], []
 
@@ -286,7 +304,7 @@ def sorted_runs(texts: DataFrame, firsts: DataFrame, length: int, gram: int, ran
         if keys:
             yield flush()
 
-    return joined.mapInPandas(build, "range int, shared binary, sizes binary, rests binary, docs binary, spots binary, lefts binary")
+    return anchored_texts(texts, firsts).mapInPandas(build, "range int, shared binary, sizes binary, rests binary, docs binary, spots binary, lefts binary")
 
 
 def judged(rows: pd.DataFrame, length: int, gram: int) -> pd.DataFrame:
@@ -324,6 +342,37 @@ def judged(rows: pd.DataFrame, length: int, gram: int) -> pd.DataFrame:
     return pd.DataFrame({"doc": doc[hit], "spot": (place[hit] - high[hit]) << 32 | (place[hit] + length - low[hit])})
 
 
+def anchored_texts(texts: DataFrame, firsts: DataFrame) -> DataFrame:
+    """doc, text, grams and spots of the texts that hold anchors."""
+    wanted = firsts.groupBy("doc").agg(F.collect_list(F.struct("gram", "spot")).alias("a"))  # anchors of one text
+    wanted = wanted.select(F.col("doc").alias("of"), F.transform("a", lambda x: x["gram"]).alias("grams"), F.transform("a", lambda x: x["spot"]).alias("spots"))
+    return texts.select("doc", "text").join(wanted, F.col("doc") == F.col("of")).select("doc", "text", "grams", "spots")
+
+
+def repeated_windows(texts: DataFrame, firsts: DataFrame, length: int, gram: int) -> DataFrame:
+    """doc and spot of the strings around anchors of very common grams that stand earlier.
+
+    A gram with more contexts than a range should hold is not merged in one task: its strings are dealt by their own
+    digest, and a digest is reduced to its earliest place before the join back.
+    """
+
+    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc, text, spots in zip(batch["doc"], batch["text"], batch["spots"], strict=True):
+                data, rows = text.encode("utf-8", "surrogatepass"), []
+                for s in spots:
+                    place, left, right = int(s) >> 16, int(s) >> 8 & 255, int(s) & 255
+                    for begin in range(place - left, place + right - length + 1):
+                        d = hashlib.blake2b(data[begin : begin + length], digest_size=16).digest()
+                        rows.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), doc, begin))
+                yield pd.DataFrame(rows, columns=["d1", "d2", "doc", "begin"])
+
+    each = materialize(anchored_texts(texts, firsts).mapInPandas(strings, "d1 long, d2 long, doc long, begin long").distinct(), "strings")
+    least = each.groupBy("d1", "d2").agg(F.min(F.struct("doc", "begin")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    later = each.join(least, ["d1", "d2"]).where(F.struct("doc", "begin") > F.col("least"))
+    return later.select("doc", (F.shiftleft("begin", 32) + F.col("begin") + length).alias("spot"))
+
+
 def removed_runs(spots: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of bytes under the packed stretches."""
     if not len(spots):
@@ -355,13 +404,23 @@ def stretches(texts: DataFrame, length: int, gram: int) -> DataFrame:
     spark = texts.sparkSession
     found = anchored(texts, length, gram)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = found.repartition(n, "gram").sortWithinPartitions("gram", "context", "doc", "spot")
+    dealt = found.repartition(n, "deal").sortWithinPartitions("again", "gram", "context", "doc", "spot")
     known = materialize(settled(dealt, length), "settled")
     firsts = known.where(~F.col("done")).select("gram", "doc", "spot")
+    hot = firsts.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("gram")
+    hot = materialize(hot, "hot")  # at most one gram for HOT anchors
+    if hot.limit(1).count():
+        wide = firsts.join(hot, "gram", "left_semi")
+        firsts = firsts.join(hot, "gram", "left_anti")
+        by_window = materialize(repeated_windows(texts, wide, length, gram), "windows")
+    else:
+        by_window = None
     ranges = max(1, -(-firsts.count() // RANGE))
+    tasks = max(ranges, n)
     runs = sorted_runs(texts, firsts, length, gram, ranges)
-    merged = runs.groupBy("range").applyInPandas(lambda rows: judged(rows, length, gram), "doc long, spot long")
-    return known.where("done").select("doc", "spot").unionByName(materialize(merged, "merged"))
+    merged = runs.repartition(tasks, "range").groupBy("range").applyInPandas(lambda rows: judged(rows, length, gram), "doc long, spot long")
+    out = known.where("done").select("doc", "spot").unionByName(materialize(merged, "merged"))
+    return out if by_window is None else out.unionByName(by_window)
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_bytes: bool = True) -> DataFrame:
