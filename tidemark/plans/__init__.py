@@ -1 +1 @@
-"""Tidemark plans."""
+"""Query plans over the driver's tables."""
