@@ -18,6 +18,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def micros(c: Column | str) -> Column:
+    """Microseconds since 1970 of a wall-clock time, whatever the session's time zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), col(c).cast("timestamp_ntz"))
+
+
 def sha(c: Column | str, digits: int = 64) -> Column:
     """sha256 in hex, or its first digits."""
     full = F.sha2(col(c).cast("binary"), 256)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import type_label
+from tidemark.functions.columns import micros, type_label
 from tidemark.schemas import PRESENT
 
 WORD = r"[\p{L}&&[^\d_]][\p{L}\p{N}_'’-]{2,}"
@@ -201,7 +201,7 @@ def month_rollup(messages: DataFrame) -> DataFrame:
     rows = messages.withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n")
     roots = rows.where("root_id is null").select("channel", F.col("id").alias("__root"), F.date_trunc("month", "created").alias("month"))
     placed = rows.withColumn("__root", F.coalesce("root_id", "id")).join(roots, ["channel", "__root"])
-    line = F.concat_ws("|", F.col("id").cast("string"), F.unix_micros("modified").cast("string"), F.when(F.col("deleted"), "").otherwise(F.col("body")))
+    line = F.concat_ws("|", F.col("id").cast("string"), micros("modified").cast("string"), F.when(F.col("deleted"), "").otherwise(F.col("body")))
     doc = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("created", F.col("id").alias("id"), line.alias("line")))), lambda x: x["line"]), "\n")
     return placed.groupBy("channel", "month").agg(
         F.count("*").alias("n"), F.min("created").alias("oldest"), F.max("modified").alias("newest"), F.sha2(doc.cast("binary"), 256).alias("sha")
