@@ -325,7 +325,7 @@ def allowed_remote(url: Column | str, base: str) -> Column:
 
 def quote_held(text: Column | str, quote: Column | str) -> Column:
     """Whether the pieces of a quote, split at three dots, stand in the text in order."""
-    pieces = F.filter(F.transform(F.split(col(quote), r"\.\.\.|…"), F.trim), lambda p: p != "")
+    pieces = F.filter(F.transform(F.split(col(quote), r"\.\.\.|…"), lambda p: F.trim(p)), lambda p: p != "")
 
     def step(at: Column, piece: Column) -> Column:
         found = F.call_function("locate", piece, col(text), at)

@@ -16,11 +16,13 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.columns import action_key, options_hash, route, token_estimate
 from tidemark.functions.text import decoded
 
-UNIT = "array<struct<unit_id:string,kind:string,title:string,body:string>>"
+UNITS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("unit_id", "kind", "title", "body")]))
+OUTCOME = T.StructType([T.StructField("status", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("units", UNITS)])
 Unit = dict[str, str]
 #: Converters by suffix.
 ROUTES = {
@@ -211,7 +213,7 @@ CONVERTERS: dict[str, Callable[[str, str], list[Unit]]] = {
 }
 
 
-@F.pandas_udf(f"struct<status:string,reason:string,units:{UNIT}>")
+@F.pandas_udf(OUTCOME)
 def converted(names: pd.Series, kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
     """Status, reason and units of each file; one bad file is a row, never a failed task."""
     rows = []
