@@ -47,7 +47,11 @@ class LatestMessages(StatefulProcessor):
 
 
 def month_stream(messages: DataFrame) -> DataFrame:
-    """Months (channel, month, n, oldest, newest in microseconds) as messages change them; update mode."""
+    """Months (channel, month, n, oldest, newest in microseconds) as messages change them; update mode.
+
+    Map state needs the RocksDB store, which the session is set to.
+    """
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return messages.groupBy("channel").transformWithStateInPandas(
         statefulProcessor=LatestMessages(), outputStructType="channel bigint, month string, n bigint, oldest bigint, newest bigint", outputMode="Update", timeMode="None"
     )
