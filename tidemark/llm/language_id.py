@@ -86,7 +86,7 @@ def gram_counts(text: str, buckets: int) -> np.ndarray:
 
 
 def labelled_features(docs: DataFrame, buckets: int, per_language: int, modulus: int, held: int) -> pd.DataFrame:
-    """Sparse gram counts of at most ``per_language`` labelled rows a language, counted on the executors.
+    """Sparse gram shares (bucket numbers and shares as bytes) of at most ``per_language`` labelled rows a language, counted on the executors.
 
     The rows of a language are those whose id hash lies under a cut-off set by the number of rows of that language.
     """
@@ -116,22 +116,21 @@ def labelled_features(docs: DataFrame, buckets: int, per_language: int, modulus:
                 c = gram_counts(x, buckets)
                 i = np.flatnonzero(c)
                 if len(i):
-                    rows.append((y, i.astype(np.int32), np.minimum(c[i], 65535).astype(np.float32) / c.sum()))
+                    rows.append((y, i.astype("<i4").tobytes(), (c[i] / c.sum()).astype("<f4").tobytes()))
             yield pd.DataFrame(rows, columns=["y", "i", "c"])
 
-    return chosen.mapInPandas(count, "y string, i array<int>, c array<float>").toPandas()
+    return chosen.mapInPandas(count, "y string, i binary, c binary").toPandas()
 
 
 def fit(sample: pd.DataFrame, buckets: int, dim: int = 16, epochs: int = 12, rate: float = 0.5, seed: int = 7) -> LanguageModel:
     """Train on the sample by stochastic gradient descent; calibrate on every fifth row, which is not trained on."""
     if not len(sample):
         return LanguageModel()
-    sample = sample.assign(k=[(y, len(i), float(np.dot(np.asarray(c), np.asarray(i) % 997))) for y, i, c in zip(sample["y"], sample["i"], sample["c"], strict=True)])
-    sample = sample.sort_values("k", kind="stable").reset_index(drop=True)  # the order of arrival must not matter
+    sample = sample.sort_values(["y", "i", "c"], kind="stable").reset_index(drop=True)  # the order of arrival must not matter
     rng = np.random.default_rng(seed)
     languages = sorted(sample["y"].unique())
     y = sample["y"].map({k: n for n, k in enumerate(languages)}).to_numpy()
-    rows = [(np.asarray(i, np.int64), np.asarray(c, np.float32)) for i, c in zip(sample["i"], sample["c"], strict=True)]
+    rows = [(np.frombuffer(i, "<i4"), np.frombuffer(c, "<f4")) for i, c in zip(sample["i"], sample["c"], strict=True)]
     order = rng.permutation(len(rows))
     check, train = order[::5], np.array([j for n, j in enumerate(order) if n % 5 or len(order) < 10])
 
