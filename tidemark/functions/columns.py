@@ -114,10 +114,8 @@ def pruned(path: Column | str, exclude: list[str]) -> Column:
     """Whether an exclude glob takes the path itself or a folder above it."""
     parts = F.split(col(path), "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    hit = F.lit(False)
-    for g in exclude:
-        hit = hit | F.exists(prefixes, lambda p, g=g: p.rlike(glob_pattern(g)))
-    return hit
+    any_of = "|".join(f"(?:{glob_pattern(g)})" for g in exclude)
+    return F.exists(prefixes, lambda p: p.rlike(any_of)) if exclude else F.lit(False)
 
 
 def escape_glob(folder: Column | str) -> Column:
