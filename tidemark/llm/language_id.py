@@ -2,7 +2,7 @@
 
 A text is the mean of the embeddings of its hashed letter n-grams (orders 2 to 4 over case-folded letters, runs of
 anything else being one blank).  Embeddings and softmax are trained together by stochastic gradient descent in numpy on
-a bounded sample of labelled rows; a temperature fitted on held-back rows calibrates the scores, and the rejection
+a bounded sample of labelled rows; a temperature fitted on held-back rows (it may soften scores, never sharpen them) calibrates the scores, and the rejection
 threshold is read off the calibrated scores of those rows.
 
 Memory: the model is ``buckets x dim`` floats.  A text is folded in windows of ``WINDOW`` characters that overlap by
@@ -28,6 +28,7 @@ from tidemark.llm.runtime import id_bucket
 ORDERS = (2, 3, 4)
 WINDOW = 1 << 20
 UNKNOWN = "und"
+SURE = 0.4  # a score from here on is never a reason to reject, so texts in two languages stay
 
 
 @dataclass
@@ -86,7 +87,7 @@ def gram_counts(text: str, buckets: int) -> np.ndarray:
 
 
 def labelled_features(docs: DataFrame, buckets: int, per_language: int, modulus: int, held: int) -> pd.DataFrame:
-    """Sparse gram shares (bucket numbers and shares as bytes) of at most ``per_language`` labelled rows a language, counted on the executors.
+    """Sparse gram counts (bucket numbers and counts as bytes) of at most ``per_language`` labelled rows a language, counted on the executors.
 
     The rows of a language are those whose id hash lies under a cut-off set by the number of rows of that language.
     """
@@ -116,7 +117,7 @@ def labelled_features(docs: DataFrame, buckets: int, per_language: int, modulus:
                 c = gram_counts(x, buckets)
                 i = np.flatnonzero(c)
                 if len(i):
-                    rows.append((y, i.astype("<i4").tobytes(), (c[i] / c.sum()).astype("<f4").tobytes()))
+                    rows.append((y, i.astype("<u2").tobytes(), np.minimum(c[i], 65535).astype("<u2").tobytes()))
             yield pd.DataFrame(rows, columns=["y", "i", "c"])
 
     return chosen.mapInPandas(count, "y string, i binary, c binary").toPandas()
@@ -130,14 +131,15 @@ def fit(sample: pd.DataFrame, buckets: int, dim: int = 16, epochs: int = 12, rat
     rng = np.random.default_rng(seed)
     languages = sorted(sample["y"].unique())
     y = sample["y"].map({k: n for n, k in enumerate(languages)}).to_numpy()
-    rows = [(np.frombuffer(i, "<i4"), np.frombuffer(c, "<f4")) for i, c in zip(sample["i"], sample["c"], strict=True)]
+    rows = [(np.frombuffer(i, "<u2"), np.frombuffer(c, "<u2")) for i, c in zip(sample["i"], sample["c"], strict=True)]
+    del sample
     order = rng.permutation(len(rows))
     check, train = order[::5], np.array([j for n, j in enumerate(order) if n % 5 or len(order) < 10])
 
     def dense(part: np.ndarray) -> np.ndarray:
         x = np.zeros((len(part), buckets), np.float32)
         for n, j in enumerate(part):
-            x[n, rows[j][0]] = rows[j][1]
+            x[n, rows[j][0]] = rows[j][1] / rows[j][1].sum(dtype=np.int64)
         return x
 
     emb = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
@@ -168,11 +170,11 @@ def fit(sample: pd.DataFrame, buckets: int, dim: int = 16, epochs: int = 12, rat
     def loss(t: float) -> float:
         return float(np.mean(np.log(np.exp(z / t).sum(1)) - z[np.arange(len(check)), y[check]] / t))
 
-    model.temperature = float(min(np.geomspace(0.25, 8, 41), key=loss))
+    model.temperature = float(min(np.geomspace(1, 8, 41), key=loss))
     p = np.exp(z / model.temperature)
     p /= p.sum(1, keepdims=True)
     right = p.max(1)[p.argmax(1) == y[check]]
-    model.threshold = float(min(0.5, np.quantile(right, 0.002))) if len(right) else 0.0
+    model.threshold = float(min(SURE, np.quantile(right, 0.002))) if len(right) else 0.0
     return model
 
 
