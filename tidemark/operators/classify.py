@@ -64,54 +64,59 @@ def content_rungs(written_at_ns: int) -> Column:
     )
 
 
-def h0_equal(written_at_ns: int) -> Column:
-    """True only where a pass would write nothing but when the row was seen."""
+def h0_equal(written_at_ns: int, rung: Column | None = None) -> Column:
+    """True only where a pass would write nothing but when the row was seen; rung: content_rungs, where there is one."""
+    rung = content_rungs(written_at_ns) if rung is None else rung
     plain = ~(o("deleted") | o("is_dir") | o("dataless") | s("is_dir") | s("dataless"))
     settled = s("state").isin("live", "quarantined", "refused") & ~F.coalesce(s("last_verdict"), F.lit("")).isin(*PENDING)
     has_content = s("content_sha256").isNotNull() | (s("state") != "live")
     same = F.lit(True)
     for c in WRITTEN:
         same = same & o(c).eqNullSafe(s(c))
-    return F.coalesce(plain & settled & has_content & same & (content_rungs(written_at_ns)["verdict"] == "unchanged"), F.lit(False))
+    return F.coalesce(plain & settled & has_content & same & (rung["verdict"] == "unchanged"), F.lit(False))
 
 
-def verdict_of(written_at_ns: int) -> Column:
-    """struct(verdict, reason, prev_path) of an observed object of the joined sides."""
+def with_verdict(pairs: DataFrame, written_at_ns: int, fast: bool = False) -> DataFrame:
+    """The joined sides with v: struct(verdict, reason, prev_path) of each observed object.
+
+    Each step is a column of its own, so that the tests are evaluated once and not once for each use.  With fast, rows
+    that a pass need not write are answered by the fast path.
+    """
     new = s("stable_id").isNull()
     prev = F.when(~o("rel_path").eqNullSafe(s("rel_path")), s("rel_path"))
-    rung = content_rungs(written_at_ns)
     tombstone = s("state") == "tombstone"
-    folder = (
-        F.when(tombstone, outcome("metadata_only", "reappeared"))
-        .when(prev.isNotNull(), outcome("metadata_only", "renamed"))
-        .when(~o("parent_id").eqNullSafe(s("parent_id")) | ~o("name").eqNullSafe(s("name")), outcome("metadata_only", "moved"))
-        .otherwise(outcome("unchanged", "dir"))
-    )
+    pairs = pairs.withColumn("__rung", content_rungs(written_at_ns))
+    rung = F.col("__rung")
     etag_moved = o("etag").isNotNull() & s("etag").isNotNull() & (o("etag") != s("etag"))
     extra = F.concat(F.when(prev.isNotNull(), "+renamed").otherwise(""), F.when(etag_moved & (rung["verdict"] == "unchanged"), "+etag-moved").otherwise(""))
-    shifted = F.when(
-        rung["verdict"].isin("unchanged", "metadata_only") & (extra != ""), F.struct(F.lit("metadata_only").alias("verdict"), F.concat(rung["reason"], extra).alias("reason"))
-    ).otherwise(rung)
+    pairs = pairs.withColumn("__extra", extra)
+    moved = rung["verdict"].isin("unchanged", "metadata_only") & (F.col("__extra") != "")
+    shifted = F.when(moved, F.struct(F.lit("metadata_only").alias("verdict"), F.concat(rung["reason"], F.col("__extra")).alias("reason"))).otherwise(rung)
+    pairs = pairs.withColumn("__shifted", shifted)
+    shifted, last = F.col("__shifted"), F.coalesce(s("last_verdict"), F.lit(""))
     quiet = shifted["verdict"].isin(*QUIET)
-    last = F.coalesce(s("last_verdict"), F.lit(""))
     carried = F.struct(F.when(last == "created", "created").otherwise("maybe_changed").alias("verdict"), F.concat(F.lit("pending:"), last).alias("reason"))
     never = (shifted["verdict"] != "dataless") & s("content_sha256").isNull() & s("state").isin("live", "dataless")
     settled = F.when(quiet & last.isin(*PENDING), carried).when(quiet & never, outcome("maybe_changed", "never-materialised")).otherwise(shifted)
-    gone = F.when(new, "deleted-unseen").when(tombstone, "already-tombstoned").otherwise("provider-tombstone")
-    found = (
-        F.when(o("deleted"), F.struct(F.lit("deleted").alias("verdict"), gone.alias("reason")))
-        .when(new, outcome("created", "new-id"))
-        .when(o("is_dir"), folder)
-        .when(tombstone, outcome("maybe_changed", "reappeared"))
-        .otherwise(settled)
+    folder = (
+        F.when(tombstone, outcome("metadata_only", "reappeared"))
+        .when(prev.isNotNull(), outcome("metadata_only", "renamed"))
+        .when(~o("parent_id").eqNullSafe(s("parent_id")) | ~o("name").eqNullSafe(s("name")), outcome("metadata_only", "moved"))
+        .otherwise(outcome("unchanged", "dir"))
     )
-    return F.struct(found["verdict"].alias("verdict"), found["reason"].alias("reason"), F.when(~new & ~o("deleted"), prev).alias("prev_path"))
+    gone = F.when(new, "deleted-unseen").when(tombstone, "already-tombstoned").otherwise("provider-tombstone")
+    deleted = F.struct(F.lit("deleted").alias("verdict"), gone.alias("reason"))
+    found = F.when(h0_equal(written_at_ns, rung), outcome("unchanged", "h0-equal")).when(o("deleted"), deleted) if fast else F.when(o("deleted"), deleted)
+    found = found.when(new, outcome("created", "new-id")).when(o("is_dir"), folder).when(tombstone, outcome("maybe_changed", "reappeared")).otherwise(settled)
+    pairs = pairs.withColumn("__found", found)
+    v = F.struct(F.col("__found.verdict").alias("verdict"), F.col("__found.reason").alias("reason"), F.when(~new & ~o("deleted"), prev).alias("prev_path"))
+    return pairs.withColumn("v", v)
 
 
 def classify_observed(observed: DataFrame, stored: DataFrame, written_at_ns: int) -> DataFrame:
     """source_id, stable_id, verdict, reason, prev_path of every observed object, from its last record."""
     pairs = both_sides(last_record_wins(observed), stored).where(o("stable_id").isNotNull())
-    return pairs.select(o("source_id").alias("source_id"), o("stable_id").alias("stable_id"), verdict_of(written_at_ns).alias("v")).select("source_id", "stable_id", "v.*")
+    return with_verdict(pairs, written_at_ns).select(o("source_id").alias("source_id"), o("stable_id").alias("stable_id"), "v.verdict", "v.reason", "v.prev_path")
 
 
 def classify_content(rows: DataFrame) -> DataFrame:
@@ -183,10 +188,7 @@ def classify_pass(
     latest = last_record_wins(observed)
     pairs = both_sides(latest, stored)
     seen = pairs.where(o("stable_id").isNotNull())
-    v = F.when(h0_equal(written_at_ns), F.struct(F.lit("unchanged").alias("verdict"), F.lit("h0-equal").alias("reason"), F.lit(None).cast("string").alias("prev_path"))).otherwise(
-        verdict_of(written_at_ns)
-    )
-    verdicts = seen.select(o("source_id").alias("source_id"), o("stable_id").alias("stable_id"), v.alias("v")).select("source_id", "stable_id", "v.*")
+    verdicts = with_verdict(seen, written_at_ns, fast=True).select(o("source_id").alias("source_id"), o("stable_id").alias("stable_id"), "v.verdict", "v.reason", "v.prev_path")
     missing = unseen(stored, latest)
     spark = observed.sparkSession
     none = spark.createDataFrame([], "source_id string, new_id string, old_id string")

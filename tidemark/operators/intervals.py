@@ -78,12 +78,13 @@ def as_of(ticks: DataFrame, reads: DataFrame, by: list[str]) -> DataFrame:
     return every.withColumn("__last", last).where("__side = 1 and __last is not null").select(*by, "tick", F.col("__last.value").alias("value"))
 
 
-def nearest_segment(words: DataFrame, segments: DataFrame, by: list[str]) -> DataFrame:
+def nearest_segment(words: DataFrame, segments: DataFrame, by: list[str], width_ms: int = 60_000) -> DataFrame:
     """by, id, speaker: the segment nearest to each word's midpoint, ties to the earlier start, end, then speaker.
 
     A segment that holds the midpoint (ends included) is at distance 0.  The nearest one to the right is the first to
     start after the midpoint; to the left it is the one that reaches furthest, or any that covers it, whose best is the
-    least (start, end, speaker).  Both come from one ordered pass, so words and segments never meet as pairs.
+    least (start, end, speaker).  Both come from one ordered pass; only words that some segment reaches meet segments, in
+    buckets of ``width_ms``, which should be of the order of a segment's length.
     """
     seg = segments.select(*by, (F.col("start_ms") * 2).alias("at"), F.struct((F.col("start_ms") * 2).alias("s"), (F.col("end_ms") * 2).alias("e"), "speaker").alias("seg"))
     word = words.select(*by, (F.col("start_ms") + F.col("end_ms")).alias("at"), "id")
@@ -102,14 +103,14 @@ def nearest_segment(words: DataFrame, segments: DataFrame, by: list[str]) -> Dat
     near = left.withColumn("gap", F.when(F.col("e").isNotNull(), F.greatest(F.col("at") - F.col("e"), F.lit(0))))
     ended = segments.select(*by, (F.col("end_ms") * 2).alias("e"), (F.col("start_ms") * 2).alias("s"), "speaker").groupBy(*by, "e").agg(F.min(F.struct("s", "e", "speaker")).alias("ended"))
     near = near.join(ended, [*by, "e"], "left").withColumn("inside", F.coalesce(inside, F.lit(False)))
-    cover = first_cover(near.where("inside").select(*by, "id", "at"), segments, by)
+    cover = first_cover(near.where("inside").select(*by, "id", "at"), segments, by, 2 * width_ms)
     near = near.join(cover, [*by, "id"], "left")
     best_left = F.when(F.col("inside"), F.struct(F.lit(0).cast("bigint").alias("gap"), F.col("cover").alias("k"))).when(F.col("gap").isNotNull(), F.struct("gap", F.col("ended").alias("k")))
     best_right = F.when(F.col("right").isNotNull(), F.struct((F.col("right.s") - F.col("at")).alias("gap"), F.struct(F.col("right.s").alias("s"), F.col("right.e").alias("e"), F.col("right.speaker").alias("speaker")).alias("k")))
     return near.withColumn("__best", F.least(best_left, best_right)).select(*by, "id", F.coalesce(F.col("__best"), best_left, best_right)["k"]["speaker"].alias("speaker"))
 
 
-def first_cover(points: DataFrame, segments: DataFrame, by: list[str], width: int = 60_000) -> DataFrame:
+def first_cover(points: DataFrame, segments: DataFrame, by: list[str], width: int) -> DataFrame:
     """The least (start, end, speaker) of the segments that hold each point, ends included, all doubled."""
     s = segments.select(*by, (F.col("start_ms") * 2).alias("s"), (F.col("end_ms") * 2).alias("e"), "speaker")
     s = s.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor(F.greatest("s", "e") / width))))

@@ -300,7 +300,7 @@ def asof_label(spark, sf_dir):
 def nearest_interval(spark, sf_dir):
     s = spans(spark, sf_dir)
     segments = s.where("id % 3 <> 0").select("user_id", "start_ms", "end_ms", F.concat(F.lit("v"), (F.col("id") % 7).cast("string")).alias("speaker"))
-    return intervals.nearest_segment(s.where("id % 3 = 0"), segments, ["user_id"])
+    return intervals.nearest_segment(s.where("id % 3 = 0"), segments, ["user_id"], 21_600_000)
 
 
 CUES = "SELECT user_id, event_id AS seq, epoch_us(ts) // 1000 AS start_ms, epoch_us(ts) // 1000 + 60000 AS end_ms, CASE WHEN event_type = 'click' THEN 'a' ELSE 'b' END AS speaker, event_type AS text FROM events"
