@@ -3,7 +3,8 @@
 Texts and benchmark items become lower-case runs of letters and digits.  Fixed masks over a window of tokens ignore some
 places, so a window still hashes alike after substitutions at those places.  The hashes of all windows of all documents
 meet the hashes of the items; each hit fixes an alignment of an item along a document, and the overlap is verified there:
-the share of the item's tokens that the document has at the same places.  Alignments at or over the threshold count.
+the share of the item's tokens that the document has at the same places.  Alignments at or over the threshold count, and so
+do those with a run of ``MIN_RUN`` equal tokens, as a part of an item is a leak too.
 
 Windows, hashes, the look-up and the verification are one pipelined pass over each text: the documents are not shuffled.
 The benchmark's hashes are broadcast while their count is under a bound and joined by a shuffle beyond.  A hash that many windows of the corpus have costs its own look-ups only, as the other side is grouped by hash.
@@ -26,6 +27,7 @@ MASKS = ("11101001011", "11011010011", "10110110101")
 SPAN = len(MASKS[0])
 MIN_WORDS = 5
 MIN_OVERLAP = 0.8
+MIN_RUN = 13
 NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
 
 
@@ -60,9 +62,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, threshold: float = MIN_OVERL
     aligned = hits.select("doc_id", "words", "at", F.explode("places").alias("p")).select("doc_id", "words", (F.col("at") - F.col("p.item_at")).alias("start"), "p.item_id", "p.item")
     head = F.greatest(-F.col("start"), F.lit(0))
     faced = F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.size("item") - head)
-    same = F.zip_with(F.slice("item", head + 1, F.size("item")), faced, lambda a, b: (a == b).cast("int"))
-    matched = F.aggregate(same, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
-    judged = aligned.select("doc_id", "item_id", "start", F.size("item").alias("item_words"), matched.alias("matched")).where(F.col("matched") >= threshold * F.col("item_words"))
+    same = F.zip_with(F.slice("item", head + 1, F.size("item")), faced, lambda a, b: F.when(a == b, "1").otherwise("0"))
+    judged = aligned.select("doc_id", "item_id", "start", F.size("item").alias("item_words"), F.array_join(same, "").alias("same"))
+    judged = judged.withColumn("matched", F.length(F.translate("same", "0", "")))
+    judged = judged.where((F.col("matched") >= threshold * F.col("item_words")) | F.contains("same", F.lit("1" * MIN_RUN)))
     best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", (-F.col("start")).alias("back"), "item_words")).alias("b"))
     return best.select(
         "doc_id", "item_id", (-F.col("b.back")).cast("long").alias("start"), F.col("b.matched").cast("long").alias("matched"), F.col("b.item_words").cast("long").alias("item_words"),
@@ -98,10 +101,11 @@ WITH items AS (
 ), aligned AS (
   SELECT DISTINCT d.doc_id, i.item_id, d.pos - i.pos AS start, i.w AS item FROM dseeds d JOIN iseeds i ON d.k = i.k AND d.seed = i.seed
 ), judged AS (
-  SELECT a.doc_id, item_id, start, len(item) AS n, len(list_filter(range(1, len(item) + 1), lambda j: start + j >= 1 AND start + j <= len(d.w) AND d.w[greatest(start + j, 1)] = item[j])) AS m
+  SELECT a.doc_id, item_id, start, len(item) AS n, array_to_string(list_transform(range(1, len(item) + 1), lambda j: CASE WHEN start + j >= 1 AND start + j <= len(d.w) AND d.w[greatest(start + j, 1)] = item[j] THEN '1' ELSE '0' END), '') AS same,
+    length(replace(same, '0', '')) AS m
   FROM aligned a JOIN docs d USING (doc_id)
 )
 SELECT doc_id, item_id, CAST(arg_max(start, (m, -start)) AS BIGINT) AS start, CAST(max(m) AS BIGINT) AS matched, CAST(arg_max(n, (m, -start)) AS BIGINT) AS item_words,
   CAST(max(m) AS DOUBLE) / arg_max(n, (m, -start)) AS overlap
-FROM judged WHERE m >= 0.8 * n GROUP BY doc_id, item_id
+FROM judged WHERE m >= 0.8 * n OR contains(same, '1111111111111') GROUP BY doc_id, item_id
 """
