@@ -84,10 +84,11 @@ def retained(snapshots: DataFrame, today: Column, days: int = 30, slack: int = 7
     """
     on_hold = holds is not None and holds.limit(1).count() > 0
     cut = F.date_sub(today, days)
-    base = snapshots.agg(F.max(F.when(F.col("day") < cut, F.col("run_id"))).alias("__base"), F.min("day").alias("__oldest"))
-    state = F.when(F.col("__oldest") < F.date_sub(today, days + slack), "overdue").when(F.col("__oldest") < cut, "due").otherwise("ok")
-    keep = F.lit(on_hold) | (F.col("day") >= cut) | (F.col("run_id") == F.col("__base"))
-    return snapshots.crossJoin(F.broadcast(base)).select("run_id", "day", F.coalesce(keep, F.lit(True)).alias("keep"), state.alias("state"))  # base is one row
+    base = snapshots.agg(F.max(F.when(F.col("day") < cut, F.col("run_id"))).alias("base"), F.min("day").alias("oldest")).first()  # one row
+    oldest = F.lit(base["oldest"]).cast("date")
+    state = F.when(oldest < F.date_sub(today, days + slack), "overdue").when(oldest < cut, "due").otherwise("ok")
+    keep = F.lit(on_hold) | (F.col("day") >= cut) | (F.col("run_id") == F.lit(base["base"]))
+    return snapshots.select("run_id", "day", F.coalesce(keep, F.lit(True)).alias("keep"), state.alias("state"))
 
 
 def retired(items: DataFrame, outputs: DataFrame, source: str, run_id: int) -> DataFrame:

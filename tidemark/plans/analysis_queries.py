@@ -224,8 +224,8 @@ def late_merge(spark, sf_dir):
     m = messages(spark, sf_dir)
     before = aggregates.month_rollup(m.where("seq % 50 <> 1"))
     every = aggregates.month_rollup(m)
-    ends = every.agg(F.min("month").alias("a"), F.max("month").alias("b"))
-    late = every.join(F.broadcast(ends), (F.col("month") == F.col("a")) | (F.col("month") == F.col("b"))).select(*every.columns)
+    ends = every.agg(F.min("month"), F.max("month")).first()
+    late = every.where(F.col("month").isin(*ends))
     return aggregates.late_merge(before, late).select("channel", "month", "n", "action")
 
 
