@@ -96,9 +96,9 @@ def test_components_of_a_long_chain_and_a_hub(spark):
 
 
 def test_one_row_of_each_group_stays(spark):
-    rows = [(1, "alpha beta gamma delta"), (2, "alpha beta gamma delta"), (3, "quite other words in this one"), (1, "alpha beta gamma delta"), (4, None), (5, "")]
+    rows = [(1, "alpha beta gamma delta"), (2, "alpha beta gamma delta"), (3, "quite other words in this one"), (1, "alpha beta gamma delta"), (4, None), (5, ""), (None, "alpha beta gamma delta"), (None, "no id, no twin")]
     kept = simhash.drop_near_duplicates(documents(spark, rows)).collect()
-    assert sorted(r.doc_id for r in kept) == [1, 3, 4] and kept[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars"}
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 3, 4] and sum(r.doc_id is None for r in kept) == 2 and kept[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars"}
 
 
 def within_one(a, b):

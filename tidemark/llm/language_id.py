@@ -28,6 +28,7 @@ from tidemark.llm.runtime import id_bucket
 ORDERS = (2, 3, 4)
 WINDOW = 1 << 20
 UNKNOWN = "und"
+LANGUAGES = 1000  # bound of the label set: the most frequent values are learnt
 SURE = 0.4  # a score from here on is never a reason to reject, so texts in two languages stay
 
 
@@ -97,7 +98,7 @@ def labelled_features(docs: DataFrame, buckets: int, per_language: int, modulus:
         .groupBy("y")
         .agg(F.count("*").alias("n"))
     )
-    counts = {r["y"]: r["n"] for r in pool.limit(1000).collect()}
+    counts = {r["y"]: r["n"] for r in pool.orderBy(F.desc("n"), "y").limit(LANGUAGES).collect()}
     if not counts:
         return pd.DataFrame({"y": [], "i": [], "c": []})
     share = F.lit(None).cast("long")

@@ -188,10 +188,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows whose id is their component's; all columns stay; repeated rows of such an id count once."""
-    found = materialize(near_duplicates(docs).select("doc_id", "component_id"), "found")
-    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = materialize(found.where(~same).select(F.col("doc_id").alias("__gone_id")).distinct(), "gone")
-    again = found.where(same).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    kept = docs.join(side(gone), docs["doc_id"].cast("long").eqNullSafe(gone["__gone_id"]), "left_anti")
-    return kept.dropDuplicates(["doc_id"]) if again else kept
+    """The rows whose id is their component's; all columns stay; repeated rows of such an id count once.
+
+    Rows without an id can't be told apart afterwards, so all of them stay.
+    """
+    found = materialize(near_duplicates(docs).where("doc_id is not null").select("doc_id", "component_id"), "found")
+    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone_id")).distinct(), "gone")
+    again = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    kept = docs.join(side(gone), docs["doc_id"].cast("long") == gone["__gone_id"], "left_anti")
+    if not again:
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
