@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import materialize, side
+from tidemark.llm.runtime import materialize, side, small_batches
 
 #: Places that count are 1.
 MASKS = ("11101001011", "11011010011", "10110110101")
@@ -57,7 +57,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, threshold: float = MIN_OVERL
     full = F.size("words") >= SPAN
     of_items = seeded(items, short).where(full | (F.col("at") == 0))
     seeds = materialize(of_items.groupBy("seed", "item_id", "at").agg(F.first("words").alias("item")).groupBy("seed").agg(F.collect_list(F.struct("item_id", F.col("at").alias("item_at"), "item")).alias("places")), "seeds")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words")).where(F.size("words") >= MIN_WORDS)
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words")).where(F.size("words") >= MIN_WORDS)
     hits = seeded(texts, short).join(side(seeds), "seed")
     aligned = hits.select("doc_id", "words", "at", F.explode("places").alias("p")).select("doc_id", "words", (F.col("at") - F.col("p.item_at")).alias("start"), "p.item_id", "p.item")
     head = F.greatest(-F.col("start"), F.lit(0))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import id_bucket
+from tidemark.llm.runtime import id_bucket, small_batches
 
 ORDERS = (2, 3, 4)
 WINDOW = 1 << 20
@@ -105,7 +105,7 @@ def labelled_features(docs: DataFrame, buckets: int, per_language: int, modulus:
     for language, n in counts.items():  # a hash cut-off that leaves about per_language rows of each language
         cut = (1 << 63) - 1 if n <= per_language else int((1 << 63) * (per_language / n))
         share = F.when(F.col("lang").cast("string") == language, F.lit(cut)).otherwise(share)
-    chosen = docs.where(
+    chosen = small_batches(docs).where(
         F.col("lang").isNotNull() & (id_bucket("doc_id", modulus) != held) & (F.shiftrightunsigned(F.xxhash64("doc_id"), 1) <= share)
     ).select(F.col("lang").cast("string").alias("y"), F.col("text").alias("x"))
 
@@ -217,7 +217,7 @@ def predictor(model: LanguageModel, text: str = "text"):
 def identify(docs: DataFrame, model: LanguageModel | None = None, modulus: int = 3, held: int = 1) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row."""
     model = model or train(docs, modulus=modulus, held=held)
-    return docs.select(
+    return small_batches(docs).select(
         "doc_id",
         F.coalesce(id_bucket("doc_id", modulus) == held, F.lit(True)).alias("held_out"),
         predictor(model).alias("p"),
@@ -228,5 +228,5 @@ def reject(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     """The rows whose language is recognised with a score at or over the calibrated threshold; all columns stay."""
     model = model or train(docs)
     mark = "__lang_prediction"
-    kept = docs.withColumn(mark, predictor(model)).where((F.col(f"{mark}.lang_pred") != UNKNOWN) & (F.col(f"{mark}.score") >= model.threshold))
+    kept = small_batches(docs).withColumn(mark, predictor(model)).where((F.col(f"{mark}.lang_pred") != UNKNOWN) & (F.col(f"{mark}.score") >= model.threshold))
     return kept.select(*docs.columns)

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import materialize, side
+from tidemark.llm.runtime import materialize, side, small_batches
 
 BLANKS = r"[ \t\r\f\x0B]+"
 MIN_WORDS, NEAR_WORDS = 3, 8
@@ -50,7 +50,7 @@ def without(words: Column, i: Column) -> Column:
 
 def split_lines(docs: DataFrame) -> DataFrame:
     """doc (id), line (number from 0) and raw text of every line."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     return texts.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
 
 

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import materialize
+from tidemark.llm.runtime import materialize, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 MARK, OTHER = "\u0001", "\u0002"
@@ -132,7 +132,7 @@ def voted(kind: str, base: bool, spans: Column) -> Column:
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, base spans and wider candidates of every row, from one read of the texts."""
     none = F.array().cast(SPAN)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.select("doc_id", "text", F.col("text").rlike("[0-9]").alias("digit"))
     gate = {"email": F.contains("text", F.lit("@")), "ip": F.col("digit"), "card": F.col("digit"), "phone": F.contains("text", F.lit("+"))}
     wide_gate = {"email": F.col("text").rlike(r"[(\[{]at[)\]}]"), "card": F.col("digit"), "phone": F.col("digit")}

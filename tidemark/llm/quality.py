@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import id_bucket
+from tidemark.llm.runtime import id_bucket, small_batches
 
 BUCKETS = 1 << 16
 ORDERS = 3
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: QualityModel, modulus: int = 4, held: int = 2)
     def rate(texts: pd.Series) -> pd.Series:
         return pd.Series([model.score(indicators(x)) for x in texts], dtype="float64")
 
-    rated = docs.select("doc_id", F.coalesce(id_bucket("doc_id", modulus) == held, F.lit(True)).alias("held_out"), rate(F.col("text").cast("string")).alias("score"))
+    rated = small_batches(docs).select("doc_id", F.coalesce(id_bucket("doc_id", modulus) == held, F.lit(True)).alias("held_out"), rate(F.col("text").cast("string")).alias("score"))
     return rated.withColumn("predicted", (F.col("score") >= KEEP).cast("int"))
 
 

@@ -45,8 +45,17 @@ def side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+#: Rows here are whole texts, so batches of the engine's default number of rows would hold many megabytes each.
+BATCH_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.parquet.columnarReaderBatchSize": 512}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow and column batches kept to fewer rows than the engine's defaults."""
+    conf = df.sparkSession.conf
+    for key, rows in BATCH_ROWS.items():
+        if int(conf.get(key, str(1 << 30))) > rows:
+            conf.set(key, str(rows))
+    return df
 
 
 def id_bucket(column: str, modulus: int) -> Column:

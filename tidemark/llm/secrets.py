@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.runtime import small_batches
+
 #: Kinds in the order in which spans with the same start are listed.
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 STRONG = KINDS[:3]
@@ -141,7 +143,7 @@ def scan(docs: DataFrame) -> DataFrame:
             rows = [[{"kind": k, "start": a, "end": b, "value": t[a:b]} for k, a, b in spans_of(t)] for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "spans": rows})
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    picked = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return picked.mapInPandas(found, "doc_id long, spans array<struct<kind: string, start: long, end: long, value: string>>")
 
 

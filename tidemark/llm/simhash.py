@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import materialize, session_conf, side
+from tidemark.llm.runtime import materialize, session_conf, side, small_batches
 
 SEED = 42
 
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     def print_of(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(shingle_hashes(t, words)) for t in texts], dtype="int64")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), print_of(F.col("text").cast("string")).alias("fp"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), print_of(F.col("text").cast("string")).alias("fp"))
 
 
 def hook(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ at the same place, so each repeat is seen at one, and nothing is lost.
 
 1. Anchors (a map): hash of the gram at the anchor, digest of its whole context (the bytes from which any string of
    ``length`` around the anchor is made), document, place.
-   Repeats of a context within a task's batch are known there, so they are dealt evenly and not by their gram.
+   Repeats of a context among the anchors that a task holds at a time are known there, so they are dealt evenly and not by their gram.
 2. One shuffle by gram hash, sorted.  A stream over each partition drops grams that occur once.  Anchors whose whole
    context stood earlier are settled there, as equal contexts are one suffix; the first of each context goes on if its
    gram has other contexts too.  The stream holds one row at a time, whatever the size of a group of copies.
@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import materialize
+from tidemark.llm.runtime import materialize, small_batches
 
 LENGTH, GRAM, RANGE, HOT, BUFFER, COLLAPSE = 100, 24, 60_000, 240_000, 1 << 18, 1_000_000
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -113,10 +113,11 @@ def anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
         return out[mine]
 
     def repeats_marked(parts: list[pd.DataFrame]) -> pd.DataFrame:
-        """Anchors in order of document and place: all but the first of a context are repeats, whatever other tasks hold."""
+        """Of the anchors at hand all but the earliest of a context are repeats, whatever other tasks hold."""
         rows = pd.concat(parts, ignore_index=True)
         key = rows["gram"].to_numpy().view(np.uint64) * np.uint64(BASE) + rows["context"].to_numpy().view(np.uint64)
-        order = np.argsort(key, kind="stable")
+        order = np.lexsort((rows["spot"].to_numpy(), rows["doc"].to_numpy()))
+        order = order[np.argsort(key[order], kind="stable")]
         again = np.zeros(len(rows), bool)
         again[order[1:]] = key[order[1:]] == key[order[:-1]]
         deal = np.where(again, mixed(rows["spot"].to_numpy().view(np.uint64) + rows["doc"].to_numpy().view(np.uint64) * np.uint64(BASE)).view(np.int64), rows["gram"])
@@ -125,15 +126,14 @@ def anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, size, parts, held = [], 0, [], 0
         for batch in batches:
-            docs, texts = batch["doc"].to_numpy(), batch["text"].to_numpy()
-            for k in np.argsort(docs, kind="stable"):
-                data = texts[k].encode("utf-8", "surrogatepass")
+            for doc, text in zip(batch["doc"].to_numpy(), batch["text"], strict=True):
+                data = text.encode("utf-8", "surrogatepass")
                 if len(data) < length:
                     continue
                 for a in range(0, len(data), BUFFER):  # long texts in parts that overlap by all that an anchor depends on
                     begin, stop = max(0, a - margin), min(len(data), a + BUFFER)
                     part = data[begin : stop + length]
-                    group.append((docs[k], part, begin, a, stop))
+                    group.append((doc, part, begin, a, stop))
                     size += len(part)
                     if size >= BUFFER:
                         parts.append(emit(group))
@@ -142,12 +142,10 @@ def anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
                         if held >= COLLAPSE:
                             yield repeats_marked(parts)
                             parts, held = [], 0
-            if group:
-                parts.append(emit(group))
-                group, size = [], 0
-            if parts:  # the next batch may hold smaller ids
-                yield repeats_marked(parts)
-                parts, held = [], 0
+        if group:
+            parts.append(emit(group))
+        if parts:
+            yield repeats_marked(parts)
 
     return texts.select("doc", "text").mapInPandas(scan, "gram long, context long, doc long, spot long, again boolean, deal long")
 
@@ -389,7 +387,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
 
     doc is the id itself where ids are unique and not null, else a place in the order of id and content hash.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     odd = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
     if not odd:
         return rows.select(F.col("doc_id").alias("doc"), "doc_id", "text"), True

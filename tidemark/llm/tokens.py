@@ -32,15 +32,22 @@ def byte_letters() -> dict[str, int]:
 
 class Encoder:
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.plain = Tokenizer.from_file(path)
+        self.path, self._plain = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [a["content"] for a in spec.get("added_tokens", [])]
         self.ranked = self._ranked(spec)
 
+    @property
+    def plain(self):
+        """The tokenizer library's own encoder, loaded when first needed: it is the larger of the two."""
+        if self._plain is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self._plain = Tokenizer.from_file(self.path)
+        return self._plain
+
     def _ranked(self, spec: dict):
         model, pre, letters = spec["model"], spec.get("pre_tokenizer") or {}, byte_letters()
         added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
