@@ -46,15 +46,19 @@ def side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 #: Rows here are whole texts, so batches of the engine's default number of rows would hold many megabytes each.
-BATCH_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.parquet.columnarReaderBatchSize": 512}
+TEXT_ROWS, MIXED_ROWS, COLUMN_ROWS = 1000, 4000, 512
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, with the session's Arrow and column batches kept to fewer rows than the engine's defaults."""
-    conf = df.sparkSession.conf
-    for key, rows in BATCH_ROWS.items():
-        if int(conf.get(key, str(1 << 30))) > rows:
-            conf.set(key, str(rows))
+def small_batches(df: DataFrame, rows: int = TEXT_ROWS) -> DataFrame:
+    """df, with the session's Arrow and column batches kept to fewer rows than the engine's defaults.
+
+    A size that a user has chosen stays.  MIXED_ROWS is for plans that also stream many narrow rows.
+    """
+    conf, arrow, column = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    if conf.get(arrow, "10000") in ("10000", str(TEXT_ROWS), str(MIXED_ROWS)):
+        conf.set(arrow, str(rows))
+    if conf.get(column, "4096") == "4096":
+        conf.set(column, str(COLUMN_ROWS))
     return df
 
 

@@ -36,9 +36,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import materialize, small_batches
+from tidemark.llm.runtime import MIXED_ROWS, materialize, small_batches
 
-LENGTH, GRAM, RANGE, HOT, BUFFER, COLLAPSE = 100, 24, 60_000, 240_000, 1 << 18, 1_000_000
+LENGTH, GRAM, RANGE, HOT, BUFFER, COLLAPSE, SLICE = 100, 24, 60_000, 240_000, 1 << 18, 500_000, 50_000
 BASE = 0x9E3779B97F4A7C15 | 1
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
@@ -112,7 +112,7 @@ def anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
         out = pd.DataFrame({"gram": h.view(np.int64), "context": digest.view(np.int64), "doc": doc, "spot": place << 16 | left << 8 | right})
         return out[mine]
 
-    def repeats_marked(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    def repeats_marked(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Of the anchors at hand all but the earliest of a context are repeats, whatever other tasks hold."""
         rows = pd.concat(parts, ignore_index=True)
         key = rows["gram"].to_numpy().view(np.uint64) * np.uint64(BASE) + rows["context"].to_numpy().view(np.uint64)
@@ -121,7 +121,9 @@ def anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
         again = np.zeros(len(rows), bool)
         again[order[1:]] = key[order[1:]] == key[order[:-1]]
         deal = np.where(again, mixed(rows["spot"].to_numpy().view(np.uint64) + rows["doc"].to_numpy().view(np.uint64) * np.uint64(BASE)).view(np.int64), rows["gram"])
-        return rows.assign(again=again, deal=deal)
+        rows = rows.assign(again=again, deal=deal)
+        for k in range(0, len(rows), SLICE):
+            yield rows.iloc[k : k + SLICE]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, size, parts, held = [], 0, [], 0
@@ -140,12 +142,12 @@ def anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
                         held += len(parts[-1])
                         group, size = [], 0
                         if held >= COLLAPSE:
-                            yield repeats_marked(parts)
+                            yield from repeats_marked(parts)
                             parts, held = [], 0
         if group:
             parts.append(emit(group))
         if parts:
-            yield repeats_marked(parts)
+            yield from repeats_marked(parts)
 
     return texts.select("doc", "text").mapInPandas(scan, "gram long, context long, doc long, spot long, again boolean, deal long")
 
@@ -387,7 +389,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
 
     doc is the id itself where ids are unique and not null, else a place in the order of id and content hash.
     """
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = small_batches(docs, MIXED_ROWS).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     odd = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
     if not odd:
         return rows.select(F.col("doc_id").alias("doc"), "doc_id", "text"), True
