@@ -405,7 +405,7 @@ def stretches(texts: DataFrame, length: int, gram: int) -> DataFrame:
     found = anchored(texts, length, gram)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = found.repartition(n, "deal").sortWithinPartitions("again", "gram", "context", "doc", "spot")
-    known = materialize(settled(dealt, length), "settled")
+    known = materialize(settled(dealt, length).coalesce(max(1, n // 4)), "settled")  # fewer, larger files
     firsts = known.where(~F.col("done")).select("gram", "doc", "spot")
     hot = firsts.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("gram")
     hot = materialize(hot, "hot")  # at most one gram for HOT anchors
