@@ -1,18 +1,19 @@
-"""Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
+"""Benchmark decontamination by block-seed hashing, in DataFrame operations only.
 
-Texts and benchmark items become lower-case runs of letters and digits.  Fixed masks over a window of tokens ignore some
-places, so a window still hashes alike after substitutions at those places.  The hashes of all windows of all documents
-meet the hashes of the items; each hit fixes an alignment of an item along a document, and the overlap is verified there:
-the share of the item's tokens that the document has at the same places.  Alignments at or over the threshold count, and so
-do those with a run of ``MIN_RUN`` equal tokens, as a part of an item is a leak too.
+Texts and benchmark items become lower-case runs of letters and digits.  An item that an overlap may miss in k places is cut
+into k + 1 blocks, so one block at least stands whole in the document wherever the misses fall, at the ends of the item or
+past those of the document too; no overlap at or over the threshold is lost.  The hashes of the blocks meet those of all
+windows of their lengths in all documents; each hit fixes an alignment of an item along a document, and the overlap is
+verified there: the share of the item's tokens that the document has at the same places.  Alignments at or over the threshold
+count, and so do those with a run of ``MIN_RUN`` equal tokens, as a part of an item is a leak too; blocks are short enough
+that such a run holds a whole one.
 
 Windows, hashes, the look-up and the verification are one pipelined pass over each text: the documents are not shuffled.
 The benchmark's hashes are broadcast while their count is under a bound and joined by a shuffle beyond.  A hash that many windows of the corpus have costs its own look-ups only, as the other side is grouped by hash.
 
-Defined results: null or empty text gives no row; items under ``MIN_WORDS`` tokens are not sought; items shorter than the
-masks are sought whole and exactly at first, then verified like the others; one row per doc_id and item with its best
-overlap, so repeated rows with one doc_id count once; a null doc_id is a doc_id like any other; empty tables give no
-rows; extra columns are ignored.
+Defined results: null or empty text gives no row; items under ``MIN_WORDS`` tokens are not sought; one row per doc_id and
+item with its best overlap, so repeated rows with one doc_id count once; a null doc_id is a doc_id like any other; empty
+tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,12 +23,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.runtime import materialize, side, small_batches
 
-#: Places that count are 1.
-MASKS = ("11101001011", "11011010011", "10110110101")
-SPAN = len(MASKS[0])
 MIN_WORDS = 5
 MIN_OVERLAP = 0.8
 MIN_RUN = 13
+#: Any run of MIN_RUN tokens of an item holds a whole block of this length or less.
+MAX_BLOCK = (MIN_RUN + 1) // 2
 NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
 
 
@@ -35,30 +35,32 @@ def words_of(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), NOT_WORD, " ")), " ", -1)
 
 
-def window_hashes(words: Column, at: Column, short: list[int]) -> Column:
-    """The hashes of all masks at one place, and of whole windows of the lengths of the short items."""
-    room = F.size(words) - at
-    spaced = [F.when(room >= SPAN, F.xxhash64(F.lit(k), *[F.get(words, at + j) for j, c in enumerate(mask) if c == "1"])) for k, mask in enumerate(MASKS)]
-    whole = [F.when(room >= n, F.xxhash64(F.lit(-n), *[F.get(words, at + j) for j in range(n)])) for n in short]
-    return F.array(*spaced, *whole)
+def window_hash(words: Column, at: Column, length: int) -> Column:
+    return F.xxhash64(F.lit(length), *[F.get(words, at + j) for j in range(length)])
 
 
-def seeded(rows: DataFrame, short: list[int]) -> DataFrame:
-    """Each row of (…, words) once for each place and mask: columns at and seed beside its own."""
-    placed = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - 1)))
-    return placed.withColumn("seed", F.explode(window_hashes(F.col("words"), F.col("at"), short))).where(F.col("seed").isNotNull())
+def blocks(items: DataFrame, threshold: float) -> DataFrame:
+    """Each row of (item_id, words) once for each of its blocks: columns at and length beside its own."""
+    n = F.size("words")
+    count = F.least(n, F.greatest(n - F.ceil(threshold * n) + 1, F.ceil(n / MAX_BLOCK))).cast("int")
+    cut = lambda k: F.floor(k * n / count).cast("int")
+    placed = items.withColumn("k", F.explode(F.sequence(F.lit(0), count - 1)))
+    return placed.withColumn("at", cut(F.col("k"))).withColumn("length", cut(F.col("k") + 1) - F.col("at")).drop("k")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, threshold: float = MIN_OVERLAP) -> DataFrame:
     """doc_id, item_id, start (token of the document where the item begins), matched, item_words, overlap."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words")).where(F.size("words") >= MIN_WORDS).distinct()
     items = materialize(items, "items")
-    short = sorted(r[0] for r in items.where(F.size("words") < SPAN).select(F.size("words")).distinct().collect())  # fewer than SPAN numbers
-    full = F.size("words") >= SPAN
-    of_items = seeded(items, short).where(full | (F.col("at") == 0))
+    of_items = materialize(blocks(items, threshold), "blocks")
+    lengths = sorted(r[0] for r in of_items.select("length").distinct().collect())  # at most MAX_BLOCK numbers
+    of_length = [F.when(F.col("length") == m, window_hash(F.col("words"), F.col("at"), m)) for m in lengths]
+    of_items = of_items.withColumn("seed", F.coalesce(F.lit(None).cast("long"), *of_length))
     seeds = materialize(of_items.groupBy("seed", "item_id", "at").agg(F.first("words").alias("item")).groupBy("seed").agg(F.collect_list(F.struct("item_id", F.col("at").alias("item_at"), "item")).alias("places")), "seeds")
-    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words")).where(F.size("words") >= MIN_WORDS)
-    hits = seeded(texts, short).join(side(seeds), "seed")
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words"))
+    placed = texts.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - 1)))
+    windows = F.array(*[F.when(F.size("words") - F.col("at") >= m, window_hash(F.col("words"), F.col("at"), m)) for m in lengths]).cast("array<bigint>")
+    hits = placed.withColumn("seed", F.explode(windows)).where(F.col("seed").isNotNull()).join(side(seeds), "seed")
     aligned = hits.select("doc_id", "words", "at", F.explode("places").alias("p")).select("doc_id", "words", (F.col("at") - F.col("p.item_at")).alias("start"), "p.item_id", "p.item")
     head = F.greatest(-F.col("start"), F.lit(0))
     faced = F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.size("item") - head)
