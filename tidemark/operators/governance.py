@@ -68,11 +68,9 @@ def scrubbed(texts: DataFrame, words: list[str]) -> DataFrame:
 def purge_queue(queue: DataFrame, holds: DataFrame, keep: DataFrame) -> DataFrame:
     """Entries (source_id, stable_id, reason, seq) once each, the first to come, with what stands against them."""
     once = queue.groupBy("source_id", "stable_id").agg(F.min_by(F.struct("reason", "seq"), "seq").alias("q")).select("source_id", "stable_id", "q.*")
-    scopes = [r["scope"] for r in holds.select("scope").distinct().limit(10_000).collect()] if holds.limit(10_001).count() <= 10_000 else None
-    if scopes is None:
-        under = once.join(holds.select(F.col("scope").alias("source_id")).distinct().withColumn("__held", F.lit(True)), "source_id", "left")
-    else:
-        under = once.withColumn("__held", F.lit("all" in scopes) | F.col("source_id").isin(*scopes))
+    everything = holds.where("scope = 'all'").limit(1).count() > 0
+    scopes = holds.select(F.col("scope").alias("source_id")).distinct().withColumn("__held", F.lit(True))
+    under = once.withColumn("__held", F.lit(True)) if everything else once.join(scopes, "source_id", "left")
     kept = keep.select("source_id", "stable_id").distinct().withColumn("__kept", F.lit(True))
     return under.join(kept, ["source_id", "stable_id"], "left").select("source_id", "stable_id", "reason", "seq", F.coalesce("__held", F.lit(False)).alias("held"), F.coalesce("__kept", F.lit(False)).alias("kept"))
 
