@@ -147,10 +147,10 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def search(vectors: DataFrame, every: int = 50, top: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score of the nearest rows of each query, whose vec_id is divisible by ``every``."""
-    rows = usable(vectors)
+    rows = materialize(usable(vectors).dropDuplicates(["vec_id", "v"]), "vectors")
     n = rows.count()
     cut = (1 << 63) - 1 if n <= SAMPLE else int((1 << 63) * (SAMPLE / n))
-    sample = rows.where(F.shiftrightunsigned(F.xxhash64("vec_id"), 1) <= cut).orderBy("vec_id").toPandas() if n else None  # about SAMPLE rows
+    sample = rows.where(F.shiftrightunsigned(F.xxhash64("vec_id"), 1) <= cut).orderBy("vec_id", "v").toPandas().drop_duplicates("vec_id") if n else None  # about SAMPLE rows
     if sample is None or not len(sample):
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     router = build_router(np.stack([np.asarray(v, float) for v in sample["v"]]), n, top)
@@ -162,7 +162,8 @@ def search(vectors: DataFrame, every: int = 50, top: int = 5) -> DataFrame:
         return pd.Series([x.astype(np.int32) for part in parts for x in router.lists_of(unit(arrays(v.iloc[part])))])
 
     index = materialize(rows.withColumn("list", F.explode(homes("v"))), "lists")
-    sizes = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}  # <= MAX_LISTS rows
+    counted = index.groupBy("list").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids")).collect()  # <= MAX_LISTS rows
+    sizes, candidates = {r["list"]: r["n"] for r in counted}, {r["list"]: r["ids"] for r in counted}
 
     @F.pandas_udf("array<int>")
     def asked(v: pd.Series) -> pd.Series:
@@ -177,7 +178,7 @@ def search(vectors: DataFrame, every: int = 50, top: int = 5) -> DataFrame:
                     if c < 0 or near > router.ratio * max(d[0], 1e-9) and held >= 4 * COPIES * (top + 1):
                         break
                     taken.append(c)
-                    held += sizes.get(c, 0)
+                    held += candidates.get(c, 0)
                 out.append(np.asarray(taken, np.int32))
         return pd.Series(out)
 
@@ -199,17 +200,20 @@ def search(vectors: DataFrame, every: int = 50, top: int = 5) -> DataFrame:
     def compare(asks: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         cols = {"query_id": [], "vec_id": [], "score": []}
         if len(asks) and len(found):
+            found = found.sort_values("vec_id", kind="stable")
             q, v, ids = arrays(asks["q"]), arrays(found["v"]), found["vec_id"].to_numpy(np.int64)
             length = np.sqrt((v * v).sum(1))
             shown = (v / length[:, None]).T
+            first = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
             for one, name in zip(q, asks["query_id"].to_numpy(np.int64), strict=True):
                 norm = np.sqrt((one * one).sum())
                 rough = (one / norm) @ shown
                 rough[ids == name] = -np.inf
-                m = min(top, int(np.isfinite(rough).sum()))
+                each = np.maximum.reduceat(rough, first)  # the best row of each id
+                m = min(top, int(np.isfinite(each).sum()))
                 if not m:
                     continue
-                likely = np.flatnonzero(rough >= np.partition(rough, -m)[-m] - 1e-9)
+                likely = np.flatnonzero(rough >= np.partition(each, -m)[-m] - 1e-9)
                 exact = (v[likely] * one).sum(1) / (norm * length[likely])
                 order, kept = np.lexsort((ids[likely], -exact)), []
                 for j in order:  # an id that stands in several rows counts once
