@@ -7,6 +7,7 @@ end.  The number of rounds is the depth of the tree.
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,23 +27,31 @@ def _kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def descendants(tree: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
+def _joined(found: DataFrame | None, level: DataFrame, round_: int) -> DataFrame:
+    """found and level; written as one table now and then, so that the plan of a deep walk stays short."""
+    if found is None:
+        return level
+    both = found.unionByName(level)
+    return _kept(both) if round_ % 16 == 15 else both
+
+
+def descendants(tree: DataFrame, roots: DataFrame) -> DataFrame:
     """source_id, stable_id of all nodes below the roots (source_id, stable_id), tombstones included."""
     found = None
     front = roots.select("source_id", F.col("stable_id").alias("parent_id")).distinct()
-    for _ in range(depth):
+    for k in count():
         level = tree.join(front, ["source_id", "parent_id"], "left_semi").select("source_id", "stable_id").distinct()
         if found is not None:
             level = level.join(found, ["source_id", "stable_id"], "left_anti")
         level = _kept(level)
         if level.isEmpty():
             break
-        found = level if found is None else found.unionByName(level)
+        found = _joined(found, level, k)
         front = level.withColumnRenamed("stable_id", "parent_id")
     return level if found is None else found
 
 
-def derive_paths(tree: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
+def derive_paths(tree: DataFrame, roots: DataFrame) -> DataFrame:
     """source_id, stable_id, rel_path of nodes reached from the scope roots (source_id, stable_id).
 
     tree: source_id, stable_id, parent_id, name.  Orphans and cycles are never reached, so their paths stay as they are.
@@ -50,41 +59,43 @@ def derive_paths(tree: DataFrame, roots: DataFrame, depth: int = 64) -> DataFram
     nodes = tree.select("source_id", "stable_id", "parent_id", "name")
     front = roots.select("source_id", F.col("stable_id").alias("parent_id"), F.lit(None).cast("string").alias("path"))
     out = None
-    for _ in range(depth):
+    for k in count():
         level = nodes.join(front, ["source_id", "parent_id"]).select("source_id", "stable_id", F.concat_ws("/", "path", "name").alias("rel_path"))
         if out is not None:
             level = level.join(out.select("source_id", "stable_id"), ["source_id", "stable_id"], "left_anti")
         level = _kept(level)
         if level.isEmpty():
             break
-        out = level if out is None else out.unionByName(level)
+        out = _joined(out, level, k)
         front = level.select("source_id", F.col("stable_id").alias("parent_id"), F.col("rel_path").alias("path"))
     return level if out is None else out
 
 
-def scope_of(tree: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
+def scope_of(tree: DataFrame, roots: DataFrame) -> DataFrame:
     """source_id, stable_id, scope: inside (a root or below one), outside (its top is another node), unknown."""
-    inside = descendants(tree, roots, depth).unionByName(roots.select("source_id", "stable_id")).distinct().withColumn("scope", F.lit("inside"))
+    inside = descendants(tree, roots).unionByName(roots.select("source_id", "stable_id")).distinct().withColumn("scope", F.lit("inside"))
     tops = tree.where("parent_id is null").select("source_id", "stable_id")
-    known = descendants(tree, tops, depth).unionByName(tops).distinct().withColumn("__known", F.lit(True))
+    known = descendants(tree, tops).unionByName(tops).distinct().withColumn("__known", F.lit(True))
     keys = ["source_id", "stable_id"]
     return tree.select(*keys).join(inside, keys, "left").join(known, keys, "left").select(*keys, F.coalesce("scope", F.when(F.col("__known"), "outside"), F.lit("unknown")).alias("scope"))
 
 
-def nearest_ancestor_value(tree: DataFrame, values: DataFrame, depth: int = 64) -> DataFrame:
-    """source_id, stable_id, value: a node's own value, else that of its nearest ancestor with one."""
+def nearest_ancestor_value(tree: DataFrame, values: DataFrame) -> DataFrame:
+    """source_id, stable_id, value: a node's own value, else that of its nearest ancestor with one.
+
+    Values go down from the nodes that have one; a node takes the first to come, so cycles end.
+    """
     keys = ["source_id", "stable_id"]
-    open_ = tree.select(*keys, F.col("stable_id").alias("at")).distinct()
-    up = tree.select("source_id", F.col("stable_id").alias("at"), F.col("parent_id").alias("next"))
-    held = values.select("source_id", F.col("stable_id").alias("at"), "value").where("value is not null")
-    out = None
-    for _ in range(depth):
-        hit = open_.join(held, ["source_id", "at"]).select(*keys, "value")
-        rest = open_.join(held, ["source_id", "at"], "left_anti").join(up, ["source_id", "at"]).where("next is not null").select(*keys, F.col("next").alias("at"))
-        hit, open_ = _kept(hit), _kept(rest)
-        out = hit if out is None else out.unionByName(hit)
-        if open_.isEmpty():
+    nodes = tree.select(*keys, "parent_id").distinct()
+    held = values.select(*keys, "value").where("value is not null")
+    out = _kept(nodes.select(*keys).distinct().join(held, keys))
+    front = held
+    for k in count():
+        above = front.select("source_id", F.col("stable_id").alias("parent_id"), "value")
+        front = _kept(nodes.join(above, ["source_id", "parent_id"]).select(*keys, "value").join(out.select(*keys), keys, "left_anti"))
+        if front.isEmpty():
             break
+        out = _joined(out, front, k)
     return out
 
 
@@ -139,16 +150,16 @@ def citing_pages(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return edges.join(sources.select("source").distinct(), "source", "left_semi").select("source", "page").distinct()
 
 
-def ancestor_closure(commits: DataFrame, heads: DataFrame, depth: int = 10_000) -> DataFrame:
+def ancestor_closure(commits: DataFrame, heads: DataFrame) -> DataFrame:
     """commit of all that the heads reach; commits: commit, parent."""
     found = _kept(heads.select("commit").distinct())
     front = found
-    for _ in range(depth):
+    for k in count():
         level = commits.join(front, "commit", "left_semi").select(F.col("parent").alias("commit")).where("commit is not null").distinct().join(found, "commit", "left_anti")
         front = _kept(level)
         if front.isEmpty():
             break
-        found = found.unionByName(front)
+        found = _joined(found, front, k)
     return found
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import sha
+from tidemark.operators.graph import _joined, _kept
 
 
 def slide_order(shapes: DataFrame, by: list[str], row_gap: float = 0.05) -> DataFrame:
@@ -47,16 +49,17 @@ def first_places(texts: DataFrame, by: list[str]) -> DataFrame:
     return texts.groupBy(*by, "text").agg(F.min("place").alias("place"))
 
 
-def comment_threads(comments: DataFrame, depth: int = 32) -> DataFrame:
+def comment_threads(comments: DataFrame) -> DataFrame:
     """id, root, level: roots are comments without a parent here; answers nest; what only a cycle reaches comes as roots."""
     known = comments.select(F.col("id").alias("__id"))
     tops = comments.join(known, comments["parent"] == known["__id"], "left_anti").select("id", F.col("id").alias("root"), F.lit(0).alias("level"))
-    found = front = tops
-    for k in range(1, depth):
-        front = comments.join(front.select(F.col("id").alias("parent"), "root"), "parent").select("id", "root", F.lit(k).alias("level"))
+    found = front = _kept(tops)
+    for k in count(1):
+        answers = comments.join(front.select(F.col("id").alias("parent"), "root"), "parent").select("id", "root", F.lit(k).alias("level"))
+        front = _kept(answers.join(found.select("id"), "id", "left_anti"))
         if front.isEmpty():
             break
-        found = found.unionByName(front)
+        found = _joined(found, front, k)
     loose = comments.join(found.select("id"), "id", "left_anti").select("id", F.col("id").alias("root"), F.lit(0).alias("level"))
     return found.unionByName(loose)
 
