@@ -16,17 +16,22 @@ component; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.runtime import materialize, session_conf, side, small_batches
 
 SEED = 42
+#: The least Jaccard similarity of near copies in the pipeline.
+SIMILAR = 0.8
+PARITIES = 1024
 
 
 def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
@@ -187,12 +192,106 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows whose id is their component's; all columns stay; repeated rows of such an id count once.
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """A bit for each cell: whether an odd number of the hashes fall in it."""
+    odd = np.bincount((hashes & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def similar_pairs(sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (u, v) of the sets with a Jaccard similarity of SIMILAR or more; hashes holds one set after the other."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, name = np.unique(hashes, return_inverse=True)
+    order = np.argsort(name, kind="stable")
+    holders, ends = owner[order], np.cumsum(np.bincount(name))
+    begins, stops = np.append(0, ends[:-1]), np.cumsum(sizes)
+    us, vs = [], []
+    for k in range(len(sizes)):
+        mine = name[stops[k] - sizes[k] : stops[k]]
+        shared = np.bincount(np.concatenate([holders[begins[x] : ends[x]] for x in mine]), minlength=len(sizes)) if len(mine) else np.zeros(len(sizes), int)
+        near = np.flatnonzero((1 + SIMILAR) * shared >= SIMILAR * (sizes + sizes[k]) - 1e-9)
+        us.append(np.full(len(near := near[near > k]), k))
+        vs.append(near)
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def similar_groups(docs: DataFrame, words: int, tile: int = 256) -> DataFrame:
+    """doc_id, component_id of the rows with an id, linked where sets of word shingles have a Jaccard similarity of SIMILAR or more.
+
+    Two such sets share one of the n - SIMILAR n + 1 least hashes of either.  Among the sets that share one, those of
+    like sizes stay together whose parities (of the number of hashes in each of PARITIES cells) differ in no more cells than the sets may
+    differ in hashes; as each hash changes one cell, no link is lost.  Equal sets are one; the sets of such a cluster meet in
+    pairs of tiles, which leave a spanning forest of their exact links.
+    """
+
+    @F.pandas_udf("sid long, n int, prefix array<long>, cells binary")
+    def head_of(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t, words) for t in texts]
+        heads = [x[: len(x) - math.ceil(SIMILAR * len(x) - 1e-9) + 1].view(np.int64) for x in sets]
+        sids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+        return pd.DataFrame({"sid": sids, "n": np.array([len(x) for x in sets], np.int32), "prefix": heads, "cells": [parities(x) for x in sets]})
+
+    @F.pandas_udf("sid long, hashes array<long>")
+    def set_of(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t, words) for t in texts]
+        sids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+        return pd.DataFrame({"sid": sids, "hashes": [x.view(np.int64) for x in sets]})
+
+    def join_shared(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("h", kind="stable")
+        sids, at = np.unique(rows["sid"].to_numpy(np.int64), return_inverse=True)
+        h, n = rows["h"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+        cells, label = np.frombuffer(b"".join(rows["cells"]), "<u8").reshape(len(rows), -1), np.arange(len(sids))
+        begins = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        for x, y in zip(begins, np.append(begins[1:], len(h)), strict=True):
+            for k in range(x, y, step := max(1, (1 << 19) // (y - x))):
+                end = min(y, k + step)
+                apart = np.bitwise_count(cells[k:end, None] ^ cells[None, x:y]).sum(2, dtype=np.int64)
+                most, both = np.maximum(n[k:end, None], n[None, x:y]), n[k:end, None] + n[None, x:y]
+                i, j = np.nonzero((both - most >= SIMILAR * most - 1e-6) & (apart <= (1 - SIMILAR) / (1 + SIMILAR) * both + 1e-6))
+                label = hook(label, at[i + k], at[j + x])
+        child = np.flatnonzero(label != np.arange(len(label)))
+        return pd.DataFrame({"u": sids[child], "v": sids[label[child]]})
+
+    def join_tiles(rows: pd.DataFrame) -> pd.DataFrame:
+        sids, label = rows["sid"].to_numpy(np.int64), np.arange(len(rows))
+        u, v = similar_pairs(np.array([len(x) for x in rows["hashes"]]), np.concatenate(rows["hashes"].to_list()))
+        label = hook(label, u, v)
+        child = np.flatnonzero(label != np.arange(len(label)))
+        return pd.DataFrame({"u": sids[child], "v": sids[label[child]]})
+
+    named = small_batches(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    heads = materialize(named.select("doc_id", head_of("text").alias("h")).select("doc_id", "h.*"), "heads")
+    sets = materialize(heads.groupBy("sid").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells")), "sets")
+    each = sets.select("sid", F.explode("prefix").alias("h"))
+    met = materialize(each.withColumn("c", F.count("*").over(W.partitionBy("h"))).where("c > 1").select("sid", "h"), "met")
+    bundles = met.count() // 2000 + 1
+    shared = met.join(sets.select("sid", "n", "cells"), "sid").groupBy(F.pmod(F.xxhash64("h"), F.lit(bundles)))
+    edges = materialize(shared.applyInPandas(join_shared, "u long, v long").distinct(), "candidates")
+    clusters = materialize(components(edges), "clusters")
+    clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root")).distinct()
+    sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    placed = materialize(clusters.join(sizes, "root").select(F.col("node").alias("sid"), "root", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("t")), "placed")
+    firsts = materialize(sets.join(placed, "sid", "left_semi").select(F.col("first").alias("doc_id")).distinct(), "firsts")
+    full = named.join(side(firsts), "doc_id", "left_semi").select(set_of("text").alias("s")).select("s.*").dropDuplicates(["sid"]).join(placed, "sid")
+    pairs = full.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).groupBy("root", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"))
+    found = materialize(pairs.applyInPandas(join_tiles, "u long, v long"), "similar")
+    linked = components(found)
+    rooted = sets.select("sid", "first").join(linked.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
+    of = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("sid", "component_id")
+    return heads.select("doc_id", "sid").join(of, "sid").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
+    """The rows whose id is the least of those linked to it by SIMILAR word shingles; all columns stay; repeated rows of such an id count once.
 
     Rows without an id can't be told apart afterwards, so all of them stay.
     """
-    found = materialize(near_duplicates(docs).where("doc_id is not null").select("doc_id", "component_id"), "found")
+    found = materialize(similar_groups(docs, words), "found")
     gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone_id")).distinct(), "gone")
     again = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     kept = docs.join(side(gone), docs["doc_id"].cast("long") == gone["__gone_id"], "left_anti")
