@@ -6,25 +6,12 @@ end.  The number of rounds is the depth of the tree.
 
 from __future__ import annotations
 
-import uuid
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, so that rounds don't pile up lineage."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", "")
-    if not folder:
-        import tempfile
-
-        folder = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/walk-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tidemark.functions.scratch import materialize
 
 
 def _joined(found: DataFrame | None, level: DataFrame, round_: int) -> DataFrame:
@@ -32,7 +19,7 @@ def _joined(found: DataFrame | None, level: DataFrame, round_: int) -> DataFrame
     if found is None:
         return level
     both = found.unionByName(level)
-    return _kept(both) if round_ % 16 == 15 else both
+    return materialize(both, "walk") if round_ % 16 == 15 else both
 
 
 def descendants(tree: DataFrame, roots: DataFrame) -> DataFrame:
@@ -43,7 +30,7 @@ def descendants(tree: DataFrame, roots: DataFrame) -> DataFrame:
         level = tree.join(front, ["source_id", "parent_id"], "left_semi").select("source_id", "stable_id").distinct()
         if found is not None:
             level = level.join(found, ["source_id", "stable_id"], "left_anti")
-        level = _kept(level)
+        level = materialize(level, "walk")
         if level.isEmpty():
             break
         found = _joined(found, level, k)
@@ -63,7 +50,7 @@ def derive_paths(tree: DataFrame, roots: DataFrame) -> DataFrame:
         level = nodes.join(front, ["source_id", "parent_id"]).select("source_id", "stable_id", F.concat_ws("/", "path", "name").alias("rel_path"))
         if out is not None:
             level = level.join(out.select("source_id", "stable_id"), ["source_id", "stable_id"], "left_anti")
-        level = _kept(level)
+        level = materialize(level, "walk")
         if level.isEmpty():
             break
         out = _joined(out, level, k)
@@ -88,11 +75,11 @@ def nearest_ancestor_value(tree: DataFrame, values: DataFrame) -> DataFrame:
     keys = ["source_id", "stable_id"]
     nodes = tree.select(*keys, "parent_id").distinct()
     held = values.select(*keys, "value").where("value is not null")
-    out = _kept(nodes.select(*keys).distinct().join(held, keys))
+    out = materialize(nodes.select(*keys).distinct().join(held, keys), "walk")
     front = held
     for k in count():
         above = front.select("source_id", F.col("stable_id").alias("parent_id"), "value")
-        front = _kept(nodes.join(above, ["source_id", "parent_id"]).select(*keys, "value").join(out.select(*keys), keys, "left_anti"))
+        front = materialize(nodes.join(above, ["source_id", "parent_id"]).select(*keys, "value").join(out.select(*keys), keys, "left_anti"), "walk")
         if front.isEmpty():
             break
         out = _joined(out, front, k)
@@ -152,11 +139,11 @@ def citing_pages(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
 def ancestor_closure(commits: DataFrame, heads: DataFrame) -> DataFrame:
     """commit of all that the heads reach; commits: commit, parent."""
-    found = _kept(heads.select("commit").distinct())
+    found = materialize(heads.select("commit").distinct(), "walk")
     front = found
     for k in count():
         level = commits.join(front, "commit", "left_semi").select(F.col("parent").alias("commit")).where("commit is not null").distinct().join(found, "commit", "left_anti")
-        front = _kept(level)
+        front = materialize(level, "walk")
         if front.isEmpty():
             break
         found = _joined(found, front, k)
@@ -168,10 +155,10 @@ def erasure_fixpoint(history: DataFrame, seeds: DataFrame, rounds: int = 4) -> t
 
     history: stable_id, path over every retained snapshot.
     """
-    ids, settled = _kept(seeds.select("stable_id").distinct()), False
+    ids, settled = materialize(seeds.select("stable_id").distinct(), "walk"), False
     for _ in range(rounds):
         paths = history.join(ids, "stable_id", "left_semi").select("path").distinct()
-        more = _kept(history.join(paths, "path", "left_semi").select("stable_id").distinct().join(ids, "stable_id", "left_anti"))
+        more = materialize(history.join(paths, "path", "left_semi").select("stable_id").distinct().join(ids, "stable_id", "left_anti"), "walk")
         if more.isEmpty():
             settled = True
             break

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import sha
-from tidemark.operators.graph import _joined, _kept
+from tidemark.functions.scratch import materialize
+from tidemark.operators.graph import _joined
 
 
 def slide_order(shapes: DataFrame, by: list[str], row_gap: float = 0.05) -> DataFrame:
@@ -53,10 +54,10 @@ def comment_threads(comments: DataFrame) -> DataFrame:
     """id, root, level: roots are comments without a parent here; answers nest; what only a cycle reaches comes as roots."""
     known = comments.select(F.col("id").alias("__id"))
     tops = comments.join(known, comments["parent"] == known["__id"], "left_anti").select("id", F.col("id").alias("root"), F.lit(0).alias("level"))
-    found = front = _kept(tops)
+    found = front = materialize(tops, "walk")
     for k in count(1):
         answers = comments.join(front.select(F.col("id").alias("parent"), "root"), "parent").select("id", "root", F.lit(k).alias("level"))
-        front = _kept(answers.join(found.select("id"), "id", "left_anti"))
+        front = materialize(answers.join(found.select("id"), "id", "left_anti"), "walk")
         if front.isEmpty():
             break
         found = _joined(found, front, k)
