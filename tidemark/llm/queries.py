@@ -66,7 +66,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import line_dedup
 
-    return line_dedup.digest(line_dedup.deduplicate(table(spark, sf_dir, "documents")))
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,17 @@
-"""Shared plumbing of the training-data operators: table reads, shared intermediate tables, small helpers."""
+"""Shared plumbing of the training-data operators: table reads, joins of checked sizes, row keys, batch sizes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.functions.scratch import materialize, shared_dir
+
+__all__ = ["fresh", "heavy", "id_bucket", "keyed", "materialize", "salted_join", "session_conf", "shared_dir", "side", "small_batches", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,33 +19,82 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``df`` has it; names are the same in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    Where the cluster names none (tests, a single machine), a temporary folder is set once for the session.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", "")
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
 
+BROADCAST_BYTES = 32 << 20
+#: What a row of a broadcast table takes besides its values.
+ROW_BYTES = 40
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def row_bytes(df: DataFrame) -> Column:
+    """An estimate of the bytes that a row takes in memory."""
+    total = F.lit(ROW_BYTES)
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = F.octet_length(F.col(f.name))
+        elif isinstance(f.dataType, T.ArrayType) and not isinstance(f.dataType.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+            size = 8 * F.size(F.col(f.name)) + 16
+        elif isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            size = 2 * F.octet_length(F.to_json(F.struct(F.col(f.name))))
+        else:
+            size = F.lit(16)
+        total = total + F.coalesce(size, F.lit(0))
+    return total.cast("long")
+
+
+def side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table as one side of a join: broadcast while its bytes in memory are measured at or under the bound, else shuffled."""
+    if df.count() * ROW_BYTES > limit:  # the count comes from the files' footers
+        return df
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= limit else df
 
 
-BROADCAST_ROWS = 1_000_000
+#: A key with more rows than this, and than one in HEAVY_SHARE of all, is joined in parts; so there are at most HEAVY_SHARE such keys.
+HEAVY_ROWS, HEAVY_SHARE = 100_000, 20_000
 
 
-def side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A narrow written table as one side of a join: broadcast while it is counted at or under the bound, else shuffled."""
-    return F.broadcast(df) if df.count() <= rows else df
+def heavy(counted: DataFrame, keys: list[str], rows: int, n: str = "n") -> DataFrame | None:
+    """Of ``counted`` (keys and their number of rows ``n``, out of ``rows``): the heavy keys and __parts, the tasks they are to be dealt to."""
+    bound = max(HEAVY_ROWS, rows // HEAVY_SHARE)
+    if rows <= bound:
+        return None
+    out = counted.where(F.col(n) > bound).select(*keys, F.ceil(F.col(n) / bound).cast("int").alias("__parts"))
+    out = materialize(out, "heavy")
+    return out if out.limit(1).count() else None
+
+
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], parts: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one`` (few rows a key): rows of a heavy key are dealt to its parts and its other side is copied to each."""
+    if parts is None:
+        return many.join(one, keys, how)
+    parts = F.broadcast(parts)  # at most HEAVY_SHARE narrow rows
+    own = [c for c in many.columns if c not in keys]
+    dealt = many.join(parts, keys, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*own), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    copied = one.join(parts, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(copied, [*keys, "__part"], how).drop("__part")
+
+
+def keyed(docs: DataFrame, key: str) -> tuple[DataFrame, bool]:
+    """docs with a number ``key`` that tells its rows apart and orders them, and whether each number is one row.
+
+    Where ids are unique and not null it is the id.  Else rows are numbered in the order of id (null last) and content
+    (the MD5 of the text); rows that agree in both are one text and share their number.  DataFrame operations only.
+    """
+    doc = F.col("doc_id").cast("long")
+    odd = docs.select(doc.alias("d")).groupBy("d").agg(F.count("*").alias("n")).where("n > 1 or d is null").limit(1).count()
+    if not odd:
+        return docs.withColumn(key, doc), True
+    content = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    names = docs.select(doc.alias("d"), content.alias("c")).distinct().orderBy(F.col("d").asc_nulls_last(), "c")
+    names = materialize(names.select("d", "c", F.monotonically_increasing_id().alias(key)), "order")
+    numbered = docs.join(side(names), doc.eqNullSafe(names["d"]) & (content == names["c"]), "left").select(*[docs[c] for c in docs.columns], key)
+    return materialize(numbered, "keyed"), False
 
 
 #: Rows here are whole texts, so batches of the engine's default number of rows would hold many megabytes each.
@@ -50,16 +102,17 @@ TEXT_ROWS, MIXED_ROWS, COLUMN_ROWS = 1000, 4000, 512
 
 
 def small_batches(df: DataFrame, rows: int = TEXT_ROWS) -> DataFrame:
-    """df, with the session's Arrow and column batches kept to fewer rows than the engine's defaults.
+    """df in a session of its own whose Arrow and column batches have fewer rows than the engine's defaults.
 
-    A size that a user has chosen stays.  MIXED_ROWS is for plans that also stream many narrow rows.
+    The caller's session stays as it is, and sizes that a user has chosen hold.  MIXED_ROWS is for plans that also stream
+    many narrow rows.
     """
-    conf, arrow, column = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
-    if conf.get(arrow, "10000") in ("10000", str(TEXT_ROWS), str(MIXED_ROWS)):
-        conf.set(arrow, str(rows))
-    if conf.get(column, "4096") == "4096":
-        conf.set(column, str(COLUMN_ROWS))
-    return df
+    spark = df.sparkSession
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    for option, usual, wanted in (("spark.sql.execution.arrow.maxRecordsPerBatch", 10000, rows), ("spark.sql.parquet.columnarReaderBatchSize", 4096, COLUMN_ROWS)):
+        if own.conf.get(option, str(usual)) in (str(usual), str(TEXT_ROWS), str(MIXED_ROWS)):
+            own.conf.set(option, str(wanted))
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.logicalPlan()), own)
 
 
 def id_bucket(column: str, modulus: int) -> Column:
