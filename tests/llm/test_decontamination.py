@@ -2,6 +2,8 @@
 
 import random
 
+import duckdb
+
 from tests.llm.helpers import documents
 from tidemark.llm import decontamination
 
@@ -24,7 +26,7 @@ def plain_overlaps(docs, items):
 
 def test_every_pattern_at_the_threshold_is_found(spark):
     rng = random.Random(17)
-    items = [(n, " ".join(f"w{rng.randrange(400)}" for _ in range(n))) for n in range(5, 31)] + [(n, " ".join(f"w{rng.randrange(400)}" for _ in range(n))) for n in (35, 61, 100)]
+    items = [(n, " ".join(f"w{rng.randrange(400)}" for _ in range(n))) for n in range(1, 31)] + [(n, " ".join(f"w{rng.randrange(400)}" for _ in range(n))) for n in (35, 61, 100)]
     docs = []
     for n, text in items:
         w, k = text.split(), n // 5
@@ -33,13 +35,31 @@ def test_every_pattern_at_the_threshold_is_found(spark):
         for off in places:
             body = ["other" if j in off else x for j, x in enumerate(w)]
             docs.append((len(docs), " ".join([*["before"] * rng.randrange(3), *body, *["after"] * rng.randrange(3)])))
-        docs += [(len(docs), " ".join(w[k:])), (len(docs) + 1, " ".join(w[: n - k])), (len(docs) + 2, " ".join(w[k + 1 :]))]
+        docs += [(len(docs), "" if n == 1 else " ".join(w[k:])), (len(docs) + 1, " ".join(w[: n - k])), (len(docs) + 2, " ".join(w[k + 1 :]))]
         for a in range(0, n - 12, 5):
             docs.append((len(docs), " ".join(["before", *w[a : a + 13], "after"])))
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     got = {(r.doc_id, r.item_id): (r.start, r.matched, r.item_words) for r in decontamination.overlaps(documents(spark, docs), bench).collect()}
     want = plain_overlaps(docs, items)
     assert {n for _, n in want} == {n for n, _ in items} and got == want
+    by_shuffle = decontamination.overlaps(documents(spark, docs), bench, limit=0).collect()
+    assert {(r.doc_id, r.item_id): (r.start, r.matched, r.item_words) for r in by_shuffle} == want
+
+
+def test_equals_its_sql_twin(spark, tmp_path):
+    rng = random.Random(19)
+    items = [(n, " ".join(f"w{rng.randrange(60)}" for _ in range(n % 40))) for n in range(60)] + [(100, None), (101, " . ")]
+    docs = [(k, " ".join(x for x in items[rng.randrange(60)][1].split() if rng.random() > 0.1)) for k in range(80)] + [(80, None), (81, ""), (None, items[30][1]), (None, items[31][1]), (5, items[20][1])]
+    documents(spark, docs).write.parquet(f"{tmp_path}/documents")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark")
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}/*.parquet'")
+    want = c.execute(f"SELECT doc_id, item_id, start, matched, item_words, overlap FROM ({decontamination.ORACLE_SQL})").fetchall()
+    for limit in (1 << 25, 0):
+        got = decontamination.overlaps(documents(spark, docs), bench, limit=limit).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(want) > 60
 
 
 def test_other_thresholds(spark):

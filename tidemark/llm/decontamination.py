@@ -1,19 +1,25 @@
-"""Benchmark decontamination by block-seed hashing, in DataFrame operations only.
-
-Texts and benchmark items become lower-case runs of letters and digits.  An item that an overlap may miss in k places is cut
-into k + 1 blocks, so one block at least stands whole in the document wherever the misses fall, at the ends of the item or
-past those of the document too; no overlap at or over the threshold is lost.  The hashes of the blocks meet those of all
-windows of their lengths in all documents; each hit fixes an alignment of an item along a document, and the overlap is
-verified there: the share of the item's tokens that the document has at the same places.  Alignments at or over the threshold
-count, and so do those with a run of ``MIN_RUN`` equal tokens, as a part of an item is a leak too; blocks are short enough
-that such a run holds a whole one.
-
-Windows, hashes, the look-up and the verification are one pipelined pass over each text: the documents are not shuffled.
-The benchmark's hashes are broadcast while their count is under a bound and joined by a shuffle beyond.  A hash that many windows of the corpus have costs its own look-ups only, as the other side is grouped by hash.
-
-Defined results: null or empty text gives no row; items under ``MIN_WORDS`` tokens are not sought; one row per doc_id and
-item with its best overlap, so repeated rows with one doc_id count once; a null doc_id is a doc_id like any other; empty
-tables give no rows; extra columns are ignored.
+"""Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
+
+Texts and benchmark items become lower-case runs of letters and digits.  A mask of stride s and weight w looks at w tokens,
+each s after the one before, and ignores those between.  An item that an overlap may miss in k places is covered by k + 1
+masks at least that have no token in common (segments of the item, each dealt to masks of stride 2, or 3 where their number
+is odd), so one of them stands whole in the document wherever the misses fall, at the ends of the item or past those of the
+document too: no overlap at or over the threshold is lost.  Masks of stride 2 over ``MIN_RUN`` tokens at every place of an
+item find its parts.  There are at most 2 x ``MAX_WEIGHT`` masks whatever the benchmark.
+
+The hashes of the items' masks meet those of all places of all documents; each hit fixes an alignment of an item along a
+document, and the overlap is verified there: the share of the item's tokens that the document has at the same places.
+Alignments at or over the threshold count, and so do those with a run of ``MIN_RUN`` equal tokens, as a part of an item is a
+leak too.
+
+Scale: while the benchmark's hashes are measured under a bound they are broadcast; windows, look-up and verification are
+then one pipelined pass over each text and the documents are not shuffled.  Beyond it narrow rows (row, place, hash) are
+shuffled against the hashes, with heavy hashes dealt to several tasks, and only texts with hits are read again, with the
+items that they met.
+
+Defined results: null or empty text gives no row, nor does an item without a token; one row per doc_id and item with its
+best overlap (the earliest of equal ones), so rows with one doc_id count once; a null doc_id is a doc_id like any other;
+empty tables give no rows; extra columns are ignored.  A text of any length is met whole, place by place.
 """
 
 from __future__ import annotations
@@ -21,13 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import materialize, side, small_batches
+from tidemark.llm.runtime import BROADCAST_BYTES, fresh, heavy, keyed, materialize, row_bytes, salted_join, side, small_batches
 
-MIN_WORDS = 5
 MIN_OVERLAP = 0.8
 MIN_RUN = 13
-#: Any run of MIN_RUN tokens of an item holds a whole block of this length or less.
-MAX_BLOCK = (MIN_RUN + 1) // 2
+#: A mask of stride 2 that spans MIN_RUN tokens.
+MAX_WEIGHT = (MIN_RUN + 1) // 2
 NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
 
 
@@ -35,77 +40,112 @@ def words_of(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), NOT_WORD, " ")), " ", -1)
 
 
-def window_hash(words: Column, at: Column, length: int) -> Column:
-    return F.xxhash64(F.lit(length), *[F.get(words, at + j) for j in range(length)])
+def seed_of(words: Column, at: Column, stride: int, weight: int) -> Column:
+    """The hash of the tokens that a mask looks at, from ``at`` on."""
+    return F.xxhash64(F.lit(stride), F.lit(weight), *[F.get(words, at + stride * j) for j in range(weight)])
 
 
-def blocks(items: DataFrame, threshold: float) -> DataFrame:
-    """Each row of (item_id, words) once for each of its blocks: columns at and length beside its own."""
+def masks(items: DataFrame, threshold: float) -> DataFrame:
+    """Each row of (item_id, words) once for each of its masks: columns at (its first token), stride and weight beside its own.
+
+    Misses allowed + 1 masks are needed, and so many that none has a weight over MAX_WEIGHT.
+    """
     n = F.size("words")
-    count = F.least(n, F.greatest(n - F.ceil(threshold * n) + 1, F.ceil(n / MAX_BLOCK))).cast("int")
-    cut = lambda k: F.floor(k * n / count).cast("int")
-    placed = items.withColumn("k", F.explode(F.sequence(F.lit(0), count - 1)))
-    return placed.withColumn("at", cut(F.col("k"))).withColumn("length", cut(F.col("k") + 1) - F.col("at")).drop("k")
+    need = F.least(n, F.greatest(n - F.ceil(threshold * n) + 1, F.ceil(n / MAX_WEIGHT))).cast("int")
+    segments = F.greatest(F.floor(F.col("need") / 2), F.lit(1)).cast("int")
+    cut = lambda k: F.floor(k * n / F.col("segments")).cast("int")
+    placed = items.withColumn("need", need).withColumn("segments", segments).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("segments") - 1)))
+    # a segment's masks: as many as its stride; an odd number makes the first segment one of three
+    placed = placed.withColumn("stride", F.when(F.col("need") == 1, 1).when((F.col("need") % 2 == 1) & (F.col("k") == 0), 3).otherwise(2))
+    placed = placed.withColumn("low", cut(F.col("k"))).withColumn("high", cut(F.col("k") + 1)).withColumn("phase", F.explode(F.sequence(F.lit(0), F.col("stride") - 1)))
+    even = placed.withColumn("at", F.col("low") + F.col("phase")).withColumn("weight", F.ceil((F.col("high") - F.col("at")) / F.col("stride")).cast("int")).where("weight > 0")
+    runs = items.where(n >= MIN_RUN).withColumn("at", F.explode(F.sequence(F.lit(0), n - MIN_RUN))).withColumn("stride", F.lit(2)).withColumn("weight", F.lit(MAX_WEIGHT))
+    return even.select(*items.columns, "at", "stride", "weight").unionByName(runs)
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, threshold: float = MIN_OVERLAP, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """doc_id, item_id, start (token of the document where the item begins), matched, item_words, overlap."""
+    picked = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts, _ = keyed(picked, "row")
+    return best(judged(texts, benchmark, threshold, limit), "doc_id")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, threshold: float = MIN_OVERLAP) -> DataFrame:
-    """doc_id, item_id, start (token of the document where the item begins), matched, item_words, overlap."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words")).where(F.size("words") >= MIN_WORDS).distinct()
-    items = materialize(items, "items")
-    of_items = materialize(blocks(items, threshold), "blocks")
-    lengths = sorted(r[0] for r in of_items.select("length").distinct().collect())  # at most MAX_BLOCK numbers
-    of_length = [F.when(F.col("length") == m, window_hash(F.col("words"), F.col("at"), m)) for m in lengths]
-    of_items = of_items.withColumn("seed", F.coalesce(F.lit(None).cast("long"), *of_length))
-    seeds = materialize(of_items.groupBy("seed", "item_id", "at").agg(F.first("words").alias("item")).groupBy("seed").agg(F.collect_list(F.struct("item_id", F.col("at").alias("item_at"), "item")).alias("places")), "seeds")
-    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words"))
-    placed = texts.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - 1)))
-    windows = F.array(*[F.when(F.size("words") - F.col("at") >= m, window_hash(F.col("words"), F.col("at"), m)) for m in lengths]).cast("array<bigint>")
-    hits = placed.withColumn("seed", F.explode(windows)).where(F.col("seed").isNotNull()).join(side(seeds), "seed")
-    aligned = hits.select("doc_id", "words", "at", F.explode("places").alias("p")).select("doc_id", "words", (F.col("at") - F.col("p.item_at")).alias("start"), "p.item_id", "p.item")
-    head = F.greatest(-F.col("start"), F.lit(0))
-    faced = F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.size("item") - head)
-    same = F.zip_with(F.slice("item", head + 1, F.size("item")), faced, lambda a, b: F.when(a == b, "1").otherwise("0"))
-    judged = aligned.select("doc_id", "item_id", "start", F.size("item").alias("item_words"), F.array_join(same, "").alias("same"))
-    judged = judged.withColumn("matched", F.length(F.translate("same", "0", "")))
-    judged = judged.where((F.col("matched") >= threshold * F.col("item_words")) | F.contains("same", F.lit("1" * MIN_RUN)))
-    best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", (-F.col("start")).alias("back"), "item_words")).alias("b"))
-    return best.select(
-        "doc_id", "item_id", (-F.col("b.back")).cast("long").alias("start"), F.col("b.matched").cast("long").alias("matched"), F.col("b.item_words").cast("long").alias("item_words"),
+def best(found: DataFrame, name: str) -> DataFrame:
+    """The best alignment of each item with each name (a column that is as good as the row)."""
+    top = found.groupBy(name, "item_id").agg(F.max(F.struct("matched", (-F.col("start")).alias("back"), "item_words")).alias("b"))
+    return top.select(
+        name, "item_id", (-F.col("b.back")).cast("long").alias("start"), F.col("b.matched").cast("long").alias("matched"), F.col("b.item_words").cast("long").alias("item_words"),
         (F.col("b.matched") / F.col("b.item_words")).alias("overlap"),
     )
 
 
+def judged(texts: DataFrame, benchmark: DataFrame, threshold: float, limit: int) -> DataFrame:
+    """Alignments that count, of texts (row, text and any others, which are carried): texts' columns but text, item_id, start, matched, item_words."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words"))
+    items = materialize(items.where(F.get("words", F.lit(0)) != "").distinct().withColumn("item", F.monotonically_increasing_id()), "items")
+    placed = masks(items, threshold)
+    shapes = sorted(tuple(r) for r in placed.select("stride", "weight").distinct().collect())  # a few pairs of small numbers
+    of_shape = [F.when((F.col("stride") == s) & (F.col("weight") == w), seed_of(F.col("words"), F.col("at"), s, w)) for s, w in shapes]
+    seeds = placed.select(F.coalesce(F.lit(None).cast("long"), *of_shape).alias("seed"), "item", F.col("at").alias("item_at")).distinct()
+    seeds = materialize(seeds.groupBy("seed").agg(F.collect_list(F.struct("item", "item_at")).alias("places"), F.count("*").alias("n")), "seeds")  # numbers only
+    keep = [c for c in texts.columns if c != "text"]
+    worded = texts.select(*keep, words_of(F.coalesce("text", F.lit(""))).alias("words"))
+    windows = F.array(*[F.when(F.size("words") - F.col("at") > s * (w - 1), seed_of(F.col("words"), F.col("at"), s, w)) for s, w in shapes]).cast("array<bigint>")
+    sought = [F.col("item"), F.col("words").alias("item_text"), F.col("item_id")]
+    if small(seeds, limit) and small(items, limit):
+        at_each = worded.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - 1)))
+        hits = at_each.withColumn("seed", F.explode(windows)).where(F.col("seed").isNotNull()).join(F.broadcast(seeds.drop("n")), "seed")
+        hits = hits.select(*keep, "words", "at", F.explode("places").alias("p")).select(*keep, "words", F.col("p.item").alias("item"), (F.col("at") - F.col("p.item_at")).alias("start"))
+        aligned = hits.join(F.broadcast(items.select(*sought)), "item")
+    else:
+        at_each = worded.select("row", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
+        narrow = at_each.select("row", "at", F.explode(windows).alias("seed")).where(F.col("seed").isNotNull())
+        hits = materialize(narrow.join(seeds.select("seed"), "seed", "left_semi"), "seeded")
+        common = hits.groupBy("seed").agg(F.count("*").alias("n"))
+        met = salted_join(hits, seeds.drop("n"), ["seed"], heavy(common, ["seed"], hits.count()))
+        met = met.select("row", F.explode("places").alias("p"), "at").select("row", F.col("p.item").alias("item"), (F.col("at") - F.col("p.item_at")).alias("start"))
+        met = materialize(met.distinct(), "hits")
+        wide = met.join(side(items.select(*sought), limit), "item")
+        aligned = worded.join(side(met.select("row").distinct(), limit), "row", "left_semi").join(wide, "row")
+    head = F.greatest(-F.col("start"), F.lit(0))
+    faced = F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.size("item_text") - head)
+    same = F.zip_with(F.slice("item_text", head + 1, F.size("item_text")), faced, lambda a, b: F.when(a == b, "1").otherwise("0"))
+    out = aligned.select(*keep, "item_id", "start", F.size("item_text").alias("item_words"), F.array_join(same, "").alias("same"))
+    out = out.withColumn("matched", F.length(F.translate("same", "0", "")))
+    return out.where((F.col("matched") >= threshold * F.col("item_words")) | F.contains("same", F.lit("1" * MIN_RUN))).drop("same")
+
+
+def small(df: DataFrame, limit: int) -> bool:
+    return (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= limit
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows without a contaminating overlap; all columns stay."""
-    dirty = materialize(overlaps(docs, benchmark).select(F.col("doc_id").alias("__dirty")).distinct(), "dirty")
-    return docs.join(side(dirty), docs["doc_id"].cast("long").eqNullSafe(dirty["__dirty"]), "left_anti")
+    """The rows without a contaminating overlap, each judged by its own text; all columns stay."""
+    key = fresh(docs, "__row")
+    rows, _ = keyed(small_batches(docs), key)
+    dirty = judged(rows.select(F.col(key).alias("row"), F.col("text").cast("string").alias("text")), benchmark, MIN_OVERLAP, BROADCAST_BYTES)
+    dirty = materialize(dirty.select(F.col("row").alias(key)).distinct(), "dirty")
+    return rows.join(side(dirty), key, "left_anti").select(*docs.columns)
 
 
-#: DuckDB SQL of overlaps(documents, benchmark); texts are tokenised, seeded and verified alike, with token strings as keys.
+#: DuckDB SQL of overlaps(documents, benchmark) that seeds nothing: all alignments in which any token agrees are tried.
 ORACLE_SQL = r"""
 WITH items AS (
-  SELECT DISTINCT item_id, w FROM (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark) WHERE len(w) >= 5
+  SELECT DISTINCT item_id, w FROM (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark) WHERE w[1] <> ''
 ), docs AS (
-  SELECT doc_id, w FROM (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents) WHERE len(w) >= 5
-), masks AS (
-  SELECT * FROM (VALUES (0, [0,1,2,4,7,9,10]), (1, [0,1,3,4,6,9,10]), (2, [0,2,3,5,6,8,10])) m(k, places)
-), lengths AS (
-  SELECT DISTINCT len(w) AS n FROM items WHERE len(w) < 11
-), iseeds AS (
-  SELECT item_id, w, pos, k, list_transform(places, lambda j: w[pos + j + 1]) AS seed
-  FROM (SELECT item_id, w, unnest(range(len(w) - 10)) AS pos FROM items WHERE len(w) >= 11), masks
-  UNION ALL SELECT item_id, w, 0, -len(w), w FROM items WHERE len(w) < 11
-), dplaces AS (
-  SELECT doc_id, w, unnest(range(len(w))) AS pos FROM docs
-), dseeds AS (
-  SELECT doc_id, pos, k, list_transform(places, lambda j: w[pos + j + 1]) AS seed FROM dplaces, masks WHERE pos + 11 <= len(w)
-  UNION ALL SELECT doc_id, pos, -n, w[pos + 1:pos + n] FROM dplaces, lengths WHERE pos + n <= len(w)
-), aligned AS (
-  SELECT DISTINCT d.doc_id, i.item_id, d.pos - i.pos AS start, i.w AS item FROM dseeds d JOIN iseeds i ON d.k = i.k AND d.seed = i.seed
+  SELECT doc_id, w, row_number() OVER () AS r FROM (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents) WHERE w[1] <> ''
+), itokens AS (
+  SELECT item_id, w AS item, unnest(w) AS t, unnest(range(len(w))) AS pos FROM items
+), dtokens AS (
+  SELECT r, unnest(w) AS t, unnest(range(len(w))) AS pos FROM docs
+), agreed AS (
+  SELECT r, item_id, item, CAST(d.pos AS INTEGER) - CAST(i.pos AS INTEGER) AS start, count(*) AS m
+  FROM dtokens d JOIN itokens i USING (t) GROUP BY ALL
+), likely AS (
+  SELECT * FROM agreed WHERE m >= 0.8 * len(item) OR m >= 13
 ), judged AS (
-  SELECT a.doc_id, item_id, start, len(item) AS n, array_to_string(list_transform(range(1, len(item) + 1), lambda j: CASE WHEN start + j >= 1 AND start + j <= len(d.w) AND d.w[greatest(start + j, 1)] = item[j] THEN '1' ELSE '0' END), '') AS same,
-    length(replace(same, '0', '')) AS m
-  FROM aligned a JOIN docs d USING (doc_id)
+  SELECT d.doc_id, item_id, start, len(item) AS n, m, array_to_string(list_transform(range(1, len(item) + 1), lambda j: CASE WHEN start + j >= 1 AND start + j <= len(d.w) AND d.w[greatest(start + j, 1)] = item[j] THEN '1' ELSE '0' END), '') AS same
+  FROM likely JOIN docs d USING (r)
 )
 SELECT doc_id, item_id, CAST(arg_max(start, (m, -start)) AS BIGINT) AS start, CAST(max(m) AS BIGINT) AS matched, CAST(arg_max(n, (m, -start)) AS BIGINT) AS item_words,
   CAST(max(m) AS DOUBLE) / arg_max(n, (m, -start)) AS overlap
