@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -96,26 +96,27 @@ def linked(text: str, strong: list[Span], weak: list[Span], reach: int = REACH)
     breaks = [m.start() for m in BLANK.finditer(text)]
     role = {"assign": "secret", "hex": "secret", "access": "identifier"}
 
+    def scope_of(part: Span) -> int:
+        return bisect_right(breaks, part[1])
+
     def widened(part: Span) -> tuple[int, int]:
-        scope = bisect_right(breaks, part[1])
+        scope = scope_of(part)
         low, high = breaks[scope - 1] if scope else 0, breaks[scope] if scope < len(breaks) else len(text)
         return max(low, part[1] - reach), min(high, part[2] + reach)
 
     def meeting(left: list[Span], right: list[Span]) -> tuple[set[Span], set[Span]]:
-        """Interval semi-join both ways.  Reach is equal for all, so widened ends rise with starts but for nested parts; a running maximum covers these."""
+        """Interval semi-join both ways, scope by scope: those that begin in time, and of them the one that ends last, tell whether any meets."""
         got = []
         for one, other in ((left, right), (right, left)):
-            spans = sorted((widened(p)[0], p[2] + 0, p) for p in other)
-            begins, reach_to, far = [s[0] for s in spans], [], -1
-            for _, end, _p in spans:
-                far = max(far, end)
-                reach_to.append(far)
+            begins, ends = defaultdict(list), defaultdict(list)
+            for start, end, scope in sorted((widened(p)[0], p[2], scope_of(p)) for p in other):
+                begins[scope].append(start)
+                ends[scope].append(max(end, ends[scope][-1] if ends[scope] else -1))
             hit = set()
             for p in one:
-                a, b = widened(p)
-                k = bisect_left(begins, b)
-                low = bisect_right(reach_to, a)
-                if any(widened(q)[0] < p[2] and q[2] > a and bisect_right(breaks, q[1]) == bisect_right(breaks, p[1]) for _, _, q in spans[low:k]):
+                scope = scope_of(p)
+                k = bisect_left(begins[scope], p[2])
+                if k and ends[scope][k - 1] > widened(p)[0]:
                     hit.add(p)
             got.append(hit)
         return got[0], got[1]
@@ -124,7 +125,7 @@ def linked(text: str, strong: list[Span], weak: list[Span], reach: int = REACH)
     secrets = [p for p in strong + weak if role.get(p[0], p[0]) == "secret"]
     with_secret, with_id = meeting(ids, secrets)
     near, _ = meeting([p for p in weak if p[0] == "endpoint"], sorted(with_secret | with_id, key=lambda p: p[1]))
-    return sorted((p for p in with_secret | with_id | near if p in set(weak)), key=lambda p: p[1])
+    return sorted((with_secret | with_id | near) & set(weak), key=lambda p: p[1])
 
 
 def spans_of(text: str | None) -> list[Span]:
