@@ -8,7 +8,7 @@ at the same place, so each repeat is seen at one, and nothing is lost.
 1. Anchors (a map): hash of the gram at the anchor, digest of its whole context (the bytes from which any string of
    ``length`` around the anchor is made), document, place.
    Repeats of a context among the anchors that a task holds at a time are known there, so they are dealt evenly and not by their gram.
-2. One shuffle by gram hash, sorted.  A stream over each partition drops grams that occur once.  Anchors whose whole
+2. One shuffle by gram hash, sorted, to tasks whose number follows the bytes of the texts.  A stream over each partition drops grams that occur once.  Anchors whose whole
    context stood earlier are settled there, as equal contexts are one suffix; the first of each context goes on if its
    gram has other contexts too.  The stream holds one row at a time, whatever the size of a group of copies.
 3. Suffix sort of those.  Each task sorts its suffixes into runs, front-codes them (length of the prefix shared with the
@@ -22,7 +22,7 @@ at the same place, so each repeat is seen at one, and nothing is lost.
 5. Removed stretches meet the texts by document: one shuffle of the texts, as in step 3.
 
 Defined results: null text is empty; a text under ``length`` bytes loses nothing; a null doc_id comes after all others;
-rows with one doc_id are separate texts in the order of their content's hash, equal rows being one text whose result each
+rows with one doc_id are separate texts in the order of their content's MD5, equal rows being one text whose result each
 of them gets; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -36,22 +36,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import MIXED_ROWS, materialize, small_batches
+from tidemark.llm.runtime import MIXED_ROWS, keyed, materialize, small_batches
 
 LENGTH, GRAM, RANGE, HOT, BUFFER, COLLAPSE, SLICE = 100, 24, 60_000, 240_000, 1 << 18, 500_000, 50_000
-BASE = 0x9E3779B97F4A7C15 | 1
+#: Bytes of text for each task of the shuffle by gram, so that a task's share stays as it is when the input grows.
+TASK_BYTES = 32 << 20
+BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
-def tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random number for each byte, and BASE to the powers k and -k modulo 2^64 for k < n at least."""
+def tables(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random number for each byte, and the base to the powers k and -k modulo 2^64 for k < n at least."""
     size = 1 << max(16, int(n - 1).bit_length())
-    if size not in _TABLES:
-        up, down = np.full(size, BASE, np.uint64), np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
+    if base not in _TABLES or len(_TABLES[base][1]) < size:
+        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
-        _TABLES.clear()
-        _TABLES[size] = (np.random.default_rng(17).integers(0, 1 << 64, 256, np.uint64), np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return _TABLES[size]
+        _TABLES[base] = (np.random.default_rng(base & 1023).integers(0, 1 << 64, 256, np.uint64), np.multiply.accumulate(up), np.multiply.accumulate(down))
+    return _TABLES[base]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -90,6 +91,9 @@ def anchors(buffer: np.ndarray, lengths: np.ndarray, length: int, gram: int) ->
     begin_of = np.repeat(ends - lengths, lengths)
     left = np.minimum(length - gram, at - begin_of[at])
     right = np.minimum(length, end_of[at] - at)
+    of_byte, up, down = tables(n + 1, OTHER_BASE)  # numbers of its own, so that gram hash and digest are independent
+    total[0] = 0
+    np.cumsum(of_byte[buffer] * up[:n], out=total[1:])
     context = (total[at + right] - total[at - left]) * down[at - left]
     digest = mixed(context + (left.astype(np.uint64) << np.uint64(8)) + right.astype(np.uint64))
     return at, h[at], digest, left, right
@@ -384,28 +388,13 @@ def removed_runs(spots: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(begin[at].tolist(), end[np.append(at[1:], len(end)) - 1].tolist(), strict=True))
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """doc (a number in the order that decides which copy is earlier), doc_id and text, and whether each doc is one row.
-
-    doc is the id itself where ids are unique and not null, else a place in the order of id and content hash.
-    """
-    rows = small_batches(docs, MIXED_ROWS).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    odd = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
-    if not odd:
-        return rows.select(F.col("doc_id").alias("doc"), "doc_id", "text"), True
-    names = rows.select("doc_id", F.xxhash64("text").alias("h")).distinct().orderBy(F.col("doc_id").asc_nulls_last(), "h")
-    numbered = names.rdd.zipWithIndex().map(lambda x: (x[0]["doc_id"], x[0]["h"], x[1])).toDF("__id long, __h long, doc long")
-    numbered = materialize(numbered, "order")
-    return rows.join(numbered, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))).select("doc", "doc_id", "text"), False
-
-
-def stretches(texts: DataFrame, length: int, gram: int) -> DataFrame:
+def stretches(texts: DataFrame, n_bytes: int, length: int, gram: int) -> DataFrame:
     """doc and spot (begin and end packed into one number) of stretches that go; they may overlap.  One row a doc comes in."""
     spark = texts.sparkSession
     found = anchored(texts, length, gram)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // TASK_BYTES))
     dealt = found.repartition(n, "deal").sortWithinPartitions("again", "gram", "context", "doc", "spot")
-    known = materialize(settled(dealt, length).coalesce(max(1, n // 4)), "settled")  # fewer, larger files
+    known = materialize(settled(dealt, length), "settled")
     firsts = known.where(~F.col("done")).select("gram", "doc", "spot")
     hot = firsts.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("gram")
     hot = materialize(hot, "hot")  # at most one gram for HOT anchors
@@ -416,9 +405,8 @@ def stretches(texts: DataFrame, length: int, gram: int) -> DataFrame:
     else:
         by_window = None
     ranges = max(1, -(-firsts.count() // RANGE))
-    tasks = max(ranges, n)
     runs = sorted_runs(texts, firsts, length, gram, ranges)
-    merged = runs.repartition(tasks, "range").groupBy("range").applyInPandas(lambda rows: judged(rows, length, gram), "doc long, spot long")
+    merged = runs.repartitionById(ranges, F.col("range")).groupBy("range").applyInPandas(lambda rows: judged(rows, length, gram), "doc long, spot long")
     out = known.where("done").select("doc", "spot").unionByName(materialize(merged, "merged"))
     return out if by_window is None else out.unionByName(by_window)
 
@@ -426,8 +414,10 @@ def stretches(texts: DataFrame, length: int, gram: int) -> DataFrame:
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, the removed runs (begin and end in turn), the digest of the bytes kept and, if
     asked for, those bytes, for every row."""
-    texts, single = keyed(docs)
-    gone = stretches(texts if single else texts.dropDuplicates(["doc"]), length, gram).groupBy(F.col("doc").alias("of")).agg(F.collect_set("spot").alias("spots"))  # those of one text
+    picked = small_batches(docs, MIXED_ROWS).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts, single = keyed(picked, "doc")
+    n_bytes = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    gone = stretches(texts if single else texts.dropDuplicates(["doc"]), n_bytes, length, gram).groupBy(F.col("doc").alias("of")).agg(F.collect_set("spot").alias("spots"))  # those of one text
     joined = texts.join(gone, F.col("doc") == F.col("of"), "left").select("doc_id", "text", "spots")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
