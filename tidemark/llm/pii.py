@@ -7,8 +7,13 @@ expectation-maximisation over it estimates how reliable each labeler is.  Its po
 span classifier, a naive Bayes model over bounded span features, and a candidate is added where the classifier's log odds
 pass the threshold and it overlaps no base span.
 
+Gazetteers are lists, not patterns: top-level and mail provider domains, issuer ranges of cards, country and area codes,
+special-purpose address blocks; a value is looked up by its last label or its leading digits.
+
 Positions: each pattern marks its matches in one pass with a control character that no pattern can match; splitting there
-gives the text between matches and the matches in turn, and running lengths give offsets in code points.  The patterns
+gives the text between matches and the matches in turn, and running lengths give offsets in code points.  Running sums,
+and the running ends that tell which candidates meet a base span, are made block by block, so a text with very many
+matches costs little more than its length.  The patterns
 start at the left edge of a run or where the last match ended, which is where a leftmost match must start, and repeat
 possessively, so long runs cost linear time and no stack.
 
@@ -38,22 +43,48 @@ BASE = {
 }
 WIDE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\.)\x20?[A-Za-z0-9-]{1,63}+)++",
+    "ip": r"(?<![0-9A-Za-z:.\])])(?:[0-9]{1,3}+(?:\x20?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))\x20?[0-9]{1,3}+){3}|(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}+)(?![0-9A-Za-z:])",
     "card": r"(?<![0-9A-Za-z-])[0-9]{4}(?:[\x20-][0-9]{4}){3}(?![0-9A-Za-z-])",
     "phone": r"(?<![0-9A-Za-z+.)-])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z.-]*[0-9A-Za-z])",
 }
-#: Context words before a span, and gazetteer entries, by kind.
+#: Context words before a span, by kind.
 CUES = {
     "email": "mail|contact|correo|courriel|write to|kontakt|contacto",
     "ip": r"\bip\b|host|server|address|adresse|direcci",
     "card": r"card|visa|master|amex|karte|tarjeta|carte\b|credit|kredit",
     "phone": r"\btel|phone|call|mobile|fax|telefon|tel.fono|t.l.phone|handy|m.vil",
 }
-GAZETTEER = {
-    "email": r"(?i)(?:\.|dot[\])}]\x20?)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$",
-    "ip": r"^(?!0+\.)[0-9]{1,3}\.",
-    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6)",
-    "phone": r"^(?:\+|\(?0|\(?[2-9])",
-}
+#: Top-level domains and mail provider names, leading digits of card issuers, of telephone country codes and
+#: of special-purpose addresses.
+DOMAINS = "com org net edu gov mil int info biz name io dev app co me tv ai de at ch fr es it pt nl be lu dk se no fi is ie uk eu pl cz sk hu ro bg gr tr ru ua us ca mx br ar cl pe jp cn kr in au nz za".split()
+PROVIDERS = "gmail yahoo hotmail outlook live icloud aol gmx web mail protonmail yandex fastmail zoho orange wanadoo libero terra t-online freenet example".split()
+ISSUERS = ["4", "34", "37", "36", "38", "39", "300", "301", "302", "303", "304", "305", "51", "52", "53", "54", "55", "62", "6011", "64", "65", "3528", "3530", "3566", "3589", "50", "56", "57", "58", "67", "2221", "2300", "2500", "2720"]
+COUNTRIES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 212 213 216 218 220 234 254 351 352 353 354 355 356 357 358 359 370 371 372 380 381 385 386 420 421 852 886 971 972".split()
+SPECIAL = "0 10 127 169.254 192.168 192.0.2 198.51.100 203.0.113 100.64 255".split()
+
+
+def starts_with_any(value: Column, entries: list[str]) -> Column:
+    """Whether one of the entries is at the head of value: a look-up of its heads of the entries' lengths."""
+    lengths = sorted({len(e) for e in entries})
+    return F.exists(F.array(*[F.left(value, F.lit(n)) for n in lengths]), lambda head: head.isin(*entries))
+
+
+def known(kind: str, value: Column) -> Column:
+    """The gazetteer's vote on a value: a listed entry speaks for it, a card or telephone number without one against it."""
+    if kind == "email":
+        labels = F.split(F.regexp_replace(F.regexp_replace(F.lower(value), r"\x20?[(\[{]at[)\]}]\x20?", "@"), r"\x20?[(\[{]dot[)\]}]\x20?", "."), r"[@.]")
+        return F.when(F.element_at(labels, -1).isin(*DOMAINS) | F.exists(labels, lambda x: x.isin(*PROVIDERS)), "+").otherwise("-")
+    if kind == "card":
+        return F.when(starts_with_any(digits(value), ISSUERS), "+").otherwise("-")
+    if kind == "phone":
+        number = digits(value)
+        area = F.regexp_like(value, F.lit(r"^\(?0?[2-9][0-9]{1,2}\)?[\x20.-]"))
+        return F.when(F.when(value.startswith("+"), starts_with_any(number, COUNTRIES)).otherwise(area), "+").otherwise("-")
+    dotted = F.regexp_replace(value, r"\x20?[\[(](?:dot|\.)[\])]\x20?", ".")
+    listed_block = F.exists(F.array(*[F.concat(F.substring_index(dotted, ".", n), F.lit("")) for n in (1, 2, 3)]), lambda head: head.isin(*SPECIAL))
+    return F.when(listed_block | F.contains(value, F.lit(":")), "+").otherwise("0")
+
+
 AROUND = 40
 SPAN = "array<struct<kind: string, start: bigint, end: bigint, value: string, base: boolean, votes: string, features: array<string>>>"
 
@@ -88,21 +119,47 @@ def marked(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(F.translate(text, MARK, OTHER), pattern, f"{MARK}$0{MARK}"), MARK, -1)
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with value evaluated once, as an argument of a lambda is."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(numbers: Column, step, zero: Column, block: int = 256) -> Column:
+    """For each place of an array of numbers the fold of all up to it, in blocks whose folds are then carried over."""
+
+    def folds(part: Column) -> Column:
+        start = F.struct(zero.alias("last"), F.array().cast("array<bigint>").alias("out"))
+
+        def grow(acc: Column, x: Column) -> Column:
+            now = step(acc["last"], x)
+            return F.struct(now.alias("last"), F.concat(acc["out"], F.array(now)).alias("out"))
+
+        return F.aggregate(part, start, grow)["out"]
+
+    def carried(local: Column) -> Column:
+        before = folds(F.transform(local, lambda b: F.element_at(b, -1)))
+        return once(before, lambda c: F.flatten(F.transform(local, lambda b, k: F.when(k == 0, b).otherwise(F.transform(b, lambda x: step(F.get(c, k - 1), x))))))
+
+    def blocks(x: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / block).cast("int")), lambda k: F.slice(x, k * block + 1, F.lit(block)))
+        return once(F.transform(cut, folds), carried)
+
+    return once(numbers, lambda x: F.when(F.size(x) > 0, blocks(x)).otherwise(x))
+
+
 def placed(parts: Column) -> Column:
     """start, end, value and the text just before of each match, from the array of marked()."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("hit"), F.lit("").alias("before"), F.array().cast("array<struct<start: bigint, end: bigint, value: string, before: string>>").alias("out"))
 
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part)
-        span = F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("value"), acc["before"].alias("before"))
-        return F.struct(
-            end.alias("at"),
-            (~acc["hit"]).alias("hit"),
-            F.when(acc["hit"], acc["before"]).otherwise(F.lower(F.right(part, F.lit(AROUND)))).alias("before"),
-            F.when(acc["hit"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
-        )
+    def spans(x: Column) -> Column:
+        ends = running(F.transform(x, lambda p: F.length(p).cast("long")), lambda a, b: a + b, F.lit(0).cast("long"))
+
+        def span(e: Column, j: Column) -> Column:
+            before = F.lower(F.right(F.get(x, 2 * j), F.lit(AROUND)))
+            return F.struct(F.get(e, 2 * j).alias("start"), F.get(e, 2 * j + 1).alias("end"), F.get(x, 2 * j + 1).alias("value"), before.alias("before"))
+
+        return once(ends, lambda e: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / 2).cast("int") - 1), lambda j: span(e, j)))
 
-    return F.aggregate(parts, zero, step)["out"]
+    return once(parts, spans)
 
 
 def voted(kind: str, base: bool, spans: Column) -> Column:
@@ -111,19 +168,19 @@ def voted(kind: str, base: bool, spans: Column) -> Column:
     def vote(s: Column) -> Column:
         value, number = s["value"], digits(s["value"])
         strict = F.when(passes(kind, value), "+").otherwise("-") if base or kind == "card" else F.lit("0")
-        known = F.when(value.rlike(GAZETTEER[kind]), "+").otherwise("-")
+        listed_as = known(kind, value)
         cue = F.when(s["before"].rlike(CUES[kind]), "+").otherwise("0")
         features = F.array(
             F.concat(F.lit("length "), F.least(F.length(value), F.lit(40)).cast("string")),
             F.concat(F.lit("digits "), F.least(F.length(number), F.lit(20)).cast("string")),
             F.concat(F.lit("shape "), F.substring(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[0-9]+", "0"), "[A-Za-z]+", "a"), "[^0a]+", "."), 1, 8)),
             F.concat(F.lit("cue "), cue),
-            F.concat(F.lit("known "), known),
+            F.concat(F.lit("known "), listed_as),
             F.concat(F.lit("strict "), strict),
         )
         return F.struct(
             F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), value.alias("value"),
-            F.lit(base).alias("base"), F.concat(strict, known, cue).alias("votes"), features.alias("features"),
+            F.lit(base).alias("base"), F.concat(strict, listed_as, cue).alias("votes"), features.alias("features"),
         )
 
     return F.transform(spans, vote)
@@ -135,7 +192,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.select("doc_id", "text", F.col("text").rlike("[0-9]").alias("digit"))
     gate = {"email": F.contains("text", F.lit("@")), "ip": F.col("digit"), "card": F.col("digit"), "phone": F.contains("text", F.lit("+"))}
-    wide_gate = {"email": F.col("text").rlike(r"[(\[{]at[)\]}]"), "card": F.col("digit"), "phone": F.col("digit")}
+    wide_gate = {"email": F.col("text").rlike(r"[(\[{]at[)\]}]"), "ip": F.col("digit") & F.col("text").rlike(r"[\[(](?:dot|\.)[\])]|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"), "card": F.col("digit"), "phone": F.col("digit")}
     base_parts = [F.when(gate[k], marked(F.col("text"), BASE[k])).alias(f"b_{k}") for k in KINDS]
     wide_parts = [F.when(wide_gate[k], marked(F.col("text"), WIDE[k])).alias(f"w_{k}") for k in WIDE]
     parts = texts.select("doc_id", *base_parts, *wide_parts)
@@ -202,15 +259,30 @@ def find(docs: DataFrame, threshold: float = 0.0) -> DataFrame:
             s["features"], F.coalesce(F.element_at(priors, s["kind"]), F.lit(0.0)), lambda a, f: a + F.coalesce(F.element_at(table, F.concat_ws(" ", s["kind"], f)), F.lit(0.0))
         )
 
-    def added(s: Column) -> Column:
-        return (score(s) > threshold) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    def clear(spans: Column) -> Column:
+        """Those of the spans, ordered by start, that are candidates, score over the threshold and meet no base span.
+
+        A candidate meets an earlier base span if the furthest end so far lies behind its start, and a later one if the
+        nearest start from the back lies before its end.
+        """
+
+        def picked(x: Column) -> Column:
+            n = F.size(x)
+            far = running(F.transform(x, lambda s: F.when(s["base"], s["end"]).otherwise(F.lit(-1).cast("long"))), F.greatest, F.lit(-1).cast("long"))
+            last = F.lit(1 << 62)
+            near = running(F.transform(F.reverse(x), lambda s: F.when(s["base"], s["start"]).otherwise(last)), F.least, last)
+            both = F.struct(far.alias("far"), near.alias("near"))
+            marked_spans = once(both, lambda m: F.transform(x, lambda s, i: F.struct(s.alias("s"), (~s["base"] & (F.get(m["far"], i) <= s["start"]) & (F.get(m["near"], n - 1 - i) >= s["end"])).alias("clear"))))
+            return F.transform(F.filter(marked_spans, lambda t: t["clear"] & (score(t["s"]) > threshold)), lambda t: t["s"])
+
+        return once(F.array_sort(spans, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0)), picked)
 
     def ordered(spans: Column) -> Column:
         order = F.array(*[F.lit(k) for k in KINDS])
         keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
         return F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
-    extra = F.when(F.size("wide") > 0, F.filter("wide", added)).otherwise(F.array().cast(SPAN))
+    extra = F.when(F.size("wide") > 0, clear(F.concat("base", "wide"))).otherwise(F.array().cast(SPAN))
     return rows.select("doc_id", ordered(F.col("base")).alias("base"), ordered(F.concat(F.col("base"), extra)).alias("spans"))
 
 
