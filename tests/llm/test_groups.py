@@ -1,8 +1,10 @@
 """SimHash, line dedup and decontamination against plain versions."""
 
+import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
@@ -110,28 +112,37 @@ def within_one(a, b):
     return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
 
 
+def units(words):
+    line = " ".join(words)
+    return words if len(words) >= 8 else [f"\n{c}" for c in line] if len(line) >= 64 else None
+
+
 def plain_lines(rows):
-    order = lambda d: (d is None, d or 0)
-    lines = [((*order(d), n), re.split(r"[ \t\r\f\x0B]+", x.strip(" \t\r\f\x0b"))) for d, t in rows if t is not None for n, x in enumerate(t.split("\n"))]
-    lines = [(p, w) for p, w in lines if len(w) >= 3]
-    gone = {p for p, w in lines for q, v in lines if q < p and (v == w or (min(len(v), len(w)) >= 8 and within_one(v, w)))}
+    order = lambda d, t: (d is None, d or 0, hashlib.md5((t or "").encode()).hexdigest())
+    lines = [((*order(d, t), n), re.split(r"[ \t\r\f\x0B]+", x.strip(" \t\r\f\x0b"))) for d, t in set(rows) if t is not None for n, x in enumerate(t.split("\n"))]
+    lines = [(p, w, units(w)) for p, w in lines if len(w) >= 3 or len(" ".join(w)) >= 16]
+    gone = {p for p, w, a in lines for q, v, b in lines if q < p and (v == w or (a and b and within_one(a, b)))}
     out = []
     for d, t in rows:
         parts = [] if t is None else t.split("\n")
-        kept = [x for n, x in enumerate(parts) if (*order(d), n) not in gone]
+        kept = [x for n, x in enumerate(parts) if (*order(d, t), n) not in gone]
         out.append((str(d), len(parts), len(parts) - len(kept), t if len(kept) == len(parts) else "\n".join(kept)))
     return sorted(out, key=str)
 
 
-def test_lines(spark):
+def line_rows():
     rng = random.Random(11)
     pool = [[rng.choice("abcdef") * rng.randint(1, 3) for _ in range(rng.choice([2, 3, 7, 8, 9, 12, 20]))] for _ in range(25)]
+    pool += [["".join(rng.choice("字符行文件") for _ in range(n))] for n in (15, 16, 63, 64, 65, 90)] + [["x" * 40, "y" * 40]]
 
     def line():
         w = list(rng.choice(pool))
         kind = rng.random()
         i = rng.randrange(len(w))
-        if kind < 0.25:
+        if len(w) < 3 and kind < 0.5:
+            j = rng.randrange(len(w[i]))
+            w[i] = w[i][:j] + rng.choice(["", "新", w[i][j] * 2]) + w[i][j + 1 :]
+        elif kind < 0.25:
             w[i] = "new"
         elif kind < 0.4:
             w.insert(i, "extra")
@@ -141,26 +152,73 @@ def test_lines(spark):
 
     rows = [(i, "\n".join(line() for _ in range(rng.randint(0, 6)))) for i in range(60)]
     rows += [(100, None), (101, ""), (102, "\n\n"), (None, rows[3][1] + "\nquite new words at the end of it all here now"), (103, " ".join(["long"] * 5000)), (104, " ".join(["long"] * 5001)), (105, rows[1][1])]
-    got = line_dedup.deduplicate(documents(spark, rows, ["line", "words", "first", "key", "doc", "i"])).collect()
-    assert sorted(((str(r.doc_id), r["__n_lines"], r["__n_removed"], r.text) for r in got), key=str) == plain_lines(rows)
-    assert line_dedup.deduplicate(documents(spark, [])).count() == 0
+    return rows
+
+
+def odd_line_rows():
+    """Rows that share an id, or have none, with equal and with different texts."""
+    rows = line_rows()
+    return [*rows, rows[4], rows[4], (4, rows[5][1] + "\nthis line stands in one text of this id only"), (4, "and this one in another text of the same id"), (4, None), (None, "this line is wholly unique here"), (None, rows[3][1]), (None, rows[3][1]), (None, None), (None, "")]
+
+
+def lines_found(docs):
+    done, total, removed = line_dedup.deduplicate(docs)
+    return sorted(((str(r.doc_id), r[total], r[removed], r.text) for r in done.collect()), key=str)
+
+
+def test_lines(spark):
+    rows = line_rows()
+    assert lines_found(documents(spark, rows, ["line", "words", "first", "key", "doc", "i"])) == plain_lines(rows)
+    assert lines_found(documents(spark, [])) == []
+
+
+def test_lines_of_rows_that_share_or_lack_an_id(spark):
+    rows = odd_line_rows()
+    assert lines_found(documents(spark, rows, ["__row", "__gone", "__n_lines", "__N_REMOVED", "d", "c", "row"])) == plain_lines(rows)
+    few = [(1, "alpha beta gamma delta"), (None, "alpha beta gamma delta"), (None, "this line is wholly unique here"), (5, "one text of a shared id"), (5, "another text of a shared id")]
+    kept = line_dedup.drop_duplicate_lines(documents(spark, few, ["__n_removed", "__gone"])).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(d), t) for d, t in few if (d, t) != few[1])
+
+
+def test_lines_equal_their_sql_twin(spark, tmp_path):
+    documents(spark, odd_line_rows()).write.parquet(f"{tmp_path}/documents")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    want = c.execute(f"SELECT doc_id, n_lines, n_removed, kept_sha256 FROM ({line_dedup.ORACLE_SQL})").fetchall()
+    got = line_dedup.digest(spark.read.parquet(f"{tmp_path}/documents")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
-def test_lines_of_repeated_rows_and_shuffled_sides(spark, monkeypatch):
+def test_lines_of_heavy_keys_and_shuffled_sides(spark, monkeypatch):
     from tidemark.llm import runtime
 
     monkeypatch.setattr(runtime.side, "__defaults__", (0,))
+    monkeypatch.setattr(runtime, "HEAVY_ROWS", 3)
+    monkeypatch.setattr(runtime, "HEAVY_SHARE", 1000)
+    rows = line_rows()
+    names = [f"word{k}" for k in range(40)]
+    rows += [(200 + k, f"all of these lines are the same but for {n} and no more\nthis one stands in all of them") for k, n in enumerate(names)]
+    assert lines_found(documents(spark, rows)) == plain_lines(rows)
+
+
+def test_many_lines_of_one_text(spark):
+    lines = [" ".join(hashlib.md5(f"{k} {j}".encode()).hexdigest()[:6] for j in range(9)) for k in range(30_000)]
+    rows = [(1, "\n".join(lines[::2])), (2, "\n".join(lines))]
+    (text,) = [r.text for r in line_dedup.drop_duplicate_lines(documents(spark, rows)).collect() if r.doc_id == 2]
+    assert text.split("\n") == lines[1::2]
+
+
+def test_repeated_rows(spark):
     text = "one two three four five six seven eight\nshort line\nA B C"
     rows = [(5, text), (5, text), (6, "one two three four five six seven nine\nA B C\nkept at last"), (7, text)]
-    got = {(r.doc_id, r["__n_removed"], r.text) for r in line_dedup.deduplicate(documents(spark, rows)).collect()}
-    assert got == {(5, 0, text), (6, 2, "kept at last"), (7, 2, "short line")}
+    assert set(lines_found(documents(spark, rows))) == {("5", 3, 0, text), ("6", 3, 2, "kept at last"), ("7", 3, 2, "short line")}
     assert sorted(r.doc_id for r in line_dedup.drop_duplicate_lines(documents(spark, [(1, "a b c"), (2, "a b c"), (3, None), (4, "")])).collect()) == [1, 3, 4]
 
 
 def test_native_plans_have_no_python(spark):
     docs = documents(spark, [(1, "one two three four five six seven eight nine ten eleven twelve")])
     bench = docs.selectExpr("doc_id AS item_id", "text")
-    for df in (line_dedup.deduplicate(docs), decontamination.overlaps(docs, bench)):
+    for df in (line_dedup.digest(docs), decontamination.overlaps(docs, bench)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
@@ -174,11 +232,9 @@ def test_decontamination(spark):
     for k, t in items[:10]:
         w = t.split()
         rows.append((100 + k, f"{filler(20)} {t.upper()}! {filler(9)}"))
-        if len(w) >= 5:
-            want.add((100 + k, k))
+        want.add((100 + k, k))
         rows.append((200 + k, f"{filler(3)}, {', '.join(w)}"))
-        if len(w) >= 5:
-            want.add((200 + k, k))
+        want.add((200 + k, k))
         if len(w) >= 18:
             few = list(w)
             for i in rng.sample(range(len(w)), len(w) // 10):
@@ -196,5 +252,8 @@ def test_decontamination(spark):
     assert all(r.matched >= 0.8 * r.item_words for r in got if r.doc_id != 600)
     kept = {r.doc_id for r in decontamination.drop_contaminated(documents(spark, rows), bench).collect()}
     assert kept == {i for i, _ in rows} - {d for d, _ in want}
+    odd = [*rows, (None, "clean and without an id"), (503, "clean under an id that another text has too")]
+    clean = decontamination.drop_contaminated(documents(spark, odd, ["__row", "row", "item", "seed"]), bench).collect()
+    assert {r.text for r in clean} == {t for i, t in rows if i in kept} | {t for _, t in odd[-2:]}
     assert decontamination.overlaps(documents(spark, []), bench).count() == 0
     assert decontamination.overlaps(documents(spark, rows), bench.limit(0)).count() == 0
