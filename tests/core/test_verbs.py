@@ -1,8 +1,9 @@
 """A story of several runs, and the forms over parts of files."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import parts
+from tidemark.operators import governance, parts
 from tidemark.plans import verbs
 from tidemark.schemas import ITEM, OBSERVATION, RUN
 from tidemark.sources.sinks import SnapshotStore
@@ -35,10 +36,54 @@ def test_story(spark, tmp_path):
     none = spark.createDataFrame([], "scope string, seq bigint")
     ids, _ = verbs.purge(store, "path", "c.txt", none, "operator")
     assert [x.stable_id for x in ids.collect()] == ["1"]
+    hold = spark.createDataFrame([("all", 1)], "scope string, seq bigint")
+    with pytest.raises(governance.HoldActive):
+        verbs.purge(store, "id", "2", hold, "operator")
     ids, left = verbs.purge(store, "id", "1", none, "operator", dry_run=False)
     assert left == {} and store.history("items").where("stable_id = '1'").count() == 0 and store.history("items").count() == 2
-    hold = spark.createDataFrame([("all", 1)], "scope string, seq bigint")
-    assert verbs.purge(store, "id", "2", hold, "operator")[0].count() == 0
+    assert store.generation() == 1 and store.history("units").where("path in ('a.txt', 'c.txt')").count() == 0 and store.history("verdicts").where("stable_id = '1'").count() == 0
+    assert state()["2"].state == "tombstone"
+
+
+def test_an_erasure_stays_in_its_source(spark):
+    history = spark.createDataFrame([("a", "1", "x/p.txt"), ("b", "2", "x/p.txt"), ("a", "3", "x/p.txt"), ("a", "3", "y"), ("a", "4", "y"), ("b", "5", "y")], "source_id string, stable_id string, path string")
+    none = spark.createDataFrame([], "scope string, seq bigint")
+    seeds = history.where("source_id = 'a' and stable_id = '1'")
+    units = spark.createDataFrame([("x/p.txt",), ("y",), ("z",)], "path string")
+    left, ids = governance.erase({"items": history, "units": units}, history, seeds, none)
+    assert {tuple(r) for r in ids.collect()} == {("a", "1"), ("a", "3"), ("a", "4")}
+    assert {r.stable_id for r in left["items"].collect()} == {"2", "5"} and {r.path for r in left["units"].collect()} == {"x/p.txt", "y", "z"}
+    on_b, on_a = (spark.createDataFrame([(s, 1)], none.schema) for s in "ba")
+    assert governance.erase({}, history, seeds, on_b)[1].count() == 3
+    with pytest.raises(governance.HoldActive):
+        governance.erase({}, history, seeds, on_a)
+
+
+def test_cycles_move_remove_refuse_and_stop(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path))
+    store.write("items", 0, spark.createDataFrame([], ITEM))
+    store.publish(0)
+    at = lambda i, p, **k: {"stable_id": i, "rel_path": p, "name": p, **k}
+    state = lambda: {r.stable_id: r for r in store.read("items", store.published()).collect()}
+    first = [at("1", "a.txt"), at("2", "b.txt"), at("d", "dir", is_dir=True), at("3", "dir/c.txt", parent_id="d"), at("4", "e.txt")]
+    content = files(spark, [(r["stable_id"], r["rel_path"], f"text {r['stable_id']}".encode()) for r in first if not r.get("is_dir")])
+    verbs.sync(store, listing(spark, first), content, 1, 100, True, True)
+    # a safe save of a.txt under a new id, b.txt merely absent in a source that asks for two passes, a folder deleted by its provider
+    second = [at("9", "a.txt"), at("d", "dir", is_dir=True, deleted=True), at("3", "dir/c.txt", parent_id="d"), at("4", "e.txt")]
+    policy = verbs.Policy(excluded_labels=["Secret"], two_pass_sources=["s"])
+    labelled = files(spark, [("9", "a.txt", b"text 1"), ("4", "e.txt", b"new")]).withColumn("labels", F.when(F.col("stable_id") == "4", F.array(F.lit("secret"))).otherwise(F.array().cast("array<string>")))
+    r = verbs.sync(store, listing(spark, second), labelled, 2, 100, True, True, policy)
+    now = state()
+    assert "1" not in now and now["9"].first_seen_run == 1 and [tuple(x) for x in store.read("aliases", 2).collect()] == [("s", "1", "9", True)]
+    assert {x.stable_id: x.why for x in r.removed.collect()} == {"3": "below-deleted-folder"} | ({"d": "provider"} if any(x.stable_id == "d" for x in r.removed.collect()) else {})
+    assert now["2"].state == "live" and now["2"].absent_since_run == 2 and now["3"].state == "tombstone" and now["4"].state == "refused"
+    r = verbs.sync(store, listing(spark, [x for x in second if x["stable_id"] in "94"]), labelled, 3, 100, True, True, policy)
+    assert state()["2"].state == "tombstone"
+    # two new paths that are one under the fold: the gate stops the run and the pointer stays
+    twins = [*second[:1], second[3], at("5", "Stra\u00dfe.txt"), at("6", "STRASSE.txt")]
+    both = files(spark, [("5", "Stra\u00dfe.txt", b"x"), ("6", "STRASSE.txt", b"y")])
+    r = verbs.sync(store, listing(spark, twins), both, 4, 100, True, True, policy)
+    assert (not r.published) == (r.findings.where("blocking").count() > 0) and store.published() == (4 if r.published else 3)
 
 
 def test_ledger(spark):

@@ -153,6 +153,12 @@ def fence_width(c: Column | str) -> Column:
     return F.greatest(F.lit(3), F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0)) + 1)
 
 
+def body_text(c: Column | str) -> Column:
+    """A body with line feeds only, no blank lines before it and one line end after it (composed letters: text.nfc)."""
+    lines = F.regexp_replace(F.replace(col(c), F.lit("\r\n"), F.lit("\n")), r"\A\n+|\n+\z", "")
+    return F.concat(lines, F.lit("\n"))
+
+
 def headings(c: Column | str) -> Column:
     """ATX headings outside fenced code, in order."""
     bare = F.regexp_replace(col(c), r"(?ms)^(`{3,}|~{3,})[^\n]*\n.*?(?:^\1[^\n]*$|\z)", "")
@@ -220,7 +226,8 @@ def iso_ns(c: Column | str) -> Column:
 
 def ns_iso(c: Column | str) -> Column:
     """A fixed ISO time in milliseconds of nanoseconds since 1970."""
-    return F.date_format(F.timestamp_millis(F.floor(col(c) / 1_000_000).cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    millis = F.floor(col(c).cast("decimal(19,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("bigint")
+    return F.date_format(F.timestamp_millis(millis), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def cue_ms(c: Column | str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import micros, type_label
+from tidemark.functions.text import nfc_fold
 from tidemark.schemas import PRESENT
 
 WORD = r"[\p{L}&&[^\d_]][\p{L}\p{N}_'’-]{2,}"
@@ -79,8 +80,9 @@ def terms(values: DataFrame, column: str) -> DataFrame:
 
 
 def top_terms(counts: DataFrame, limit: int = 400) -> DataFrame:
-    """The most frequent terms, ties by lower-cased term, then term."""
-    return counts.orderBy(F.desc("n"), F.lower("term"), "term").limit(limit)
+    """The most frequent terms, ties by folded term, then term; shown in the order of folded term and term."""
+    folded = counts.withColumn("__key", F.lower("term"))
+    return folded.orderBy(F.desc("n"), "__key", "term").limit(limit).orderBy("__key", "term").drop("__key")
 
 
 def budget_prefix(rows: DataFrame, by: list[str], order: list[str], size: str, room: int) -> DataFrame:
@@ -128,20 +130,21 @@ def upper_median(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def files_under_folders(files: DataFrame, folders: DataFrame) -> DataFrame:
     """folder, n: each file at the nearest listed folder above it (paths folded)."""
-    parts = F.split(F.lower("path"), "/")
+    parts = F.split("key", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-    each = files.where(F.contains("path", F.lit("/"))).select("path", F.explode(above).alias("prefix"))
-    named = folders.select(F.col("path").alias("folder"), F.lower("path").alias("prefix"))
+    keyed = files.where(F.contains("path", F.lit("/"))).select("path", nfc_fold("path").alias("key"))
+    each = keyed.select("path", F.explode(above).alias("prefix"))
+    named = folders.select(F.col("path").alias("folder"), nfc_fold("path").alias("prefix"))
     near = each.join(named, "prefix").groupBy("path").agg(F.max_by("folder", F.length("prefix")).alias("folder"))
     return near.groupBy("folder").agg(F.count("*").alias("n"))
 
 
 def collision_groups(paths: DataFrame) -> DataFrame:
-    """key, spellings: path prefixes that differ in case only."""
+    """key, spellings: path prefixes that are one under the fold (case, composed letters)."""
     parts = F.split("path", "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
     each = paths.select(F.explode(prefixes).alias("p")).distinct()
-    return each.groupBy(F.lower("p").alias("key")).agg(F.count("*").alias("spellings"), F.min("p").alias("first")).where("spellings > 1")
+    return each.withColumn("key", nfc_fold("p")).groupBy("key").agg(F.count("*").alias("spellings"), F.min("p").alias("first")).where("spellings > 1")
 
 
 def quarantine_report(items: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import nfc
 from tidemark.schemas import PENDING, QUIET
 
 KEYS = ("source_id", "stable_id")
@@ -162,8 +163,9 @@ def unseen(stored: DataFrame, observed: DataFrame, keys: tuple[str, ...] = KEYS)
 def safe_saves(created: DataFrame, missing: DataFrame) -> DataFrame:
     """source_id, new_id, old_id: a new id at the path of one that vanished.
 
-    A path with two new ids pairs nothing, nor does one whose newest vanished rows tie.
+    A path (composed) with two new ids pairs nothing, nor does one whose newest vanished rows tie.
     """
+    created, missing = (df.withColumn("rel_path", nfc("rel_path")) for df in (created, missing))
     at = ("source_id", "rel_path")
     news = created.where(~F.col("is_dir") & ~F.col("deleted")).groupBy(*at).agg(F.min("stable_id").alias("new_id"), F.max("stable_id").alias("__other")).where("new_id = __other")
     newest = missing.where(~F.col("is_dir") & (F.col("state") != "tombstone")).groupBy(*at).agg(F.max("last_seen_run").alias("last_seen_run"))

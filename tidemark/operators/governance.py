@@ -42,20 +42,46 @@ def active_suppressions(events: DataFrame) -> DataFrame:
     return last_event(events.where("event in ('suppress', 'unsuppress')"), "stable_id").where("event = 'suppress'").select("stable_id")
 
 
-def erase(tables: dict[str, DataFrame], history: DataFrame, seeds: DataFrame, holds: DataFrame) -> tuple[dict[str, DataFrame], DataFrame, bool]:
-    """Every table without the seeds and all that ever shared a path with them; the ids; whether all were found.
+class HoldActive(Exception):
+    """A purge would touch a source under a hold."""
 
-    tables hold stable_id; ids under a hold stay.
-    """
-    ids, settled = erasure_fixpoint(history, seeds)
-    kept = held(history.select("source_id", "stable_id").distinct(), holds).select("stable_id").distinct()
-    gone = ids.join(kept, "stable_id", "left_anti")
-    return {k: t.join(gone, "stable_id", "left_anti") for k, t in tables.items()}, gone, settled
+
+def blocking_holds(ids: DataFrame, holds: DataFrame) -> list[str]:
+    """The scopes of holds that cover a source of the ids: holds on one source, or on all."""
+    sources = ids.select("source_id").distinct()
+    on_source = holds.join(sources.withColumnRenamed("source_id", "scope"), "scope", "left_semi").select("scope")
+    on_all = holds.where("scope = 'all'").select("scope") if not ids.isEmpty() else holds.select("scope").limit(0)
+    return sorted(r["scope"] for r in on_source.unionByName(on_all).distinct().collect())  # holds are set by hand
 
 
-def survivors(tables: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
+def erase(tables: dict[str, DataFrame], history: DataFrame, seeds: DataFrame, holds: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Every table without the seeds and all that ever shared a path of their source with them, and the ids that went.
+
+    history: source_id, stable_id, path.  Tables are told by (source_id, stable_id), by source_id and path, or by path.
+    A hold on any source of the ids refuses the whole.
+    """
+    ids = erasure_fixpoint(history, seeds)
+    if held_by := blocking_holds(ids, holds):
+        raise HoldActive(", ".join(held_by))
+    paths = history.join(ids, ["source_id", "stable_id"], "left_semi").select("source_id", "path").distinct()
+    others = history.join(ids, ["source_id", "stable_id"], "left_anti").select("path").distinct()
+    return {k: without(t, ids, paths, others) for k, t in tables.items()}, ids
+
+
+def without(table: DataFrame, ids: DataFrame, paths: DataFrame, others: DataFrame, how: str = "left_anti") -> DataFrame:
+    """The rows of a table that name none of the ids; a table told by path alone keeps those that another object has too."""
+    if {"source_id", "stable_id"} <= set(table.columns):
+        return table.join(ids, ["source_id", "stable_id"], how)
+    if {"source_id", "path"} <= set(table.columns):
+        return table.join(paths, ["source_id", "path"], how)
+    if "path" in table.columns:
+        return table.join(paths.select("path").distinct().join(others, "path", "left_anti"), "path", how)
+    return table if how == "left_anti" else table.limit(0)
+
+
+def survivors(tables: dict[str, DataFrame], ids: DataFrame, paths: DataFrame, others: DataFrame) -> DataFrame:
     """table, n of rows that an erasure should have taken: none, over every retained snapshot."""
-    each = [t.join(ids, "stable_id", "left_semi").agg(F.count("*").alias("n")).select(F.lit(k).alias("table"), "n") for k, t in tables.items()]
+    each = [without(t, ids, paths, others, "left_semi").agg(F.count("*").alias("n")).select(F.lit(k).alias("table"), "n") for k, t in tables.items()]
     return reduce(lambda a, b: a.unionByName(b), each).where("n > 0")
 
 

@@ -150,20 +150,21 @@ def ancestor_closure(commits: DataFrame, heads: DataFrame) -> DataFrame:
     return found
 
 
-def erasure_fixpoint(history: DataFrame, seeds: DataFrame, rounds: int = 4) -> tuple[DataFrame, bool]:
-    """stable_id of all objects that ever shared a path with a seed (stable_id), and whether that was all of them.
+def erasure_fixpoint(history: DataFrame, seeds: DataFrame) -> DataFrame:
+    """source_id, stable_id of all objects that ever shared a path of their source with a seed (source_id, stable_id), to the end.
 
-    history: stable_id, path over every retained snapshot.
+    history: source_id, stable_id, path over every retained snapshot.
     """
-    ids, settled = materialize(seeds.select("stable_id").distinct(), "walk"), False
-    for _ in range(rounds):
-        paths = history.join(ids, "stable_id", "left_semi").select("path").distinct()
-        more = materialize(history.join(paths, "path", "left_semi").select("stable_id").distinct().join(ids, "stable_id", "left_anti"), "walk")
-        if more.isEmpty():
-            settled = True
+    keys = ["source_id", "stable_id"]
+    found = front = materialize(seeds.select(*keys).distinct(), "walk")
+    for k in count():
+        paths = history.join(front, keys, "left_semi").select("source_id", "path").distinct()
+        level = history.join(paths, ["source_id", "path"], "left_semi").select(*keys).distinct().join(found, keys, "left_anti")
+        front = materialize(level, "walk")
+        if front.isEmpty():
             break
-        ids = ids.unionByName(more)
-    return ids, settled
+        found = _joined(found, front, k)
+    return found
 
 
 def first_unmet(rules: list[tuple[str, Column]]) -> Column:

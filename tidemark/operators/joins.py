@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import fold_copy_suffix, glob_match
+from tidemark.functions.text import nfc_fold
 from tidemark.operators.classify import KEYS
 from tidemark.schemas import PRESENT
 
@@ -83,8 +84,8 @@ def unlisted(items: DataFrame, run_sources: DataFrame) -> DataFrame:
 def suppressed_out(observed: DataFrame, by_id: DataFrame, by_path: DataFrame, globs: list[str], by_hash: DataFrame | None = None) -> DataFrame:
     """Observations that no suppression names: by id, by exact folded path, by glob, or by content (never the empty file)."""
     out = observed.join(by_id.select(*KEYS).distinct(), list(KEYS), "left_anti")
-    folded = by_path.select("source_id", F.lower("path").alias("__path")).distinct()
-    out = out.join(folded, (out["source_id"] == folded["source_id"]) & (F.lower(out["rel_path"]) == folded["__path"]), "left_anti")
+    folded = by_path.select("source_id", nfc_fold("path").alias("__path")).distinct()
+    out = out.withColumn("__path", nfc_fold("rel_path")).join(folded, ["source_id", "__path"], "left_anti").select(*observed.columns)
     for g in globs:
         out = out.where(~glob_match("rel_path", g))
     if by_hash is not None:
@@ -112,7 +113,7 @@ def inbox_duplicates_by_content(inbox: DataFrame, items: DataFrame) -> DataFrame
 
 def inbox_duplicates_by_name(inbox: DataFrame, items: DataFrame) -> DataFrame:
     """Dropped files with the folded name and size of a live row, found before any byte is read."""
-    fold = lambda df: df.withColumn("__name", F.lower(fold_copy_suffix("name")))
+    fold = lambda df: df.withColumn("__name", nfc_fold(fold_copy_suffix("name")))
     live = fold(items.where(F.col("state").isin(*LIVE) & ~F.col("is_dir"))).groupBy("__name", "size").agg(F.min(F.struct("source_id", "stable_id")).alias("first"))
     return fold(inbox).join(live, ["__name", "size"]).select("stable_id", F.col("first.source_id").alias("twin_source"), F.col("first.stable_id").alias("twin_id"))
 
@@ -174,8 +175,8 @@ def one_change_per_page(changes: DataFrame) -> DataFrame:
 
 def orphan_pages(pages: DataFrame, outputs: DataFrame) -> DataFrame:
     """Pages that no output row owns, by folded path."""
-    owned = outputs.select(F.lower("output_path").alias("__key")).distinct()
-    return pages.join(owned, F.lower("page") == F.col("__key"), "left_anti")
+    owned = outputs.select(nfc_fold("output_path").alias("__key")).distinct()
+    return pages.withColumn("__key", nfc_fold("page")).join(owned, "__key", "left_anti").select(*pages.columns)
 
 
 def broken_items(outputs: DataFrame, pages: DataFrame) -> DataFrame:

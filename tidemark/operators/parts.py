@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import sha
 from tidemark.functions.scratch import materialize
+from tidemark.functions.text import nfc_fold
 from tidemark.operators.graph import _joined
 
 
@@ -144,10 +145,10 @@ def allocated_paths(wanted: DataFrame, owned: DataFrame) -> DataFrame:
     """
     keys = ["source_id", "stable_id"]
     mine = owned.select(*keys, F.col("path").alias("__mine"))
-    taken = owned.select(F.lower("path").alias("__key")).distinct().withColumn("__taken", F.lit(True))
-    rows = wanted.join(mine, keys, "left")
-    kept = rows.where("__mine is not null and lower(__mine) = lower(path)").select(*keys, F.col("__mine").alias("path"))
-    fresh = rows.join(kept.select(*keys), keys, "left_anti").withColumn("__key", F.lower("path")).join(taken, "__key", "left")
+    taken = owned.select(nfc_fold("path").alias("__key")).distinct().withColumn("__taken", F.lit(True))
+    rows = wanted.join(mine, keys, "left").withColumns({"__key": nfc_fold("path"), "__own": nfc_fold("__mine")})
+    kept = rows.where("__own = __key").select(*keys, F.col("__mine").alias("path"))
+    fresh = rows.join(kept.select(*keys), keys, "left_anti").join(taken, "__key", "left")
     first = F.row_number().over(W.partitionBy("__key").orderBy("source_id", "stable_id"))
     plain = F.col("__taken").isNull() & (F.col("__n") == 1)
     tail = F.concat(F.lit("-"), sha("stable_id", 8))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import quote_held
+from tidemark.functions.text import nfc_fold, slugify
 
 #: Rules that a page may not break; the first hit of a rule on a page counts.
 SECRET_RULES = {
@@ -71,11 +72,12 @@ def page_findings(pages: DataFrame) -> DataFrame:
 
 
 def path_findings(paths: DataFrame, longest: int = 200) -> DataFrame:
-    """Paths too long, with segments that are not portable, or that differ from another in case only."""
+    """Paths too long, with segments that the slug would change, or that are one with another under the fold."""
     long = paths.where(F.length("path") > longest).select(*finding("path-length", F.col("path"), F.length("path")))
-    odd = F.col("path").rlike(r'[\[\](){}#<>:"\\|?*\x00-\x1f]|(?:^|/)[. ]|[. ](?:/|$)|//')
-    segment = paths.where(odd).select(*finding("path-segment", F.col("path"), F.lit("not portable")))
-    twins = paths.groupBy(F.lower("path").alias("key")).agg(F.count_distinct("path").alias("n"), F.min("path").alias("path")).where("n > 1")
+    each = paths.select("path", F.explode(F.split("path", "/")).alias("__segment"))
+    odd = each.where(~slugify("__segment").eqNullSafe(F.col("__segment"))).select("path").distinct()
+    segment = odd.select(*finding("path-segment", F.col("path"), F.lit("not portable")))
+    twins = paths.withColumn("__key", nfc_fold("path")).groupBy("__key").agg(F.count_distinct("path").alias("n"), F.min("path").alias("path")).where("n > 1")
     return long.unionByName(segment).unionByName(twins.select(*finding("path-twin", F.col("path"), F.col("n"))))
 
 

@@ -34,16 +34,16 @@ def suppressed_anti_join(spark, sf_dir):
     return joins.suppressed_out(observed, ids, paths, ["fr/f3/"]).select("source_id", "stable_id")
 
 
-HISTORY = "SELECT concat('d', CAST(event_id % 500 AS STRING)) AS stable_id, concat('p', CAST(event_id * 7 % 1300 AS STRING)) AS path, concat('src', CAST(event_id % 20 AS STRING)) AS source_id FROM events"
+HISTORY = "SELECT concat('d', CAST(event_id % 500 AS STRING)) AS stable_id, concat('p', CAST(event_id * 7 % 130 AS STRING)) AS path, concat('src', CAST(event_id % 20 AS STRING)) AS source_id FROM events"
 
 
 @query(
-    f"""WITH RECURSIVE h AS (SELECT DISTINCT stable_id, path FROM ({HISTORY})), w(stable_id, r) AS (SELECT 'd5', 0 UNION SELECT b.stable_id, r + 1 FROM w JOIN h a ON a.stable_id = w.stable_id JOIN h b ON b.path = a.path WHERE r < 4)
-  SELECT DISTINCT stable_id FROM w"""
+    f"""WITH RECURSIVE h AS (SELECT DISTINCT source_id, stable_id, path FROM ({HISTORY})), w(source_id, stable_id) AS (SELECT 'src5', 'd5' UNION SELECT b.source_id, b.stable_id FROM w JOIN h a ON a.stable_id = w.stable_id AND a.source_id = w.source_id JOIN h b ON b.path = a.path AND b.source_id = a.source_id)
+  SELECT source_id, stable_id FROM w"""
 )
 def purge_fixpoint(spark, sf_dir):
-    h = table(spark, sf_dir, "events").selectExpr("concat('d', event_id % 500) AS stable_id", "concat('p', event_id * 7 % 1300) AS path")
-    return graph.erasure_fixpoint(h, spark.createDataFrame([("d5",)], "stable_id string"))[0]
+    h = table(spark, sf_dir, "events").selectExpr("concat('d', event_id % 500) AS stable_id", "concat('p', event_id * 7 % 130) AS path", "concat('src', event_id % 20) AS source_id")
+    return graph.erasure_fixpoint(h, spark.createDataFrame([("src5", "d5")], "source_id string, stable_id string"))
 
 
 @query(

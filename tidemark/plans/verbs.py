@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import schemas
+from tidemark.functions.text import mirror_rel_path
 from tidemark.operators import aggregates, classify, converters, governance, graph, quality, state
 from tidemark.sources.sinks import SnapshotStore
 
@@ -17,48 +19,86 @@ class Report:
     verdicts: DataFrame
     candidates: DataFrame
     breaker: DataFrame
+    removed: DataFrame
+    findings: DataFrame
     published: bool
 
 
-def sync(store: SnapshotStore, observed: DataFrame, files: DataFrame, run_id: int, written_at_ns: int, full: bool, complete: bool, accept_deletions: bool = False) -> Report:
-    """One cycle: classify, write the next state, convert what changed, screen, and publish if nothing blocks.
+@dataclass
+class Policy:
+    """What a cycle is told beside the listing: labels that refuse, sources whose absences need two passes, objects that left the scope."""
+
+    excluded_labels: list[str] = field(default_factory=list)
+    refuse_unlabelled: bool = False
+    two_pass_sources: list[str] = field(default_factory=list)
+    out_of_scope: DataFrame | None = None
+    accept_deletions: bool = False
+
 
-    files: source_id, stable_id, path, name, content of objects that can be read.  What many branches read is written
-    first; the pointer moves last.
+def sync(store: SnapshotStore, observed: DataFrame, files: DataFrame, run_id: int, written_at_ns: int, full: bool, complete: bool, policy: Policy | None = None) -> Report:
+    """One cycle: classify; move what a safe save renamed; remove what is gone; convert what changed; screen; publish if nothing blocks.
+
+    files: source_id, stable_id, path, name, content (and labels, where items have some) of objects that can be read.
+    What many branches read is written first; the pointer moves last, and not at all if a finding blocks.
     """
+    policy, spark, keys = policy or Policy(), store.spark, list(classify.KEYS)
+
+    def kept(table: str, df: DataFrame) -> DataFrame:
+        store.write(table, run_id, df)
+        return store.read(table, run_id)
+
+    def earlier(table: str, schema) -> DataFrame:
+        return store.read(table, last) if last in store.tables().get(table, []) else spark.createDataFrame([], schema)
+
     last = store.published()
     items = store.read("items", last)
+    outputs, tombstones, aliases = earlier("outputs", schemas.OUTPUT), earlier("tombstones", schemas.TOMBSTONE), earlier("aliases", schemas.ALIAS)
     verdicts, candidates, breaker = classify.classify_pass(observed, items, written_at_ns, full, complete)
-    store.write("verdicts", run_id, verdicts)
-    store.write("breaker", run_id, breaker)
-    verdicts, breaker = store.read("verdicts", run_id), store.read("breaker", run_id)
-    store.write("candidates", run_id, candidates)
-    candidates = store.read("candidates", run_id)
-    nxt = state.upsert(items, observed, verdicts, run_id)
-    held = breaker.where("tripped").select("source_id")
-    gone = candidates if accept_deletions else candidates.join(held, "source_id", "left_anti")
-    mark = gone.withColumn("__gone", F.lit(True))
-    nxt = nxt.join(mark, list(classify.KEYS), "left").select(*[F.when(F.col("__gone"), "tombstone").otherwise(F.col(c)).alias(c) if c == "state" else F.col(c) for c in nxt.columns])
-    work = state.pending_work(nxt).select(*classify.KEYS)
-    units = converters.convert(files.join(work, list(classify.KEYS), "left_semi"))
-    store.write("units", run_id, units)
-    units = store.read("units", run_id)
+    verdicts, breaker = kept("verdicts", verdicts), kept("breaker", breaker)
+    candidates = kept("candidates", candidates)
+    upserted = kept("upserted", state.upsert(items, observed, verdicts, run_id))
+
+    pairs = verdicts.where("replaces_id is not null").select("source_id", F.col("stable_id").alias("new_id"), F.col("replaces_id").alias("old_id"))
+    moved, kids, aliases = state.rekey(upserted, {"outputs": outputs, "tombstones": tombstones}, pairs, aliases)
+    moved, aliases = kept("moved", moved), kept("aliases", aliases)
+    outputs, tombstones = kids["outputs"], kids["tombstones"]
+
+    twice = F.col("source_id").isin(*policy.two_pass_sources) if policy.two_pass_sources else F.lit(False)
+    confirmed = state.confirmed_absent(moved, candidates, run_id, twice).select(*keys)
+    explicit = observed.where("deleted").select(*keys).distinct()
+    left = policy.out_of_scope if policy.out_of_scope is not None else candidates.limit(0)
+    removed = kept("removed", state.removals(moved, explicit, confirmed, left.select(*keys), breaker, policy.accept_deletions))
+    marked = state.mark_absent(moved, candidates, run_id) if full and complete else moved
+    gone = removed.select(*keys, F.lit(True).alias("__gone"))
+    nxt = marked.join(gone, keys, "left").select(*[F.when(F.col("__gone"), "tombstone").otherwise(F.col(c)).alias(c) if c == "state" else F.col(c) for c in marked.columns])
+    nxt = kept("next", nxt)
+
+    labelled = files if "labels" in files.columns else files.withColumn("labels", F.array().cast("array<string>"))
+    judged = quality.label_policy(labelled, policy.excluded_labels, policy.refuse_unlabelled)
+    refused = judged.where("refused").select(*keys, F.concat(F.lit("refused: "), "why").alias("why"))
+    work = state.pending_work(nxt).select(*keys).join(refused, keys, "left_anti")
+    units = kept("units", converters.convert(files.join(work, keys, "left_semi")))
     secrets = quality.secret_hits(units.where("body is not null").select("path", F.col("body").alias("text")))
-    findings = secrets.select(F.lit("secret").alias("rule"), "path", F.col("rule").alias("detail"), F.lit(True).alias("blocking"))
-    store.write("findings", run_id, findings)
-    blocked = store.read("findings", run_id).select("path").distinct()
-    done = files.select(*classify.KEYS, "path").join(units.where("status = 'ok'").select("path", "action_key").distinct(), "path").join(blocked, "path", "left_anti")
-    read = done.join(files.select(*classify.KEYS, F.sha2("content", 256).alias("__sha")), list(classify.KEYS)).select(
-        *classify.KEYS, F.col("__sha").alias("content_sha256"), F.col("__sha").alias("canonical_sha256"), F.lit("bytes@1").alias("canonical_method"), F.lit("changed").alias("verdict")
+    stops = secrets.select(F.lit("secret").alias("rule"), "path", F.col("rule").alias("detail"), F.lit(False).alias("blocking"))
+    pages = files.select("source_id", "path").join(units.select("path").distinct(), "path").select(mirror_rel_path("source_id", "path", F.lit("")).alias("path"))
+    findings = kept("findings", stops.unionByName(quality.path_findings(pages.distinct())))
+    stopped = findings.where("rule = 'secret'").select("path").distinct()
+    done = files.select(*keys, "path").join(units.where("status = 'ok'").select("path", "action_key").distinct(), "path").join(stopped, "path", "left_anti")
+    read = done.join(files.select(*keys, F.sha2("content", 256).alias("__sha")), keys).select(
+        *keys, F.col("__sha").alias("content_sha256"), F.col("__sha").alias("canonical_sha256"), F.lit("bytes@1").alias("canonical_method"), F.lit("changed").alias("verdict")
     )
     settled = state.set_content(nxt, read)
-    refused = files.select(*classify.KEYS, "path").join(blocked, "path", "left_semi").select(*classify.KEYS).withColumn("__stop", F.lit(True))
-    settled = settled.join(refused, list(classify.KEYS), "left").select(
-        *[F.when(F.col("__stop"), F.lit({"state": "quarantined", "state_reason": "secret"}[c])).otherwise(F.col(c)).alias(c) if c in ("state", "state_reason") else F.col(c) for c in nxt.columns]
-    )
+    why = files.select(*keys, "path").join(stopped, "path", "left_semi").select(*keys, F.lit("quarantined").alias("__state"), F.lit("secret").alias("__why"))
+    why = why.unionByName(refused.select(*keys, F.lit("refused").alias("__state"), F.col("why").alias("__why")))
+    own = {"state": F.coalesce("__state", "state"), "state_reason": F.coalesce("__why", "state_reason")}
+    settled = settled.join(why, keys, "left").select(*[own.get(c, F.col(c)).alias(c) for c in nxt.columns])
     store.write("items", run_id, settled)
-    store.publish(run_id)
-    return Report(run_id, verdicts, candidates, breaker, True)
+    store.write("outputs", run_id, outputs)
+    store.write("tombstones", run_id, tombstones)
+    blocking = quality.gate(findings).first()["blocking"]
+    if not blocking:
+        store.publish(run_id)
+    return Report(run_id, verdicts, candidates, breaker, removed, findings, not blocking)
 
 
 def status(store: SnapshotStore) -> DataFrame:
@@ -73,35 +113,32 @@ def curate(pages: DataFrame, heads: DataFrame, mirror: DataFrame) -> dict[str, D
     return {"edges": edges, "queue": graph.refresh_queue(once, heads), "uncovered": graph.uncovered_pages(mirror, once)}
 
 
-def purge(store: SnapshotStore, by: str, value: str, holds: DataFrame, reason: str, dry_run: bool = True) -> tuple[DataFrame, dict[str, int]]:
-    """Erase what a selector names, and all that ever shared a path with it, from every retained snapshot.
+def purge(store: SnapshotStore, by: str, value: str, holds: DataFrame, reason: str, dry_run: bool = True, source: str | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """Erase what a selector names, and all that ever shared a path of its source with it, from all tables of every retained snapshot.
 
-    The ids and, unless it is a dry run, rows that survive by table: none, or the erasure has failed.
+    The ids and, unless it is a dry run, rows that survive by table: none, or the erasure has failed and nothing has moved.
     """
     if reason not in governance.REASONS:
         raise ValueError(f"not a reason: {reason}")
     history = store.history("items")
-    seeds = governance.selected(history, by, value).select("stable_id").distinct()
-    _, ids, settled = governance.erase({}, history.select("source_id", "stable_id", F.col("rel_path").alias("path")), seeds, holds)
-    if not settled:
-        raise RuntimeError("the fixpoint was not reached")
+    seeds = governance.selected(history, by, value, source).select("source_id", "stable_id").distinct()
+    named = history.select("source_id", "stable_id", F.explode(F.array_compact(F.array("rel_path", "prev_path"))).alias("path")).distinct()
+    _, ids = governance.erase({}, named, seeds, holds)
     if dry_run:
         return ids, {}
-    runs = [r["run_id"] for r in history.select("run_id").distinct().orderBy("run_id").collect()]  # retained runs: bounded by retention
-    ids = _kept(store, ids)
-    for run in runs:
-        left = store.read("items", run).join(ids, "stable_id", "left_anti")
-        store.write("items_next", run, left)
-        store.write("items", run, store.read("items_next", run))
-    rows = governance.survivors({"items": store.history("items")}, ids).collect()
+    now, newest = store.generation(), store.published()
+    paths = named.join(ids, ["source_id", "stable_id"], "left_semi").select("source_id", "path").distinct()
+    others = named.join(ids, ["source_id", "stable_id"], "left_anti").select("path").distinct()
+    for table, runs in store.tables(now).items():
+        for run in runs:  # retained runs: bounded by retention
+            store.write(table, run, governance.without(store.read(table, run, now), ids, paths, others), now + 1)
+    rows = governance.survivors({t: store.history(t, now + 1) for t in store.tables(now + 1)}, ids, paths, others).collect()
+    if not rows:
+        store.publish(newest, now + 1)
+        store.drop(now)
     return ids, {r["table"]: r["n"] for r in rows}
 
 
-def _kept(store: SnapshotStore, ids: DataFrame) -> DataFrame:
-    store.write("purged", 0, ids)
-    return store.read("purged", 0)
-
-
 def offboard(store: SnapshotStore, outputs: DataFrame, source: str, run_id: int) -> DataFrame:
     """Tombstones for all that a retired source published."""
     return governance.retired(store.read("items", store.published()), outputs, source, run_id)

@@ -10,34 +10,64 @@ class SnapshotStore:
     """Tables as immutable folders by run, and a pointer that names the published run.
 
     A run's tables are written first and the pointer last, so readers see all of a run or nothing of it, and a run that
-    is written again after a crash replaces only itself.
+    is written again after a crash replaces only itself.  What rewrites history (an erasure) writes all tables into the
+    next generation; the pointer moves to it, and only then does the old generation go.
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root, self._generation = spark, root.rstrip("/"), None
 
-    def write(self, table: str, run_id: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}/run_id={run_id}")
+    def _pointer(self) -> DataFrame | None:
+        from pyspark.errors import AnalysisException
+
+        try:
+            return self.spark.read.schema("run_id bigint, generation bigint").parquet(f"{self.root}/_published")
+        except AnalysisException:
+            return None
+
+    def generation(self) -> int:
+        """The generation that the pointer names, read once by a store; a publication of this store moves it on."""
+        if self._generation is None:
+            rows = self._pointer()
+            self._generation = 0 if rows is None else int(rows.agg(F.max("generation")).first()[0] or 0)
+        return self._generation
+
+    def _folder(self, table: str, generation: int | None = None) -> str:
+        return f"{self.root}/generation={self.generation() if generation is None else generation}/{table}"
+
+    def write(self, table: str, run_id: int, df: DataFrame, generation: int | None = None) -> None:
+        df.write.mode("overwrite").parquet(f"{self._folder(table, generation)}/run_id={run_id}")
 
-    def read(self, table: str, run_id: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{table}/run_id={run_id}")
+    def read(self, table: str, run_id: int, generation: int | None = None) -> DataFrame:
+        return self.spark.read.parquet(f"{self._folder(table, generation)}/run_id={run_id}")
 
-    def history(self, table: str) -> DataFrame:
+    def history(self, table: str, generation: int | None = None) -> DataFrame:
         """All retained snapshots, with run_id."""
-        return self.spark.read.parquet(f"{self.root}/{table}")
+        return self.spark.read.parquet(self._folder(table, generation))
 
-    def publish(self, run_id: int) -> None:
-        self.spark.createDataFrame([(run_id,)], "run_id bigint").coalesce(1).write.mode("append").parquet(f"{self.root}/_published")
+    def _names(self, folder: str) -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(x.getPath().getName() for x in files.listStatus(path)) if files.exists(path) else []
+
+    def tables(self, generation: int | None = None) -> dict[str, list[int]]:
+        """The tables of a generation and the runs that each has."""
+        base = self._folder("", generation).rstrip("/")
+        return {t: [int(r.partition("=")[2]) for r in self._names(f"{base}/{t}") if r.startswith("run_id=")] for t in self._names(base)}
+
+    def drop(self, generation: int) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder("", generation).rstrip("/"))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def publish(self, run_id: int, generation: int | None = None) -> None:
+        self._generation = self.generation() if generation is None else generation
+        row = [(run_id, self._generation)]
+        self.spark.createDataFrame(row, "run_id bigint, generation bigint").coalesce(1).write.mode("append").parquet(f"{self.root}/_published")
 
     def published(self, at: int | None = None) -> int | None:
         """The newest published run, or the newest up to a given one."""
-        from pyspark.errors import AnalysisException
-
-        try:
-            runs = self.spark.read.schema("run_id bigint").parquet(f"{self.root}/_published")
-        except AnalysisException:
-            return None
-        return runs.where(F.col("run_id") <= at if at is not None else F.lit(True)).agg(F.max("run_id")).first()[0]
+        runs = self._pointer()
+        return None if runs is None else runs.where(F.col("run_id") <= at if at is not None else F.lit(True)).agg(F.max("run_id")).first()[0]
 
 
 def write_shards(lines: DataFrame, path: str) -> None:
