@@ -5,9 +5,11 @@
 
 from __future__ import annotations
 
+import csv
 import email
 import email.policy
 import hashlib
+import io
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -20,6 +22,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.columns import action_key, options_hash, route, token_estimate
 from tidemark.functions.text import decoded
+from tidemark.operators import office
 
 UNITS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("unit_id", "kind", "title", "body")]))
 OUTCOME = T.StructType([T.StructField("status", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("units", UNITS)])
@@ -27,6 +30,7 @@ Unit = dict[str, str]
 #: Converters by suffix.
 ROUTES = {
     ".txt": "text", ".csv": "table", ".tsv": "table", ".log": "text", ".json": "text", ".xml": "text", ".yaml": "text", ".yml": "text", ".url": "shortcut",
+    ".xlsx": "workbook", ".xlsm": "workbook", ".pptx": "slides", ".potx": "slides", ".docx": "document", ".odt": "document", ".rtf": "rich-text", ".msg": "message",
     ".md": "markdown", ".markdown": "markdown", ".html": "html", ".htm": "html", ".eml": "mail", ".vtt": "transcript", ".teams.json": "month", ".drawio": "diagram",
 }
 VERSIONS = dict.fromkeys(sorted(set(ROUTES.values())), "1")
@@ -39,14 +43,17 @@ def unit(body: str, title: str = "", unit_id: str = "whole", kind: str = "whole"
 
 class _Text(HTMLParser):
     BLOCKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "ul", "ol", "table", "blockquote", "pre", "header", "footer", "nav", "main"}
-    HIDDEN = {"script", "style", "template", "noscript", "head"}
+    HIDDEN = {"script", "style", "template", "noscript"}
+    #: Tags that may stand in a head; any other begins the body, as the head's end may be left out.
+    HEAD = HIDDEN | {"html", "head", "title", "meta", "link", "base"}
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.out, self.hidden, self.title, self.in_title = [], 0, "", False
+        self.out, self.hidden, self.title, self.in_title, self.in_head = [], 0, "", False, False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.in_title = tag == "title" or self.in_title
+        self.in_head = tag == "head" or (self.in_head and tag in self.HEAD)
         self.hidden += tag in self.HIDDEN
         if tag in self.BLOCKS:
             self.out.append("\n" + ("#" * int(tag[1]) + " " if re.fullmatch("h[1-6]", tag) else "- " if tag == "li" else ""))
@@ -56,6 +63,8 @@ class _Text(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag == "title":
             self.in_title = False
+        if tag == "head":
+            self.in_head = False
         if tag in self.HIDDEN and self.hidden:
             self.hidden -= 1
         if tag in self.BLOCKS:
@@ -64,7 +73,8 @@ class _Text(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.in_title:
             self.title += data
-        elif not self.hidden:
+        elif not self.hidden and (not self.in_head or data.strip()):
+            self.in_head = False
             self.out.append(re.sub(r"\s+", " ", data))
 
 
@@ -83,18 +93,20 @@ def from_text(name: str, text: str) -> list[Unit]:
 
 
 def from_table(name: str, text: str, rows: int = 200) -> list[Unit]:
-    import csv
-
+    """The first rows as a table; all of them in a sidecar where there are more."""
     sep = "\t" if name.lower().endswith(".tsv") else ","
     cells = [r for r in csv.reader(text.splitlines(), delimiter=sep) if any(c.strip() for c in r)]
     if not cells:
         return from_text(name, "")
     width = max(map(len, cells))
+    whole = io.StringIO()
+    csv.writer(whole, lineterminator="\n").writerows(cells)
     show = lambda r: "| " + " | ".join(c.replace("|", "\\|").replace("\n", " ") for c in r + [""] * (width - len(r))) + " |"
     out = [show(cells[0]), "|" + " --- |" * width, *map(show, cells[1 : rows + 1])]
-    if len(cells) > rows + 1:
-        out.append(f"\n{len(cells) - rows - 1} more rows")
-    return [unit("\n".join(out), name)]
+    if len(cells) <= rows + 1:
+        return [unit("\n".join(out), name)]
+    out.append(f"\n{len(cells) - rows - 1} more rows in the sidecar")
+    return [unit("\n".join(out), name), unit(whole.getvalue(), name, "whole.csv", "sidecar")]
 
 
 def from_shortcut(name: str, text: str) -> list[Unit]:
@@ -213,14 +225,26 @@ CONVERTERS: dict[str, Callable[[str, str], list[Unit]]] = {
 }
 
 
+#: Converters of bytes that are no text.
+BINARY: dict[str, Callable[[str, bytes], list[Unit]]] = {
+    "workbook": office.from_workbook, "slides": office.from_slides, "document": office.from_document, "rich-text": office.from_rich_text, "message": office.from_message,
+}
+
+
 @F.pandas_udf(OUTCOME)
 def converted(names: pd.Series, kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
     """Status, reason and units of each file; one bad file is a row, never a failed task."""
     rows = []
     for name, kind, data in zip(names, kinds, contents, strict=True):
-        if kind is None or kind not in CONVERTERS:
+        if kind is None or kind not in CONVERTERS and kind not in BINARY:
             rows.append(("refused", "no converter", []))
             continue
+        if kind in BINARY and data is not None and len(data):
+            try:
+                rows.append(("ok", None, BINARY[kind](name, bytes(data))))
+            except Exception as e:  # noqa: BLE001  the file's fault is its own outcome
+                rows.append(("failed", f"{type(e).__name__}: {e}"[:200], []))
+            continue
         text = decoded(bytes(data)) if data is not None and len(data) else None
         if text is None:
             rows.append(("unreadable", "empty" if data is None or not len(data) else "binary content", []))
@@ -232,13 +256,19 @@ def converted(names: pd.Series, kinds: pd.Series, contents: pd.Series) -> pd.Dat
     return pd.DataFrame(rows, columns=["status", "reason", "units"])
 
 
+@F.pandas_udf(T.StringType())
+def canonical_sha256(contents: pd.Series) -> pd.Series:
+    """The hash that decides whether content changed: what a save alone changes is left out."""
+    return contents.map(lambda data: None if data is None else office.canonical_hash(bytes(data)))
+
+
 def planned(files: DataFrame) -> DataFrame:
     """files (path, name, content) with converter, canonical hash and action key."""
     kind = route("name", ROUTES)
     version = F.lit("1")
-    canonical = F.sha2("content", 256)
-    key = action_key(F.coalesce(kind, F.lit("none")), version, options_hash({"rows": F.lit("200")}), F.lit("whole"), canonical)
-    return files.withColumns({"converter_id": kind, "canonical_sha256": canonical, "action_key": key})
+    hashed = files.withColumn("canonical_sha256", canonical_sha256("content"))
+    key = action_key(F.coalesce(kind, F.lit("none")), version, options_hash({"rows": F.lit("200")}), F.lit("whole"), F.col("canonical_sha256"))
+    return hashed.withColumns({"converter_id": kind, "action_key": key})
 
 
 def convert(files: DataFrame, cache: DataFrame | None = None) -> DataFrame:
