@@ -447,3 +447,32 @@ def path_folds(spark, sf_dir):
 def composed_saves(spark, sf_dir):
     row = lambda who, name, dec: table(spark, sf_dir, "documents").selectExpr("'s' AS source_id", f"concat('{who}', doc_id) AS stable_id", f"concat({name}, doc_id) AS rel_path", "false AS is_dir", "false AS deleted", "'live' AS state", "CAST(4 AS BIGINT) AS last_seen_run", "doc_id")
     return classify.safe_saves(row("n", "'café'", 0), row("o", "'cafe\u0301'", 1).where("doc_id % 3 <> 0")).select("new_id", "old_id")
+
+
+@query(
+    """WITH d AS (SELECT doc_id AS k, concat('t/', CAST(doc_id % 20 AS STRING)) AS path, CASE doc_id % 4 WHEN 0 THEN 'decisions' WHEN 1 THEN 'action items' WHEN 2 THEN 'numbers shown' ELSE 'people' END AS s, concat(CASE doc_id % 4 WHEN 0 THEN 'decisions' WHEN 1 THEN 'action items' WHEN 2 THEN 'numbers shown' ELSE 'people' END, ' ', CAST(doc_id AS STRING)) AS w FROM documents)
+  SELECT 'CITE-UNRESOLVED' AS rule, path, w || CASE WHEN k % 3 = 0 THEN ': no line' ELSE ': no unit' END AS detail, false AS blocking FROM d WHERE s <> 'people' AND s <> 'action items' AND k % 3 <> 1
+  UNION ALL SELECT 'CITE-QUOTE', path, w, false FROM d WHERE s IN ('decisions', 'numbers shown') AND k % 3 = 1 AND k % 5 = 0
+  UNION ALL SELECT 'CITE-MISSING', path, w, false FROM d WHERE s = 'action items' AND k % 7 = 0
+  UNION ALL SELECT 'CITE-FRAME', path, w, false FROM d WHERE s = 'numbers shown' AND k % 3 <> 1
+  UNION ALL SELECT 'CITE-INFERRED', path, w, false FROM d WHERE s = 'action items' AND (k % 7 = 0 OR k % 2 = 0 OR k % 9 = 0)
+  UNION ALL SELECT 'CITE-BASIS', path, w, false FROM d WHERE s = 'people' AND k % 5 = 1
+  UNION ALL SELECT 'CITE-SHARED', path, w, false FROM d WHERE s = 'people' AND k % 5 = 2"""
+)
+def evidence_findings(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    section = F.element_at(F.array(*[F.lit(x) for x in ("decisions", "action items", "numbers shown", "people")]), (k % 4 + 1).cast("int"))
+    tag = lambda kind, quote: F.struct(kind.alias("kind"), F.lit(1).cast("bigint").alias("recording"), F.when(k % 3 == 2, 999_999).when(k % 3 == 1, 10).otherwise(11).cast("bigint").alias("second"), quote.alias("quote"))
+    quote = F.when(k % 5 == 0, "not ... said").otherwise("so ... it is")
+    tags = F.when(section == "people", F.array().cast("array<struct<kind:string,recording:bigint,second:bigint,quote:string>>")).when(section == "action items", F.array(tag(F.lit("inferred"), F.lit(None).cast("string"))))
+    tags = tags.when(section == "decisions", F.array(tag(F.lit("heard"), quote))).otherwise(F.array(tag(F.lit("seen+frame"), quote)))
+    refs = F.when(k % 7 == 0, F.array().cast("array<string>")).when(k % 9 == 0, F.array(F.lit("D9"))).otherwise(F.array(F.concat(F.lit("D"), (k % 2).cast("string"))))
+    basis = F.element_at(F.array(*[F.lit(x) for x in ("VOICE line", "a guess", "voice 2, on shared audio of Ann, 3 voices", "mixed", "Voice 4, unidentified")]), (k % 5 + 1).cast("int"))
+    page = F.concat(F.lit("t/"), (k % 20).cast("string"))
+    rows_ = d.select(page.alias("path"), section.alias("section"), k.alias("row"), tags.alias("tags"), basis.alias("basis"), F.lit("ann").alias("person"), refs.alias("refs"), F.lit(False).alias("noted"))
+    units = spark.createDataFrame([(1, 1)], "recording bigint, window bigint")
+    lines = spark.createDataFrame([(1, 10, c, "so, said Ann, it is") for c in ("heard", "seen")], "recording bigint, second bigint, channel string, text string")
+    decided = d.select(page.alias("path")).distinct().withColumn("id", F.lit("D1"))
+    opened = d.select(page.alias("path")).distinct().select("path", F.lit(1).cast("bigint").alias("recording"), F.lit(10).cast("bigint").alias("second"))
+    return quality.evidence_findings(rows_, units, lines, decided, opened)
