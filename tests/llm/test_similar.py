@@ -25,9 +25,9 @@ def test_copies_at_a_similarity_of_080_go(spark):
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
-    for tile in (256, 7):
-        got = simhash.similar_groups(documents(spark, rows), 5, tile).collect()
+    for tile, tile_hashes in ((1 << 15, 200_000), (7, 500)):
+        got = simhash.similar_groups(documents(spark, rows), 5, tile, tile_hashes).collect()
         assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
-    kept = {r.doc_id for r in simhash.drop_near_duplicates(documents(spark, rows)).collect()}
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(documents(spark, rows, ["__gone_id"])).collect()}
     assert kept == set(root) and len(kept) < len(texts) - 60
     assert simhash.drop_near_duplicates(documents(spark, [])).count() == 0

@@ -7,7 +7,17 @@ Inside a pair the rows are ordered by the counts of their four 16-bit quarters,
 the radius in sum meet under exclusive-or and bit count.  Each pair of tiles leaves a spanning forest of its links, never
 the links themselves, so a group of near copies costs its size.  Components come from alternating star contraction.
 
-Shuffled: one narrow row per fingerprint, the tiles (eight bytes a row for each tile they meet), the forests.
+The work grows with the square of distinct fingerprints that may meet, as the method has it.
+
+Similarity groups (the pipeline's stage) use the same comparison over wide fingerprints: WIDTH words of 64 bits over the
+set of five-word shingles, whose differing bits tell a Jaccard similarity of SIMILAR from an unrelated text.  Two sets of
+that similarity differ in a share of 0.157 of the bits at most (0.19 for sets of up to FEW shingles), so radii at four
+standard deviations above lose about one link in ten thousand at the very threshold and none much above.  Tiles hold sets of like sizes, as sets
+whose sizes differ by more than the similarity allows can't be linked.  What is linked is then verified exactly: the shingle
+sets of a candidate cluster meet in pairs of tiles.
+
+Shuffled: one narrow row per fingerprint, the tiles (eight bytes a word for each tile they meet), the forests; for similarity
+groups the shingle sets of candidate clusters.
 
 Defined results: null or empty text has no shingle and fingerprint zero, linked like any other; a text with fewer words
 than a shingle is one shingle; repeated rows each get their row; a null id takes no part in the smallest id of its
@@ -17,21 +27,25 @@ component; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import materialize, session_conf, side, small_batches
+from tidemark.llm.runtime import fresh, materialize, session_conf, side, small_batches
 
 SEED = 42
 #: The least Jaccard similarity of near copies in the pipeline.
 SIMILAR = 0.8
-PARITIES = 1024
+WIDTH = 4
+FEW = 5
+#: Most bits that may differ in the first word and in all, for sets of up to FEW shingles and for larger ones.
+NEAR_BITS = {True: (25, 76), False: (22, 64)}
+#: Hashes of the shingle sets in a tile of a candidate cluster.
+TILE_HASHES = 200_000
 
 
 def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
@@ -114,37 +128,53 @@ def tile_forest(a: np.ndarray, b: np.ndarray, radius: int, buffer: int = 1 << 21
     return both[child].view("<i8"), both[label[child]].view("<i8")
 
 
-def links(distinct: DataFrame, radius: int, tile: int = 1 << 15) -> DataFrame:
-    """A forest (u, v) over distinct fingerprints whose trees span the groups linked within the radius."""
-    spark = distinct.sparkSession
-    by_count = {r["pop"]: r["n"] for r in distinct.groupBy(F.bit_count("fp").alias("pop")).agg(F.count("*").alias("n")).collect()}  # <= 65 rows
-    tiles = {pop: -(-n // tile) for pop, n in by_count.items()}
+def tile_pairs(rows: DataFrame, cell: Column, values: list[str], reach: Callable[[int], range], tile: int) -> DataFrame:
+    """left and right: the values of all pairs of tiles that may hold links, each tile's rows end to end in one array.
+
+    Rows are dealt by ``cell`` (a small number; cells x and y >= x meet if y is in reach(x)) and by hash where a cell has
+    more than ``tile`` rows.
+    """
+    spark = rows.sparkSession
+    celled = rows.select(*values, cell.alias("cell"))
+    count = {r["cell"]: r["n"] for r in celled.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row for each cell
+    tiles = {c: -(-n // tile) for c, n in count.items()}
     split = F.lit(1)
-    for pop, n in tiles.items():
+    for c, n in tiles.items():
         if n > 1:
-            split = F.when(F.col("pop") == pop, n).otherwise(split)
-    dealt = distinct.select("fp", F.bit_count("fp").alias("pop")).withColumn("sub", F.pmod(F.xxhash64("fp"), split).cast("int"))
-    blocks = materialize(dealt.groupBy("pop", "sub").agg(F.collect_list("fp").alias("fps")), "tiles")
-    name = blocks.select("pop", "sub")
-    left = name.select(F.col("pop").alias("p"), F.col("sub").alias("s"), F.explode(F.sequence("pop", F.col("pop") + radius)).alias("q"))
-    pairs = left.join(name.select(F.col("pop").alias("q"), F.col("sub").alias("t")), "q").where((F.col("p") < F.col("q")) | (F.col("s") <= F.col("t")))
-    n = sum(tiles[p] * tiles.get(q, 0) for p in tiles for q in range(p, p + radius + 1))
+            split = F.when(F.col("cell") == c, n).otherwise(split)
+    dealt = celled.withColumn("sub", F.pmod(F.xxhash64(values[0]), split).cast("int"))
+    blocks = materialize(dealt.groupBy("cell", "sub").agg(F.flatten(F.collect_list(F.array(*values))).alias("held")), "tiles")
+    near = [(x, y) for x in tiles for y in reach(x) if y in tiles]
+    n = sum(tiles[x] * tiles[y] for x, y in near)
+    name = blocks.select("cell", "sub")
+    pairs = spark.createDataFrame(near, "x int, y int").join(name.select(F.col("cell").alias("x"), F.col("sub").alias("s")), "x")
+    pairs = pairs.join(name.select(F.col("cell").alias("y"), F.col("sub").alias("t")), "y").where("x < y or s <= t")
     spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n, 20_000))
-    work = (
-        pairs.join(blocks.select(F.col("pop").alias("p"), F.col("sub").alias("s"), F.col("fps").alias("left")), ["p", "s"])
-        .join(blocks.select(F.col("pop").alias("q"), F.col("sub").alias("t"), F.col("fps").alias("right")), ["q", "t"])
-        .repartition(spread, "p", "s", "q", "t")
+    return (
+        pairs.join(blocks.select(F.col("cell").alias("x"), F.col("sub").alias("s"), F.col("held").alias("left")), ["x", "s"])
+        .join(blocks.select(F.col("cell").alias("y"), F.col("sub").alias("t"), F.col("held").alias("right")), ["y", "t"])
+        .repartition(spread, "x", "s", "y", "t")
         .select("left", "right")
     )
 
+
+def compared(pairs: DataFrame, forest: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], batch: int) -> DataFrame:
+    """u and v of the forests of all pairs of tiles."""
+
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for x, y in zip(batch["left"], batch["right"], strict=True):
-                u, v = tile_forest(np.asarray(x, np.int64).view(np.uint64), np.asarray(y, np.int64).view(np.uint64), radius)
+        for rows in batches:
+            for x, y in zip(rows["left"], rows["right"], strict=True):
+                u, v = forest(np.asarray(x, np.int64), np.asarray(y, np.int64))
                 yield pd.DataFrame({"u": u, "v": v})
 
-    with session_conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "16"):
-        return materialize(work.mapInPandas(compare, "u long, v long"), "links")
+    with session_conf(pairs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(batch)):
+        return materialize(pairs.mapInPandas(compare, "u long, v long"), "links")
+
+
+def links(distinct: DataFrame, radius: int, tile: int = 1 << 15) -> DataFrame:
+    """A forest (u, v) over distinct fingerprints whose trees span the groups linked within the radius."""
+    pairs = tile_pairs(distinct, F.bit_count("fp").cast("int"), ["fp"], lambda pop: range(pop, pop + radius + 1), tile)
+    return compared(pairs, lambda x, y: tile_forest(x.view(np.uint64), y.view(np.uint64), radius), 16)
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
@@ -196,91 +226,124 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
-def parities(hashes: np.ndarray) -> bytes:
-    """A bit for each cell: whether an odd number of the hashes fall in it."""
-    odd = np.bincount((hashes & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
-    return np.packbits(odd.astype(bool)).tobytes()
+def wide_print(hashes: np.ndarray) -> list[int]:
+    """WIDTH words of majority bits, each over the hashes mixed in its own way."""
+    out = []
+    for k in range(1, WIDTH + 1):
+        h = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(fingerprint(h ^ (h >> np.uint64(31))))
+    return out
 
 
-def similar_pairs(sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (u, v) of the sets with a Jaccard similarity of SIMILAR or more; hashes holds one set after the other."""
+def wide_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the sets in two tiles whose wide prints and sizes may belong to similar sets.
+
+    A tile is rows of (set, size, print) end to end.  The first words are compared for all pairs of like sizes, the others
+    for those that pass.
+    """
+    a, b = (x.reshape(-1, 2 + WIDTH) for x in (a, b))
+    a, b = (x[np.argsort(x[:, 1], kind="stable")] for x in (a, b))
+    sids, size = np.concatenate([a[:, 0], b[:, 0]]), b[:, 1]
+    left, right, label = np.ascontiguousarray(a[:, 2:].T).view(np.uint64), np.ascontiguousarray(b[:, 2:].T).view(np.uint64), np.arange(len(a) + len(b))
+    at = 0
+    while at < len(a):
+        n = a[at, 1]
+        first, most = NEAR_BITS[bool(n <= FEW)]
+        low = np.searchsorted(size, np.ceil(SIMILAR * n - 1e-9))
+        step = max(1, (1 << 22) // max(1, len(b) - low))
+        end = min(at + step, int(np.searchsorted(a[:, 1], FEW, "right")) if n <= FEW else len(a), int(np.searchsorted(a[:, 1], 1.05 * n, "right")))
+        high = np.searchsorted(size, np.floor(a[end - 1, 1] / SIMILAR + 1e-9), "right")
+        i, j = np.nonzero(np.bitwise_count(left[0, at:end, None] ^ right[0, None, low:high]) <= first)
+        i, j = i + at, j + low
+        apart = np.bitwise_count(left[:, i] ^ right[:, j]).sum(0, dtype=np.int64)
+        small, large = np.minimum(a[i, 1], size[j]), np.maximum(a[i, 1], size[j])
+        ok = (apart <= most) & (small >= SIMILAR * large - 1e-9) & (sids[i] != sids[j + len(a)])
+        if ok.any():
+            label = hook(label, i[ok], j[ok] + len(a))
+        at = end
+    child = np.flatnonzero(label != np.arange(len(label)))
+    child = child[sids[child] != sids[label[child]]]
+    return sids[child], sids[label[child]]
+
+
+def size_cell(n: Column) -> Column:
+    """Sizes up to 32 have a cell each, larger ones one for each step of a twentieth."""
+    return F.when(n <= 32, n).otherwise(33 + F.floor(F.log(n / 33.0) / math.log(1.05))).cast("int")
+
+
+def cells_in_reach(cell: int) -> range:
+    """The cells, from this one on, of sizes that SIMILAR allows."""
+    top = cell + 1 if cell <= 32 else 33 * 1.05 ** (cell - 32)  # above any size of the cell
+    most = top / SIMILAR
+    return range(cell, (int(most) if most < 33 else 33 + int(math.log(most / 33) / math.log(1.05))) + 2)
+
+
+def similar_labels(sizes: np.ndarray, hashes: np.ndarray, step: int = 32) -> np.ndarray:
+    """For each set the first one linked to it by a Jaccard similarity of SIMILAR or more; hashes holds one set after the other.
+
+    Sets are compared with all others through the hashes that they share; when all are linked no more need be compared.
+    """
     owner = np.repeat(np.arange(len(sizes)), sizes)
     _, name = np.unique(hashes, return_inverse=True)
     order = np.argsort(name, kind="stable")
     holders, ends = owner[order], np.cumsum(np.bincount(name))
     begins, stops = np.append(0, ends[:-1]), np.cumsum(sizes)
-    us, vs = [], []
+    label, us, vs = np.arange(len(sizes)), [], []
     for k in range(len(sizes)):
         mine = name[stops[k] - sizes[k] : stops[k]]
         shared = np.bincount(np.concatenate([holders[begins[x] : ends[x]] for x in mine]), minlength=len(sizes)) if len(mine) else np.zeros(len(sizes), int)
         near = np.flatnonzero((1 + SIMILAR) * shared >= SIMILAR * (sizes + sizes[k]) - 1e-9)
-        us.append(np.full(len(near := near[near > k]), k))
+        us.append(np.full(len(near), k))
         vs.append(near)
-    return np.concatenate(us), np.concatenate(vs)
+        if k % step == 0 or k == len(sizes) - 1:
+            label, us, vs = hook(label, np.concatenate(us), np.concatenate(vs)), [], []
+            if not label.any():
+                break
+    return label
 
 
-def similar_groups(docs: DataFrame, words: int, tile: int = 256) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int, tile: int = 1 << 15, tile_hashes: int = TILE_HASHES) -> DataFrame:
     """doc_id, component_id of the rows with an id, linked where sets of word shingles have a Jaccard similarity of SIMILAR or more.
 
-    Two such sets share one of the n - SIMILAR n + 1 least hashes of either.  Among the sets that share one, those of
-    like sizes stay together whose parities (of the number of hashes in each of PARITIES cells) differ in no more cells than the sets may
-    differ in hashes; as each hash changes one cell, no link is lost.  Equal sets are one; the sets of such a cluster meet in
+    Equal sets are one.  Their wide fingerprints are compared tile by tile; the sets of a candidate cluster then meet in
     pairs of tiles, which leave a spanning forest of their exact links.
     """
 
-    @F.pandas_udf("sid long, n int, prefix array<long>, cells binary")
+    @F.pandas_udf("sid long, n long, print array<long>")
     def head_of(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t, words) for t in texts]
-        heads = [x[: len(x) - math.ceil(SIMILAR * len(x) - 1e-9) + 1].view(np.int64) for x in sets]
-        sids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-        return pd.DataFrame({"sid": sids, "n": np.array([len(x) for x in sets], np.int32), "prefix": heads, "cells": [parities(x) for x in sets]})
+        return pd.DataFrame({"sid": [sid_of(x) for x in sets], "n": [len(x) for x in sets], "print": [wide_print(x) for x in sets]})
 
     @F.pandas_udf("sid long, hashes array<long>")
     def set_of(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t, words) for t in texts]
-        sids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-        return pd.DataFrame({"sid": sids, "hashes": [x.view(np.int64) for x in sets]})
-
-    def join_shared(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("h", kind="stable")
-        sids, at = np.unique(rows["sid"].to_numpy(np.int64), return_inverse=True)
-        h, n = rows["h"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-        cells, label = np.frombuffer(b"".join(rows["cells"]), "<u8").reshape(len(rows), -1), np.arange(len(sids))
-        begins = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        for x, y in zip(begins, np.append(begins[1:], len(h)), strict=True):
-            for k in range(x, y, step := max(1, (1 << 19) // (y - x))):
-                end = min(y, k + step)
-                apart = np.bitwise_count(cells[k:end, None] ^ cells[None, x:y]).sum(2, dtype=np.int64)
-                most, both = np.maximum(n[k:end, None], n[None, x:y]), n[k:end, None] + n[None, x:y]
-                i, j = np.nonzero((both - most >= SIMILAR * most - 1e-6) & (apart <= (1 - SIMILAR) / (1 + SIMILAR) * both + 1e-6))
-                label = hook(label, at[i + k], at[j + x])
-        child = np.flatnonzero(label != np.arange(len(label)))
-        return pd.DataFrame({"u": sids[child], "v": sids[label[child]]})
+        return pd.DataFrame({"sid": [sid_of(x) for x in sets], "hashes": [x.view(np.int64) for x in sets]})
+
+    def sid_of(hashes: np.ndarray) -> int:
+        return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
 
     def join_tiles(rows: pd.DataFrame) -> pd.DataFrame:
-        sids, label = rows["sid"].to_numpy(np.int64), np.arange(len(rows))
-        u, v = similar_pairs(np.array([len(x) for x in rows["hashes"]]), np.concatenate(rows["hashes"].to_list()))
-        label = hook(label, u, v)
+        sids = rows["sid"].to_numpy(np.int64)
+        label = similar_labels(np.array([len(x) for x in rows["hashes"]]), np.concatenate(rows["hashes"].to_list()))
         child = np.flatnonzero(label != np.arange(len(label)))
         return pd.DataFrame({"u": sids[child], "v": sids[label[child]]})
 
     named = small_batches(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     heads = materialize(named.select("doc_id", head_of("text").alias("h")).select("doc_id", "h.*"), "heads")
-    sets = materialize(heads.groupBy("sid").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells")), "sets")
-    each = sets.select("sid", F.explode("prefix").alias("h"))
-    met = materialize(each.withColumn("c", F.count("*").over(W.partitionBy("h"))).where("c > 1").select("sid", "h"), "met")
-    bundles = met.count() // 2000 + 1
-    shared = met.join(sets.select("sid", "n", "cells"), "sid").groupBy(F.pmod(F.xxhash64("h"), F.lit(bundles)))
-    edges = materialize(shared.applyInPandas(join_shared, "u long, v long").distinct(), "candidates")
-    clusters = materialize(components(edges), "clusters")
-    clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root")).distinct()
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    placed = materialize(clusters.join(sizes, "root").select(F.col("node").alias("sid"), "root", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("t")), "placed")
-    firsts = materialize(sets.join(placed, "sid", "left_semi").select(F.col("first").alias("doc_id")).distinct(), "firsts")
-    full = named.join(side(firsts), "doc_id", "left_semi").select(set_of("text").alias("s")).select("s.*").dropDuplicates(["sid"]).join(placed, "sid")
-    pairs = full.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).groupBy("root", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"))
-    found = materialize(pairs.applyInPandas(join_tiles, "u long, v long"), "similar")
-    linked = components(found)
+    prints = [F.get("print", F.lit(k)).alias(f"w{k}") for k in range(WIDTH)]
+    sets = materialize(heads.groupBy("sid").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("print").alias("print")).select("sid", "first", "n", *prints), "sets")
+    pairs = tile_pairs(sets, size_cell(F.col("n")), ["sid", "n", *[f"w{k}" for k in range(WIDTH)]], cells_in_reach, tile)
+    clusters = materialize(components(compared(pairs, wide_forest, 4)), "clusters")
+    clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root")).distinct().join(sets.select(F.col("sid").alias("node"), "first", "n"), "node")
+    sizes = clusters.groupBy("root").agg(F.ceil(F.sum("n") / tile_hashes).cast("int").alias("tiles"))
+    placed = clusters.join(sizes, "root").select(F.col("node").alias("sid"), "first", "root", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("t"))
+    placed = materialize(placed, "placed")
+    full = named.join(side(placed.select(F.col("first").alias("doc_id")).distinct()), "doc_id", "left_semi").select(set_of("text").alias("s")).select("s.*")
+    full = full.dropDuplicates(["sid"]).join(placed, "sid")
+    met = full.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).groupBy("root", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"))
+    linked = components(materialize(met.applyInPandas(join_tiles, "u long, v long"), "similar"))
     rooted = sets.select("sid", "first").join(linked.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
     of = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("sid", "component_id")
     return heads.select("doc_id", "sid").join(of, "sid").select("doc_id", "component_id")
@@ -291,10 +354,11 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
 
     Rows without an id can't be told apart afterwards, so all of them stay.
     """
+    gone_id = fresh(docs, "__gone_id")
     found = materialize(similar_groups(docs, words), "found")
-    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone_id")).distinct(), "gone")
+    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct(), "gone")
     again = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    kept = docs.join(side(gone), docs["doc_id"].cast("long") == gone["__gone_id"], "left_anti")
+    kept = docs.join(side(gone), F.col("doc_id").cast("long") == F.col(gone_id), "left_anti")
     if not again:
         return kept
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
