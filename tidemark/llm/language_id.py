@@ -2,8 +2,14 @@
 
 A text is the mean of the embeddings of its hashed letter n-grams (orders 2 to 4 over case-folded letters, runs of
 anything else being one blank).  Embeddings and softmax are trained together by stochastic gradient descent in numpy on
-a bounded sample of labelled rows; a temperature fitted on held-back rows (it may soften scores, never sharpen them) calibrates the scores, and the rejection
-threshold is read off the calibrated scores of those rows.
+a bounded sample of labelled rows: ``per_language`` rows a language, ``SAMPLE_ROWS`` in all, and of each row's buckets the
+``TOP`` most frequent, so what reaches the driver has a bound in bytes.
+
+Scores and rejection are calibrated on rows held back from training and on what no language is: the same rows with the
+letters of each text shuffled.  One temperature fits both, held-back rows by their language and shuffled ones by even odds.
+A text is rejected by its surety, the odds that it is in one of its two likeliest languages, as a text in two languages is a
+text too.  The threshold parts real rows from shuffled ones best, but never lies where more than ``REFUSED`` of the rows kept
+back, or of mixtures of two of them in different languages, would go (less three standard errors, where these are few).
 
 Memory: the model is ``buckets x dim`` floats.  A text is folded in windows of ``WINDOW`` characters that overlap by
 ``max order - 1``, so a text of any length needs constant space.  Scoring is a map over rows: no shuffle.
@@ -23,13 +29,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import id_bucket, small_batches
+from tidemark.llm.runtime import fresh, id_bucket, materialize, side, small_batches
 
 ORDERS = (2, 3, 4)
 WINDOW = 1 << 20
 UNKNOWN = "und"
-LANGUAGES = 1000  # bound of the label set: the most frequent values are learnt
-SURE = 0.4  # a score from here on is never a reason to reject, so texts in two languages stay
+SAMPLE_ROWS, TOP = 8000, 2048
+REFUSED = 0.001
 
 
 @dataclass
@@ -87,55 +93,70 @@ def gram_counts(text: str, buckets: int) -> np.ndarray:
     return total
 
 
+def packed(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Bucket numbers and counts of the TOP most frequent buckets; counts over 16 bits are scaled down together."""
+    i = np.flatnonzero(counts)
+    if len(i) > TOP:
+        i = np.sort(np.argsort(-counts, kind="stable")[:TOP])
+    c = counts[i]
+    c = np.maximum(1, c * 65535 // c.max()) if len(c) and c.max() > 65535 else c
+    return i.astype("<u2").tobytes(), c.astype("<u2").tobytes()
+
+
+def shuffled(text: str) -> str:
+    """The text with its characters in another order, the same for the same text."""
+    points = np.frombuffer(text[:WINDOW].encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.random.default_rng(len(points)).permutation(points).tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def labelled_features(docs: DataFrame, buckets: int, per_language: int, modulus: int, held: int) -> pd.DataFrame:
-    """Sparse gram counts (bucket numbers and counts as bytes) of at most ``per_language`` labelled rows a language, counted on the executors.
+    """y, back (kept out of training), odd (shuffled) and sparse gram counts of a bounded sample, counted on the executors.
 
-    The rows of a language are those whose id hash lies under a cut-off set by the number of rows of that language.
+    The rows of a language are those whose id hash lies under a cut-off set by the number of rows of that language; every
+    fifth of them by another hash is kept back, and comes shuffled too.
     """
-    pool = (
-        docs.where(F.col("lang").isNotNull() & (id_bucket("doc_id", modulus) != held))
-        .select(F.col("lang").cast("string").alias("y"))
-        .groupBy("y")
-        .agg(F.count("*").alias("n"))
-    )
-    counts = {r["y"]: r["n"] for r in pool.orderBy(F.desc("n"), "y").limit(LANGUAGES).collect()}
-    if not counts:
-        return pd.DataFrame({"y": [], "i": [], "c": []})
-    share = F.lit(None).cast("long")
-    for language, n in counts.items():  # a hash cut-off that leaves about per_language rows of each language
-        cut = (1 << 63) - 1 if n <= per_language else int((1 << 63) * (per_language / n))
-        share = F.when(F.col("lang").cast("string") == language, F.lit(cut)).otherwise(share)
-    chosen = small_batches(docs).where(
-        F.col("lang").isNotNull() & (id_bucket("doc_id", modulus) != held) & (F.shiftrightunsigned(F.xxhash64("doc_id"), 1) <= share)
-    ).select(F.col("lang").cast("string").alias("y"), F.col("text").alias("x"))
+    known = F.col("lang").isNotNull() & (id_bucket("doc_id", modulus) != held)
+    pool = materialize(docs.where(known).select(F.col("lang").cast("string").alias("y")).groupBy("y").agg(F.count("*").alias("n")), "languages")
+    each = max(1, min(per_language, SAMPLE_ROWS // max(1, pool.count())))
+    cut = F.when(F.col("n") <= each, F.lit((1 << 63) - 1)).otherwise((F.lit(float(1 << 63)) * each / F.col("n")).cast("long"))
+    shares = side(pool.select("y", cut.alias("cut")))
+    back = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(5)) == 0
+    rows = small_batches(docs).where(known).select(F.col("lang").cast("string").alias("y"), F.col("text").cast("string").alias("x"), F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("h"), back.alias("back"))
+    chosen = rows.join(shares, "y").where("h <= cut").select("y", "x", "back")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for y, x in zip(batch["y"], batch["x"], strict=True):
-                if x is None:
-                    continue
-                c = gram_counts(x, buckets)
-                i = np.flatnonzero(c)
-                if len(i):
-                    rows.append((y, i.astype("<u2").tobytes(), np.minimum(c[i], 65535).astype("<u2").tobytes()))
-            yield pd.DataFrame(rows, columns=["y", "i", "c"])
+            out = []
+            for y, x, back in zip(batch["y"], batch["x"], batch["back"], strict=True):
+                for odd in (False, True) if back else (False,):
+                    c = gram_counts(shuffled(x) if odd else x, buckets) if x else np.zeros(0, np.int64)
+                    if c.any():
+                        out.append((y, bool(back), odd, *packed(c)))
+            yield pd.DataFrame(out, columns=["y", "back", "odd", "i", "c"])
+
+    return chosen.mapInPandas(count, "y string, back boolean, odd boolean, i binary, c binary").toPandas()
 
-    return chosen.mapInPandas(count, "y string, i binary, c binary").toPandas()
+
+def surety(odds: np.ndarray) -> np.ndarray:
+    """The odds of the two likeliest languages together."""
+    return np.sort(odds, axis=-1)[..., -2:].sum(-1)
 
 
 def fit(sample: pd.DataFrame, buckets: int, dim: int = 16, epochs: int = 12, rate: float = 0.5, seed: int = 7) -> LanguageModel:
-    """Train on the sample by stochastic gradient descent; calibrate on every fifth row, which is not trained on."""
+    """Train on the sample by stochastic gradient descent; calibrate on the rows kept back and their shuffled forms."""
     if not len(sample):
         return LanguageModel()
-    sample = sample.sort_values(["y", "i", "c"], kind="stable").reset_index(drop=True)  # the order of arrival must not matter
+    sample = sample.sort_values(["y", "odd", "i", "c"], kind="stable").reset_index(drop=True)  # the order of arrival must not matter
     rng = np.random.default_rng(seed)
     languages = sorted(sample["y"].unique())
     y = sample["y"].map({k: n for n, k in enumerate(languages)}).to_numpy()
     rows = [(np.frombuffer(i, "<u2"), np.frombuffer(c, "<u2")) for i, c in zip(sample["i"], sample["c"], strict=True)]
+    back, odd = sample["back"].to_numpy(bool), sample["odd"].to_numpy(bool)
     del sample
-    order = rng.permutation(len(rows))
-    check, train = order[::5], np.array([j for n, j in enumerate(order) if n % 5 or len(order) < 10])
+    train, check, none = np.flatnonzero(~back), np.flatnonzero(back & ~odd), np.flatnonzero(odd)
+    if len(train) < 10 or len(set(y[train])) < len(languages):  # too few rows to keep any back
+        train = np.flatnonzero(~odd)
+        check = check if len(check) else train
 
     def dense(part: np.ndarray) -> np.ndarray:
         x = np.zeros((len(part), buckets), np.float32)
@@ -165,17 +186,32 @@ def fit(sample: pd.DataFrame, buckets: int, dim: int = 16, epochs: int = 12, rat
             out -= rate * d_out / np.sqrt(g_out)
             bias -= rate * p.sum(0)
     model = LanguageModel(languages, emb @ out, bias)
-    z = np.concatenate([dense(part) @ model.logits for part in np.array_split(check, max(1, len(check) // 64))]) + bias
-    z -= z.max(1, keepdims=True)
 
-    def loss(t: float) -> float:
-        return float(np.mean(np.log(np.exp(z / t).sum(1)) - z[np.arange(len(check)), y[check]] / t))
+    def margins(part: np.ndarray) -> np.ndarray:
+        if not len(part):
+            return np.zeros((0, len(languages)))
+        return np.concatenate([dense(some) @ model.logits for some in np.array_split(part, max(1, len(part) // 64))]).astype(float)
+
+    real, unreal = margins(check), margins(none)
+    pairs = [(j, k) for j, k in zip(range(len(check)), rng.permutation(len(check)), strict=True) if y[check[j]] != y[check[k]]]
+    mixed = np.array([(real[j] + real[k]) / 2 for j, k in pairs]).reshape(-1, len(languages))
 
-    model.temperature = float(min(np.geomspace(1, 8, 41), key=loss))
-    p = np.exp(z / model.temperature)
-    p /= p.sum(1, keepdims=True)
-    right = p.max(1)[p.argmax(1) == y[check]]
-    model.threshold = float(min(SURE, np.quantile(right, 0.002))) if len(right) else 0.0
+    def odds(z: np.ndarray, t: float) -> np.ndarray:
+        z = (z + bias) / t
+        p = np.exp(z - z.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
+
+    def loss(t: float) -> float:
+        own = -np.log(np.maximum(odds(real, t)[np.arange(len(real)), y[check]], 1e-12)).mean()
+        return float(own - (np.log(np.maximum(odds(unreal, t), 1e-12)).mean() if len(unreal) else 0.0))
+
+    model.temperature = float(min(np.geomspace(0.25, 16, 61), key=loss))
+    sure = {name: surety(odds(z, model.temperature)) for name, z in (("real", real), ("unreal", unreal), ("mixed", mixed)) if len(z)}
+    if "unreal" in sure:
+        tries = np.unique(np.concatenate([sure["real"], sure["unreal"]]))
+        wrong = [(sure["real"] < t).mean() + (sure["unreal"] >= t).mean() for t in tries]
+        bounds = [np.quantile(x, REFUSED) - 3 * x.std() / len(x) ** 0.5 for x in (sure[name] for name in ("real", "mixed") if name in sure)]
+        model.threshold = float(min(tries[int(np.argmin(wrong))], *bounds))
     return model
 
 
@@ -184,16 +220,16 @@ def train(docs: DataFrame, buckets: int = 1 << 14, per_language: int = 600, modu
 
 
 def predictor(model: LanguageModel, text: str = "text"):
-    """A column expression: struct(lang_pred, score) of a text column."""
+    """A column expression: struct(lang_pred, score, sure) of a text column."""
     buckets = 0 if model.logits is None else len(model.logits)
     logits = None if model.logits is None else model.logits.astype(np.float64)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, sure double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in texts:
-            names, scores = [], []
+            names, scores, sures = [], [], []
             for x in series:
-                name, score = UNKNOWN, 0.0
+                name, score, sure = UNKNOWN, 0.0, 0.0
                 if x and buckets:
                     z, n = np.zeros(logits.shape[1]), 0
                     for ids in gram_ids(x, buckets):
@@ -206,27 +242,25 @@ def predictor(model: LanguageModel, text: str = "text"):
                         p = np.exp(z - z.max())
                         p /= p.sum()
                         k = int(p.argmax())
-                        name, score = model.languages[k], float(p[k])
+                        name, score, sure = model.languages[k], float(p[k]), float(surety(p))
                 names.append(name)
                 scores.append(score)
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+                sures.append(sure)
+            yield pd.DataFrame({"lang_pred": names, "score": scores, "sure": sures})
 
     return predict(F.col(text))
 
 
 def identify(docs: DataFrame, model: LanguageModel | None = None, modulus: int = 3, held: int = 1) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row."""
+    """doc_id, held_out, lang_pred, score and accepted (a language, with a surety at or over the threshold) of every row."""
     model = model or train(docs, modulus=modulus, held=held)
-    return small_batches(docs).select(
-        "doc_id",
-        F.coalesce(id_bucket("doc_id", modulus) == held, F.lit(True)).alias("held_out"),
-        predictor(model).alias("p"),
-    ).select("doc_id", "held_out", "p.lang_pred", "p.score")
+    rated = small_batches(docs).select("doc_id", F.coalesce(id_bucket("doc_id", modulus) == held, F.lit(True)).alias("held_out"), predictor(model).alias("p"))
+    return rated.select("doc_id", "held_out", "p.lang_pred", "p.score", ((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.sure") >= model.threshold)).alias("accepted"))
 
 
 def reject(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
-    """The rows whose language is recognised with a score at or over the calibrated threshold; all columns stay."""
+    """The rows whose language is recognised with a surety at or over the calibrated threshold; all columns stay."""
     model = model or train(docs)
-    mark = "__lang_prediction"
-    kept = small_batches(docs).withColumn(mark, predictor(model)).where((F.col(f"{mark}.lang_pred") != UNKNOWN) & (F.col(f"{mark}.score") >= model.threshold))
+    mark = fresh(docs, "__lang_prediction")
+    kept = small_batches(docs).withColumn(mark, predictor(model)).where((F.col(f"{mark}.lang_pred") != UNKNOWN) & (F.col(f"{mark}.sure") >= model.threshold))
     return kept.select(*docs.columns)
