@@ -133,3 +133,22 @@ def test_linking_matches_all_pairs():
         hit |= {e for e in weak if e[0] == "endpoint" and any(meet(e, h) for h in hit)}
         got = secrets.linked(text, strong, weak)
         assert set(got) <= set(weak) and set(got) == {p for p in hit if p in weak}, text
+
+
+def test_time_grows_with_the_spans_of_one_text(spark):
+    import time
+
+    def seconds(find, text):
+        docs = documents(spark, [(1, text)]).coalesce(1)
+        began = time.time()
+        found = find(docs).collect()
+        return time.time() - began, found
+
+    address = "me%d@mail.example.org or 10.0.0.%d then login: user%d secret: k%07dx\n"
+    text = lambda n: "".join(address % (k, k % 256, k, k) for k in range(n))
+    for find, few, many in ((lambda d: pii.digest(pii.find(d)), 4_000, 16_000), (lambda d: secrets.digest(secrets.scan(d)), 8_000, 32_000)):
+        seconds(find, text(100))
+        a, _ = seconds(find, text(few))
+        b, found = seconds(find, text(many))
+        assert b < 8 * a + 4, (a, b)  # four times the spans
+        assert len(found[0].spans.split(",")) >= many
