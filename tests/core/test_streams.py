@@ -49,12 +49,15 @@ def test_month_stream_gives_each_changed_month(spark, tmp_path):
     rows = rows.withColumns({c: F.timestamp_micros(c) for c in ("created", "modified")})
     batch = aggregates.month_rollup(rows).select("channel", F.date_format("month", "yyyy-MM"), "n", micros("newest")).collect()
     assert {(r[0], r[1]): (r[2], r[3]) for r in batch} == latest
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")  # the caller's session stays
 
 
-def test_month_upserts_keep_the_newest(spark, tmp_path):
+def test_month_upserts_keep_the_newest(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "COMPACT", 2)
     streams.month_upserts(feed(spark, tmp_path), f"{tmp_path}/store", f"{tmp_path}/ck2").awaitTermination(180)
     store = SnapshotStore(spark, f"{tmp_path}/store")
-    rows = store.read("messages", store.published()).collect()
+    rows = streams.messages_now(store).collect()
+    assert store.tables()["messages"] == [1] and store.tables()["changes"] == [0, 1, 2]
     assert sorted((r.id, r.modified) for r in rows) == [(1, day(1, 5)), (2, day(2, 4)), (3, day(2, 3)), (4, day(3, 1)), (8, day(2, 4)), (9, day(2, 1))]
 
 

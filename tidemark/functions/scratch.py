@@ -32,3 +32,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def in_own_session(df: DataFrame, options: dict[str, str]) -> DataFrame:
+    """df in a copy of its session that has some options besides; the caller's session stays as it is."""
+    spark = df.sparkSession
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    for key, value in options.items():
+        own.conf.set(key, value)
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.logicalPlan()), own)
