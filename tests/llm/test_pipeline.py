@@ -36,6 +36,28 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r.doc_id for r in pieces} == set(seen["decontamination"])
 
 
+def test_odd_rows_pass_through_all_stages(spark, tmp_path):
+    rng = random.Random(8)
+    words = ["the", "of", "and", "then", "there", "with", "which", "shall"]
+    said = lambda n: " ".join(rng.choice(words) + rng.choice(["", "er", "en", "ing"]) for _ in range(n))
+    other = lambda n: " ".join(rng.choice(["der", "die", "und", "nicht", "sich"]) + rng.choice(["", "en", "ung"]) for _ in range(n))
+    rows = [(i, said(50) if i % 2 else other(50), "en" if i % 2 else "de") for i in range(100)]
+    odd = [(None, said(50), "en"), (None, said(50), "en"), (7, said(50), "en"), (7, rows[7][1], "en"), (300, None, None), (301, "", "en"), (302, "?!", "de"), (303, said(30_000), "en")]
+    docs = documents(spark, rows + odd, ["__row", "__gone", "__gone_id", "__n_removed", "__lang_prediction", "score"])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "never met " * 5), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, at, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        at = spark.read.parquet(f"{tmp_path}/{name}")
+        assert at.columns == docs.columns
+    kept = at.collect()
+    assert sum(r.doc_id is None for r in kept) == 2 and {303} | set(range(100)) - {7} <= {r.doc_id for r in kept} and not {300, 301, 302} & {r.doc_id for r in kept}
+    bare = at.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, bare, str(tmp_path)).count() == 0
+
+
 def test_every_operator_has_its_query():
     names = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11)) and "pipeline" in names

@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, modulus: in
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "q": batch["q"], "f": [indicators(x).astype("<u2").tobytes() for x in batch["x"]]})
 
-    sample = texts.mapInPandas(build, "id long, q int, f binary").toPandas().sort_values("id", kind="stable")
+    sample = texts.mapInPandas(build, "id long, q int, f binary").groupBy("id", "q").agg(F.min("f").alias("f")).toPandas().sort_values("id", kind="stable")  # rows that share an id count once
     rows = [np.frombuffer(f, "<u2").astype(np.int64) for f in sample["f"]]
     return fit(rows, np.where(sample["q"].to_numpy() == 1, 1, -1), {q: counts.get(q, 0) / total for q in (0, 1)})
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.scratch import materialize, shared_dir
+from tidemark.functions.scratch import in_own_session, materialize, shared_dir
 
 __all__ = ["fresh", "heavy", "id_bucket", "keyed", "materialize", "salted_join", "session_conf", "shared_dir", "side", "small_batches", "table"]
 
@@ -107,12 +107,9 @@ def small_batches(df: DataFrame, rows: int = TEXT_ROWS) -> DataFrame:
     The caller's session stays as it is, and sizes that a user has chosen hold.  MIXED_ROWS is for plans that also stream
     many narrow rows.
     """
-    spark = df.sparkSession
-    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
-    for option, usual, wanted in (("spark.sql.execution.arrow.maxRecordsPerBatch", 10000, rows), ("spark.sql.parquet.columnarReaderBatchSize", 4096, COLUMN_ROWS)):
-        if own.conf.get(option, str(usual)) in (str(usual), str(TEXT_ROWS), str(MIXED_ROWS)):
-            own.conf.set(option, str(wanted))
-    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.logicalPlan()), own)
+    sizes = {("spark.sql.execution.arrow.maxRecordsPerBatch", 10000): rows, ("spark.sql.parquet.columnarReaderBatchSize", 4096): COLUMN_ROWS}
+    free = {key: str(n) for (key, usual), n in sizes.items() if df.sparkSession.conf.get(key, str(usual)) in (str(usual), str(TEXT_ROWS), str(MIXED_ROWS))}
+    return in_own_session(df, free)
 
 
 def id_bucket(column: str, modulus: int) -> Column:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import fresh, materialize, session_conf, side, small_batches
+from tidemark.llm.runtime import fresh, heavy, materialize, salted_join, session_conf, side, small_batches
 
 SEED = 42
 #: The least Jaccard similarity of near copies in the pipeline.
@@ -214,12 +214,12 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     prints = materialize(fingerprints(docs, words), "prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     roots = components(links(distinct, radius))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return salted_join(prints, of, ["fp"], heavy(distinct, ["fp"], prints.count())).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -333,7 +333,7 @@ def similar_groups(docs: DataFrame, words: int, tile: int = 1 << 15, tile_hashes
     named = small_batches(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     heads = materialize(named.select("doc_id", head_of("text").alias("h")).select("doc_id", "h.*"), "heads")
     prints = [F.get("print", F.lit(k)).alias(f"w{k}") for k in range(WIDTH)]
-    sets = materialize(heads.groupBy("sid").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("print").alias("print")).select("sid", "first", "n", *prints), "sets")
+    sets = materialize(heads.groupBy("sid").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("print").alias("print"), F.count("*").alias("rows")).select("sid", "first", "n", "rows", *prints), "sets")
     pairs = tile_pairs(sets, size_cell(F.col("n")), ["sid", "n", *[f"w{k}" for k in range(WIDTH)]], cells_in_reach, tile)
     clusters = materialize(components(compared(pairs, wide_forest, 4)), "clusters")
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root")).distinct().join(sets.select(F.col("sid").alias("node"), "first", "n"), "node")
@@ -346,7 +346,7 @@ def similar_groups(docs: DataFrame, words: int, tile: int = 1 << 15, tile_hashes
     linked = components(materialize(met.applyInPandas(join_tiles, "u long, v long"), "similar"))
     rooted = sets.select("sid", "first").join(linked.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
     of = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("sid", "component_id")
-    return heads.select("doc_id", "sid").join(of, "sid").select("doc_id", "component_id")
+    return salted_join(heads.select("doc_id", "sid"), of, ["sid"], heavy(sets, ["sid"], heads.count(), "rows")).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:

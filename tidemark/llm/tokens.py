@@ -53,7 +53,7 @@ class Encoder:
         added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
         words = {w: i for w, i in model.get("vocab", {}).items() if w not in added}
         usual = (
-            model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and spec.get("normalizer") is None
+            model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec.get("normalizer") is None
             and not model.get("byte_fallback") and not model.get("ignore_merges")
             and not any(a.get("lstrip") or a.get("rstrip") or a.get("single_word") for a in spec.get("added_tokens", []))
             and all(c in letters for w in words for c in w)
