@@ -3,10 +3,11 @@
 import io
 import struct
 import zipfile
+import zlib
 
 import pytest
 
-from tidemark.operators import converters, office
+from tidemark.operators import converters, office, pdf
 
 
 def pack(parts):
@@ -105,6 +106,33 @@ def test_message():
         office.from_message("m.msg", b"no")
 
 
+def written(*bodies, trailer=b"/Root 1 0 R"):
+    return b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k, b) for k, b in enumerate(bodies, 1)) + b"trailer\n<< " + trailer + b" >>\n%%EOF"
+
+
+def flowing(data, more=b""):
+    z = zlib.compress(data)
+    return b"<< /Filter /FlateDecode %s /Length %d >>\nstream\n%s\nendstream" % (more, len(z), z)
+
+
+def test_pdf():
+    cmap = b"1 beginbfchar <0001> <00480069> endbfchar 1 beginbfrange <0010> <0012> <0061> endbfrange"
+    first = flowing(b"BT /F1 12 Tf 10 700 Td (A first \\(line\\)) Tj 0 -14 Td [(of sec) -20 (ond) -400 (text)] TJ T* (caf\\351) ' ET")
+    second = flowing(b"BT /F2 9 Tf 1 0 0 1 5 60 Tm <0001> Tj <00100011> Tj ET")
+    inner = b"9 0 10 30 " + b"<< /Type /Page /Parent 2 0 R >>".ljust(30) + b"(x)"
+    held = flowing(inner, b"/Type /ObjStm /N 2 /First 10")
+    data = written(
+        b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R 4 0 R 9 0 R] /Resources << /Font << /F1 5 0 R /F2 6 0 R >> >> >>",
+        b"<< /Type /Page /Contents [7 0 R] /Annots [<< /Subtype /Text /Contents (a note) >>] >>", b"<< /Type /Page /Contents 8 0 R >>", b"<< /Type /Font /Subtype /Type1 >>",
+        b"<< /Type /Font /Subtype /Type0 /ToUnicode 11 0 R >>", first, second, b"null", b"null", flowing(cmap), held, trailer=b"/Root 1 0 R /Info << /Title (T) >>",
+    )
+    data = data.replace(b"9 0 obj\nnull\nendobj\n", b"", 1)
+    (u,) = pdf.from_pdf("f.pdf", data)
+    assert u["title"] == "T" and u["body"] == "## Page 1\n\nA first (line)\nof second text\ncafé\n\n> a note\n\n## Page 2\n\nHiab\n[page 2 may hold a picture of its text]\n\n## Page 3\n\n[page 3 may hold a picture of its text]\n"
+    with pytest.raises(ValueError, match="encrypted"):
+        pdf.from_pdf("f.pdf", written(b"null", trailer=b"/Encrypt 5 0 R"))
+
+
 def test_conversion_of_bytes_and_bad_files(spark):
     files = [("a.xlsx", workbook()), ("b.docx", b"PK\x03\x04 broken"), ("c.csv", "\n".join(f"{k},x" for k in range(500)).encode()), ("d.htm", b"<html><head><title>T</title><body><p>Hello world")]
     rows = converters.convert(spark.createDataFrame([(n, n, bytearray(d)) for n, d in files], "path string, name string, content binary")).collect()
@@ -112,3 +140,14 @@ def test_conversion_of_bytes_and_bad_files(spark):
     assert got["a.xlsx", "00-index"].status == "ok" and got["b.docx", None].status == "failed"
     assert got["c.csv", "whole.csv"].kind == "sidecar" and got["c.csv", "whole.csv"].body.count("\n") == 500 and "299 more rows" in got["c.csv", "whole"].body
     assert (got["d.htm", "whole"].title, got["d.htm", "whole"].body) == ("T", "Hello world\n")
+
+
+def test_engines_are_optional_and_their_version_is_in_the_key(spark):
+    files = spark.createDataFrame([("p.png", "p.png", bytearray(b"pixels")), ("r.mp4", "r.mp4", bytearray(b"sound"))], "path string, name string, content binary")
+    without = {r.path: (r.status, r.action_key) for r in converters.convert(files).collect()}
+    assert without["p.png"][0] == without["r.mp4"][0] == "refused"
+    engines = {"image": ("ocr@3", lambda data: [data.decode(), " "]), "recording": ("speech@1", lambda data: [(299_000, 301_000, "Ann", "hello"), (301_500, 302_000, "Ann", "again"), (900_000, 901_000, "", "bye")])}
+    got = {(r.path, r.unit_id): r for r in converters.convert(files, engines=engines).collect()}
+    assert got["p.png", "whole"].body == "pixels\n" and got["p.png", "whole"].action_key != without["p.png"][1]
+    assert got["r.mp4", "00-index"].kind == "index" and {u for p, u in got if p == "r.mp4"} == {"00-index", "w001", "w002", "w004"}
+    assert got["r.mp4", "w002"].body == "[00:04:59] Ann: hello again\n" and got["r.mp4", "w004"].body == "[00:15:00] ?: bye\n"

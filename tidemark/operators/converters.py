@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.columns import action_key, options_hash, route, token_estimate
 from tidemark.functions.text import decoded
-from tidemark.operators import office
+from tidemark.operators import office, pdf
 
 UNITS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("unit_id", "kind", "title", "body")]))
 OUTCOME = T.StructType([T.StructField("status", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("units", UNITS)])
@@ -30,7 +30,8 @@ Unit = dict[str, str]
 #: Converters by suffix.
 ROUTES = {
     ".txt": "text", ".csv": "table", ".tsv": "table", ".log": "text", ".json": "text", ".xml": "text", ".yaml": "text", ".yml": "text", ".url": "shortcut",
-    ".xlsx": "workbook", ".xlsm": "workbook", ".pptx": "slides", ".potx": "slides", ".docx": "document", ".odt": "document", ".rtf": "rich-text", ".msg": "message",
+    ".xlsx": "workbook", ".xlsm": "workbook", ".pptx": "slides", ".potx": "slides", ".docx": "document", ".odt": "document", ".rtf": "rich-text", ".msg": "message", ".pdf": "pdf",
+    **dict.fromkeys((".png", ".jpg", ".jpeg", ".tif", ".tiff", ".gif", ".bmp"), "image"), **dict.fromkeys((".mp4", ".m4v", ".mov"), "recording"),
     ".md": "markdown", ".markdown": "markdown", ".html": "html", ".htm": "html", ".eml": "mail", ".vtt": "transcript", ".teams.json": "month", ".drawio": "diagram",
 }
 VERSIONS = dict.fromkeys(sorted(set(ROUTES.values())), "1")
@@ -227,33 +228,64 @@ CONVERTERS: dict[str, Callable[[str, str], list[Unit]]] = {
 
 #: Converters of bytes that are no text.
 BINARY: dict[str, Callable[[str, bytes], list[Unit]]] = {
-    "workbook": office.from_workbook, "slides": office.from_slides, "document": office.from_document, "rich-text": office.from_rich_text, "message": office.from_message,
+    "workbook": office.from_workbook, "slides": office.from_slides, "document": office.from_document, "rich-text": office.from_rich_text, "message": office.from_message, "pdf": pdf.from_pdf,
 }
 
 
-@F.pandas_udf(OUTCOME)
-def converted(names: pd.Series, kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
-    """Status, reason and units of each file; one bad file is a row, never a failed task."""
-    rows = []
-    for name, kind, data in zip(names, kinds, contents, strict=True):
-        if kind is None or kind not in CONVERTERS and kind not in BINARY:
-            rows.append(("refused", "no converter", []))
-            continue
-        if kind in BINARY and data is not None and len(data):
-            try:
-                rows.append(("ok", None, BINARY[kind](name, bytes(data))))
-            except Exception as e:  # noqa: BLE001  the file's fault is its own outcome
-                rows.append(("failed", f"{type(e).__name__}: {e}"[:200], []))
-            continue
-        text = decoded(bytes(data)) if data is not None and len(data) else None
-        if text is None:
-            rows.append(("unreadable", "empty" if data is None or not len(data) else "binary content", []))
-            continue
-        try:
-            rows.append(("ok", None, CONVERTERS[kind](name, text)))
-        except Exception as e:  # noqa: BLE001  the file's fault is its own outcome
-            rows.append(("failed", f"{type(e).__name__}: {e}"[:200], []))
-    return pd.DataFrame(rows, columns=["status", "reason", "units"])
+WINDOW_MS = 300_000
+
+
+def from_image(name: str, data: bytes, read: Callable[[bytes], list[str]]) -> list[Unit]:
+    """The lines that an engine reads in a picture."""
+    lines = [x for x in read(data) if x.strip()]
+    return [unit("\n".join(lines) or "[no text in the picture]", name)]
+
+
+def from_recording(name: str, data: bytes, read: Callable[[bytes], list[tuple[int, int, str, str]]]) -> list[Unit]:
+    """An index, and a unit for each window of five minutes with the turns that an engine hears; a turn over a boundary is in both."""
+    turns = joined_turns(sorted(read(data), key=lambda c: c[0]))
+    windows: dict[int, list[str]] = {}
+    for a, b, who, words in turns:
+        for k in range(a // WINDOW_MS, max(a, b - 1) // WINDOW_MS + 1):
+            windows.setdefault(k, []).append(f"[{clock(a)}] {who or '?'}: {words}")
+    speakers = list(dict.fromkeys(who for _, _, who, _ in turns if who))
+    index = [f"# {name}", f"{len(turns)} turns, {len(windows)} windows, speakers: {', '.join(speakers) or 'unknown'}", *(f"- {clock(k * WINDOW_MS)}: {len(x)} turns" for k, x in sorted(windows.items()))]
+    return [unit("\n".join(index), name, "00-index", "index"), *(unit("\n".join(x), f"{name} {clock(k * WINDOW_MS)}", f"w{k + 1:03d}", "window") for k, x in sorted(windows.items()))]
+
+
+#: Kinds that need an engine handed in, and the form of what it gives.
+WITH_ENGINE = {"image": from_image, "recording": from_recording}
+Engines = dict[str, tuple[str, Callable]]
+
+
+def outcome(name: str, kind: str | None, data: bytes | None, engines: Engines) -> tuple[str, str | None, list[Unit]]:
+    """Status, reason and units of one file; its own faults are outcomes."""
+    if kind is None or kind not in CONVERTERS and kind not in BINARY and kind not in WITH_ENGINE:
+        return "refused", "no converter", []
+    if not data:
+        return "unreadable", "empty", []
+    if kind in WITH_ENGINE and kind not in engines:
+        return "refused", f"no engine for {kind}", []
+    try:
+        if kind in WITH_ENGINE:
+            return "ok", None, WITH_ENGINE[kind](name, data, engines[kind][1])
+        if kind in BINARY:
+            return "ok", None, BINARY[kind](name, data)
+        text = decoded(data)
+        return ("unreadable", "binary content", []) if text is None else ("ok", None, CONVERTERS[kind](name, text))
+    except Exception as e:  # noqa: BLE001  the file's fault is its own outcome
+        return "failed", f"{type(e).__name__}: {e}"[:200], []
+
+
+def converted(engines: Engines):
+    """The converters as a function of columns (name, kind, content); one bad file is a row, never a failed task."""
+
+    @F.pandas_udf(OUTCOME)
+    def each(names: pd.Series, kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
+        rows = [outcome(n, k, None if c is None else bytes(c), engines) for n, k, c in zip(names, kinds, contents, strict=True)]
+        return pd.DataFrame(rows, columns=["status", "reason", "units"])
+
+    return each
 
 
 @F.pandas_udf(T.StringType())
@@ -262,23 +294,26 @@ def canonical_sha256(contents: pd.Series) -> pd.Series:
     return contents.map(lambda data: None if data is None else office.canonical_hash(bytes(data)))
 
 
-def planned(files: DataFrame) -> DataFrame:
-    """files (path, name, content) with converter, canonical hash and action key."""
+def planned(files: DataFrame, engines: Engines | None = None) -> DataFrame:
+    """files (path, name, content) with converter, canonical hash and action key; an engine's version is part of the key."""
     kind = route("name", ROUTES)
     version = F.lit("1")
+    for name in WITH_ENGINE:
+        version = F.when(kind == name, F.lit(f"1+{(engines or {}).get(name, ('unavailable',))[0]}")).otherwise(version)
     hashed = files.withColumn("canonical_sha256", canonical_sha256("content"))
     key = action_key(F.coalesce(kind, F.lit("none")), version, options_hash({"rows": F.lit("200")}), F.lit("whole"), F.col("canonical_sha256"))
     return hashed.withColumns({"converter_id": kind, "action_key": key})
 
 
-def convert(files: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+def convert(files: DataFrame, cache: DataFrame | None = None, engines: Engines | None = None) -> DataFrame:
     """path, action_key, status, reason, unit_id, kind, title, body, tokens: one row a unit (or one for a file without).
 
-    cache: action_key and the rest of these; files whose key it has are not converted.
+    cache: action_key and the rest of these; files whose key it has are not converted.  engines: by kind (image, recording)
+    a version and a function of bytes, to lines of text or to cues (start_ms, end_ms, speaker, words).
     """
-    rows = planned(files)
+    rows = planned(files, engines)
     todo = rows if cache is None else rows.join(cache.select("action_key").distinct(), "action_key", "left_anti")
-    once = todo.dropDuplicates(["action_key"]).select("action_key", converted("name", "converter_id", "content").alias("c"))
+    once = todo.dropDuplicates(["action_key"]).select("action_key", converted(engines or {})("name", "converter_id", "content").alias("c"))
     units = once.select("action_key", "c.status", "c.reason", F.explode_outer("c.units").alias("u")).select("action_key", "status", "reason", "u.*")
     served = units if cache is None else units.unionByName(cache.select(*units.columns))
     return rows.select("path", "action_key").join(served, "action_key").withColumn("tokens", token_estimate("body"))
