@@ -7,15 +7,16 @@ at the same place, so each repeat is seen at one, and nothing is lost.
 
 1. Anchors (a map): hash of the gram at the anchor, digest of its whole context (the bytes from which any string of
    ``length`` around the anchor is made), document, place.
-   Repeats of a context among the anchors that a task holds at a time are known there, so they are dealt evenly and not by their gram.
-2. One shuffle by gram hash, sorted, to tasks whose number follows the bytes of the texts.  A stream over each partition drops grams that occur once.  Anchors whose whole
-   context stood earlier are settled there, as equal contexts are one suffix; the first of each context goes on if its
-   gram has other contexts too.  The stream holds one row at a time, whatever the size of a group of copies.
-3. Suffix sort of those.  Each task sorts its suffixes into runs, front-codes them (length of the prefix shared with the
-   one before, and the rest), and deals the runs to ranges of the gram hash; each range merges its runs by a loser tree
-   that knows for each contender how much it shares with the last winner and compares bytes beyond that only.  A range
-   holds about ``RANGE`` suffixes, by count; a gram with more than ``HOT`` contexts leaves the merge, and the strings
-   around its anchors are dealt by their own digests.
+   Repeats of a context among the anchors that a task holds at a time are seen there, so they are dealt evenly and not by their gram.
+2. One shuffle by gram hash, sorted, to tasks whose number follows the bytes of the texts.  A stream over each partition
+   drops grams that occur once, one row at a time, whatever the size of a group of copies.  Hashes and digests only tell
+   what can't be a repeat, and how many contexts a gram has; what goes is decided by bytes.
+3. Suffix sort of what is left.  Each task sorts its suffixes into runs; equal contexts of a run, byte for byte, are one
+   suffix from then on, the earliest, and the others go, dealt evenly.  Runs are front-coded (length of the prefix shared
+   with the one before, and the rest) and dealt to ranges of the gram hash; each range merges its runs by a loser tree that
+   knows for each contender how much it shares with the last winner and compares bytes beyond that only.  A range holds
+   about ``RANGE`` suffixes before copies fall together; a gram with more than ``HOT`` contexts leaves the merge, and the
+   strings around its anchors are dealt by their own digests.
 4. In the merged order, suffixes that share enough to the right are neighbours, and their left contexts, sorted the same
    way, give those that share enough to the left.  For each split of ``length`` between left and right the earliest of a
    class stays and the strings of the others go.
@@ -117,15 +118,16 @@ def anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
         return out[mine]
 
     def repeats_marked(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Of the anchors at hand all but the earliest of a context are repeats, whatever other tasks hold."""
+        """again: a repeat of a context among the anchors at hand; more: one that has or is a repeat, so its gram occurs again."""
         rows = pd.concat(parts, ignore_index=True)
         key = rows["gram"].to_numpy().view(np.uint64) * np.uint64(BASE) + rows["context"].to_numpy().view(np.uint64)
         order = np.lexsort((rows["spot"].to_numpy(), rows["doc"].to_numpy()))
         order = order[np.argsort(key[order], kind="stable")]
-        again = np.zeros(len(rows), bool)
+        again, more = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
         again[order[1:]] = key[order[1:]] == key[order[:-1]]
+        more[order[:-1]] = again[order[1:]]
         deal = np.where(again, mixed(rows["spot"].to_numpy().view(np.uint64) + rows["doc"].to_numpy().view(np.uint64) * np.uint64(BASE)).view(np.int64), rows["gram"])
-        rows = rows.assign(again=again, deal=deal)
+        rows = rows.assign(again=again, more=more | again, deal=deal)
         for k in range(0, len(rows), SLICE):
             yield rows.iloc[k : k + SLICE]
 
@@ -153,46 +155,37 @@ def anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
         if parts:
             yield from repeats_marked(parts)
 
-    return texts.select("doc", "text").mapInPandas(scan, "gram long, context long, doc long, spot long, again boolean, deal long")
+    return texts.select("doc", "text").mapInPandas(scan, "gram long, context long, doc long, spot long, again boolean, more boolean, deal long")
 
 
-def settled(found: DataFrame, length: int) -> DataFrame:
-    """done, gram, doc, spot or stretch: repeats of a whole context as stretches, and the first of contexts to sort."""
-
-    def done(doc: np.ndarray, spot: np.ndarray) -> pd.DataFrame:
-        place, left, right = spot >> 16, spot >> 8 & 255, spot & 255
-        ok = left + right >= length
-        return pd.DataFrame({"done": True, "gram": 0, "doc": doc[ok], "spot": ((place - left) << 32 | (place + right))[ok]})
+def recurring(found: DataFrame) -> DataFrame:
+    """gram, doc, spot and new (the first of its context here) of the anchors whose gram occurs more than once."""
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head, sent = None, False  # the first row of the current context, and whether it has gone on
+        columns = ("gram", "context", "doc", "spot", "more")
+        held = None  # the last row, and whether it is new and its gram was there before
         for batch in batches:
             known = batch["again"].to_numpy(bool)
             if known.any():
-                yield done(batch["doc"].to_numpy(np.int64)[known], batch["spot"].to_numpy(np.int64)[known])
+                yield batch.loc[known, ["gram", "doc", "spot"]].assign(new=False)
                 batch = batch[~known]
-            g, c, d, s = (batch[k].to_numpy(np.int64) for k in ("gram", "context", "doc", "spot"))
+            g, c, d, s, more = (batch[k].to_numpy() for k in columns)
             if not len(g):
                 continue
-            held = head is not None
-            if held:
-                g, c, d, s = (np.concatenate([[x], y]) for x, y in zip(head, (g, c, d, s), strict=True))
-            same_gram = np.concatenate([[False], g[1:] == g[:-1]])
-            again = same_gram & np.concatenate([[False], c[1:] == c[:-1]])
-            heads = np.flatnonzero(~again)
-            further = np.flatnonzero(same_gram[heads])  # contexts that are not the first of their gram
-            send = np.zeros(len(g), bool)
-            send[heads[further]] = True
-            send[heads[further[further > 0] - 1]] = True
-            was_sent = held and sent
-            if was_sent:
-                send[0] = False
-            yield done(d[again], s[again])
-            yield pd.DataFrame({"done": False, "gram": g[send], "doc": d[send], "spot": s[send]})
-            h = heads[-1]
-            head, sent = (g[h], c[h], d[h], s[h]), bool(send[h]) or (h == 0 and was_sent)
-
-    return found.mapInPandas(stream, "done boolean, gram long, doc long, spot long")
+            if held is not None:
+                g, c, d, s, more = (np.concatenate([[x], y]) for x, y in zip(held[0], (g, c, d, s, more), strict=True))
+            as_before = np.concatenate([[False], g[1:] == g[:-1]])
+            new = ~(as_before & np.concatenate([[False], c[1:] == c[:-1]]))
+            if held is not None:
+                new[0], as_before[0] = held[1]
+            keep = as_before | more.astype(bool)
+            keep[:-1] |= as_before[1:]
+            yield pd.DataFrame({"gram": g[:-1], "doc": d[:-1], "spot": s[:-1], "new": new[:-1]})[keep[:-1]]
+            held = (g[-1], c[-1], d[-1], s[-1], more[-1]), (bool(new[-1]), bool(as_before[-1]))
+        if held is not None and (held[1][1] or held[0][4]):
+            yield pd.DataFrame({"gram": [held[0][0]], "doc": [held[0][2]], "spot": [held[0][3]], "new": [held[1][0]]})
+
+    return found.mapInPandas(stream, "gram long, doc long, spot long, new boolean")
 
 
 def common(a: bytes, b: bytes, known: int) -> int:
@@ -276,22 +269,51 @@ def loser_tree_merge(runs: list[Run]) -> Iterator[tuple[int, bytes, int]]:
         top = now
 
 
+def collapsed(keys: list[bytes], lefts: list[bytes], docs: list[int], spots: list[int]) -> tuple[list[int], list[list[int]]]:
+    """Places in sorted order of keys, once for each context (suffix and what stands left of it), the earliest; and beside
+    each the places of its repeats."""
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    firsts, repeats, at = [], [], 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and keys[order[end]] == keys[order[at]]:
+            end += 1
+        if end == at + 1:
+            firsts.append(order[at])
+            repeats.append([])
+        else:
+            same: dict[tuple[bytes, int], list[int]] = {}
+            for i in sorted(order[at:end], key=lambda i: (docs[i], spots[i])):
+                same.setdefault((lefts[i], int(spots[i]) >> 8 & 255), []).append(i)
+            firsts += [group[0] for group in same.values()]
+            repeats += [group[1:] for group in same.values()]
+        at = end
+    return firsts, repeats
+
+
 def sorted_runs(texts: DataFrame, firsts: DataFrame, length: int, gram: int, ranges: int) -> DataFrame:
-    """One row per task batch and range: a front-coded run of the suffixes, with what each needs for step 4."""
+    """One row per task batch and range: a front-coded run of the suffixes, with what each needs for step 4; and one row per
+    batch, under a range of its own (below 0), for the repeats.  part deals the rows to as many tasks as there are ranges."""
+
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        own = -1 - (TaskContext.get().partitionId() << 20)
         keys, docs, spots, lefts = [], [], [], []
+        longs = lambda values: np.array(values, np.int64).tobytes()
 
         def flush() -> pd.DataFrame:
-            order = sorted(range(len(keys)), key=keys.__getitem__)
+            order, repeats = collapsed(keys, lefts, docs, spots)
             top = [int.from_bytes(keys[i][:8], "big") * ranges >> 64 for i in order]
             cuts = [0, *(i for i in range(1, len(order)) if top[i] != top[i - 1]), len(order)]
             rows = []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 part = order[a:b]
-                rows.append(
-                    (top[a], *front_coded([keys[i] for i in part]), np.array([docs[i] for i in part], np.int64).tobytes(), np.array([spots[i] for i in part], np.int64).tobytes(), b"".join(lefts[i] for i in part))
-                )
-            return pd.DataFrame(rows, columns=["range", "shared", "sizes", "rests", "docs", "spots", "lefts"])
+                rows.append((top[a], *front_coded([keys[i] for i in part]), longs([docs[i] for i in part]), longs([spots[i] for i in part]), b"".join(lefts[i] for i in part)))
+            if gone := [i for some in repeats for i in some]:
+                rows.append((own, b"", b"", b"", longs([docs[i] for i in gone]), longs([spots[i] for i in gone]), b""))
+            out = pd.DataFrame(rows, columns=["range", "shared", "sizes", "rests", "docs", "spots", "lefts"])
+            return out.assign(part=(out["range"] % ranges).astype("int32"))
 
         for batch in batches:
             for doc, text, gs, ss in zip(batch["doc"], batch["text"], batch["grams"], batch["spots"], strict=True):
@@ -305,14 +327,20 @@ def sorted_runs(texts: DataFrame, firsts: DataFrame, length: int, gram: int, ran
                 if len(keys) >= 200_000:
                     yield flush()
                     keys, docs, spots, lefts = [], [], [], []
+                    own -= 1
         if keys:
             yield flush()
 
-    return anchored_texts(texts, firsts).mapInPandas(build, "range int, shared binary, sizes binary, rests binary, docs binary, spots binary, lefts binary")
+    return anchored_texts(texts, firsts).mapInPandas(build, "range long, shared binary, sizes binary, rests binary, docs binary, spots binary, lefts binary, part int")
 
 
 def judged(rows: pd.DataFrame, length: int, gram: int) -> pd.DataFrame:
-    """Stretches to remove (doc, spot) among the suffixes of one range."""
+    """Stretches to remove (doc, spot) among the suffixes of one range, or of repeats: all that their contexts hold."""
+    if rows["range"].iloc[0] < 0:
+        doc, at = (np.concatenate([np.frombuffer(x, np.int64) for x in rows[k]]) for k in ("docs", "spots"))
+        back, ahead = at >> 8 & 255, at & 255
+        whole = back + ahead >= length
+        return pd.DataFrame({"doc": doc[whole], "spot": (((at >> 16) - back) << 32 | ((at >> 16) + ahead))[whole]})
     runs = [Run(a, b, c) for a, b, c in zip(rows["shared"], rows["sizes"], rows["rests"], strict=True)]
     docs = [np.frombuffer(x, np.int64) for x in rows["docs"]]
     spots = [np.frombuffer(x, np.int64) for x in rows["spots"]]
@@ -394,10 +422,10 @@ def stretches(texts: DataFrame, n_bytes: int, length: int, gram: int) -> DataFra
     found = anchored(texts, length, gram)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // TASK_BYTES))
     dealt = found.repartition(n, "deal").sortWithinPartitions("again", "gram", "context", "doc", "spot")
-    known = materialize(settled(dealt, length), "settled")
-    firsts = known.where(~F.col("done")).select("gram", "doc", "spot")
-    hot = firsts.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("gram")
-    hot = materialize(hot, "hot")  # at most one gram for HOT anchors
+    known = materialize(recurring(dealt), "recurring")
+    firsts = known.select("gram", "doc", "spot")
+    hot = known.where("new").groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("gram")
+    hot = materialize(hot, "hot")  # at most one gram for HOT contexts
     if hot.limit(1).count():
         wide = firsts.join(hot, "gram", "left_semi")
         firsts = firsts.join(hot, "gram", "left_anti")
@@ -406,8 +434,8 @@ def stretches(texts: DataFrame, n_bytes: int, length: int, gram: int) -> DataFra
         by_window = None
     ranges = max(1, -(-firsts.count() // RANGE))
     runs = sorted_runs(texts, firsts, length, gram, ranges)
-    merged = runs.repartitionById(ranges, F.col("range")).groupBy("range").applyInPandas(lambda rows: judged(rows, length, gram), "doc long, spot long")
-    out = known.where("done").select("doc", "spot").unionByName(materialize(merged, "merged"))
+    merged = runs.repartitionById(ranges, F.col("part")).groupBy("part", "range").applyInPandas(lambda rows: judged(rows, length, gram), "doc long, spot long")
+    out = materialize(merged, "merged")
     return out if by_window is None else out.unionByName(by_window)
 
 
