@@ -10,8 +10,8 @@ from tidemark.plans.registry import query, table
 
 EDGES = """SELECT concat('topics/', CAST(doc_id % 60 AS STRING), '.md') AS page, CASE WHEN doc_id % 50 = 0 THEN '' ELSE concat('mirror/', CAST(doc_id AS STRING), '.md') END AS source,
   CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 11 = 0 THEN 'abc' WHEN doc_id % 3 = 0 THEN SHA(concat(text, 'old')) ELSE SHA(text) END AS pinned_sha,
-  CAST(CASE WHEN doc_id % 23 = 0 THEN 2 ELSE 4 END AS INT) AS fields FROM documents WHERE doc_id % 2 = 0"""
-HEADS = "SELECT concat('mirror/', CAST(doc_id AS STRING), '.md') AS source, SHA(text) AS sha, CASE WHEN doc_id % 13 = 0 THEN 'deleted' WHEN doc_id % 17 = 0 THEN 'unreadable' ELSE 'current' END AS status FROM documents WHERE doc_id % 19 <> 0"
+  CAST(CASE WHEN doc_id % 23 = 0 THEN 2 ELSE 4 END AS INT) AS fields FROM documents"""
+HEADS = "SELECT concat(CASE WHEN doc_id % 19 = 0 THEN 'gone/' ELSE 'mirror/' END, CAST(doc_id AS STRING), '.md') AS source, SHA(text) AS sha, CASE WHEN doc_id % 13 = 0 THEN 'deleted' WHEN doc_id % 17 = 0 THEN 'unreadable' ELSE 'current' END AS status FROM documents"
 
 
 def duck(text: str) -> str:

@@ -111,21 +111,24 @@ def classify_h2(spark, sf_dir):
     return classify.classify_output(run(OUT_OLD), run(OUT_NEW))
 
 
+#: Vanished rows: some stood at other paths; and a second row for each, few of them at the path of the first.
+SAVED = {**standin.STORED, "rel_path": "concat(lang, '/f', CAST(doc_id % 10 AS STRING), '/', CAST(doc_id AS STRING), CASE WHEN doc_id % 3 = 0 THEN '-was' ELSE '' END, '.txt')"}
+TWINS = {**standin.STORED, "rel_path": "concat(lang, '/f', CAST(doc_id % 10 AS STRING), '/', CAST(doc_id AS STRING), CASE WHEN doc_id % 4 = 0 THEN '' ELSE '-twin' END, '.txt')"}
 RENUMBERED = {**standin.OBSERVED, "stable_id": "concat('n', CAST(doc_id AS STRING))", "rel_path": standin.STORED["rel_path"]}
 
 
 @query(
-    f"""WITH created AS ({standin.sql(RENUMBERED, "doc_id % 5 = 0")}), missing AS ({standin.sql(standin.STORED, "doc_id % 5 = 0 AND doc_id % 15 <> 0")} UNION ALL
-  SELECT {", ".join((("concat('x', CAST(doc_id AS STRING))" if n == "stable_id" else e) + " AS " + n) for n, e in standin.STORED.items())} FROM documents WHERE doc_id % 20 = 0),
+    f"""WITH created AS ({standin.sql(RENUMBERED, "true")}), missing AS ({standin.sql(SAVED, "true")} UNION ALL
+  SELECT {", ".join((("concat('x', CAST(doc_id AS STRING))" if n == "stable_id" else e) + " AS " + n) for n, e in TWINS.items())} FROM documents),
   olds AS (SELECT *, rank() OVER (PARTITION BY source_id, rel_path ORDER BY last_seen_run DESC) AS k FROM missing WHERE NOT is_dir AND state <> 'tombstone'),
   one AS (SELECT source_id, rel_path, min(stable_id) AS old_id FROM olds WHERE k = 1 GROUP BY ALL HAVING count(*) = 1)
   SELECT c.source_id, c.stable_id AS new_id, o.old_id FROM created c JOIN one o USING (source_id, rel_path) WHERE NOT c.is_dir AND NOT c.deleted AND c.stable_id <> o.old_id"""
 )
 def safe_save_pairs(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    created = d.where("doc_id % 5 = 0").selectExpr(*[f"{e} AS {n}" for n, e in RENUMBERED.items()])
-    twins = d.where("doc_id % 20 = 0").selectExpr(*[f"{e} AS {n}" for n, e in standin.STORED.items()]).withColumn("stable_id", F.regexp_replace("stable_id", "^d", "x"))
-    missing = d.where("doc_id % 5 = 0 AND doc_id % 15 <> 0").selectExpr(*[f"{e} AS {n}" for n, e in standin.STORED.items()]).unionByName(twins)
+    created = d.selectExpr(*[f"{e} AS {n}" for n, e in RENUMBERED.items()])
+    twins = d.selectExpr(*[f"{e} AS {n}" for n, e in TWINS.items()]).withColumn("stable_id", F.regexp_replace("stable_id", "^d", "x"))
+    missing = d.selectExpr(*[f"{e} AS {n}" for n, e in SAVED.items()]).unionByName(twins)
     return classify.safe_saves(created, missing)
 
 
@@ -327,11 +330,11 @@ def cache_gc(spark, sf_dir):
 
 @query(
     f"""{CTES} SELECT i.stable_id, min(s.source_id) AS twin_source, arg_min(s.stable_id, (s.source_id, s.stable_id)) AS twin_id
-  FROM (SELECT concat('in', CAST(doc_id AS STRING)) AS stable_id, md5(lower(text)) AS h FROM documents WHERE doc_id % 9 = 1) i
+  FROM (SELECT concat('in', CAST(doc_id AS STRING)) AS stable_id, md5(lower(text)) AS h FROM documents) i
   JOIN stored s ON s.canonical_sha256 = i.h AND s.state IN ('live', 'dataless') GROUP BY 1"""
 )
 def inbox_duplicates(spark, sf_dir):
-    inbox = table(spark, sf_dir, "documents").where("doc_id % 9 = 1").selectExpr("concat('in', doc_id) AS stable_id", "md5(lower(text)) AS canonical_sha256")
+    inbox = table(spark, sf_dir, "documents").selectExpr("concat('in', doc_id) AS stable_id", "md5(lower(text)) AS canonical_sha256")
     return joins.inbox_duplicates_by_content(inbox, sides(spark, sf_dir)[1])
 
 

@@ -46,14 +46,14 @@ def hard_links(spark, sf_dir):
 
 
 @query(
-    "WITH n AS (SELECT concat('in', CAST(doc_id AS STRING)) AS stable_id, lower(concat('note', CAST(doc_id % 41 AS STRING), '.txt')) AS k, n_chars % 7 AS size FROM documents WHERE doc_id % 5 = 0), "
-    "l AS (SELECT lower(concat('note', CAST(doc_id % 41 AS STRING), '.txt')) AS k, n_chars % 7 AS size, (source, concat('d', CAST(doc_id AS STRING))) AS id FROM documents WHERE doc_id % 5 = 1) "
+    "WITH n AS (SELECT concat('in', CAST(doc_id AS STRING)) AS stable_id, lower(concat('note', CAST(doc_id % 41 AS STRING), '.txt')) AS k, n_chars % 7 AS size FROM documents), "
+    "l AS (SELECT lower(concat('note', CAST(doc_id % 41 AS STRING), '.txt')) AS k, n_chars % 7 AS size, (source, concat('d', CAST(doc_id AS STRING))) AS id FROM documents) "
     "SELECT n.stable_id, min(id)[1] AS twin_source, min(id)[2] AS twin_id FROM n JOIN l USING (k, size) GROUP BY 1"
 )
 def inbox_duplicates_by_name(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    inbox = d.where("doc_id % 5 = 0").selectExpr("concat('in', doc_id) AS stable_id", "concat('Note', doc_id % 41, CASE WHEN doc_id % 2 = 0 THEN ' (1)' ELSE ' - Copy' END, '.txt') AS name", "n_chars % 7 AS size")
-    items = d.where("doc_id % 5 = 1").selectExpr("source AS source_id", "concat('d', doc_id) AS stable_id", "concat('note', doc_id % 41, '.TXT') AS name", "n_chars % 7 AS size", "'live' AS state", "false AS is_dir")
+    inbox = d.selectExpr("concat('in', doc_id) AS stable_id", "concat('Note', doc_id % 41, CASE WHEN doc_id % 2 = 0 THEN ' (1)' ELSE ' - Copy' END, '.txt') AS name", "n_chars % 7 AS size")
+    items = d.selectExpr("source AS source_id", "concat('d', doc_id) AS stable_id", "concat('note', doc_id % 41, '.TXT') AS name", "n_chars % 7 AS size", "'live' AS state", "false AS is_dir")
     return joins.inbox_duplicates_by_name(inbox, items)
 
 
@@ -110,11 +110,11 @@ def recent_changes(spark, sf_dir):
 
 
 @query(
-    "WITH p AS (SELECT lang AS \"group\", source AS area, concat('p', CAST(doc_id AS STRING)) AS path, substr(text, 1, 60) AS title FROM documents), a AS (SELECT \"group\", area, count(*) AS lines, CAST(sum(strlen(title) + strlen(path) + 8) AS BIGINT) AS bytes FROM p GROUP BY 1, 2) SELECT *, lines > 12 OR bytes > 1500 AS split FROM a"
+    "WITH p AS (SELECT lang AS \"group\", source AS area, concat('p', CAST(doc_id AS STRING)) AS path, text AS title FROM documents), a AS (SELECT \"group\", area, count(*) AS lines, CAST(sum(strlen(title) + strlen(path) + 8) AS BIGINT) AS bytes FROM p GROUP BY 1, 2) SELECT *, lines > 12 OR bytes > 30000 AS split FROM a"
 )
 def index_areas(spark, sf_dir):
-    p = table(spark, sf_dir, "documents").selectExpr("lang AS group", "source AS area", "concat('p', doc_id) AS path", "substr(text, 1, 60) AS title")
-    return aggregates.index_areas(p, 12, 1500)
+    p = table(spark, sf_dir, "documents").selectExpr("lang AS group", "source AS area", "concat('p', doc_id) AS path", "text AS title")
+    return aggregates.index_areas(p, 12, 30000)
 
 
 @query("SELECT source AS source_id, sha256(string_agg(concat(CAST(doc_id AS STRING), ' ', sha256(text), chr(10)), '' ORDER BY CAST(doc_id AS STRING))) AS digest FROM documents GROUP BY 1")
@@ -149,11 +149,11 @@ def live_action_keys(spark, sf_dir):
     return aggregates.live_action_keys(*derived(spark, sf_dir, OUTPUTS))
 
 
-@query(f"{CTES}, o AS ({OUTPUTS}) SELECT concat('mirror/', source, '/', CAST(doc_id AS STRING), '.MD') AS page FROM documents WHERE doc_id % 2 = 0 AND lower(concat('mirror/', source, '/', CAST(doc_id AS STRING), '.MD')) NOT IN (SELECT lower(output_path) FROM o WHERE CAST(substr(action_key, 2) AS BIGINT) % 3 <> 0)")
+@query(f"{CTES}, o AS ({OUTPUTS}) SELECT concat('mirror/', source, '/', CAST(doc_id AS STRING), '-x.MD') AS page FROM documents WHERE doc_id % 3 = 0")
 def orphan_pages(spark, sf_dir):
     (o,) = derived(spark, sf_dir, OUTPUTS)
-    pages = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").selectExpr("concat('mirror/', source, '/', doc_id, '.MD') AS page")
-    return joins.orphan_pages(pages, o.where("CAST(substr(action_key, 2) AS BIGINT) % 3 <> 0"))
+    pages = table(spark, sf_dir, "documents").selectExpr("concat('mirror/', source, '/', doc_id, CASE WHEN doc_id % 3 = 0 THEN '-x' ELSE '' END, '.MD') AS page")
+    return joins.orphan_pages(pages, o)
 
 
 @query(

@@ -128,12 +128,12 @@ def citation_findings(spark, sf_dir):
 
 
 @query(
-    "WITH c AS (SELECT doc_id AS page, lang AS recording, doc_id % 12 AS \"window\", doc_id * 3 % 300 AS second, source AS channel FROM documents WHERE doc_id % 2 = 0), l AS (SELECT DISTINCT lang AS recording, doc_id % 12 AS \"window\", doc_id * 3 % 300 + CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 4 END AS second, source AS channel FROM documents WHERE doc_id % 2 = 0), "
+    "WITH c AS (SELECT doc_id AS page, lang AS recording, doc_id % 12 AS \"window\", doc_id * 3 % 300 AS second, source AS channel FROM documents), l AS (SELECT DISTINCT lang AS recording, doc_id % 12 AS \"window\", doc_id * 3 % 300 + CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 4 END AS second, source AS channel FROM documents), "
     "f AS (SELECT c.*, EXISTS (SELECT 1 FROM l WHERE l.recording = c.recording AND l.\"window\" = c.\"window\" AND l.second = c.second AND l.channel = c.channel) AS found FROM c) "
     "SELECT f.*, CASE WHEN NOT found THEN (SELECT arg_min(l.second, (abs(l.second - f.second), l.second)) FROM l WHERE l.recording = f.recording AND l.channel = f.channel AND abs(l.second - f.second) <= 10) END AS hint FROM f"
 )
 def resolved_citations(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 2 = 0")
+    d = table(spark, sf_dir, "documents")
     cites = d.selectExpr("doc_id AS page", "lang AS recording", "doc_id % 12 AS window", "doc_id * 3 % 300 AS second", "source AS channel")
     lines = d.selectExpr("lang AS recording", "doc_id % 12 AS window", "doc_id * 3 % 300 + CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 4 END AS second", "source AS channel")
     return joins.resolved_citations(cites, lines)
@@ -161,24 +161,24 @@ def determinism_findings(spark, sf_dir):
 
 
 @query(
-    "WITH w AS (SELECT source AS base, doc_id AS place FROM documents WHERE doc_id % 4 = 0), t AS (SELECT DISTINCT source AS id FROM documents WHERE doc_id % 3 = 0 UNION SELECT DISTINCT concat(source, '-4') FROM documents WHERE doc_id % 15 = 0), "
+    "WITH w AS (SELECT source AS base, doc_id AS place FROM documents), t AS (SELECT DISTINCT source AS id FROM documents WHERE doc_id % 3 = 0 UNION SELECT DISTINCT concat(source, '-4') FROM documents WHERE doc_id % 15 = 0), "
     "u AS (SELECT regexp_extract(id, '^(.*?)(?:-([0-9]+))?$', 1) AS base, coalesce(TRY_CAST(regexp_extract(id, '-([0-9]+)$', 1) AS INT), 1) AS k FROM t), m AS (SELECT base, max(k) AS top FROM u GROUP BY 1), "
     "n AS (SELECT w.*, row_number() OVER (PARTITION BY w.base ORDER BY place) + coalesce(top, 0) AS k FROM w LEFT JOIN m USING (base)) SELECT base, place, CASE WHEN k = 1 THEN base ELSE base || '-' || CAST(k AS STRING) END AS id FROM n"
 )
 def unique_names(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     taken = d.where("doc_id % 3 = 0").selectExpr("source AS id").union(d.where("doc_id % 15 = 0").selectExpr("concat(source, '-4') AS id")).distinct()
-    return joins.unique_names(d.where("doc_id % 4 = 0").selectExpr("source AS base", "doc_id AS place"), taken)
+    return joins.unique_names(d.selectExpr("source AS base", "doc_id AS place"), taken)
 
 
 @query(
-    "WITH a AS (SELECT doc_id AS place, source AS line FROM documents WHERE doc_id < 200), b AS (SELECT doc_id AS place, concat(source, CASE WHEN doc_id % 2 = 0 THEN '' ELSE lang END) AS line FROM documents WHERE doc_id >= 100) "
+    "WITH a AS (SELECT doc_id AS place, source AS line FROM documents), b AS (SELECT doc_id AS place, concat(source, CASE WHEN doc_id % 2 = 0 THEN '' ELSE lang END) AS line FROM documents) "
     "SELECT line, CAST(1 AS INT) AS side, place FROM a UNION ALL SELECT line, 2, min(place) FROM b WHERE line NOT IN (SELECT line FROM a) GROUP BY line"
 )
 def merged_log(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    first = d.where("doc_id < 200").selectExpr("doc_id AS place", "source AS line")
-    second = d.where("doc_id >= 100").selectExpr("doc_id AS place", "concat(source, CASE WHEN doc_id % 2 = 0 THEN '' ELSE lang END) AS line")
+    first = d.selectExpr("doc_id AS place", "source AS line")
+    second = d.selectExpr("doc_id AS place", "concat(source, CASE WHEN doc_id % 2 = 0 THEN '' ELSE lang END) AS line")
     return joins.merged_log(first, second)
 
 
