@@ -88,3 +88,41 @@ def test_rank_encoder_is_in_use_and_equal():
     for _ in range(300):
         t = "".join(chr(rng.choice([32, 10, 9, 39, 65, 97, 115, 233, 0x4E2D, 0x1F600, 48, 33, 0x300])) for _ in range(rng.randint(0, 60)))
         assert e.ids(t).tolist() == e.plain.encode(t, add_special_tokens=False).ids
+
+
+def fewest(sizes, capacity):
+    """The least number of sequences, by trying all ways."""
+    best = [len(sizes)]
+
+    def place(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(rooms)
+            return
+        for i in range(len(rooms)):
+            if rooms[i] >= sizes[k] and rooms[i] not in rooms[:i]:
+                place(k + 1, [*rooms[:i], rooms[i] - sizes[k], *rooms[i + 1 :]])
+        place(k + 1, [*rooms, capacity - sizes[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_plans_beside_the_fewest_sequences():
+    rng = random.Random(12)
+    over = 0
+    for _ in range(150):
+        sizes = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 11))), reverse=True)
+        counts = {s: sizes.count(s) for s in set(sizes)}
+        n, least = legal(packing.plan(counts, 20), counts, 20), fewest(sizes, 20)
+        assert least <= n <= least + 1
+        over += n - least
+    assert over <= 15
+
+
+def test_ids_of_whole_documents(spark):
+    encoder = tokens.encoder(tokens.default_path())
+    assert encoder.ranked is not None
+    for (text,) in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").where("text is not null").collect():
+        assert encoder.ids(text).tolist() == encoder.plain.encode(text, add_special_tokens=False).ids
