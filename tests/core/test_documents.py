@@ -155,9 +155,10 @@ def test_holds_erasure_and_retention(spark):
     assert [r.scope for r in holds.collect()] == ["s2"]
     history = spark.createDataFrame([("s1", "1", "p"), ("s1", "2", "p"), ("s2", "3", "p"), ("s1", "4", "z")], "source_id string, stable_id string, path string")
     items = history.select("source_id", "stable_id").distinct()
-    left, gone, settled = governance.erase({"items": items}, history, spark.createDataFrame([("1",)], "stable_id string"), holds)
-    assert settled and {r.stable_id for r in gone.collect()} == {"1", "2"} and {r.stable_id for r in left["items"].collect()} == {"3", "4"}
-    assert governance.survivors(left, gone).count() == 0 and governance.survivors({"items": items}, gone).first().n == 2
+    left, gone = governance.erase({"items": items}, history, spark.createDataFrame([("s1", "1")], "source_id string, stable_id string"), holds)
+    assert {r.stable_id for r in gone.collect()} == {"1", "2"} and {r.stable_id for r in left["items"].collect()} == {"3", "4"}
+    paths, others = history.where("source_id = 's1' and path = 'p'").select("source_id", "path").distinct(), history.where("stable_id in ('3', '4')").select("path")
+    assert governance.survivors(left, gone, paths, others).count() == 0 and governance.survivors({"items": items}, gone, paths, others).first().n == 2
     snaps = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-10"), (3, "2024-02-20")], "run_id bigint, day string").withColumn("day", F.to_date("day"))
     kept = {r.run_id: (r.keep, r.state) for r in governance.retained(snaps, F.lit("2024-03-01").cast("date")).collect()}
     assert kept == {1: (False, "overdue"), 2: (True, "overdue"), 3: (True, "overdue")}
