@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.session import _monkey_patch_RDD
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,7 @@ def in_own_session(df: DataFrame, options: dict[str, str]) -> DataFrame:
     """df in a copy of its session that has some options besides; the caller's session stays as it is."""
     spark = df.sparkSession
     own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    _monkey_patch_RDD(spark)  # a new session takes RDD.toDF over: it is the caller's again
     for key, value in options.items():
         own.conf.set(key, value)
     return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.logicalPlan()), own)
