@@ -101,15 +101,15 @@ def keyed(docs: DataFrame, key: str) -> tuple[DataFrame, bool]:
 TEXT_ROWS, MIXED_ROWS, COLUMN_ROWS = 1000, 4000, 512
 
 
-def small_batches(df: DataFrame, rows: int = TEXT_ROWS) -> DataFrame:
+def small_batches(df: DataFrame, rows: int = TEXT_ROWS, tidy: bool = False) -> DataFrame:
     """df in a session of its own whose Arrow and column batches have fewer rows than the engine's defaults.
 
     The caller's session stays as it is, and sizes that a user has chosen hold.  MIXED_ROWS is for plans that also stream
-    many narrow rows.
+    many narrow rows.  tidy removes the shuffle files of a job when it ends, for plans of several written steps.
     """
     sizes = {("spark.sql.execution.arrow.maxRecordsPerBatch", 10000): rows, ("spark.sql.parquet.columnarReaderBatchSize", 4096): COLUMN_ROWS}
     free = {key: str(n) for (key, usual), n in sizes.items() if df.sparkSession.conf.get(key, str(usual)) in (str(usual), str(TEXT_ROWS), str(MIXED_ROWS))}
-    return in_own_session(df, free)
+    return in_own_session(df, free | {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} if tidy else free)
 
 
 def id_bucket(column: str, modulus: int) -> Column:

@@ -442,7 +442,7 @@ def stretches(texts: DataFrame, n_bytes: int, length: int, gram: int) -> DataFra
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, the removed runs (begin and end in turn), the digest of the bytes kept and, if
     asked for, those bytes, for every row."""
-    picked = small_batches(docs, MIXED_ROWS).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    picked = small_batches(docs, MIXED_ROWS, tidy=True).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts, single = keyed(picked, "doc")
     n_bytes = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     gone = stretches(texts if single else texts.dropDuplicates(["doc"]), n_bytes, length, gram).groupBy(F.col("doc").alias("of")).agg(F.collect_set("spot").alias("spots"))  # those of one text
