@@ -69,6 +69,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import target_encoding
+
+    return target_encoding.shop_rates(*[table(spark, sf_dir, t) for t in ("sale_lines", "sales", "items", "vendors", "clients")])
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,10 +82,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op3_quality, op4_pii, op5_simhash, op6_neighbours, op7_language_id, op8_secrets, op9_suffix_dedup, op10_line_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op3_quality, op4_pii, op5_simhash, op6_neighbours, op7_language_id, op8_secrets, op9_suffix_dedup, op10_line_dedup, op13_target_encoding, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidemark.llm import decontamination, line_dedup
+    from tidemark.llm import decontamination, line_dedup, target_encoding
 
-    return {"op2_decontamination": decontamination.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op2_decontamination": decontamination.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL, "op13_target_encoding": target_encoding.ORACLE_SQL}
