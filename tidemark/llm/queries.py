@@ -75,6 +75,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.digest(table(spark, sf_dir, "conversations"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import target_encoding
 
@@ -88,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op3_quality, op4_pii, op5_simhash, op6_neighbours, op7_language_id, op8_secrets, op9_suffix_dedup, op10_line_dedup, op11_conversation_repair, op13_target_encoding, pipeline)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op3_quality, op4_pii, op5_simhash, op6_neighbours, op7_language_id, op8_secrets, op9_suffix_dedup, op10_line_dedup, op11_conversation_repair, op12_minhash, op13_target_encoding, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
