@@ -13,15 +13,15 @@ Similarity groups (the pipeline's stage) use the same comparison over wide finge
 set of five-word shingles, whose differing bits tell a Jaccard similarity of SIMILAR from an unrelated text.  Two sets of
 that similarity differ in a share of 0.157 of the bits at most (0.19 for sets of up to FEW shingles), so radii at four
 standard deviations above lose about one link in ten thousand at the very threshold and none much above.  Tiles hold sets of like sizes, as sets
-whose sizes differ by more than the similarity allows can't be linked.  What is linked is then verified exactly: the shingle
-sets of a candidate cluster meet in pairs of tiles.
+whose sizes differ by more than the similarity allows can't be linked.  What is linked is then confirmed on whole sets (``jaccard``).
 
 Shuffled: one narrow row per fingerprint, the tiles (eight bytes a word for each tile they meet), the forests; for similarity
-groups the shingle sets of candidate clusters.
+groups the shingle sets of candidates.
 
 Defined results: null or empty text has no shingle and fingerprint zero, linked like any other; a text with fewer words
 than a shingle is one shingle; repeated rows each get their row; a null id takes no part in the smallest id of its
-component; an empty table gives no rows; extra columns are ignored.
+component; an empty table gives no rows; extra columns are ignored; very long texts are met whole, their hashes (eight bytes a word)
+held one text at a time.
 """
 
 from __future__ import annotations
@@ -31,34 +31,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import fresh, heavy, materialize, salted_join, session_conf, side, small_batches
+from tidemark.llm.jaccard import PERCENT, TILE_HASHES, components, exact_components, hook, set_digest, shingle_hashes, shingle_set
+from tidemark.llm.runtime import fresh, heavy, keyed, materialize, salted_join, session_conf, side, small_batches
 
-SEED = 42
 #: The least Jaccard similarity of near copies in the pipeline.
-SIMILAR = 0.8
+SIMILAR = PERCENT / 100
 WIDTH = 4
 FEW = 5
 #: Most bits that may differ in the first word and in all, for sets of up to FEW shingles and for larger ones.
 NEAR_BITS = {True: (25, 76), False: (22, 64)}
-#: Hashes of the shingle sets in a tile of a candidate cluster.
-TILE_HASHES = 200_000
-
-
-def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, ASCII white space only
-    if not parts:
-        return np.zeros(0, np.uint64)
-    line, digest = b" ".join(parts), xxhash.xxh64_intdigest
-    if len(parts) <= words:
-        return np.array([digest(line, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
-    begins = (ends - np.fromiter(map(len, parts), np.int64, len(parts)) - 1).tolist()
-    stops = (ends - 1).tolist()
-    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(begins, stops[words - 1 :], strict=False)), np.uint64, len(parts) - words + 1)
 
 
 def fingerprint(hashes: np.ndarray, step: int = 1 << 14) -> int:
@@ -80,20 +64,6 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), print_of(F.col("text").cast("string")).alias("fp"))
 
 
-def hook(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Join the trees of u[k] and v[k] in a forest of labels; every label ends at its root."""
-    while True:
-        a, b = label[u], label[v]
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        apart = low != high
-        if not apart.any():
-            return label
-        u, v = u[apart], v[apart]
-        np.minimum.at(label, high[apart], low[apart])
-        while (label[label] != label).any():
-            label = label[label]
-
-
 def tile_forest(a: np.ndarray, b: np.ndarray, radius: int, buffer: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
     """Edges (child, root) of a spanning forest of the links within radius between two tiles of unsigned numbers."""
 
@@ -158,17 +128,17 @@ def tile_pairs(rows: DataFrame, cell: Column, values: list[str], reach: Callable
     )
 
 
-def compared(pairs: DataFrame, forest: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], batch: int) -> DataFrame:
-    """u and v of the forests of all pairs of tiles."""
+def compared(pairs: DataFrame, forest: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]], batch: int, schema: str = "u long, v long") -> DataFrame:
+    """What ``forest`` makes of all pairs of tiles."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for x, y in zip(rows["left"], rows["right"], strict=True):
-                u, v = forest(np.asarray(x, np.int64), np.asarray(y, np.int64))
-                yield pd.DataFrame({"u": u, "v": v})
+                found = forest(np.asarray(x, np.int64), np.asarray(y, np.int64))
+                yield pd.DataFrame({c.split()[0]: values for c, values in zip(schema.split(", "), found, strict=True)})
 
     with session_conf(pairs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(batch)):
-        return materialize(pairs.mapInPandas(compare, "u long, v long"), "links")
+        return materialize(pairs.mapInPandas(compare, schema), "links")
 
 
 def links(distinct: DataFrame, radius: int, tile: int = 1 << 15) -> DataFrame:
@@ -177,40 +147,6 @@ def links(distinct: DataFrame, radius: int, tile: int = 1 << 15) -> DataFrame:
     return compared(pairs, lambda x, y: tile_forest(x.view(np.uint64), y.view(np.uint64), radius), 16)
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
-    """node, root of every node of the edges, by alternating large-star and small-star contraction.
-
-    A star step carries one row per edge and groups by node with a minimum only; the join back has one row per node on
-    its other side, so a hub can be split by the engine.
-    """
-
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
-        if large:
-            near = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        else:
-            near = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        joined = near.join(least, "u")
-        if large:
-            out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            out = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.where("u <> m").select("u", F.col("m").alias("v")))
-        return out.where("u <> v").distinct()
-
-    def mark(pairs: DataFrame) -> tuple:
-        return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    now = edges.where("u <> v").distinct()
-    before = None
-    for _ in range(limit):
-        now = materialize(star(star(now, True), False), "stars")
-        after = mark(now)
-        if after == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = after
-    raise RuntimeError("star contraction did not settle")
-
-
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     prints = materialize(fingerprints(docs, words), "prints")
@@ -222,10 +158,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     return salted_join(prints, of, ["fp"], heavy(distinct, ["fp"], prints.count())).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, words))
-
-
 def wide_print(hashes: np.ndarray) -> list[int]:
     """WIDTH words of majority bits, each over the hashes mixed in its own way."""
     out = []
@@ -237,16 +169,17 @@ def wide_print(hashes: np.ndarray) -> list[int]:
     return out
 
 
-def wide_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the sets in two tiles whose wide prints and sizes may belong to similar sets.
+def wide_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (u, v, weight) between sets in two tiles whose wide prints and sizes may belong to similar sets.
 
-    A tile is rows of (set, size, print) end to end.  The first words are compared for all pairs of like sizes, the others
-    for those that pass.
+    A tile is rows of (node, size, print) end to end.  The first words are compared for all pairs of like sizes, the others
+    for those that pass.  The edges are a spanning forest of all candidates (weight 0), and for each set the nearest one of lesser node.
     """
     a, b = (x.reshape(-1, 2 + WIDTH) for x in (a, b))
     a, b = (x[np.argsort(x[:, 1], kind="stable")] for x in (a, b))
-    sids, size = np.concatenate([a[:, 0], b[:, 0]]), b[:, 1]
+    nodes, size = np.concatenate([a[:, 0], b[:, 0]]), b[:, 1]
     left, right, label = np.ascontiguousarray(a[:, 2:].T).view(np.uint64), np.ascontiguousarray(b[:, 2:].T).view(np.uint64), np.arange(len(a) + len(b))
+    best = np.full(len(nodes), 1 << 62)
     at = 0
     while at < len(a):
         n = a[at, 1]
@@ -259,13 +192,20 @@ def wide_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i, j = i + at, j + low
         apart = np.bitwise_count(left[:, i] ^ right[:, j]).sum(0, dtype=np.int64)
         small, large = np.minimum(a[i, 1], size[j]), np.maximum(a[i, 1], size[j])
-        ok = (apart <= most) & (small >= SIMILAR * large - 1e-9) & (sids[i] != sids[j + len(a)])
+        ok = (apart <= most) & (small >= SIMILAR * large - 1e-9) & (nodes[i] != nodes[j + len(a)])
         if ok.any():
-            label = hook(label, i[ok], j[ok] + len(a))
+            i, j, apart = i[ok], j[ok] + len(a), apart[ok]
+            label = hook(label, i, j)
+            later = np.where(nodes[i] > nodes[j], i, j)
+            np.minimum.at(best, later, (apart << 32) | (i + j - later))
         at = end
     child = np.flatnonzero(label != np.arange(len(label)))
-    child = child[sids[child] != sids[label[child]]]
-    return sids[child], sids[label[child]]
+    child = child[nodes[child] != nodes[label[child]]]
+    near = np.flatnonzero(best < 1 << 62)
+    partner = best[near] & 0xFFFFFFFF
+    return (
+        np.concatenate([nodes[child], nodes[near]]), np.concatenate([nodes[label[child]], nodes[partner]]), np.concatenate([np.zeros(len(child), np.int64), 1 + 64 * WIDTH - (best[near] >> 32)])
+    )
 
 
 def size_cell(n: Column) -> Column:
@@ -280,85 +220,36 @@ def cells_in_reach(cell: int) -> range:
     return range(cell, (int(most) if most < 33 else 33 + int(math.log(most / 33) / math.log(1.05))) + 2)
 
 
-def similar_labels(sizes: np.ndarray, hashes: np.ndarray, step: int = 32) -> np.ndarray:
-    """For each set the first one linked to it by a Jaccard similarity of SIMILAR or more; hashes holds one set after the other.
+def similar_groups(named: DataFrame, key: str, words: int, tile: int = 1 << 15, tile_hashes: int = TILE_HASHES) -> DataFrame:
+    """``key`` and first, the least key of its group, of the rows of named (key, text), linked where sets of word shingles have a Jaccard similarity of SIMILAR or more.
 
-    Sets are compared with all others through the hashes that they share; when all are linked no more need be compared.
-    """
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    _, name = np.unique(hashes, return_inverse=True)
-    order = np.argsort(name, kind="stable")
-    holders, ends = owner[order], np.cumsum(np.bincount(name))
-    begins, stops = np.append(0, ends[:-1]), np.cumsum(sizes)
-    label, us, vs = np.arange(len(sizes)), [], []
-    for k in range(len(sizes)):
-        mine = name[stops[k] - sizes[k] : stops[k]]
-        shared = np.bincount(np.concatenate([holders[begins[x] : ends[x]] for x in mine]), minlength=len(sizes)) if len(mine) else np.zeros(len(sizes), int)
-        near = np.flatnonzero((1 + SIMILAR) * shared >= SIMILAR * (sizes + sizes[k]) - 1e-9)
-        us.append(np.full(len(near), k))
-        vs.append(near)
-        if k % step == 0 or k == len(sizes) - 1:
-            label, us, vs = hook(label, np.concatenate(us), np.concatenate(vs)), [], []
-            if not label.any():
-                break
-    return label
-
-
-def similar_groups(docs: DataFrame, words: int, tile: int = 1 << 15, tile_hashes: int = TILE_HASHES) -> DataFrame:
-    """doc_id, component_id of the rows with an id, linked where sets of word shingles have a Jaccard similarity of SIMILAR or more.
-
-    Equal sets are one.  Their wide fingerprints are compared tile by tile; the sets of a candidate cluster then meet in
-    pairs of tiles, which leave a spanning forest of their exact links.
+    Equal sets are one.  Their wide fingerprints are compared tile by tile; what they link is confirmed on whole sets.
     """
 
-    @F.pandas_udf("sid long, n long, print array<long>")
+    @F.pandas_udf("sid binary, n long, print array<long>")
     def head_of(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t, words) for t in texts]
-        return pd.DataFrame({"sid": [sid_of(x) for x in sets], "n": [len(x) for x in sets], "print": [wide_print(x) for x in sets]})
-
-    @F.pandas_udf("sid long, hashes array<long>")
-    def set_of(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, words) for t in texts]
-        return pd.DataFrame({"sid": [sid_of(x) for x in sets], "hashes": [x.view(np.int64) for x in sets]})
-
-    def sid_of(hashes: np.ndarray) -> int:
-        return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
-
-    def join_tiles(rows: pd.DataFrame) -> pd.DataFrame:
-        sids = rows["sid"].to_numpy(np.int64)
-        label = similar_labels(np.array([len(x) for x in rows["hashes"]]), np.concatenate(rows["hashes"].to_list()))
-        child = np.flatnonzero(label != np.arange(len(label)))
-        return pd.DataFrame({"u": sids[child], "v": sids[label[child]]})
+        return pd.DataFrame({"sid": [set_digest(x) for x in sets], "n": [len(x) for x in sets], "print": [wide_print(x) for x in sets]})
 
-    named = small_batches(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    heads = materialize(named.select("doc_id", head_of("text").alias("h")).select("doc_id", "h.*"), "heads")
+    heads = materialize(named.select(F.col(key).alias("node"), head_of(F.col("text").cast("string")).alias("h")).select("node", "h.*"), "heads")
     prints = [F.get("print", F.lit(k)).alias(f"w{k}") for k in range(WIDTH)]
-    sets = materialize(heads.groupBy("sid").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("print").alias("print"), F.count("*").alias("rows")).select("sid", "first", "n", "rows", *prints), "sets")
-    pairs = tile_pairs(sets, size_cell(F.col("n")), ["sid", "n", *[f"w{k}" for k in range(WIDTH)]], cells_in_reach, tile)
-    clusters = materialize(components(compared(pairs, wide_forest, 4)), "clusters")
-    clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root")).distinct().join(sets.select(F.col("sid").alias("node"), "first", "n"), "node")
-    sizes = clusters.groupBy("root").agg(F.ceil(F.sum("n") / tile_hashes).cast("int").alias("tiles"))
-    placed = clusters.join(sizes, "root").select(F.col("node").alias("sid"), "first", "root", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("t"))
-    placed = materialize(placed, "placed")
-    full = named.join(side(placed.select(F.col("first").alias("doc_id")).distinct()), "doc_id", "left_semi").select(set_of("text").alias("s")).select("s.*")
-    full = full.dropDuplicates(["sid"]).join(placed, "sid")
-    met = full.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).groupBy("root", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"))
-    linked = components(materialize(met.applyInPandas(join_tiles, "u long, v long"), "similar"))
-    rooted = sets.select("sid", "first").join(linked.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
-    of = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("sid", "component_id")
-    return salted_join(heads.select("doc_id", "sid"), of, ["sid"], heavy(sets, ["sid"], heads.count(), "rows")).select("doc_id", "component_id")
+    sets = heads.groupBy("sid").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("print").alias("print"), F.count("*").alias("rows"))
+    sets = materialize(sets.select("sid", "node", "n", "rows", *prints), "sets")
+    pairs = tile_pairs(sets, size_cell(F.col("n")), ["node", "n", *[f"w{k}" for k in range(WIDTH)]], cells_in_reach, tile)
+    edges = compared(pairs, wide_forest, 4, "u long, v long, weight long")
+    linked = exact_components(named, key, words, sets, edges, tile_hashes)
+    of = sets.select("sid", "node").join(linked, "node", "left").select("sid", F.coalesce("root", "node").alias("first"))
+    return salted_join(heads.select(F.col("node").alias(key), "sid"), of, ["sid"], heavy(sets, ["sid"], heads.count(), "rows")).select(key, "first")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
-    """The rows whose id is the least of those linked to it by SIMILAR word shingles; all columns stay; repeated rows of such an id count once.
+    """The first row of each group linked by SIMILAR word shingles, in the order of id (null last) and text; all columns stay.
 
-    Rows without an id can't be told apart afterwards, so all of them stay.
+    Each row is judged by its own text, whatever others have its id; rows that agree in id and text count once.
     """
-    gone_id = fresh(docs, "__gone_id")
-    found = materialize(similar_groups(docs, words), "found")
-    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct(), "gone")
-    again = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    kept = docs.join(side(gone), F.col("doc_id").cast("long") == F.col(gone_id), "left_anti")
-    if not again:
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    key, mark = fresh(docs, "__row"), fresh(docs, "__first")
+    named, apart = keyed(small_batches(docs), key)
+    found = similar_groups(named, key, words).withColumnRenamed("first", mark)
+    gone = materialize(found.where(F.col(key) != F.col(mark)).select(key).distinct(), "gone")
+    kept = named.join(side(gone), key, "left_anti")
+    return (kept if apart else kept.dropDuplicates([key])).select(*docs.columns)
