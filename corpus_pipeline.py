@@ -4,9 +4,9 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that its predecesso
 columns of ``documents``; the last returns packed pieces.
 
 Defined results: a row whose text is null or has no letter goes with the first stage, as no language is recognised.  Rows
-that share an id, or have none, are judged each by its own text; near copies are told apart by id, so rows without one all
-stay in that stage and repeated rows of an id that stays count once.  Very long texts are met whole by every stage.  Extra
-columns stay to the last stage but one, whatever their names; an empty table gives no rows.
+that share an id, or have none, are judged each by its own text in every stage; of rows that agree in id and text the
+near-copy stage keeps one.  Very long texts are met whole by every stage.  Extra columns stay to the last stage but one,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
