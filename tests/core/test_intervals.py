@@ -17,6 +17,28 @@ def test_said_lines_at_the_edges(spark):
     assert got == [("q", 1, 0, 30_000, "x y"), ("q", 1, 30_001, 30_002, "z"), ("r", 1, 0, 2000, "a b"), ("r", 1, 3000, 3100, "c"), ("r", 2, 3200, 8399, "d e."), ("r", 2, 8400, 8403, "f. g")]
 
 
+def test_said_lines_match_a_plain_pass(spark):
+    rng, words = random.Random(12), []
+    for rec in ("a", "b"):
+        t = 0
+        for k in range(400):
+            t += rng.choice([0, 0, 300, 950, 1100, 2500])
+            words.append((rec, t, t + rng.choice([0, 200, 1400, 6000]), rng.choice(["yes", "no.", " so? ", "two  words", "end.\u00a0"]) + rng.choice(["", str(k)]), rng.choice([1, 1, 1, 2])))
+    want = []
+    for rec in ("a", "b"):
+        lines = []
+        for _, a, b, text, voice in sorted(w for w in words if w[0] == rec):
+            now = lines[-1] if lines else None
+            if not now or now["voice"] != voice or now["shut"] or a - now["last"] >= intervals.PAUSE_MS or b - now["first"] > intervals.LONGEST_MS:
+                now = {"voice": voice, "first": a, "last": b, "said": [], "shut": False}
+                lines.append(now)
+            now["last"], now["said"] = max(now["last"], b), [*now["said"], text]
+            now["shut"] = text.rstrip()[-1] in ".?!" and b - now["first"] >= intervals.SENTENCE_MS
+        want += [(rec, x["voice"], x["first"], x["last"], " ".join(" ".join(x["said"]).split())) for x in lines]
+    got = intervals.said_lines(frame(spark, words, "rec string, start_ms bigint, end_ms bigint, text string, voice bigint"), "rec").collect()
+    assert sorted(tuple(r) for r in got) == sorted((r[0], r[1], r[2], r[3], r[4]) for r in want)
+
+
 def test_merge_overlap_and_cover(spark):
     rng = random.Random(5)
     spans = [(g, i, a := rng.randint(0, 400), a + rng.choice([0, 1, 5, 30, 90])) for g in "ab" for i in range(60)]
@@ -106,6 +128,6 @@ def test_trees_with_cycles_and_orphans(spark):
     assert {r.stable_id: r.scope for r in graph.scope_of(tree, root).collect()} == {"r": "inside", "a": "inside", "b": "inside", "c": "unknown", "d": "unknown", "o": "unknown", "x": "outside"}
     commits = frame(spark, [("c3", "c2"), ("c3", "m"), ("c2", "c1"), ("m", "c1"), ("c1", None), ("z", "c1")], "commit string, parent string")
     assert {r.commit for r in graph.ancestor_closure(commits, frame(spark, [("c2",)], "commit string")).collect()} == {"c1", "c2"}
-    history = frame(spark, [("1", "p"), ("2", "p"), ("2", "q"), ("3", "q"), ("4", "z")], "stable_id string, path string")
-    ids, settled = graph.erasure_fixpoint(history, frame(spark, [("1",)], "stable_id string"))
-    assert {r.stable_id for r in ids.collect()} == {"1", "2", "3"} and settled
+    history = frame(spark, [("s", "1", "p"), ("s", "2", "p"), ("s", "2", "q"), ("s", "3", "q"), ("s", "4", "z"), ("t", "5", "p")], "source_id string, stable_id string, path string")
+    ids = graph.erasure_fixpoint(history, frame(spark, [("s", "1")], "source_id string, stable_id string"))
+    assert {tuple(r) for r in ids.collect()} == {("s", "1"), ("s", "2"), ("s", "3")}  # a path of another source doesn't spread

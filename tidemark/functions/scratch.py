@@ -9,16 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.session import _monkey_patch_RDD
 
 
+#: The temporary folder of each local application that names none.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``.  Where it is unset, a local master gets a temporary folder once for the session; a cluster
+    """``spark.checkpoint.dir``.  Where it is unset, a local master gets a temporary folder once for the application; a cluster
     does not, as its executors would write where the driver cannot read."""
-    folder = spark.conf.get("spark.checkpoint.dir", "")
+    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            _LOCAL[app] = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+            spark.sparkContext.setCheckpointDir(_LOCAL[app])
+        folder = _LOCAL[app]
     return folder.rstrip("/")
 
 

@@ -139,29 +139,34 @@ def turns(cues: DataFrame, by: list[str], pause_ms: int = PAUSE_MS) -> DataFrame
 def said_lines(words: DataFrame, by: str) -> DataFrame:
     """Lines of one voice from words (by, start_ms, end_ms, text, voice).
 
-    A line closes on a change of voice, a pause since its latest end, before it would grow too long, and after a sentence
-    end that comes late enough in it.  Where it began decides that, so words are folded in order, a recording at a time.
+    A change of voice, or a pause since all that its stretch has said, ends a line whatever else holds: windows find these stretches.
+    Where the lines inside a stretch end follows from where each began (a pause since the line's own end, a length that would
+    be too great, a sentence end that comes late enough), so a native aggregate folds the stretch's words in order.
     """
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        out, line = [], None
-        for r in group.sort_values(["start_ms", "end_ms", "text", "voice"], kind="stable").itertuples():
-            if line and (r.voice != line["voice"] or r.start_ms - line["end_ms"] >= PAUSE_MS or r.end_ms - line["start_ms"] > LONGEST_MS):
-                out.append(line)
-                line = None
-            if line is None:
-                line = {by: getattr(r, by), "voice": r.voice, "start_ms": r.start_ms, "end_ms": r.end_ms, "text": []}
-            line["end_ms"] = max(line["end_ms"], r.end_ms)
-            line["text"] += r.text.split()
-            if r.text.rstrip().endswith((".", "?", "!")) and r.end_ms - line["start_ms"] >= SENTENCE_MS:
-                out.append(line)
-                line = None
-        if line:
-            out.append(line)
-        return pd.DataFrame([x | {"text": " ".join(x["text"])} for x in out], columns=[by, "voice", "start_ms", "end_ms", "text"])
-
-    kind = dict(words.dtypes)[by]
-    return words.groupBy(by).applyInPandas(fold, f"{by} {kind}, voice bigint, start_ms bigint, end_ms bigint, text string")
+    order = W.partitionBy(by).orderBy("start_ms", "end_ms", "text", "voice")
+    turned = ~F.coalesce(F.lag("voice").over(order) == F.col("voice"), F.lit(False))
+    runs = words.withColumn("__turn", turned.cast("int")).withColumn("__turn", F.sum("__turn").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    spoken = W.partitionBy(by, "__turn").orderBy("start_ms", "end_ms", "text")
+    quiet = F.col("start_ms") - F.max("end_ms").over(spoken.rowsBetween(W.unboundedPreceding, -1)) >= PAUSE_MS
+    runs = runs.withColumn("__part", F.coalesce(quiet, F.lit(False)).cast("int")).withColumn("__part", F.sum("__part").over(spoken.rowsBetween(W.unboundedPreceding, W.currentRow)))
+
+    line = "struct<first:bigint,last:bigint,words:array<string>,full:boolean>"
+
+    def step(lines: Column, w: Column) -> Column:
+        now = F.get(lines, F.size(lines) - 1)
+        more = (w["start_ms"] - now["last"] < PAUSE_MS) & (w["end_ms"] - now["first"] <= LONGEST_MS) & ~now["full"]
+        goes_on = F.coalesce(more, F.lit(False))  # not where there is no line yet
+        first = F.when(goes_on, now["first"]).otherwise(w["start_ms"])
+        last = F.when(goes_on, F.greatest(now["last"], w["end_ms"])).otherwise(w["end_ms"])
+        text = F.when(goes_on, F.concat(now["words"], F.array(w["text"]))).otherwise(F.array(w["text"]))
+        full = w["text"].rlike(r"(?U)[.?!]\s*\z") & (w["end_ms"] - first >= SENTENCE_MS)
+        out = F.struct(first.alias("first"), last.alias("last"), text.alias("words"), full.alias("full")).cast(line)
+        return F.concat(F.when(goes_on, F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines), F.array(out))
+
+    said = runs.groupBy(by, "voice", "__turn", "__part").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "text"))).alias("said"))  # the words of one stretch
+    each = said.select(by, "voice", F.explode(F.aggregate("said", F.array().cast(f"array<{line}>"), step)).alias("x"))
+    text = F.trim(F.regexp_replace(F.array_join("x.words", " "), r"(?U)\s+", " "))
+    return each.select(by, F.col("voice").cast("bigint").alias("voice"), F.col("x.first").alias("start_ms"), F.col("x.last").alias("end_ms"), text.alias("text"))
 
 
 def numbered(words: DataFrame, by: list[str]) -> DataFrame:

@@ -114,7 +114,7 @@ NAMES = "CASE doc_id % 6 WHEN 0 THEN '.hidden' WHEN 1 THEN concat('Report ', CAS
 @query(
     f"""WITH n AS (SELECT doc_id, text, {NAMES} AS name FROM documents) SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens,
   CASE WHEN lower(name) LIKE '%_.teams.json' THEN '.teams.json' ELSE regexp_extract(lower(name), '^.+(\\.[^./]*)$', 1) END AS suffix,
-  CASE doc_id % 6 WHEN 2 THEN 'month' WHEN 3 THEN 'markdown' WHEN 5 THEN 'html' ELSE 'none' END AS converter,
+  CASE doc_id % 6 WHEN 1 THEN 'document' WHEN 2 THEN 'month' WHEN 3 THEN 'markdown' WHEN 5 THEN 'html' ELSE 'none' END AS converter,
   CASE WHEN doc_id % 6 = 5 THEN 'x.html' ELSE name END AS bare FROM n"""
 )
 def names_and_tokens(spark, sf_dir):
