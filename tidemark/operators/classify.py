@@ -174,6 +174,49 @@ def safe_saves(created: DataFrame, missing: DataFrame) -> DataFrame:
     return news.join(olds, list(at)).where("new_id <> old_id").select("source_id", "new_id", "old_id")
 
 
+def pass_rows(observed: DataFrame, stored: DataFrame, written_at_ns: int, busy: bool = True) -> DataFrame:
+    """What a pass has to look at, from one outer join: observed objects with their verdicts, and present rows that were not listed.
+
+    busy leaves out what the fast path answers, unless it was marked absent: no row of it is to be written.
+
+    source_id, stable_id, listed, is_dir, deleted, path, verdict, reason, prev_path, old_path, last_seen_run.
+    """
+    pairs = both_sides(last_record_wins(observed), stored)
+    here = o("stable_id").isNotNull()
+    missing = ~here & ~s("is_dir") & (s("state") != "tombstone")
+    look = (F.col("v.reason") != "h0-equal") | s("absent_since_run").isNotNull() if busy else F.lit(True)
+    judged = with_verdict(pairs, written_at_ns, fast=True).where((here & look) | missing)
+    said = lambda c: F.when(here, F.col(f"v.{c}")).alias(c)
+    return judged.select(
+        *[F.coalesce(o(k), s(k)).alias(k) for k in KEYS], here.alias("listed"), F.coalesce(o("is_dir"), s("is_dir")).alias("is_dir"), F.coalesce(o("deleted"), F.lit(False)).alias("deleted"),
+        o("rel_path").alias("path"), said("verdict"), said("reason"), said("prev_path"), s("rel_path").alias("old_path"), s("last_seen_run").alias("last_seen_run"),
+    )
+
+
+def settle_pass(rows: DataFrame, live: DataFrame, full: bool, complete: bool, fraction: str = "0.20", floor: int = 25) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verdicts (with safe-save pairs applied), deletion candidates and breakers of pass_rows; live: source_id, live (its present rows).
+
+    Only objects that are new or gone are normalised for pairing, never the listing.
+    """
+    new = rows.where("listed and verdict = 'created'").select(*KEYS, "is_dir", "deleted", F.col("path").alias("rel_path"))
+    missing = rows.where("not listed").select(*KEYS, "is_dir", F.col("old_path").alias("rel_path"), "last_seen_run", F.lit("live").alias("state"))
+    saves = safe_saves(new, missing) if full else rows.sparkSession.createDataFrame([], "source_id string, new_id string, old_id string")
+    paired = rows.where("listed").join(saves.withColumnRenamed("new_id", "stable_id"), list(KEYS), "left")
+    saved = F.col("old_id").isNotNull()
+    verdicts = paired.select(
+        *KEYS, F.when(saved, "maybe_changed").otherwise(F.col("verdict")).alias("verdict"), F.when(saved, "safe-save").otherwise(F.col("reason")).alias("reason"), "prev_path", F.col("old_id").alias("replaces_id")
+    )
+    candidates = missing.join(saves.select("source_id", F.col("old_id").alias("stable_id")), list(KEYS), "left_anti").where(F.lit(full and complete)).select(*KEYS)
+    counted = candidates.groupBy("source_id").agg(F.count("*").alias("candidates"))
+    breaker = live.join(counted, "source_id", "full_outer").select("source_id", F.coalesce("live", F.lit(0)).alias("live"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
+    return verdicts, candidates, breaker.withColumn("tripped", breaker_trips(F.col("candidates"), F.col("live"), fraction, floor))
+
+
+def live_rows(stored: DataFrame) -> DataFrame:
+    """source_id, live: the rows that a deletion breaker counts."""
+    return stored.where(F.col("state").isin("live", "dataless") & ~F.col("is_dir")).groupBy("source_id").agg(F.count("*").alias("live"))
+
+
 def breaker_trips(candidates: Column, live: Column, fraction: str = "0.20", floor: int = 25) -> Column:
     """More candidates than the larger of a fraction of the live rows and the floor, in exact decimals."""
     limit = F.greatest(F.lit(fraction).cast("decimal(9,6)") * live.cast("decimal(19,0)"), F.lit(floor).cast("decimal(29,6)"))
@@ -187,27 +230,4 @@ def classify_pass(
 
     The fast path takes equal rows out before the ordered tests; both meet in one join.
     """
-    latest = last_record_wins(observed)
-    pairs = both_sides(latest, stored)
-    seen = pairs.where(o("stable_id").isNotNull())
-    verdicts = with_verdict(seen, written_at_ns, fast=True).select(o("source_id").alias("source_id"), o("stable_id").alias("stable_id"), "v.verdict", "v.reason", "v.prev_path")
-    missing = unseen(stored, latest)
-    spark = observed.sparkSession
-    none = spark.createDataFrame([], "source_id string, new_id string, old_id string")
-    created = latest.join(verdicts.where("verdict = 'created'").select("source_id", "stable_id"), list(KEYS), "left_semi")
-    saves = safe_saves(created, missing) if full else none
-    paired = verdicts.join(saves.withColumnRenamed("new_id", "stable_id"), list(KEYS), "left").select(
-        "source_id",
-        "stable_id",
-        F.when(F.col("old_id").isNotNull(), "maybe_changed").otherwise(F.col("verdict")).alias("verdict"),
-        F.when(F.col("old_id").isNotNull(), "safe-save").otherwise(F.col("reason")).alias("reason"),
-        "prev_path",
-        F.col("old_id").alias("replaces_id"),
-    )
-    candidates = missing.join(saves.select("source_id", F.col("old_id").alias("stable_id")), list(KEYS), "left_anti").where(F.lit(full and complete)).select(*KEYS)
-    live = stored.where(F.col("state").isin("live", "dataless") & ~F.col("is_dir")).groupBy("source_id").agg(F.count("*").alias("live"))
-    counted = candidates.groupBy("source_id").agg(F.count("*").alias("candidates"))
-    breaker = live.join(counted, "source_id", "full_outer").select(
-        "source_id", F.coalesce("live", F.lit(0)).alias("live"), F.coalesce("candidates", F.lit(0)).alias("candidates")
-    )
-    return paired, candidates, breaker.withColumn("tripped", breaker_trips(F.col("candidates"), F.col("live"), fraction, floor))
+    return settle_pass(pass_rows(observed, stored, written_at_ns, busy=False), live_rows(stored), full, complete, fraction, floor)

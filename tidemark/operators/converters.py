@@ -308,10 +308,10 @@ def planned(files: DataFrame, engines: Engines | None = None) -> DataFrame:
 def convert(files: DataFrame, cache: DataFrame | None = None, engines: Engines | None = None) -> DataFrame:
     """path, action_key, status, reason, unit_id, kind, title, body, tokens: one row a unit (or one for a file without).
 
-    cache: action_key and the rest of these; files whose key it has are not converted.  engines: by kind (image, recording)
+    files: path, name, content, or what ``planned`` made of them.  cache: action_key and the rest of these; files whose key it has are not converted.  engines: by kind (image, recording)
     a version and a function of bytes, to lines of text or to cues (start_ms, end_ms, speaker, words).
     """
-    rows = planned(files, engines)
+    rows = files if "action_key" in files.columns else planned(files, engines)
     todo = rows if cache is None else rows.join(cache.select("action_key").distinct(), "action_key", "left_anti")
     once = todo.dropDuplicates(["action_key"]).select("action_key", converted(engines or {})("name", "converter_id", "content").alias("c"))
     units = once.select("action_key", "c.status", "c.reason", F.explode_outer("c.units").alias("u")).select("action_key", "status", "reason", "u.*")

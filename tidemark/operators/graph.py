@@ -9,6 +9,7 @@ from __future__ import annotations
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scratch import materialize
@@ -150,6 +151,105 @@ def ancestor_closure(commits: DataFrame, heads: DataFrame) -> DataFrame:
     return found
 
 
+def compacted(commits: DataFrame, removed: DataFrame) -> DataFrame:
+    """commit, parent, place of a history without the removed commits: each survivor's parents are the nearest survivors along every path.
+
+    commits: commit, parent (null for a root), place (order among the parents).  A removed commit's links to what lies behind
+    it are doubled in length each round, so a chain of n removed commits takes about log2(n) rounds; merges among them keep all their
+    branches.  Of several ways to one parent the first place counts; a survivor all of whose ancestors went is a root.
+    """
+    out = removed.select("commit").distinct().withColumn("__out", F.lit(True))
+    edges = commits.where("parent is not null").select("commit", "parent", F.col("place").cast("bigint").alias("place"))
+    behind = edges.join(out.select("commit"), "commit", "left_semi")
+    skip = out.select(F.col("commit").alias("parent"), F.lit(True).alias("__open"))
+    behind = materialize(behind.join(skip, "parent", "left").select("commit", "parent", "place", F.coalesce("__open", F.lit(False)).alias("open")), "behind")
+    while behind.where("open").limit(1).count():
+        far = behind.select(F.col("commit").alias("parent"), F.col("parent").alias("__next"), F.col("open").alias("__open"))
+        jumped = behind.where("open").join(far, "parent").select("commit", F.col("__next").alias("parent"), "place", F.col("__open").alias("open"))
+        both = behind.where("not open").unionByName(jumped)
+        behind = materialize(both.groupBy("commit", "parent").agg(F.min("place").alias("place"), F.bool_and("open").alias("open")), "behind")
+    kept = edges.join(out, "commit", "left_anti").join(skip, "parent", "left")
+    through = kept.where("__open").join(behind.select(F.col("commit").alias("parent"), F.col("parent").alias("__next")), "parent").select("commit", F.col("__next").alias("parent"), "place")
+    links = kept.where("__open is null").select("commit", "parent", "place").unionByName(through)
+    links = links.groupBy("commit", "parent").agg(F.min("place").alias("place"))
+    roots = commits.select("commit").distinct().join(out, "commit", "left_anti").join(links.select("commit"), "commit", "left_anti")
+    return links.unionByName(roots.select("commit", F.lit(None).cast(commits.schema["parent"].dataType).alias("parent"), F.lit(0).cast("bigint").alias("place")))
+
+
+def rooted(nodes: DataFrame) -> DataFrame:
+    """id and root of every node of a forest (id, parent): pointers to ancestors double each round, so rounds are logarithmic in the depth.
+
+    A node whose parent is missing is a root.  On a cycle the least node is the root of it and of all that hangs below.
+    """
+    ids = nodes.select(F.col("id").alias("__p")).distinct()
+    up = nodes.select("id", "parent").join(ids, F.col("parent") == F.col("__p"), "left").select("id", F.coalesce("__p", "id").alias("at"), (F.col("__p").isNull() | (F.col("__p") == F.col("id"))).alias("top"))
+    up = materialize(up.withColumn("least", F.least("id", "at")), "up")
+    n, steps = up.count(), 1
+    while steps <= n and up.where("not top").limit(1).count():
+        over = up.select(F.col("id").alias("at"), F.col("at").alias("__at"), F.col("top").alias("__top"), F.col("least").alias("__least"))
+        joined = up.where("not top").join(over, "at").select("id", F.col("__at").alias("at"), F.col("__top").alias("top"), F.least("least", "__least").alias("least"))
+        up = materialize(up.where("top").unionByName(joined), "up")
+        steps *= 2
+    # what is left leads into a cycle and has gone round it: the least node from where it stands is the least of the cycle
+    on = up.where("not top").select(F.col("at").alias("id")).distinct().join(up.select("id", F.col("least").alias("__root")), "id")
+    return up.join(on.select(F.col("id").alias("at"), "__root"), "at", "left").select("id", F.coalesce("__root", "at").alias("root"))
+
+
+def preorder(nodes: DataFrame, order: list[str]) -> DataFrame:
+    """id, root, place (from 1) of a forest (id, parent and the columns of ``order``): roots in order, each before what hangs below it, answers in order.
+
+    The walk down and up every tree is one list (a step down to each node and one up from it, whose successors follow from first
+    children, next siblings and parents); ranks in the list come by pointer doubling, a constant row for each step and about
+    log2(2 n) rounds for a tree of n nodes, however deep.  Trees with a cycle are cut before its least node and come last.
+    """
+    tree = nodes.join(rooted(nodes), "id")
+    looped = materialize(tree.where((F.col("id") == F.col("root")) & F.col("parent").isNotNull()).select("id", "parent"), "looped")
+    known = nodes.select(F.col("id").alias("parent")).distinct()
+    cyclic = looped.join(known, "parent", "left_semi").select(F.col("id").alias("root"), F.lit(True).alias("cycle"))
+    tree = tree.join(cyclic, "root", "left").withColumn("cycle", F.coalesce("cycle", F.lit(False))).withColumn("parent", F.when(F.col("id") != F.col("root"), F.col("parent")))
+    siblings = W.partitionBy("parent").orderBy(*order, "id")
+    tree = materialize(
+        tree.where("parent is not null").select("id", "root", "parent", F.lead("id").over(siblings).alias("next"), F.row_number().over(siblings).alias("nth")), "siblings"
+    )
+    firsts = tree.where("nth = 1").select(F.col("parent").alias("id"), F.col("id").alias("first"))
+    every = nodes.select("id").join(tree.select("id", "parent", "next", "root"), "id", "left").join(firsts, "id", "left")
+    root = F.coalesce("root", "id")
+    down, up = F.lit(0), F.lit(1)
+    step = lambda i, way: F.struct(i.alias("id"), way.alias("way"))
+    into = F.when(F.col("first").isNotNull(), step(F.col("first"), down)).otherwise(step(F.col("id"), up))
+    back = F.when(F.col("next").isNotNull(), step(F.col("next"), down)).when(F.col("parent").isNotNull(), step(F.col("parent"), up))
+    steps = every.select(root.alias("root"), step(F.col("id"), down).alias("at"), into.alias("to"), F.lit(1).cast("bigint").alias("left"))
+    steps = steps.unionByName(every.select(root.alias("root"), step(F.col("id"), up).alias("at"), back.alias("to"), F.lit(0).cast("bigint").alias("left")))
+    steps = materialize(steps, "steps")
+    while steps.where("to is not null").limit(1).count():
+        over = steps.select(F.col("at").alias("to"), F.col("to").alias("__to"), F.col("left").alias("__left"))
+        moved = steps.where("to is not null").join(over, "to").select("root", "at", F.col("__to").alias("to"), (F.col("left") + F.col("__left")).alias("left"))
+        steps = materialize(steps.where("to is null").unionByName(moved), "steps")
+    ranks = steps.where("at.way = 0").select(F.col("at.id").alias("id"), "root", "left")
+    size = ranks.groupBy("root").agg(F.count("*").alias("n"))
+    before = rooted_tops(nodes, cyclic, order).join(size, F.col("id") == F.col("root")).select("root", "nth", "n")
+    starts = prefix_sums(before, "nth", "n").select("root", "before")
+    return ranks.join(size, "root").join(starts, "root").select("id", "root", (F.col("before") + F.col("n") - F.col("left") + 1).alias("place"))
+
+
+def rooted_tops(nodes: DataFrame, cyclic: DataFrame, order: list[str]) -> DataFrame:
+    """id and nth (dense enough to sort by) of the roots: those without a parent in order, then the least nodes of cycles."""
+    known = nodes.select(F.col("id").alias("parent")).distinct().withColumn("__known", F.lit(True))
+    loops = cyclic.select(F.col("root").alias("id"), F.lit(1).alias("__loop"))
+    tops = nodes.join(known, "parent", "left").join(loops, "id", "left").where("__known is null or __loop = 1")
+    return tops.select("id", F.struct(F.coalesce("__loop", F.lit(0)).alias("loop"), *[F.col(c).alias(f"o{k}") for k, c in enumerate(order)], "id").alias("nth"))
+
+
+def prefix_sums(rows: DataFrame, order: str, n: str) -> DataFrame:
+    """rows with ``before``, the sum of n over all rows of lesser ``order``: sorted over all tasks, summed by task, then inside each."""
+    n_tasks = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = materialize(rows.repartitionByRange(n_tasks, order).withColumn("__task", F.spark_partition_id()), "dealt")
+    tasks = dealt.groupBy("__task").agg(F.sum(n).alias("__n"))  # a row for each task
+    earlier = tasks.select("__task", F.coalesce(F.sum("__n").over(W.orderBy("__task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.sum(n).over(W.partitionBy("__task").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    return dealt.withColumn("__inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(earlier), "__task").withColumn("before", F.col("__before") + F.col("__inside")).drop("__task", "__before", "__inside")
+
+
 def erasure_fixpoint(history: DataFrame, seeds: DataFrame) -> DataFrame:
     """source_id, stable_id of all objects that ever shared a path of their source with a seed (source_id, stable_id), to the end.
 

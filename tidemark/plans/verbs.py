@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark import schemas
+from tidemark.functions.scratch import materialize
 from tidemark.functions.text import mirror_rel_path
-from tidemark.operators import aggregates, classify, converters, governance, graph, quality, state
-from tidemark.sources.sinks import SnapshotStore
+from tidemark.operators import aggregates, classify, converters, cycle, governance, graph, parts, quality, state
+from tidemark.sources import versions
+from tidemark.sources.sinks import page_text, tombstone_pages
+from tidemark.sources.versions import VersionedStore
 
 
 @dataclass
@@ -21,89 +23,311 @@ class Report:
     breaker: DataFrame
     removed: DataFrame
     findings: DataFrame
+    changes: DataFrame
     published: bool
+    #: Rows staged by table.
+    written: dict[str, int]
 
 
 @dataclass
 class Policy:
-    """What a cycle is told beside the listing: labels that refuse, sources whose absences need two passes, objects that left the scope."""
+    """What a cycle is told beside the listing: labels that refuse, sources whose absences need two passes, objects that left the
+    scope, bounds on what is read at once, and how often a failed conversion is tried again."""
 
     excluded_labels: list[str] = field(default_factory=list)
     refuse_unlabelled: bool = False
     two_pass_sources: list[str] = field(default_factory=list)
     out_of_scope: DataFrame | None = None
     accept_deletions: bool = False
+    max_bytes: int = 1 << 62
+    max_files: int = 1 << 30
+    retries: int = cycle.CONVERT_RETRIES
+    tombstone_days: int = 180
+    engines: dict | None = None
 
 
-def sync(store: SnapshotStore, observed: DataFrame, files: DataFrame, run_id: int, written_at_ns: int, full: bool, complete: bool, policy: Policy | None = None) -> Report:
-    """One cycle: classify; move what a safe save renamed; remove what is gone; convert what changed; screen; publish if nothing blocks.
+KEYS = list(classify.KEYS)
+UNIT_MARK = "\x1f"
 
-    files: source_id, stable_id, path, name, content (and labels, where items have some) of objects that can be read.
-    What many branches read is written first; the pointer moves last, and not at all if a finding blocks.
-    """
-    policy, spark, keys = policy or Policy(), store.spark, list(classify.KEYS)
 
-    def kept(table: str, df: DataFrame) -> DataFrame:
-        store.write(table, run_id, df)
-        return store.read(table, run_id)
+def settled_items(items: DataFrame, passes: DataFrame) -> DataFrame:
+    """items as they would be if every pass had touched every row that it saw: a row that is present and not marked absent was
+    seen by the last full pass of its source.  Rows are not rewritten to say so."""
+    last = passes.select("source_id", F.col("last_full_run").alias("__full"))
+    present = (F.col("state") != "tombstone") & F.col("absent_since_run").isNull()
+    seen = F.when(present, F.greatest("last_seen_run", "__full")).otherwise(F.col("last_seen_run"))
+    return items.join(last, "source_id", "left").select(*[seen.alias(c) if c == "last_seen_run" else F.col(c) for c in items.columns])
 
-    def earlier(table: str, schema) -> DataFrame:
-        return store.read(table, last) if last in store.tables().get(table, []) else spark.createDataFrame([], schema)
 
-    last = store.published()
-    items = store.read("items", last)
-    outputs, tombstones, aliases = earlier("outputs", schemas.OUTPUT), earlier("tombstones", schemas.TOMBSTONE), earlier("aliases", schemas.ALIAS)
-    verdicts, candidates, breaker = classify.classify_pass(observed, items, written_at_ns, full, complete)
-    verdicts, breaker = kept("verdicts", verdicts), kept("breaker", breaker)
-    candidates = kept("candidates", candidates)
-    upserted = kept("upserted", state.upsert(items, observed, verdicts, run_id))
+@dataclass
+class Pass:
+    """The first half of a cycle: the working rows as they were and as they are now, and what follows for the other tables."""
+
+    old: DataFrame
+    new: DataFrame
+    outputs: DataFrame
+    new_outputs: DataFrame
+    tombstones: DataFrame
+    new_tombstones: DataFrame
+    aliases: DataFrame
+    verdicts: DataFrame
+    candidates: DataFrame
+    breaker: DataFrame
+    removed: DataFrame
 
-    pairs = verdicts.where("replaces_id is not null").select("source_id", F.col("stable_id").alias("new_id"), F.col("replaces_id").alias("old_id"))
-    moved, kids, aliases = state.rekey(upserted, {"outputs": outputs, "tombstones": tombstones}, pairs, aliases)
-    moved, aliases = kept("moved", moved), kept("aliases", aliases)
-    outputs, tombstones = kids["outputs"], kids["tombstones"]
 
+def observe(store: VersionedStore, observed: DataFrame, run_id: int, written_at_ns: int, full: bool, complete: bool, policy: Policy) -> Pass:
+    """Classify; move what a safe save renamed; mark what is absent; remove what is gone.
+
+    Only working rows go on from here: those that the fast path does not answer, the absent, what has work left, and what is below a
+    deleted folder.
+    """
+    items = settled_items(store.read("items"), store.read("passes"))
+    rows = materialize(classify.pass_rows(observed, items, written_at_ns), "pass")
+    verdicts, candidates, breaker = classify.settle_pass(rows, classify.live_rows(items), full, complete)
+    verdicts, candidates, breaker = store.keep("verdicts", run_id, verdicts), store.keep("candidates", run_id, candidates), store.keep("breaker", run_id, breaker)
+    pairs = verdicts.where("replaces_id is not null").select("source_id", F.col("stable_id").alias("new_id"), F.col("replaces_id").alias("old_id"))
+    touched = verdicts.select(*KEYS).unionByName(candidates).unionByName(state.pending_work(items).select(*KEYS)).unionByName(pairs.select("source_id", F.col("old_id").alias("stable_id")))
+    touched = materialize(touched.distinct(), "touched")
+    old = items.join(touched, KEYS, "left_semi")
+    upserted = state.upsert(old, classify.last_record_wins(observed).join(touched, KEYS, "left_semi"), verdicts, run_id)
+
+    outputs, tombstones = store.read("outputs").join(touched, KEYS, "left_semi"), store.read("tombstones").join(touched, KEYS, "left_semi")
+    moved, kids, aliases = state.rekey(upserted, {"outputs": outputs, "tombstones": tombstones}, pairs, store.read("aliases"))
+    moved = materialize(moved, "moved")
     twice = F.col("source_id").isin(*policy.two_pass_sources) if policy.two_pass_sources else F.lit(False)
-    confirmed = state.confirmed_absent(moved, candidates, run_id, twice).select(*keys)
-    explicit = observed.where("deleted").select(*keys).distinct()
-    left = policy.out_of_scope if policy.out_of_scope is not None else candidates.limit(0)
-    removed = kept("removed", state.removals(moved, explicit, confirmed, left.select(*keys), breaker, policy.accept_deletions))
+    confirmed = state.confirmed_absent(moved, candidates, run_id, twice).select(*KEYS)
+    left = policy.out_of_scope.select(*KEYS) if policy.out_of_scope is not None else candidates.limit(0)
+    everything = items.join(touched, KEYS, "left_anti").unionByName(moved)
+    explicit = observed.where("deleted").select(*KEYS).distinct()
+    removed = store.keep("removed", run_id, state.removals(everything, explicit, confirmed, left, breaker, policy.accept_deletions))
+
+    below = materialize(items.join(removed.join(touched, KEYS, "left_anti"), KEYS, "left_semi"), "below")  # not looked at so far
     marked = state.mark_absent(moved, candidates, run_id) if full and complete else moved
-    gone = removed.select(*keys, F.lit(True).alias("__gone"))
-    nxt = marked.join(gone, keys, "left").select(*[F.when(F.col("__gone"), "tombstone").otherwise(F.col(c)).alias(c) if c == "state" else F.col(c) for c in marked.columns])
-    nxt = kept("next", nxt)
-
-    labelled = files if "labels" in files.columns else files.withColumn("labels", F.array().cast("array<string>"))
-    judged = quality.label_policy(labelled, policy.excluded_labels, policy.refuse_unlabelled)
-    refused = judged.where("refused").select(*keys, F.concat(F.lit("refused: "), "why").alias("why"))
-    work = state.pending_work(nxt).select(*keys).join(refused, keys, "left_anti")
-    units = kept("units", converters.convert(files.join(work, keys, "left_semi")))
-    secrets = quality.secret_hits(units.where("body is not null").select("path", F.col("body").alias("text")))
-    stops = secrets.select(F.lit("secret").alias("rule"), "path", F.col("rule").alias("detail"), F.lit(False).alias("blocking"))
-    pages = files.select("source_id", "path").join(units.select("path").distinct(), "path").select(mirror_rel_path("source_id", "path", F.lit("")).alias("path"))
-    findings = kept("findings", stops.unionByName(quality.path_findings(pages.distinct())))
-    stopped = findings.where("rule = 'secret'").select("path").distinct()
-    done = files.select(*keys, "path").join(units.where("status = 'ok'").select("path", "action_key").distinct(), "path").join(stopped, "path", "left_anti")
-    read = done.join(files.select(*keys, F.sha2("content", 256).alias("__sha")), keys).select(
-        *keys, F.col("__sha").alias("content_sha256"), F.col("__sha").alias("canonical_sha256"), F.lit("bytes@1").alias("canonical_method"), F.lit("changed").alias("verdict")
+    gone = removed.select(*KEYS, F.lit(True).alias("__gone"))
+    own = F.when(F.col("__gone"), "tombstone").otherwise(F.col("state"))
+    new = marked.unionByName(below).join(gone, KEYS, "left").select(*[own.alias(c) if c == "state" else F.col(c) for c in moved.columns])
+    more = lambda t: store.read(t).join(below.select(*KEYS), KEYS, "left_semi")
+    return Pass(
+        old.unionByName(below), materialize(new, "next"), outputs.unionByName(more("outputs")), kids["outputs"].unionByName(more("outputs")), tombstones.unionByName(more("tombstones")),
+        kids["tombstones"].unionByName(more("tombstones")), aliases, verdicts, candidates, breaker, removed,
+    )
+
+
+@dataclass
+class Content:
+    """The second half: what was read and made of the rows with work left."""
+
+    outcomes: DataFrame  # keys, state, state_reason, verdict, content_sha256, canonical_sha256, failures
+    produced: DataFrame  # keys, unit_id, output_path, action_key, converter_id, rendered_sha256, text
+    fresh: DataFrame  # entries for the cache
+    findings: DataFrame
+
+
+def unit_paths(outputs: DataFrame) -> DataFrame:
+    """source_id, stable_id (of a unit), path of live outputs."""
+    return outputs.where("status = 'ok'").select("source_id", F.concat_ws(UNIT_MARK, "stable_id", "unit_id").alias("stable_id"), F.col("output_path").alias("path"))
+
+
+def make_content(store: VersionedStore, seen: Pass, files: DataFrame, run_id: int, policy: Policy) -> Content:
+    """Read within the budget; stop at what only a save changed (H1); convert through the cache; screen; give each unit its page."""
+    todo, outputs = state.pending_work(seen.new), seen.new_outputs
+    known = files if "labels" in files.columns else files.withColumn("labels", F.array().cast("array<string>"))
+    found = known.join(todo.select(*KEYS, "rel_path", "canonical_sha256", "canonical_method", "state"), KEYS)
+    judged = quality.label_policy(found, policy.excluded_labels, policy.refuse_unlabelled)
+    refused = judged.where("refused").select(*KEYS, F.concat(F.lit("refused: "), "why").alias("why"))
+    allowed = judged.where("not refused")
+    fits = aggregates.greedy_budget(allowed.select("source_id", "rel_path", "stable_id", F.length("content").cast("bigint").alias("bytes")), ["source_id"], ["rel_path", "stable_id"], "bytes", policy.max_bytes, policy.max_files)
+    fits = materialize(fits.select(*KEYS, "taken"), "budget")
+    taken = allowed.join(fits.where("taken").select(*KEYS), KEYS, "left_semi").withColumnsRenamed({"canonical_sha256": "stored_sha256", "canonical_method": "stored_method"})
+    planned = converters.planned(taken, policy.engines).withColumns({"content_sha256": F.sha2("content", 256), "new_method": F.lit("canonical@1")})
+    planned = materialize(planned.withColumn("path", F.concat_ws(UNIT_MARK, *KEYS)), "planned")  # a name for each object
+    none = F.lit(None).cast("map<string,string>")
+    h1 = classify.classify_content(planned.select(*KEYS, "path", "state", "stored_sha256", "stored_method", "new_method", F.col("canonical_sha256").alias("new_sha256"), none.alias("stored_parts"), none.alias("new_parts")))
+    published = outputs.where("status = 'ok'").select(*KEYS).distinct().withColumn("__page", F.lit(True))
+    same = h1.join(published, KEYS, "left").where((F.col("verdict") == "touched_not_changed") & F.col("__page")).select(*KEYS)
+
+    cache = store.read("unit_cache").select("action_key", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason"), "unit_id", "kind", "title", "body")
+    units = materialize(converters.convert(planned.join(same, KEYS, "left_anti"), cache, policy.engines).drop("tokens"), "units")
+    secrets = materialize(quality.secret_hits(units.where("body is not null").select(F.concat_ws(UNIT_MARK, "path", "unit_id").alias("path"), F.col("body").alias("text"))), "secrets")
+    name = lambda c: F.concat_ws(UNIT_MARK, F.split(c, UNIT_MARK)[0], F.split(c, UNIT_MARK)[1])
+    leaks = secrets.select(name("path").alias("path")).distinct()
+    once = units.groupBy("path").agg(F.min("status").alias("status"), F.min("reason").alias("reason"), F.count("unit_id").alias("n"))
+    told = planned.select(*KEYS, "path", "rel_path", "content_sha256", "canonical_sha256", "converter_id").join(once, "path", "left").join(leaks.withColumn("__leak", F.lit(True)), "path", "left")
+    told = told.join(store.read("failures"), KEYS, "left").withColumn("failures", F.when(F.col("failed_sha256") == F.col("content_sha256"), F.col("failures")).otherwise(0))
+
+    leak, failed = F.coalesce("__leak", F.lit(False)), F.col("status") == "failed"
+    tries = F.when(failed, F.col("failures") + 1).otherwise(0)
+    gives_up = failed & (tries > policy.retries)
+    ok = F.col("status").isNull() | ((F.col("status") == "ok") & ~leak)
+    outcome = (
+        F.when(ok, F.struct(F.lit("live").alias("state"), F.lit(None).cast("string").alias("why"), F.lit("unchanged").alias("verdict")))
+        .when(leak, F.struct(F.lit("quarantined").alias("state"), F.lit("secret").alias("why"), F.lit("quarantined").alias("verdict")))
+        .when(failed & ~gives_up, F.struct(F.lit("live").alias("state"), F.lit(None).cast("string").alias("why"), F.lit("error").alias("verdict")))
+        .when(F.col("status") == "refused", F.struct(F.lit("refused").alias("state"), F.concat(F.lit("refused: "), F.coalesce("reason", F.lit(""))).alias("why"), F.lit("refused").alias("verdict")))
+        .otherwise(F.struct(F.lit("quarantined").alias("state"), F.concat_ws(": ", "status", "reason").alias("why"), F.lit("quarantined").alias("verdict")))
+    )
+    read = told.select(*KEYS, outcome.alias("x"), "content_sha256", "canonical_sha256", tries.cast("bigint").alias("failures"))
+    read = read.select(*KEYS, F.col("x.state").alias("state"), F.col("x.why").alias("state_reason"), "x.verdict", "content_sha256", "canonical_sha256", "failures")
+    no = [F.lit(None).cast("string").alias(c) for c in ("content_sha256", "canonical_sha256")]
+    unread = refused.select(*KEYS, F.lit("refused").alias("state"), F.col("why").alias("state_reason"), F.lit("refused").alias("verdict"), *no, F.lit(0).cast("bigint").alias("failures"))
+    later = fits.where("not taken").select(*KEYS, F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("state_reason"), F.lit("deferred").alias("verdict"), *no, F.lit(0).cast("bigint").alias("failures"))
+    outcomes = materialize(read.unionByName(unread).unionByName(later), "outcomes")
+
+    good = told.where(ok & F.col("status").isNotNull()).select(*KEYS, "path", "rel_path", "converter_id", "n")
+    body = units.where("unit_id is not null").select("path", "action_key", "unit_id", "title", "body")
+    pages = good.join(body, "path").withColumn("rendered_sha256", F.sha2(F.col("body").cast("binary"), 256))
+    pages = pages.withColumn("__id", F.concat_ws(UNIT_MARK, "stable_id", "unit_id"))
+    wanted = pages.select("source_id", F.col("__id").alias("stable_id"), mirror_rel_path("source_id", "rel_path", F.when(F.col("n") > 1, F.col("unit_id")).otherwise("")).alias("path"))
+    owned = unit_paths(store.read("outputs").join(seen.old.select(*KEYS), KEYS, "left_anti").unionByName(outputs))
+    placed = parts.allocated_paths(wanted, owned).select("source_id", F.col("stable_id").alias("__id"), F.col("path").alias("output_path"))
+    pages = pages.join(placed, ["source_id", "__id"])
+    head = pages.select(
+        F.col("output_path").alias("path"), F.col("rendered_sha256"), F.lit("current").alias("status"), F.col("rel_path").alias("source_path"), "source_id", F.nullif("title", F.lit("")).alias("title"), "body"
     )
-    settled = state.set_content(nxt, read)
-    why = files.select(*keys, "path").join(stopped, "path", "left_semi").select(*keys, F.lit("quarantined").alias("__state"), F.lit("secret").alias("__why"))
-    why = why.unionByName(refused.select(*keys, F.lit("refused").alias("__state"), F.col("why").alias("__why")))
-    own = {"state": F.coalesce("__state", "state"), "state_reason": F.coalesce("__why", "state_reason")}
-    settled = settled.join(why, keys, "left").select(*[own.get(c, F.col(c)).alias(c) for c in nxt.columns])
-    store.write("items", run_id, settled)
-    store.write("outputs", run_id, outputs)
-    store.write("tombstones", run_id, tombstones)
+    text = page_text(head).withColumnRenamed("path", "output_path")
+    produced = materialize(pages.select(*KEYS, "unit_id", "output_path", "action_key", "converter_id", "rendered_sha256").join(text, "output_path"), "produced")
+
+    have = store.read("unit_cache").select("action_key").distinct()
+    clean = units.where("status = 'ok' and unit_id is not null").join(leaks, "path", "left_anti").join(have, "action_key", "left_anti").dropDuplicates(["action_key", "unit_id"])
+    fresh = clean.select("action_key", "unit_id", "kind", "title", "body", F.lit(run_id).cast("bigint").alias("created_run"))
+    stops = secrets.select(F.lit("secret").alias("rule"), F.col("path"), F.col("rule").alias("detail"), F.lit(False).alias("blocking"))
+    return Content(outcomes, produced, fresh, stops.unionByName(quality.path_findings(produced.select(F.col("output_path").alias("path")).distinct())))
+
+
+def settle_items(rows: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """rows with what became of those that were read, refused or put off; a verdict that is settled is work no more."""
+    told = outcomes.select(*KEYS, *[F.col(c).alias(f"__{c}") for c in ("state", "state_reason", "verdict", "content_sha256", "canonical_sha256")])
+    hit, read = F.col("__verdict").isNotNull(), F.col("__content_sha256").isNotNull()
+    own = {
+        "state": F.coalesce("__state", "state"), "state_reason": F.when(F.col("__state").isNotNull(), F.col("__state_reason")).otherwise(F.col("state_reason")),
+        "last_verdict": F.when(hit, F.col("__verdict")).otherwise(F.col("last_verdict")),
+        "content_sha256": F.coalesce("__content_sha256", "content_sha256"), "canonical_sha256": F.coalesce("__canonical_sha256", "canonical_sha256"),
+        "canonical_method": F.when(read, F.lit("canonical@1")).otherwise(F.col("canonical_method")),
+    }
+    return rows.join(told, KEYS, "left").select(*[own.get(c, F.col(c)).alias(c) for c in rows.columns])
+
+
+@dataclass
+class Published:
+    old_outputs: DataFrame
+    outputs: DataFrame
+    old_tombstones: DataFrame
+    tombstones: DataFrame
+    pages: DataFrame  # path, text of pages that are new or other than before
+    pages_gone: DataFrame  # path
+    changes: DataFrame  # op, source_id, path
+
+
+def make_pages(store: VersionedStore, seen: Pass, items: DataFrame, made: Content, run_id: int, today: Column, policy: Policy) -> Published:
+    """The outputs and pages that follow: rewritten where the units differ (H2), moved where only the source's name did, gone with vanished
+    units, notices for what was removed, restored for what lives again, and reaped when their time has come."""
+    before, produced = seen.new_outputs, made.produced
+    live = before.where("status = 'ok'")
+    h2 = classify.classify_output(before.select(*KEYS, "unit_id", "rendered_sha256", "status"), produced.select(*KEYS, "unit_id", "rendered_sha256", F.lit(True).alias("ok")))
+    same = h2.where("verdict = 'output_unchanged'").select(*KEYS)
+    stay = produced.select(*KEYS, "unit_id", F.col("output_path").alias("__path")).join(live.select(*KEYS, "unit_id", "output_path", "page_sha256", "built_run"), [*KEYS, "unit_id"], "left")
+    rows = produced.join(stay, [*KEYS, "unit_id"]).select(produced["*"], stay["output_path"].alias("__old_path"), stay["page_sha256"].alias("__old_sha"), stay["built_run"].alias("__old_run"))
+    rows = rows.join(same.withColumn("__same", F.lit(True)), KEYS, "left")
+    sha = F.sha2(F.col("text").cast("binary"), 256)
+    kept = F.coalesce(F.col("__same"), F.lit(False)) & (F.col("__old_path") == F.col("output_path")) & (F.col("__old_sha") == sha)
+    built = rows.select(
+        "output_path", *KEYS, "unit_id", "action_key", "rendered_sha256", sha.alias("page_sha256"), "converter_id", F.lit("1").alias("converter_version"),
+        F.lit(None).cast("string").alias("options_hash"), F.lit("ok").alias("status"), F.when(kept, F.col("__old_run")).otherwise(F.lit(run_id)).cast("bigint").alias("built_run"), "text", "__old_path",
+    )
+    built = materialize(built, "built")
+    replaced, vanished = state.replace_outputs(before, built.select(*before.columns))
+    after_build = materialize(replaced, "replaced")
+
+    renamed = seen.verdicts.where("prev_path is not null").select(*KEYS).join(built.select(*KEYS).distinct(), KEYS, "left_anti").join(items.where("state = 'live'").select(*KEYS, "rel_path"), KEYS)
+    units = live.groupBy(*KEYS).agg(F.count("*").alias("n"))
+    target = live.join(renamed, KEYS).join(units, KEYS).withColumn("__id", F.concat_ws(UNIT_MARK, "stable_id", "unit_id"))
+    wanted = target.select("source_id", F.col("__id").alias("stable_id"), mirror_rel_path("source_id", "rel_path", F.when(F.col("n") > 1, F.col("unit_id")).otherwise("")).alias("path"))
+    others = unit_paths(store.read("outputs").join(seen.old.select(*KEYS), KEYS, "left_anti").unionByName(after_build))
+    to = parts.allocated_paths(wanted, others.join(wanted.select("source_id", "stable_id"), ["source_id", "stable_id"], "left_anti")).select("source_id", F.col("stable_id").alias("__id"), F.col("path").alias("new_path"))
+    moves = materialize(target.join(to, ["source_id", "__id"]).select(*KEYS, "unit_id", "output_path", "new_path", "rel_path"), "moves")
+    heads = cycle.rewritten_heads(store.read("pages").join(moves.select(F.col("output_path").alias("path")), "path", "left_semi"), moves.select(F.col("output_path").alias("path"), "new_path", F.col("rel_path").alias("source_path")))
+    heads = materialize(heads, "heads")
+    shas = heads.select(F.col("old_path").alias("output_path"), F.col("path").alias("__to"), F.sha2(F.col("text").cast("binary"), 256).alias("__sha"))
+    after = after_build.join(shas, "output_path", "left").withColumns({"output_path": F.coalesce("__to", "output_path"), "page_sha256": F.coalesce("__sha", "page_sha256")}).select(*before.columns)
+
+    lost = after.where("status = 'ok'").join(items.where("state <> 'live' and state <> 'dataless'").select(*KEYS, "state"), KEYS)
+    notices = lost.where("state = 'tombstone'").join(seen.removed, KEYS, "left")
+    notices = notices.select("output_path", *KEYS, "unit_id", F.col("rendered_sha256").alias("last_rendered_sha256"), F.coalesce("why", F.lit("provider")).alias("reason"))
+    notices = materialize(state.tombstones_written(notices, run_id, today, policy.tombstone_days).select(*seen.tombstones.columns), "notices")
+    withdrawn = lost.where("state <> 'tombstone'").select("output_path", *KEYS, "unit_id")
+    due = materialize(state.tombstones_due(store.read("tombstones"), after.where("status = 'ok'"), today), "due")
+    aged = lambda t: store.read(t).join(seen.old.select(*KEYS), KEYS, "left_anti").join(due.select("output_path"), "output_path", "left_semi")  # noqa: E731  beside the working rows
+    _, standing = cycle.restored(seen.new_tombstones, after.where("status = 'ok'").join(items.where("state = 'live'").select(*KEYS), KEYS, "left_semi"))
+    tombstones = standing.join(due.select("output_path"), "output_path", "left_anti").join(notices.select("output_path"), "output_path", "left_anti").unionByName(notices)
+    status = after.join(notices.select("output_path", F.lit(True).alias("__noticed")), "output_path", "left").join(withdrawn.select("output_path", F.lit(True).alias("__out")), "output_path", "left")
+    status = status.where("__out is null").withColumn("status", F.when(F.col("__noticed"), "tombstone").otherwise(F.col("status")))
+    outputs = status.join(due.select("output_path"), "output_path", "left_anti").select(*before.columns)
+
+    text = built.select(F.col("output_path").alias("path"), "text").unionByName(heads.select("path", "text")).unionByName(tombstone_pages(notices).select("path", "text"))
+    gone = vanished.select(F.col("output_path").alias("path")).unionByName(heads.select(F.col("old_path").alias("path"))).unionByName(withdrawn.select(F.col("output_path").alias("path")))
+    gone = gone.unionByName(built.where("__old_path <> output_path").select(F.col("__old_path").alias("path"))).unionByName(due.where("action = 'page'").select(F.col("output_path").alias("path")))
+    gone = materialize(gone.distinct().join(text.select("path"), "path", "left_anti"), "pages-gone")
+    was = store.read("pages").join(text.select("path").distinct(), "path", "left_semi").select("path", F.sha2(F.col("text").cast("binary"), 256).alias("__sha"))
+    now = text.join(was, "path", "left").where(~F.sha2(F.col("text").cast("binary"), 256).eqNullSafe(F.col("__sha")))
+    pages = materialize(now.select("path", "text", F.col("__sha").isNull().alias("__new")), "pages")
+    source = F.split("path", "/")[1].alias("source_id")
+    noticed, moved = notices.select(F.col("output_path").alias("path"), F.lit("D").alias("__op")), heads.select("path", F.lit("R").alias("__op"))
+    op = pages.join(noticed.unionByName(moved), "path", "left").select(F.coalesce("__op", F.when(F.col("__new"), "A").otherwise("M")).alias("op"), source, "path")
+    changes = op.unionByName(gone.join(heads.select(F.col("old_path").alias("path")), "path", "left_anti").select(F.lit("D").alias("op"), source, "path"))
+    old_outputs = seen.outputs.unionByName(aged("outputs").where("status = 'tombstone'").select(*seen.outputs.columns))
+    old_tombstones = seen.tombstones.unionByName(aged("tombstones").select(*seen.tombstones.columns))
+    return Published(old_outputs, outputs, old_tombstones, tombstones, pages.drop("__new"), gone, changes)
+
+
+def sync(
+    store: VersionedStore, observed: DataFrame, files: DataFrame, run_id: int, written_at_ns: int, full: bool, complete: bool, policy: Policy | None = None,
+    tokens: DataFrame | None = None, today: Column | None = None,
+) -> Report:
+    """One cycle: recover what a crash left; classify; move, mark and remove; convert what changed; screen; write pages; publish if nothing blocks.
+
+    files: source_id, stable_id, path, name, content (and labels, where items have some) of objects that can be read.
+    tokens: source_id, token, the cursors that count once the run is published.  Every table gets its changed rows only, so a cycle without
+    change writes no data of items, outputs or pages.  The published tag moves last, and not at all if a finding blocks.
+    """
+    policy, today = policy or Policy(), F.current_date() if today is None else today
+    store.recover()
+    store.begin(run_id)
+    seen = observe(store, observed, run_id, written_at_ns, full, complete, policy)
+    made = make_content(store, seen, files, run_id, policy)
+    items = materialize(settle_items(seen.new, made.outcomes), "settled")
+    out = make_pages(store, seen, items, made, run_id, today, policy)
+    findings = store.keep("findings", run_id, made.findings)
+    changes = store.keep("changes", run_id, out.changes)
+
+    written = {"items": store.change("items", run_id, *versions.differences(seen.old, items, KEYS, ["last_seen_run"]))}
+    written["outputs"] = store.change("outputs", run_id, *versions.differences(out.old_outputs, out.outputs, store.keys["outputs"]))
+    written["tombstones"] = store.change("tombstones", run_id, *versions.differences(out.old_tombstones, out.tombstones, store.keys["tombstones"]))
+    written["pages"] = store.change("pages", run_id, out.pages, out.pages_gone)
+    written["aliases"] = store.replace("aliases", run_id, seen.aliases)
+    written["unit_cache"] = store.change("unit_cache", run_id, made.fresh)
+    failed = made.outcomes.where("failures > 0").select(*KEYS, "failures", F.col("content_sha256").alias("failed_sha256"))
+    cleared = store.read("failures").select(*KEYS).join(made.outcomes.where("failures = 0 and verdict <> 'deferred'").select(*KEYS), KEYS, "left_semi")
+    written["failures"] = store.change("failures", run_id, failed, cleared)
+    if full and complete:
+        listed = observed.select("source_id").distinct().withColumn("last_full_run", F.lit(run_id).cast("bigint"))
+        written["passes"] = store.change("passes", run_id, listed)
+    if tokens is not None:
+        written["cursors"] = store.replace("cursors", run_id, state.stage_cursors(store.read("cursors"), tokens, run_id))
     blocking = quality.gate(findings).first()["blocking"]
-    if not blocking:
-        store.publish(run_id)
-    return Report(run_id, verdicts, candidates, breaker, removed, findings, not blocking)
+    if blocking:
+        store.abandon(run_id)
+    else:
+        store.commit(run_id)
+        for table in store.keys:
+            if store.due(table):
+                store.compact([table])
+    return Report(run_id, seen.verdicts, seen.candidates, seen.breaker, seen.removed, findings, changes, not blocking, written)
 
 
-def status(store: SnapshotStore) -> DataFrame:
+def status(store: VersionedStore) -> DataFrame:
     """Rows per source and state of the published run."""
-    return aggregates.state_counts(store.read("items", store.published()))
+    return aggregates.state_counts(store.read("items"))
 
 
 def curate(pages: DataFrame, heads: DataFrame, mirror: DataFrame) -> dict[str, DataFrame]:
@@ -113,8 +337,8 @@ def curate(pages: DataFrame, heads: DataFrame, mirror: DataFrame) -> dict[str, D
     return {"edges": edges, "queue": graph.refresh_queue(once, heads), "uncovered": graph.uncovered_pages(mirror, once)}
 
 
-def purge(store: SnapshotStore, by: str, value: str, holds: DataFrame, reason: str, dry_run: bool = True, source: str | None = None) -> tuple[DataFrame, dict[str, int]]:
-    """Erase what a selector names, and all that ever shared a path of its source with it, from all tables of every retained snapshot.
+def purge(store: VersionedStore, by: str, value: str, holds: DataFrame, reason: str, dry_run: bool = True, source: str | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """Erase what a selector names, and all that ever shared a path of its source with it, from every retained file.
 
     The ids and, unless it is a dry run, rows that survive by table: none, or the erasure has failed and nothing has moved.
     """
@@ -126,22 +350,18 @@ def purge(store: SnapshotStore, by: str, value: str, holds: DataFrame, reason: s
     _, ids = governance.erase({}, named, seeds, holds)
     if dry_run:
         return ids, {}
-    now, newest = store.generation(), store.published()
-    paths = named.join(ids, ["source_id", "stable_id"], "left_semi").select("source_id", "path").distinct()
-    others = named.join(ids, ["source_id", "stable_id"], "left_anti").select("path").distinct()
-    for table, runs in store.tables(now).items():
-        for run in runs:  # retained runs: bounded by retention
-            store.write(table, run, governance.without(store.read(table, run, now), ids, paths, others), now + 1)
-    rows = governance.survivors({t: store.history(t, now + 1) for t in store.tables(now + 1)}, ids, paths, others).collect()
-    if not rows:
-        store.publish(newest, now + 1)
-        store.drop(now)
-    return ids, {r["table"]: r["n"] for r in rows}
-
-
-def offboard(store: SnapshotStore, outputs: DataFrame, source: str, run_id: int) -> DataFrame:
+    pages = store.history("outputs").join(ids, KEYS).select("source_id", F.col("output_path").alias("path"))
+    paths = materialize(named.join(ids, KEYS, "left_semi").select("source_id", "path").unionByName(pages).distinct(), "purged-paths")
+    others = materialize(named.join(ids, KEYS, "left_anti").select("path").distinct(), "other-paths")
+    told = materialize(ids, "purged-ids")
+    hit = lambda df: governance.without(df, told, paths, others, "left_semi")
+    left = store.rewrite(lambda df: governance.without(df, told, paths, others), lambda _, df: hit(df).count())
+    return told, left
+
+
+def offboard(store: VersionedStore, outputs: DataFrame, source: str, run_id: int) -> DataFrame:
     """Tombstones for all that a retired source published."""
-    return governance.retired(store.read("items", store.published()), outputs, source, run_id)
+    return governance.retired(store.read("items"), outputs, source, run_id)
 
 
 def begin_run(runs: DataFrame, run_id: int, mode: str, now) -> DataFrame:

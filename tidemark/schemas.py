@@ -67,10 +67,15 @@ CACHE = _struct("action_key string, converter_id string, converter_version strin
 RUN = _struct("run_id bigint, mode string, started_at timestamp, finished_at timestamp, outcome string, counts map<string,bigint>")
 RUN_SOURCE = _struct("run_id bigint, source_id string, pass_kind string, enumeration_complete boolean, outcome string")
 DEPENDS = _struct("page string, source string, pinned_sha string, role string")
+UNIT_CACHE = _struct("action_key string, unit_id string, kind string, title string, body string, created_run bigint")
+PAGE = _struct("path string, text string")
+FAILURE = _struct("source_id string, stable_id string, failures bigint, failed_sha256 string")
+PASS = _struct("source_id string, last_full_run bigint")
+PIECE = _struct("job string, piece bigint, key string, state string, run_id bigint, result string")
 ALIAS = _struct("source_id string, old_id string, new_id string, origin boolean")
 TABLES = {
     "items": ITEM, "outputs": OUTPUT, "tombstones": TOMBSTONE, "sources": SOURCE, "cursors": CURSOR, "cache": CACHE, "runs": RUN, "run_sources": RUN_SOURCE,
-    "depends": DEPENDS, "aliases": ALIAS,
+    "depends": DEPENDS, "aliases": ALIAS, "unit_cache": UNIT_CACHE, "pages": PAGE, "failures": FAILURE, "passes": PASS, "pieces": PIECE,
 }
 
 DOMAINS = {"kind": SOURCE_KINDS, "config_state": SOURCE_STATES, "pass_kind": PASS_KINDS, "state": ROW_STATES, "last_verdict": VERDICTS, "op": CHANGE_OPS}

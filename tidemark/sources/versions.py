@@ -27,7 +27,7 @@ from tidemark import schemas
 #: The keys of the tables of a collection's state.
 TABLE_KEYS = {
     "items": ("source_id", "stable_id"), "outputs": ("source_id", "stable_id", "unit_id"), "tombstones": ("output_path",), "aliases": ("source_id", "old_id"), "cursors": ("source_id",),
-    "cache": ("action_key", "unit_id"), "run_sources": ("source_id",), "pages": ("path",), "failures": ("source_id", "stable_id"), "pieces": ("job", "piece"),
+    "unit_cache": ("action_key", "unit_id"), "passes": ("source_id",), "pages": ("path",), "failures": ("source_id", "stable_id"), "pieces": ("job", "piece"),
 }
 #: Change files over a base before it is compacted, and the share of its rows that they may have.
 MOST_CHANGES, CHANGED_SHARE = 8, 0.5
