@@ -71,3 +71,21 @@ def test_a_page_that_asks_to_wait_ends_the_batch_before_it(tmp_path):
     time.sleep(0.3)
     later = reader.latestOffset()
     assert later == {"f": str(tmp_path / "p2")} and [r[3] for p in reader.partitions(end, later) for r in reader.read(p)] == ['{"id": 2}']
+
+
+def test_content_counts_when_two_reads_agree(spark):
+    from tidemark.sources.readers import agreed_reads
+
+    kind = "source_id string, stable_id string, size bigint, mtime_ns bigint, sha256 string, at_ns bigint"
+    waiting, taken = spark.createDataFrame([], kind), []
+    rounds = [
+        [("s", "same", 1, 1, "a", 0), ("s", "moves", 1, 1, "a", 0), ("s", "rare", 1, 1, "r", 0), ("s", "twice", 1, 1, "a", 0), ("s", "twice", 1, 1, "b", 1)],
+        [("s", "same", 1, 1, "a", 50), ("s", "moves", 1, 1, "b", 50)],  # too soon; another digest
+        [("s", "same", 1, 1, "a", 100), ("s", "moves", 1, 1, "b", 120), ("s", "twice", 1, 1, "b", 140)],
+        [("s", "moves", 1, 1, "b", 160), ("s", "rare", 1, 1, "r", 200)],
+    ]
+    for rows in rounds:
+        stand, wait = agreed_reads(waiting, spark.createDataFrame(rows, kind), 100)
+        taken.append(sorted(r.stable_id for r in stand.collect()))
+        waiting = spark.createDataFrame([tuple(r) for r in wait.select(*[c.split()[0] for c in kind.split(", ")]).collect()], kind)
+    assert taken == [[], [], ["same", "twice"], ["moves", "rare"]] and waiting.count() == 0

@@ -139,6 +139,24 @@ def files_under_folders(files: DataFrame, folders: DataFrame) -> DataFrame:
     return near.groupBy("folder").agg(F.count("*").alias("n"))
 
 
+def folder_classes(files: DataFrame, folders: DataFrame) -> DataFrame:
+    """source_id, path, class, n, other of listed folders (source_id, path): has-files (n files lie below it as it is spelled), would-collide
+    (files lie only below another spelling of it, the least of which is ``other``), clear.
+
+    One index of the folded prefixes of all files answers for all three; sources don't mix.
+    """
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    prefixes = files.where(F.contains("path", F.lit("/"))).select("source_id", F.explode(above).alias("prefix")).groupBy("source_id", "prefix").agg(F.count("*").alias("n"))
+    index = prefixes.withColumn("__key", nfc_fold("prefix"))  # a name is folded once, however many files lie below it
+    asked = folders.select("source_id", "path").distinct().withColumn("__key", nfc_fold("path"))
+    met = asked.join(index, ["source_id", "__key"], "left")
+    own = F.col("prefix") == F.col("path")
+    out = met.groupBy("source_id", "path").agg(F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)).alias("n"), F.min(F.when(~own, F.col("prefix"))).alias("other"))
+    kind = F.when(F.col("n") > 0, "has-files").when(F.col("other").isNotNull(), "would-collide").otherwise("clear")
+    return out.select("source_id", "path", kind.alias("class"), "n", "other")
+
+
 def collision_groups(paths: DataFrame) -> DataFrame:
     """key, spellings: path prefixes that are one under the fold (case, composed letters)."""
     parts = F.split("path", "/")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import in_scope
 from tidemark.operators.classify import KEYS
+from tidemark.operators.graph import numbered
 
 #: How often a failed conversion and a failed re-read are tried in later cycles.
 CONVERT_RETRIES, REREAD_ATTEMPTS = 2, 2
@@ -64,9 +65,8 @@ def recording_order(rows: DataFrame, may_download: bool) -> DataFrame:
     online = F.col("online")
     rank = F.when(~online & F.col("started_run").isNotNull(), 0).when(online, 2).when(F.col("stub"), 3).otherwise(1)
     tie = F.when(rank == 0, F.col("started_run")).when(rank == 2, -F.coalesce("mtime_ns", F.lit(0))).otherwise(0)
-    order = W.orderBy("__rank", "__tie", "source_place", "stable_id")
-    picked = rows.where(~online | F.lit(may_download)).withColumns({"__rank": rank, "__tie": tie})
-    return picked.select(F.row_number().over(order).alias("place"), "source_id", "stable_id")  # one cycle's queue
+    picked = rows.where(~online | F.lit(may_download)).withColumn("__order", F.struct(rank.alias("rank"), tie.alias("tie"), "source_place", "stable_id"))
+    return numbered(picked, "__order").select(F.col("place").cast("int").alias("place"), "source_id", "stable_id")
 
 
 def time_boxed(queue: DataFrame, by: list[str], order: list[str], seconds: str, box_s: int) -> DataFrame:

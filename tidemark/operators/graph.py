@@ -250,6 +250,11 @@ def prefix_sums(rows: DataFrame, order: str, n: str) -> DataFrame:
     return dealt.withColumn("__inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(earlier), "__task").withColumn("before", F.col("__before") + F.col("__inside")).drop("__task", "__before", "__inside")
 
 
+def numbered(rows: DataFrame, order: str, name: str = "place") -> DataFrame:
+    """rows with their place (from 1) in the order of a column, whatever their number: no task sorts them all."""
+    return prefix_sums(rows.withColumn("__one", F.lit(1).cast("bigint")), order, "__one").withColumn(name, F.col("before") + 1).drop("__one", "before")
+
+
 def erasure_fixpoint(history: DataFrame, seeds: DataFrame) -> DataFrame:
     """source_id, stable_id of all objects that ever shared a path of their source with a seed (source_id, stable_id), to the end.
 

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import quote_held
+from tidemark.functions.front import read_front
 from tidemark.functions.text import nfc_fold, slugify
+from tidemark.schemas import PAGE_STATUSES
 
 #: What stands for a password without being one (a bracketed hint or placeholder, a mask, prose, a status word, and
 #: the placeholders of a URL), and the rules that a page may not break; the first hit of a rule on a page counts.
@@ -91,6 +93,28 @@ def page_findings(pages: DataFrame) -> DataFrame:
     return bad.select(*finding("page-status", F.col("path"), F.col("status"))).unionByName(body.select(*finding("page-body-hash", F.col("path"), F.col("rendered_sha256"))))
 
 
+#: The keys that a page's head must have, with the form of each value as JSON.
+HEAD_KEYS = {"rendered_sha256": '"[0-9a-f]{64}"', "source_id": '".+"', "source_path": '".+"', "status": '".*"'}
+
+
+def contract_findings(pages: DataFrame) -> DataFrame:
+    """What breaks the contract of mirror pages (path, text): a head that can't be read or is not in its canonical form, a key that is missing
+    or of another kind, a status outside the closed set, a body that is not what its digest says."""
+    read = pages.select("path", read_front("text").alias("f")).select("path", "f.*").withColumn("bad", F.col("error").isNotNull())
+    value = lambda k: F.element_at("values", F.lit(k))
+    rule = lambda name, holds, detail: F.when(holds, F.struct(F.lit(name).alias("rule"), detail.cast("string").alias("detail")))
+    whole = ~F.col("bad")
+    tests = [rule("front-malformed", F.col("bad"), F.col("error")), rule("front-form", whole & ~F.col("canonical"), F.lit("not canonical"))]
+    for k, form in HEAD_KEYS.items():
+        tests += [rule("front-missing", whole & value(k).isNull(), F.lit(k)), rule("front-kind", whole & ~value(k).rlike(f"(?s)^{form}$"), F.lit(k))]
+    known = F.substring(value("status"), 2, F.length(value("status")) - 2).isin(*PAGE_STATUSES)
+    tests.append(rule("page-status", whole & value("status").startswith('"') & ~known, value("status")))
+    digest = F.concat(F.lit('"'), F.sha2(F.col("body").cast("binary"), 256), F.lit('"'))
+    tests.append(rule("page-body-hash", whole & value("rendered_sha256").rlike("^" + HEAD_KEYS["rendered_sha256"] + "$") & (digest != value("rendered_sha256")), value("rendered_sha256")))
+    found = read.select("path", F.explode(F.array_compact(F.array(*tests))).alias("x"))
+    return found.select(F.col("x.rule").alias("rule"), "path", F.col("x.detail").alias("detail"), F.lit(True).alias("blocking"))
+
+
 def path_findings(paths: DataFrame, longest: int = 200) -> DataFrame:
     """Paths too long, with segments that the slug would change, or that are one with another under the fold."""
     long = paths.where(F.length("path") > longest).select(*finding("path-length", F.col("path"), F.length("path")))

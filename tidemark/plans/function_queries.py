@@ -215,10 +215,10 @@ def front_matters(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id % 3, doc_id) AS INTEGER) AS place FROM documents")
 def natural_order(spark, sf_dir):
-    from pyspark.sql import Window as W
+    from tidemark.operators.graph import numbered
 
     d = rows(spark, sf_dir, D, "doc_id", "concat(element_at(array('Alpha', 'beta', 'Gamma'), CAST(doc_id % 3 + 1 AS INT)), ' ', doc_id, '.txt') AS name").withColumn("key", ft.natural_key("name"))
-    return d.select("doc_id", F.row_number().over(W.orderBy("key")).alias("place"))
+    return numbered(d, "key").select("doc_id", F.col("place").cast("int").alias("place"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity >= 40 THEN ['a', 'b'] WHEN l_quantity >= 20 THEN ['b'] ELSE CAST([] AS VARCHAR[]) END AS lit FROM lineitem")

@@ -6,12 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.front import write_front
 from tidemark.functions.scratch import materialize, shared_dir
-from tidemark.operators import graph, pieces
+from tidemark.operators import aggregates, graph, pieces, quality
 from tidemark.plans import verbs
 from tidemark.plans.registry import query, table
 from tidemark.schemas import OBSERVATION, conform
-from tidemark.sources import paged
+from tidemark.sources import paged, readers
 from tidemark.sources.versions import VersionedStore
 
 
@@ -139,3 +140,56 @@ def boxed_pieces(spark, sf_dir):
         mine = store.claim(run, jobs, cost, BOX)
         store.finish(run + 1, run, mine.select("job", "piece", "key", F.concat_ws("-", "job", F.col("piece").cast("string")).alias("result")))
     return pieces.progress(store.pieces())
+
+
+@query(
+    """SELECT doc_id, unnest(CASE doc_id % 7 WHEN 1 THEN ['front-malformed'] WHEN 2 THEN ['front-form'] WHEN 3 THEN ['page-status'] WHEN 4 THEN ['front-missing'] WHEN 5 THEN ['page-body-hash'] ELSE ['front-kind'] END) AS rule
+  FROM documents WHERE doc_id % 7 <> 0"""
+)
+def page_contracts(spark, sf_dir):
+    """Documents as pages, most of them with one fault each."""
+    k = F.col("doc_id") % 7
+    sha = F.sha2(F.when(k == 5, F.concat("text", F.lit("x"))).otherwise(F.col("text")).cast("binary"), 256)
+    status = F.when(k == 3, "new").when(k != 4, "current")
+    head = F.struct(F.when(k == 6, F.lit("none")).otherwise(sha).alias("rendered_sha256"), F.col("source").alias("source_id"), F.concat(F.lit("a: "), "lang").alias("source_path"), status.alias("status"))
+    block = write_front(F.to_json(head))
+    block = F.when(k == 1, F.concat(F.lit("---\nno key\n---\n"))).when(k == 2, F.replace(block, F.lit("status: current"), F.lit('status: "current"'))).otherwise(block)
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(block, "text").alias("text"))
+    return quality.contract_findings(pages).select(F.col("path").cast("bigint").alias("doc_id"), "rule")
+
+
+@query(
+    """WITH f AS (SELECT source AS source_id, concat('A/', lang, '/', CAST(doc_id % 10 AS STRING)) AS folder FROM documents),
+  d AS (SELECT DISTINCT source AS source_id, unnest([concat('A/', lang), concat('a/', lang), concat('A/', lang, '/', CAST(doc_id % 10 AS STRING)), concat('A/x', lang)]) AS path FROM documents),
+  p AS (SELECT source_id, 'A/' || split_part(folder, '/', 2) AS prefix FROM f UNION ALL SELECT source_id, folder FROM f),
+  c AS (SELECT source_id, prefix, count(*) AS n FROM p GROUP BY ALL)
+  SELECT d.source_id, d.path, CASE WHEN max(c.n) FILTER (c.prefix = d.path) > 0 THEN 'has-files' WHEN count(c.prefix) > 0 THEN 'would-collide' ELSE 'clear' END AS class,
+    coalesce(max(c.n) FILTER (c.prefix = d.path), 0) AS n, min(c.prefix) FILTER (c.prefix <> d.path) AS other
+  FROM d LEFT JOIN c ON c.source_id = d.source_id AND lower(c.prefix) = lower(d.path) GROUP BY d.source_id, d.path"""
+)
+def folder_classes(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    deep = F.concat(F.lit("A/"), "lang", F.lit("/"), (F.col("doc_id") % 10).cast("string"))
+    files = d.select(F.col("source").alias("source_id"), F.concat(deep, F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
+    folders = d.select(F.col("source").alias("source_id"), F.explode(F.array(F.concat(F.lit("A/"), "lang"), F.concat(F.lit("a/"), "lang"), deep, F.concat(F.lit("A/x"), "lang"))).alias("path"))
+    return aggregates.folder_classes(files, folders)
+
+
+@query(
+    """SELECT source AS source_id, CAST(doc_id AS STRING) AS stable_id, n_chars AS size, CASE WHEN doc_id % 3 = 1 THEN 2 ELSE 1 END AS rounds FROM documents WHERE doc_id % 3 <> 2"""
+)
+def two_reads(spark, sf_dir):
+    """Documents read three times: a third agrees at once, a third changes after its first read, a third at every read."""
+    d = table(spark, sf_dir, "documents")
+    form = lambda k: F.when(F.col("doc_id") % 3 == 2, k).when((F.col("doc_id") % 3 == 1) & F.lit(k == 0), 9).otherwise(1).cast("string")
+    read = lambda k: d.select(
+        F.col("source").alias("source_id"), F.col("doc_id").cast("string").alias("stable_id"), F.col("n_chars").alias("size"), F.lit(5).cast("bigint").alias("mtime_ns"),
+        F.sha2(F.concat("text", form(k)).cast("binary"), 256).alias("sha256"), F.lit(100 * k).cast("bigint").alias("at_ns"),
+    )
+    waiting, out = read(0).limit(0), None
+    for k in range(3):
+        stand, waiting = readers.agreed_reads(waiting, read(k), 100)
+        waiting = materialize(waiting, "waiting")
+        one = stand.select("source_id", "stable_id", "size", F.lit(k).alias("rounds"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("source_id", "stable_id", "size").agg(F.min("rounds").alias("rounds"))

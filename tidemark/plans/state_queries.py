@@ -90,11 +90,13 @@ def queue_without_entry(spark, sf_dir):
     return cycle.without_entry(q, "13", "even", "error").selectExpr("CAST(source_id AS BIGINT) AS source_id", "CAST(event_id AS STRING) AS stable_id", "reason")
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS fingerprint, CAST(NULL AS BIGINT) AS at WHERE false")
+@query("SELECT doc_id AS fingerprint, n_chars AS \"at\" FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 2 = 1")
 def lost_after_acceptance(spark, sf_dir):
-    e = rows(spark, sf_dir, "events", "user_id AS fingerprint", "event_id AS at", "'add' AS event")
-    none = e.select("fingerprint").limit(0)
-    return joins.lost_records(cycle.accepted(e, joins.lost_records(e, none), F.lit(1 << 40)), none)
+    """Every fifth record still stands; of the lost ones those with even numbers have been accepted."""
+    e = rows(spark, sf_dir, "documents", "doc_id AS fingerprint", "n_chars AS at", "'add' AS event")
+    current = e.where("fingerprint % 5 = 0").select("fingerprint")
+    lost = joins.lost_records(e, current)
+    return joins.lost_records(cycle.accepted(e, lost.where("fingerprint % 2 = 0"), F.lit(1 << 40)), current)
 
 
 @query(f"{CTES} SELECT s.source_id, CASE WHEN length(s.source_id) % 2 = 0 THEN 'graph_drive' ELSE 'local' END AS source_kind, CASE WHEN n % 3 = 0 THEN concat('a', stable_id) ELSE stable_id END AS stable_id, rel_path AS source_path, CASE WHEN length(s.source_id) % 2 = 0 THEN concat('https://h/', stable_id) END AS source_web_url FROM (SELECT *, CAST(substr(stable_id, 2) AS BIGINT) AS n FROM stored) s")
@@ -113,10 +115,10 @@ def moved_pages(spark, sf_dir):
     return cycle.rewritten_heads(pages, moves).select("old_path", "path", F.sha2(F.col("text").cast("binary"), 256).alias("page"))
 
 
-@query("WITH b AS (SELECT event_id % 600 AS run_id, arg_max(event_type, event_id) AS phase, max(event_id) AS last FROM events GROUP BY 1) SELECT run_id, phase FROM b WHERE phase <> 'click' AND last < 900")
+@query("WITH b AS (SELECT event_id % 5000 AS run_id, arg_max(event_type, event_id) AS phase, max(event_id) AS last FROM events GROUP BY 1) SELECT run_id, phase FROM b WHERE phase <> 'click' AND last < 8900")
 def stalled_runs(spark, sf_dir):
-    b = rows(spark, sf_dir, "events", "event_id % 600 AS run_id", "CASE WHEN event_type = 'click' THEN 'end' ELSE event_type END AS phase", "timestamp_seconds(event_id) AS at")
-    return cycle.stalled(b, F.timestamp_seconds(F.lit(1000)), 100).select("run_id", "phase")
+    b = rows(spark, sf_dir, "events", "event_id % 5000 AS run_id", "CASE WHEN event_type = 'click' THEN 'end' ELSE event_type END AS phase", "timestamp_seconds(event_id) AS at")
+    return cycle.stalled(b, F.timestamp_seconds(F.lit(9000)), 100).select("run_id", "phase")
 
 
 @query("SELECT concat('{\"n_name\":\"', n_name, '\",\"n_regionkey\":', CAST(n_regionkey AS STRING), '}') AS line FROM nation UNION ALL SELECT concat_ws(', ', concat('n_name: ', n_name), CASE WHEN n_regionkey > 1 THEN concat('region: ', CAST(n_regionkey AS STRING)) END) FROM nation")
@@ -148,9 +150,9 @@ def withheld_rows(spark, sf_dir):
     return cycle.withheld_suffixes(sides(spark, sf_dir)[1], ["7.txt", ".msg"], True).select(*KEYS)
 
 
-@query(f"{CTES} SELECT source_id, stable_id FROM stored WHERE source_id = 'src1' AND rel_path LIKE 'en/f3/%'")
+@query(f"{CTES} SELECT source_id, stable_id FROM stored WHERE rel_path LIKE 'en/%'")
 def purge_selected(spark, sf_dir):
-    return governance.selected(sides(spark, sf_dir)[1], "path", "en/f3/", "src1").select(*KEYS)
+    return governance.selected(sides(spark, sf_dir)[1], "path", "en/").select(*KEYS)
 
 
 @query(f"{CTES} SELECT s.source_id, stable_id, CASE WHEN s.source_id <> 'src2' THEN 'local' END AS kind, CASE WHEN s.source_id <> 'src2' THEN 'live' END AS config_state FROM stored s")
@@ -336,10 +338,16 @@ def scrubbed_lines(spark, sf_dir):
     return s.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("left_over"))
 
 
-@query(f"WITH l AS (SELECT user_id, start_ms, end_ms, id, id % 3 AS voice FROM ({SPANS})), k AS (SELECT t AS tick, concat('L', CAST((t // 7) % 3 AS STRING)) AS label FROM range(0, 60000) r(t) WHERE t % 5 <> 0), s AS (SELECT l.id, l.voice, label, count(*) AS n FROM l, LATERAL (SELECT unnest(range(CAST(ceil(start_ms / 2000.0) AS BIGINT), CAST(ceil(end_ms / 2000.0) AS BIGINT))) AS tick) x JOIN k USING (tick) GROUP BY 1, 2, 3), m AS (SELECT id, voice, arg_min(label, (-n, label)) AS top FROM s GROUP BY 1, 2) SELECT id FROM m WHERE voice < 2 AND top <> concat('L', CAST(voice AS STRING))")
+@query(
+    """WITH e AS (SELECT event_id AS id, epoch_us(ts) // 1000 AS start_ms, epoch_us(ts) // 1000 + event_id % 40 * 60000 AS end_ms, event_id % 3 AS voice FROM events),
+  k AS (SELECT start_ms // 2000 AS tick, min(concat('L', CAST(id % 3 AS STRING))) AS label FROM e GROUP BY 1 HAVING count(DISTINCT id % 3) = 1),
+  s AS (SELECT e.id, e.voice, k.label, count(*) AS n FROM e JOIN k ON k.tick >= CAST(ceil(start_ms / 2000.0) AS BIGINT) AND k.tick < CAST(ceil(end_ms / 2000.0) AS BIGINT) GROUP BY ALL),
+  m AS (SELECT id, voice, arg_min(label, (-n, label)) AS top FROM s GROUP BY 1, 2) SELECT id FROM m WHERE voice < 2 AND top <> concat('L', CAST(voice AS STRING))"""
+)
 def vetoed_lines(spark, sf_dir):
-    lines = spans(spark, sf_dir).withColumn("voice", F.col("id") % 3)
-    lit = spark.range(60000).where("id % 5 <> 0").selectExpr("id AS tick", "concat('L', CAST(floor(id / 7) AS BIGINT) % 3) AS label")
+    """Lines of some minutes, each beginning with a lit label of its own."""
+    lines = spans(spark, sf_dir).select("id", "start_ms", (F.col("start_ms") + F.col("id") % 40 * 60000).alias("end_ms"), (F.col("id") % 3).alias("voice"))
+    lit = lines.select(F.floor(F.col("start_ms") / 2000).alias("tick"), F.concat(F.lit("L"), "voice").alias("label"))
     names = spark.createDataFrame([(0, "L0", "named"), (1, "L1", "named"), (2, "L2", "mixed")], "voice bigint, label string, form string")
     return intervals.vetoed(lines, lit, names)
 

@@ -7,11 +7,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.front import front_scalar, write_front
 from tidemark.functions.scratch import materialize
 from tidemark.functions.text import mirror_rel_path
 from tidemark.operators import aggregates, classify, converters, cycle, governance, graph, parts, quality, state
 from tidemark.sources import versions
-from tidemark.sources.sinks import page_text, tombstone_pages
+from tidemark.sources.sinks import tombstone_pages
 from tidemark.sources.versions import VersionedStore
 
 
@@ -182,17 +183,16 @@ def make_content(store: VersionedStore, seen: Pass, files: DataFrame, run_id: in
     owned = unit_paths(store.read("outputs").join(seen.old.select(*KEYS), KEYS, "left_anti").unionByName(outputs))
     placed = parts.allocated_paths(wanted, owned).select("source_id", F.col("stable_id").alias("__id"), F.col("path").alias("output_path"))
     pages = pages.join(placed, ["source_id", "__id"])
-    head = pages.select(
-        F.col("output_path").alias("path"), F.col("rendered_sha256"), F.lit("current").alias("status"), F.col("rel_path").alias("source_path"), "source_id", F.nullif("title", F.lit("")).alias("title"), "body"
-    )
-    text = page_text(head).withColumnRenamed("path", "output_path")
+    head = F.struct("rendered_sha256", "source_id", F.col("rel_path").alias("source_path"), F.lit("current").alias("status"), F.nullif("title", F.lit("")).alias("title"))
+    text = pages.select("output_path", F.concat(write_front(F.to_json(head)), "body").alias("text"))
     produced = materialize(pages.select(*KEYS, "unit_id", "output_path", "action_key", "converter_id", "rendered_sha256").join(text, "output_path"), "produced")
 
     have = store.read("unit_cache").select("action_key").distinct()
     clean = units.where("status = 'ok' and unit_id is not null").join(leaks, "path", "left_anti").join(have, "action_key", "left_anti").dropDuplicates(["action_key", "unit_id"])
     fresh = clean.select("action_key", "unit_id", "kind", "title", "body", F.lit(run_id).cast("bigint").alias("created_run"))
     stops = secrets.select(F.lit("secret").alias("rule"), F.col("path"), F.col("rule").alias("detail"), F.lit(False).alias("blocking"))
-    return Content(outcomes, produced, fresh, stops.unionByName(quality.path_findings(produced.select(F.col("output_path").alias("path")).distinct())))
+    made = produced.select(F.col("output_path").alias("path"), "text")
+    return Content(outcomes, produced, fresh, stops.unionByName(quality.path_findings(made.select("path").distinct())).unionByName(quality.contract_findings(made)))
 
 
 def settle_items(rows: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def make_pages(store: VersionedStore, seen: Pass, items: DataFrame, made: Conten
     others = unit_paths(store.read("outputs").join(seen.old.select(*KEYS), KEYS, "left_anti").unionByName(after_build))
     to = parts.allocated_paths(wanted, others.join(wanted.select("source_id", "stable_id"), ["source_id", "stable_id"], "left_anti")).select("source_id", F.col("stable_id").alias("__id"), F.col("path").alias("new_path"))
     moves = materialize(target.join(to, ["source_id", "__id"]).select(*KEYS, "unit_id", "output_path", "new_path", "rel_path"), "moves")
-    heads = cycle.rewritten_heads(store.read("pages").join(moves.select(F.col("output_path").alias("path")), "path", "left_semi"), moves.select(F.col("output_path").alias("path"), "new_path", F.col("rel_path").alias("source_path")))
+    heads = cycle.rewritten_heads(store.read("pages").join(moves.select(F.col("output_path").alias("path")), "path", "left_semi"), moves.select(F.col("output_path").alias("path"), "new_path", front_scalar("rel_path").alias("source_path")))
     heads = materialize(heads, "heads")
     shas = heads.select(F.col("old_path").alias("output_path"), F.col("path").alias("__to"), F.sha2(F.col("text").cast("binary"), 256).alias("__sha"))
     after = after_build.join(shas, "output_path", "left").withColumns({"output_path": F.coalesce("__to", "output_path"), "page_sha256": F.coalesce("__sha", "page_sha256")}).select(*before.columns)

@@ -42,6 +42,29 @@ def quiet_rows(listing: DataFrame, now_ns: Column, hold_s: int = 60) -> tuple[Da
     return listing.where(rested), listing.where(~rested)
 
 
+def agreed_reads(waiting: DataFrame, reads: DataFrame, rest_ns: int) -> tuple[DataFrame, DataFrame]:
+    """Reads that stand, and those that wait for another: content counts once two reads some time apart agree in size, time and digest.
+
+    waiting and reads: source_id, stable_id, size, mtime_ns, sha256, at_ns.  Of several reads of one object in a batch the last is taken, unless
+    they disagree, when nothing of it stands.  What waits keeps the time of its first read while all later ones agree; an object that
+    was not read again goes on waiting.
+    """
+    what = ("size", "mtime_ns", "sha256")
+    now = reads.groupBy(*KEYS).agg(F.max_by(F.struct(*what), "at_ns").alias("r"), F.max("at_ns").alias("at_ns"), F.min("at_ns").alias("__from"), F.count_distinct(F.struct(*what)).alias("__forms"))
+    now = now.select(*KEYS, "r.*", "at_ns", "__from", "__forms")
+    old = waiting.select(*KEYS, *[F.col(c).alias(f"__{c}") for c in (*what, "at_ns")])
+    both = now.join(old, list(KEYS), "full_outer")
+    same = F.col("__forms") == 1
+    for c in what:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    first = F.when(F.col("__at_ns").isNotNull() & same, F.col("__at_ns")).when(F.col("__forms") == 1, F.col("__from")).otherwise(F.col("at_ns"))
+    both = both.withColumns({"__first": first, "__stands": F.coalesce((F.col("__forms") == 1) & (F.col("at_ns") - first >= rest_ns), F.lit(False))})
+    stand = both.where("__stands").select(*KEYS, *what, "at_ns")
+    read = F.col("at_ns").isNotNull()
+    wait = both.where("not __stands").select(*KEYS, *[F.when(read, F.col(c)).otherwise(F.col(f"__{c}")).alias(c) for c in what], F.when(read, F.col("__first")).otherwise(F.col("__at_ns")).alias("at_ns"))
+    return stand, wait
+
+
 DRIVE = "id string, name string, size bigint, cTag string, eTag string, lastModifiedDateTime string, parentReference struct<id:string,driveId:string>, file struct<hashes:struct<quickXorHash:string,sha1Hash:string,sha256Hash:string>,mimeType:string>, folder struct<childCount:bigint>, root struct<x:string>, deleted struct<state:string>, remoteItem struct<id:string>"
 
 
