@@ -40,6 +40,17 @@ def sorted_json(pairs: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*[pairs[k].cast("string").alias(k) for k in sorted(pairs)]))
 
 
+def json_set(c: Column | str, key: str, value: Column) -> Column:
+    """A JSON object with a key set (last in order) to a value given as JSON text; other values stay as they are.  Null for what is no object."""
+    held = F.from_json(col(c), "map<string,variant>")
+    return F.to_json(F.map_concat(F.map_filter(held, lambda k, _: k != key), F.create_map(F.lit(key), F.parse_json(value))))
+
+
+def json_remove(c: Column | str, *keys: str) -> Column:
+    """A JSON object without some keys."""
+    return F.to_json(F.map_filter(F.from_json(col(c), "map<string,variant>"), lambda k, _: ~k.isin(*keys)))
+
+
 def options_hash(pairs: dict[str, Column]) -> Column:
     return F.concat(F.lit("sha256:"), sha(sorted_json(pairs)))
 

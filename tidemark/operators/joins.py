@@ -196,6 +196,24 @@ def status_rows(sources: DataFrame, items: DataFrame, tombstones: DataFrame, run
     return out.na.fill(0, [c for c in out.columns if c.startswith("n_")])
 
 
+def source_health(sources: DataFrame, status: DataFrame, runs: DataFrame, now: Column, late_s: int = 86_400) -> DataFrame:
+    """A source's wide status row with how fresh it is, whether a breaker holds its deletions, and whether it has a baseline.
+
+    sources: config_state, baseline_complete, breaker_until and breaker_candidates as in the state; status: status_rows; runs: source_id,
+    finished_at, outcome.  health: retired, held (by the breaker), no-baseline, never (no good run), late, ok; the first that holds.
+    """
+    good = runs.groupBy("source_id").agg(F.max(F.when(F.col("outcome") == "ok", F.col("finished_at"))).alias("last_ok"), F.max_by("outcome", "finished_at").alias("last_outcome"))
+    rows = sources.select("source_id", "config_state", "baseline_complete", "breaker_until", "breaker_candidates").join(status, "source_id", "left").join(good, "source_id", "left")
+    age = (F.unix_seconds(now) - F.unix_seconds("last_ok")).alias("age_s")
+    held = F.coalesce(F.col("breaker_until") > now, F.lit(False))
+    health = (
+        F.when(F.col("config_state") == "retired", "retired").when(held, "held").when(~F.coalesce("baseline_complete", F.lit(False)), "no-baseline").when(F.col("last_ok").isNull(), "never")
+        .when(age > late_s, "late").otherwise("ok")
+    )
+    counts = [c for c in status.columns if c != "source_id"]
+    return rows.select("source_id", *counts, "last_outcome", age, held.alias("held"), F.when(held, F.col("breaker_candidates")).alias("held_candidates"), health.alias("health"))
+
+
 def unique_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     """Ids for wanted bases (base, place): the base, or base-2, base-3 … clear of the ids that are taken."""
     used = taken.select(F.regexp_extract("id", r"^(.*?)(?:-([0-9]+))?$", 1).alias("base"), F.coalesce(F.regexp_extract("id", r"-([0-9]+)$", 1).try_cast("int"), F.lit(1)).alias("k"))

@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import columns as fx
 from tidemark.functions.front import write_front
 from tidemark.functions.scratch import materialize, shared_dir
-from tidemark.operators import aggregates, graph, pieces, quality
+from tidemark.operators import aggregates, graph, joins, pieces, quality
 from tidemark.plans import verbs
 from tidemark.plans.registry import query, table
 from tidemark.schemas import OBSERVATION, conform
@@ -193,3 +194,29 @@ def two_reads(spark, sf_dir):
         one = stand.select("source_id", "stable_id", "size", F.lit(k).alias("rounds"))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("source_id", "stable_id", "size").agg(F.min("rounds").alias("rounds"))
+
+
+@query(
+    """SELECT event_id, event_id AS seen, false AS has_k, CAST(len(json_keys(props)) - CASE WHEN json_extract(props, '$.k') IS NOT NULL THEN 1 ELSE 0 END + 1 AS INTEGER) AS keys FROM events"""
+)
+def json_edits(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("j", fx.json_set(fx.json_remove("props", "k"), "seen", F.col("event_id").cast("string")))
+    return e.select("event_id", F.get_json_object("j", "$.seen").cast("bigint").alias("seen"), F.get_json_object("j", "$.k").isNotNull().alias("has_k"), F.size(F.json_object_keys("j")).alias("keys"))
+
+
+@query(
+    """WITH s AS (SELECT o_custkey AS k, max(o_orderkey) AS newest, max(CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END) AS good, count(*) AS n_live FROM orders GROUP BY 1)
+  SELECT CAST(k AS STRING) AS source_id, n_live, CASE WHEN newest % 3 = 0 THEN 'failed' ELSE 'ok' END AS last_outcome, 100000 - good AS age_s, k % 5 = 0 AS held, CASE WHEN k % 5 = 0 THEN k END AS held_candidates,
+    CASE WHEN k % 11 = 0 THEN 'retired' WHEN k % 5 = 0 THEN 'held' WHEN k % 7 = 0 THEN 'no-baseline' WHEN good IS NULL THEN 'never' WHEN 100000 - good > 60000 THEN 'late' ELSE 'ok' END AS health FROM s"""
+)
+def source_health(spark, sf_dir):
+    """Customers as sources, their orders as runs."""
+    o = table(spark, sf_dir, "orders")
+    name = F.col("o_custkey").cast("string").alias("source_id")
+    now, k = F.timestamp_seconds(F.lit(100_000)), F.col("o_custkey")
+    sources = o.select("o_custkey").distinct().select(
+        name, F.when(k % 11 == 0, "retired").otherwise("live").alias("config_state"), (k % 7 != 0).alias("baseline_complete"),
+        F.when(k % 5 == 0, F.timestamp_seconds(F.lit(200_000))).when(k % 3 == 0, F.timestamp_seconds(F.lit(1))).alias("breaker_until"), k.alias("breaker_candidates"),
+    )
+    runs = o.select(name, F.timestamp_seconds("o_orderkey").alias("finished_at"), F.when(F.col("o_orderkey") % 3 == 0, "failed").otherwise("ok").alias("outcome"))
+    return joins.source_health(sources, o.groupBy(name).agg(F.count("*").alias("n_live")), runs, now, 60_000)
