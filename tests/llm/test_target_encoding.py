@@ -4,6 +4,9 @@ import random
 import zlib
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import functions as F
 
 from tidemark.llm import runtime, target_encoding
@@ -79,3 +82,29 @@ def test_empty_tables_and_times_without_a_zone(spark):
         target_encoding.micros(F.expr("TIMESTAMP_NTZ'2024-03-31 02:30:01.000007'"), "timestamp_ntz").alias("a"), target_encoding.micros(F.expr("TIMESTAMP'1969-12-31 23:59:59.5Z'"), "timestamp").alias("b")
     )
     assert got.first() == (1711852201000007, -500000)
+
+
+def test_sums_go_on_over_batches():
+    rng, folds, rows = np.random.default_rng(3), 3, []
+    for key in range(6):
+        rows.append((key, 0, rng.integers(0, 9, 2 * folds).tolist(), 10 + key, -1, -1, 0, 0))
+        rows += sorted((key, 0, None, 0, int(rng.integers(0, 7)), int(rng.integers(0, folds)), int(rng.integers(1, 4)), int(rng.integers(0, 2))) for _ in range(int(rng.integers(0, 25))))
+    rows.sort(key=lambda r: (r[0], r[4]))
+    names = ["key", "leaf", "known", "parent_key", "t", "fold", "n", "s"]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+
+    def run(step):
+        parts = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + step], strict=True), kinds, strict=True)], names) for a in range(0, len(rows), step)]
+        out = pa.Table.from_batches(list(target_encoding.sum_leaves(folds, True)(iter(parts))))
+        return [tuple(r.values()) for r in out.to_pylist()]
+
+    want, known = [], None
+    for r in rows:
+        if r[5] < 0:
+            known, seen, parent = r[2], [], r[3]
+            continue
+        past = [x for x in seen if x[4] < r[4] and x[5] != r[5]]
+        base = [sum(known[2 * f + k] for f in range(folds) if f != r[5]) for k in (0, 1)]
+        want.append((*r[4:], parent, base[0] + sum(x[6] for x in past), base[1] + sum(x[7] for x in past)))
+        seen.append(r)
+    assert all(run(step) == want for step in (1, 2, 3, 7, 1000))

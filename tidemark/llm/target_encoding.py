@@ -7,14 +7,17 @@ union of one node for each bit set in the leaf's number, so each leaf explodes i
 levels, which meet the nodes by equality and are summed; inside a leaf a running sum goes on to the microsecond.  Only left
 children are ever asked for, so only these are stored.  All folds less the row's own are its history.
 
-Trees are as tall as their keys need: leaves are meant to hold LEAF events.  Keys of the usual size share one height; heavy
-keys (more events than LEAF_ROWS and than one in HEAVY_SHARE of all, so at most HEAVY_SHARE of them, which are broadcast)
-get their own, and those with leaves fuller than that bound grow until they have none, at last to leaves of one microsecond
-that hold one row a fold.  So no task holds more of a key than a leaf.  A node is asked for by each leaf below its right
-neighbour; nodes that are asked for very often are copied and their probes dealt to the copies.
-
-Shuffled: the events of each column (one narrow row per value, time and fold, after partial sums), their leaves with nodes and
-probes, and the rows that get the rates.  Nothing but the heights of heavy keys is broadcast, and only a few counts reach the driver.
+Trees are as tall as their keys need: leaves are meant to hold LEAF rows.  Keys of the usual size share one height; heavy
+keys (more rows than LEAF_ROWS and than one in HEAVY_SHARE of all, so at most HEAVY_SHARE of them, which are broadcast)
+get their own, and those with leaves fuller than that bound grow until they have none, at last to leaves of one microsecond.
+Rows of one microsecond are no history of each other, so where even such a leaf is too full (a third of all lines may be one
+sale's) its rows are dealt to several tasks, each with the leaf's counts.  So no task holds more of a key than a leaf.  A node is
+asked for by each leaf below its right neighbour; nodes that are asked for very often are copied and their probes dealt to the copies.
+
+A leaf's rows stream through a task in order of time behind a marker with the counts before the leaf; a batch of rows is in
+memory at a time.  Shuffled: the rows once for each column, their leaves with nodes and probes, and the parents' sums by time and fold
+with the rows that get their rates.  Nothing but the heights of heavy keys and crowded leaves is broadcast, and only a few counts
+reach the driver.
 
 Defined results: a null id of the columns is -1, an ordinary id; ids that the table of parents lacks, or whose parent is null, share one
 parent; where that table repeats an id its least parent counts; rows without a time or a unit take no part and are not in the result;
@@ -25,20 +28,26 @@ columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.functions.scratch import in_own_session
 from tidemark.llm import runtime
-from tidemark.llm.runtime import heavy, materialize, salted_join, small_batches
+from tidemark.llm.runtime import heavy, salted_join
 
-LEAF = 8
+LEAF = 32
 LEAF_ROWS = 50_000
-#: Levels by which the tree of a key grows while one of its leaves is too full.
+#: Levels by which the tree of a key grows while one of its leaves is too full; twice as many each time.
 GROW = 4
 AT = ("t", "fold")
+#: Most columns here are times, ids and sums that seldom repeat: a dictionary is built in vain.
+PLAIN = {"parquet.enable.dictionary": "false"}
 
 
 @dataclass(frozen=True)
@@ -62,6 +71,10 @@ def micros(column: Column, kind: str) -> Column:
     return ((days * 24 + F.hour(column)) * 60 + F.minute(column)) * 60_000_000 + (seconds * 1_000_000).cast("long")
 
 
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    return runtime.materialize(df, tag, **PLAIN)
+
+
 def sums(df: DataFrame, *keys: str | Column, more: list[Column] = ()) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), *more)
 
@@ -92,13 +105,15 @@ def leaves_of(events: DataFrame, total: int, bits: int, folds: int) -> tuple[Dat
     usual, own = heights(events, total, bits)
     by_fold = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in range(folds) for c in ("n", "s")]
     bound = max(LEAF_ROWS, total // runtime.HEAVY_SHARE)
+    grow = GROW
     while True:
         placed = leafed(events, usual, own, bits)
         leaves = materialize(placed.groupBy("key", "height", "leaf").agg(F.count("*").alias("rows"), *by_fold), "leaves")
         if own is None or not leaves.where((F.col("rows") > bound) & (F.col("height") < bits)).limit(1).count():
             return placed, leaves
-        full = leaves.where(F.col("rows") > bound).select("key").distinct().withColumn("full", F.lit(GROW))
+        full = leaves.where(F.col("rows") > bound).select("key").distinct().withColumn("full", F.lit(grow))
         own = materialize(own.join(full, "key", "left").select("key", F.least(F.lit(bits), F.col("height") + F.coalesce("full", F.lit(0))).alias("height")), "heights")
+        grow *= 2
 
 
 def before_leaves(leaves: DataFrame, folds: int) -> DataFrame:
@@ -117,41 +132,103 @@ def before_leaves(leaves: DataFrame, folds: int) -> DataFrame:
     return salted_join(probes, nodes, keys, parts).groupBy("key", "leaf").agg(*[F.sum(c).alias(c) for c in counts])
 
 
-def history(events: DataFrame, bits: int, folds: int, parents: DataFrame | None = None) -> DataFrame:
-    """events (key, t, fold, n, s and more; one row for each key, t and fold) with hn and hs, the sums over other folds and earlier times.
-
-    parents: key and parent, each key once; adds parent_key, which is never null.
+def schema_with(df: DataFrame, more: str) -> T.StructType:
+    return T.StructType([*df.schema.fields, *T._parse_datatype_string(more).fields])
+
+
+def sum_leaves(folds: int, parent: bool):
+    """Over rows sorted by key, leaf and time, each leaf led by a marker (fold -1, known: the counts before it): the rows with hn and hs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, tie = np.zeros(2 * folds, np.int64), np.zeros(2 * folds, np.int64)  # of the leaf at hand: up to its last moment, and in it
+        last_t, last_parent = -1, 0
+        for batch in batches:
+            m = batch.num_rows
+            if not m:
+                continue
+            take = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+            t, fold = take("t"), take("fold").astype(np.int64)
+            marker = fold < 0
+            ones = np.zeros((2 * folds, m + 1), np.int64)
+            rows = np.flatnonzero(~marker)
+            ones[2 * fold[rows], rows + 1], ones[2 * fold[rows] + 1, rows + 1] = take("n")[rows], take("s")[rows]
+            sums = ones.cumsum(1)
+            lead = np.flatnonzero(marker)
+            told = batch.column("known").filter(pa.array(marker)).flatten().to_numpy(zero_copy_only=False).reshape(len(lead), 2 * folds)
+            known, starts = np.vstack([before + tie, told]), np.concatenate([[0], lead])
+            group = np.cumsum(marker)
+            moment = np.ones(m, bool)
+            moment[1:] = (t[1:] != t[:-1]) | marker[1:]
+            moment = np.maximum.accumulate(np.where(moment, np.arange(m), 0))
+            past = sums[:, moment] - sums[:, starts[group]] + known[group].T
+            goes_on = not marker[0] and t[0] == last_t
+            if goes_on:  # the moment at which the last batch ended
+                past[:, moment == 0] -= tie[:, None]
+            own = 2 * np.maximum(fold, 0)
+            hn, hs = past[0::2].sum(0) - past[own, np.arange(m)], past[1::2].sum(0) - past[own + 1, np.arange(m)]
+            at = int(moment[-1])
+            now = sums[:, m] - sums[:, at]
+            tie = tie + now if goes_on and at == 0 else now
+            before, last_t = past[:, -1].copy(), int(t[-1])
+            keep = pa.array(~marker)
+            columns = [batch.column(c) for c in batch.schema.names if c not in ("key", "leaf", "known", "parent_key")]
+            names = [c for c in batch.schema.names if c not in ("key", "leaf", "known", "parent_key")]
+            if parent:
+                parents = np.concatenate([[last_parent], take("parent_key")[lead]])
+                columns, names, last_parent = [*columns, pa.array(parents[group])], [*names, "parent_key"], int(parents[-1])
+            out = pa.RecordBatch.from_arrays([*columns, pa.array(hn), pa.array(hs)], [*names, "hn", "hs"])
+            yield out.filter(keep)
+
+    return run
+
+
+def history(rows: DataFrame, key: Column, bits: int, folds: int, parents: DataFrame | None = None) -> DataFrame:
+    """rows (t, fold, n, s and more, all of them whole numbers) with hn and hs, the sums of n and s over rows of the same key, other folds and earlier times.
+
+    parents: key and parent_key, each key once; adds parent_key, -1 for keys that it lacks.
     """
+    events = rows.select(key.alias("key"), *rows.columns)
     total = events.count()  # from the files' footers
+    more = "parent_key bigint, hn bigint, hs bigint" if parents is not None else "hn bigint, hs bigint"
     if not total:
-        bare = events.withColumns({"hn": F.col("n"), "hs": F.col("s")})
-        return bare if parents is None else bare.withColumn("parent_key", F.lit(""))
+        return rows.sparkSession.createDataFrame([], schema_with(rows, more))
     placed, leaves = leaves_of(events, total, bits, folds)
-    known = before_leaves(leaves, folds)
-    if parents is not None:
-        of = leaves.select("key", "leaf").join(parents, "key", "left").select("key", "leaf", F.coalesce(F.concat(F.lit("="), F.col("parent").cast("string")), F.lit("")).alias("parent_key"))
-        known = of.join(known, ["key", "leaf"], "left")
-    inside = W.partitionBy("key", "leaf").orderBy("t").rangeBetween(W.unboundedPreceding, -1)
-    own = W.partitionBy("key", "leaf", "fold").orderBy("t").rangeBetween(W.unboundedPreceding, -1)
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    run = placed.drop("height").withColumns({"an": zero(F.sum("n").over(inside)), "as": zero(F.sum("s").over(inside))})
-    run = run.withColumns({"on": zero(F.sum("n").over(own)), "os": zero(F.sum("s").over(own))})
-    others = lambda c: zero(sum((F.when(F.col("fold") == f, 0).otherwise(F.col(f"{c}{f}")) for f in range(folds)), F.lit(0)))
-    out = run.join(known, ["key", "leaf"], "left")
-    return out.select(
-        *events.columns, *(["parent_key"] if parents is not None else []), (F.col("an") - F.col("on") + others("n")).alias("hn"), (F.col("as") - F.col("os") + others("s")).alias("hs")
-    )
+    counts = [f"{c}{f}" for f in range(folds) for c in ("n", "s")]
+    led = leaves.select("key", "leaf", "height", "rows").join(before_leaves(leaves, folds), ["key", "leaf"], "left")
+    led = led.withColumn("known", F.array(*[F.coalesce(c, F.lit(0)).cast("long") for c in counts])).drop(*counts)
+    led = led.withColumn("parent_key", F.lit(0).cast("long")) if parents is None else led.join(parents, "key", "left").withColumn("parent_key", F.coalesce("parent_key", F.lit(-1).cast("long")))
+    bound = max(LEAF_ROWS, total // runtime.HEAVY_SHARE)
+    # a leaf of one microsecond can't be cut by time; its rows are no history of each other, so they may be dealt to several tasks
+    crowds = materialize(leaves.where(F.col("rows") > bound).select("key", "leaf", F.ceil(F.col("rows") / bound).cast("int").alias("copies")), "crowds")
+    if crowds.limit(1).count():
+        of = F.broadcast(crowds)  # at most HEAVY_SHARE narrow rows
+        led = led.join(of, ["key", "leaf"], "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)))
+        placed = placed.join(of, ["key", "leaf"], "left").withColumn("copy", F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("copies")), F.lit(0)).cast("int"))
+    else:
+        led, placed = led.withColumn("copy", F.lit(0)), placed.withColumn("copy", F.lit(0))
+    blank = {"t": F.lit(-1).cast("long"), "fold": F.lit(-1)}
+    markers = led.select("key", "leaf", "copy", "known", "parent_key", *[blank.get(c, F.lit(0)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    dealt = placed.select("key", "leaf", "copy", F.lit(None).cast("array<bigint>").alias("known"), F.lit(0).cast("long").alias("parent_key"), *rows.columns).unionByName(markers)
+    dealt = dealt.repartition("key", "leaf", "copy").sortWithinPartitions("key", "leaf", "copy", "t").drop("copy")
+    return dealt.mapInArrow(sum_leaves(folds, parents is not None), schema_with(rows, more))
+
+
+def numbered(parents: DataFrame) -> DataFrame:
+    """key, parent_key of parents (key, parent): a number for each parent; keys without one are left out."""
+    once = materialize(parents.where("parent is not null").select(F.col("key").cast("long").alias("key"), F.col("parent").cast("string").alias("parent")).groupBy("key").agg(F.min("parent").alias("parent")), "parents")
+    names = materialize(once.select("parent").distinct().withColumn("parent_key", F.monotonically_increasing_id()), "names")
+    return materialize(once.join(names, "parent").select("key", "parent_key"), "parents")
 
 
 def rated(rows: DataFrame, column: str, parents: DataFrame, bits: int, folds: int, rate: Rate) -> DataFrame:
-    """key, t, fold, <column>_n and <column>_rate of a column of rows (t, fold, n, s and p, the rate of all history at that time and fold)."""
-    events = materialize(sums(rows, F.col(column).alias("key"), *AT, more=[F.max("p").alias("p")]), "events")
-    known = materialize(history(events, bits, folds, parents.select(F.col("key").cast("long").alias("key"), "parent").groupBy("key").agg(F.min("parent").alias("parent"))), "history")
-    above = materialize(sums(known, F.col("parent_key").alias("key"), *AT, more=[F.max("p").alias("p")]), "events")
-    above = history(above, bits, folds).select(F.col("key").alias("parent_key"), *AT, rate.of(F.col("hn"), F.col("hs"), F.col("p")).alias("pp"))
-    both = known.drop("n", "s", "p").join(above, ["parent_key", *AT])
+    """rows (t, fold, n, s, p, the rate of all history at that time and fold, and ids) with <column>_n and <column>_rate."""
     name = column.removesuffix("_id")
-    return materialize(both.select(F.col("key").alias(column), *AT, F.col("hn").alias(f"{name}_n"), rate.of(F.col("hn"), F.col("hs"), F.col("pp")).alias(f"{name}_rate")), "rates")
+    known = materialize(history(rows, F.col(column), bits, folds, numbered(parents)), "history")
+    above = materialize(sums(known, F.col("parent_key").alias("of"), *AT), "above")
+    above = history(above, F.col("of"), bits, folds).select(F.col("of").alias("parent_key"), *AT, F.col("hn").alias("pn"), F.col("hs").alias("ps"))
+    both = known.join(above, ["parent_key", *AT])
+    prior = rate.of(F.col("pn"), F.col("ps"), F.col("p"))
+    return both.select(*rows.columns, F.col("hn").alias(f"{name}_n"), rate.of(F.col("hn"), F.col("hs"), prior).alias(f"{name}_rate"))
 
 
 def encode(
@@ -163,7 +240,8 @@ def encode(
     modulo ``folds``.  line_ids and unit_ids map id columns of either to their parents (key, parent).
     """
     rate = rate or Rate()
-    lines, units = small_batches(lines, tidy=True), small_batches(units, tidy=True)
+    tidy = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}  # shuffle files of a step go when it ends
+    lines, units = in_own_session(lines, tidy), in_own_session(units, tidy)
     id_of = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-1).cast("long"))
     digits = F.col(unit).cast("long")
     kind = dict(units.dtypes)[at]
@@ -174,20 +252,18 @@ def encode(
     bits = max(1, (0 if first is None else last - first).bit_length())
     told = told.withColumn("t", F.col("__us") - F.lit(first or 0).cast("long")).drop("__us")
     counted = lines.where(F.col(unit).isNotNull()).select(digits.alias("__unit"), *[id_of(c).alias(c) for c in line_ids], F.lit(1).cast("long").alias("n"), F.when(label, 1).otherwise(0).cast("long").alias("s"))
-    pairs = materialize(sums(counted, "__unit", *line_ids), "pairs")
     whole = materialize(sums(counted, "__unit").join(told, "__unit"), "units")
-    every = materialize(sums(whole, *AT).withColumn("key", F.lit(0)), "events")
+    every = history(materialize(sums(whole, *AT), "all"), F.lit(0).cast("long"), bits, folds)
     all_rate = rate.of(F.col("hn"), F.col("hs"), F.lit(rate.prior).cast("long"))
-    rows = materialize(whole.join(history(every, bits, folds).select(*AT, all_rate.alias("p")), list(AT)), "units")
-    unit_rows = rows
+    rows = materialize(whole.join(every.select(*AT, all_rate.alias("p")), list(AT)), "units")
     for c, parents in unit_ids.items():
-        unit_rows = unit_rows.join(rated(rows, c, parents, bits, folds, rate), [c, *AT])
-    unit_rows = materialize(unit_rows.drop("n", "s"), "units")
-    out = rows = materialize(pairs.join(unit_rows, "__unit"), "rows")
-    for c, parents in line_ids.items():
-        out = out.join(rated(rows, c, parents, bits, folds, rate), [c, *AT])
+        rows = materialize(rated(rows, c, parents, bits, folds, rate), "units")
+    rows = materialize(sums(counted, "__unit", *line_ids).join(rows.drop("n", "s"), "__unit"), "rows")
+    for k, (c, parents) in enumerate(line_ids.items()):
+        rows = rated(rows, c, parents, bits, folds, rate)
+        rows = rows if k == len(line_ids) - 1 else materialize(rows, "rows")
     names = [f"{c.removesuffix('_id')}_{x}" for c in (*line_ids, *unit_ids) for x in ("n", "rate")]
-    return out.select(F.col("__unit").alias(unit), *line_ids, F.col("n").alias("n_lines"), F.col("s").alias("n_returned"), *names)
+    return rows.select(F.col("__unit").alias(unit), *line_ids, F.col("n").alias("n_lines"), F.col("s").alias("n_returned"), *names)
 
 
 def shop_rates(sale_lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFrame, clients: DataFrame) -> DataFrame:
