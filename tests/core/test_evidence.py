@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.operators import evidence, screens
+from tidemark.operators import classify, evidence, screens
 from tidemark.sources import trees
 
 CITE = "id bigint, page string, recording int, second bigint, channel string, quote string"
@@ -209,7 +209,7 @@ def test_nothing_under_an_unknown_folder_is_missing(spark):
     stored = spark.createDataFrame([("s", "1", "f"), ("s", "2", "b/g"), ("s", "3", "b/c/h"), ("s", "4", "bc/i"), ("s", "5", "b/j"), ("t", "1", "b/g"), ("u", "1", "k"), ("u", "2", "a/l")], f"{keys}, rel_path string")
     listed = spark.createDataFrame([("s", "5")], keys)
     answers = spark.createDataFrame([("s", "b", "refused"), ("s", "b/c", "unread"), ("s", "", "listed"), ("t", "b", "gone"), ("u", "", "unread")], "source_id string, path string, status string")
-    got = trees.absent_or_unknown(stored, listed, answers).collect()
+    got = classify.absent_or_unknown(stored, listed, answers).collect()
     assert {(r.source_id, r.stable_id): (r.verdict, r.folder) for r in got} == {
         ("s", "1"): ("missing", None), ("s", "2"): ("unknown", "b"), ("s", "3"): ("unknown", "b/c"), ("s", "4"): ("missing", None), ("t", "1"): ("missing", None), ("u", "1"): ("unknown", ""), ("u", "2"): ("unknown", "")
     }

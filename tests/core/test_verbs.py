@@ -52,6 +52,18 @@ def test_story(spark, tmp_path):
     assert store.history("pages").count() == 0 and store.history("items").count() >= 1 and state()["2"].state == "tombstone"
 
 
+def test_what_lies_in_a_refused_folder_is_not_gone(spark, tmp_path):
+    store = VersionedStore(spark, f"file://{tmp_path}")
+    rows = [{"stable_id": str(k), "rel_path": p, "name": p[-1]} for k, p in enumerate(["x/a", "x/y/b", "z/c", "d"])]
+    answers = spark.createDataFrame([("s", "x", "refused"), ("s", "z", "listed"), ("t", "", "refused")], "source_id string, path string, status string")
+    f = files(spark, [])
+    verbs.sync(store, listing(spark, rows), f, 1, 100, True, True)
+    r = verbs.sync(store, listing(spark, rows[3:]), f, 2, 100, True, True, answers=answers)
+    assert [x.stable_id for x in r.candidates.collect()] == ["2"] and [x.stable_id for x in r.removed.collect()] == ["2"]
+    assert {x.stable_id: x.absent_since_run for x in store.read("items").where("state <> 'tombstone'").collect()} == {"0": None, "1": None, "3": None}
+    assert [tuple(x) for x in store.read("passes").collect()] == [("s", 1)]
+
+
 def test_content_decides_what_is_made_again(spark, tmp_path):
     store = VersionedStore(spark, f"file://{tmp_path}")
     at = lambda i, m=10, **k: {"stable_id": i, "rel_path": f"{i}.txt", "name": f"{i}.txt", "mtime_ns": m, **k}

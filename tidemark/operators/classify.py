@@ -160,6 +160,36 @@ def unseen(stored: DataFrame, observed: DataFrame, keys: tuple[str, ...] = KEYS)
     return rows.join(observed.select(*keys).distinct(), list(keys), "left_anti")
 
 
+#: Answers of a folder after which nothing is known of what lies below it.
+UNKNOWN = ("refused", "unread", "volume", "unknown")
+
+
+def nearest_unknown(rows: DataFrame, answers: DataFrame, salts: int = 16) -> DataFrame:
+    """rows (source_id, stable_id, rel_path …) with folder, the nearest folder above of which nothing is known, or null.
+
+    answers: source_id, path ('' is the root), status.  Every folder above a row is looked up by one equality join, at any depth; as all rows of a
+    source share its root, the few unknown folders are copied under some salts.
+    """
+    parts = F.split("rel_path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    salt = F.pmod(F.xxhash64("stable_id"), F.lit(salts)).cast("int")
+    probes = rows.where("rel_path is not null").select(*KEYS, salt.alias("__salt"), F.explode(above).alias("path"))
+    blind = answers.where(F.col("status").isin(*UNKNOWN)).select("source_id", "path").distinct()
+    blind = blind.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hit = probes.join(blind, ["source_id", "path", "__salt"]).groupBy(*KEYS).agg(F.max_by("path", F.length("path")).alias("folder"))
+    return rows.join(hit, list(KEYS), "left")
+
+
+def absent_or_unknown(stored: DataFrame, listed: DataFrame, answers: DataFrame) -> DataFrame:
+    """source_id, stable_id, rel_path, verdict, folder of stored rows that a pass did not list.
+
+    A row under a folder of which nothing is known (nearest_unknown) is ``unknown`` and names it; all others are ``missing`` and may count as
+    deleted, those without a path too.
+    """
+    rows = stored.select(*KEYS, "rel_path").join(listed.select(*KEYS).distinct(), list(KEYS), "left_anti")
+    return nearest_unknown(rows, answers).select(*KEYS, "rel_path", F.when(F.col("folder").isNull(), "missing").otherwise("unknown").alias("verdict"), "folder")
+
+
 def safe_saves(created: DataFrame, missing: DataFrame) -> DataFrame:
     """source_id, new_id, old_id: a new id at the path of one that vanished.
 
@@ -193,13 +223,18 @@ def pass_rows(observed: DataFrame, stored: DataFrame, written_at_ns: int, busy:
     )
 
 
-def settle_pass(rows: DataFrame, live: DataFrame, full: bool, complete: bool, fraction: str = "0.20", floor: int = 25) -> tuple[DataFrame, DataFrame, DataFrame]:
+def settle_pass(
+    rows: DataFrame, live: DataFrame, full: bool, complete: bool, fraction: str = "0.20", floor: int = 25, answers: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Verdicts (with safe-save pairs applied), deletion candidates and breakers of pass_rows; live: source_id, live (its present rows).
 
+    answers: what folders answered (nearest_unknown); a row under one of which nothing is known is not missing.
     Only objects that are new or gone are normalised for pairing, never the listing.
     """
     new = rows.where("listed and verdict = 'created'").select(*KEYS, "is_dir", "deleted", F.col("path").alias("rel_path"))
     missing = rows.where("not listed").select(*KEYS, "is_dir", F.col("old_path").alias("rel_path"), "last_seen_run", F.lit("live").alias("state"))
+    if answers is not None:
+        missing = nearest_unknown(missing, answers).where("folder is null").drop("folder")
     saves = safe_saves(new, missing) if full else rows.sparkSession.createDataFrame([], "source_id string, new_id string, old_id string")
     paired = rows.where("listed").join(saves.withColumnRenamed("new_id", "stable_id"), list(KEYS), "left")
     saved = F.col("old_id").isNotNull()

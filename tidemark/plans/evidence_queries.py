@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import evidence, screens
+from tidemark.operators import classify, evidence, screens
 from tidemark.plans import standin
 from tidemark.plans.analysis_queries import SPANS, spans
 from tidemark.plans.registry import query, table
@@ -122,7 +122,7 @@ def absent_or_unknown(spark, sf_dir):
     status = F.when(F.col("path").rlike("/f3$"), "refused").when(F.col("path").rlike("^fr/f.$"), "unread").otherwise("listed")
     tops = folders.select("source_id", F.lit("de").alias("path"), F.lit("volume").alias("status")).distinct()
     root = folders.agg(F.max("source_id").alias("source_id")).select("source_id", F.lit("").alias("path"), F.lit("unknown").alias("status"))
-    return trees.absent_or_unknown(stored, standin.observed(docs), folders.withColumn("status", status).unionByName(tops).unionByName(root))
+    return classify.absent_or_unknown(stored, standin.observed(docs), folders.withColumn("status", status).unionByName(tops).unionByName(root))
 
 
 @query(

@@ -77,7 +77,7 @@ class Pass:
     removed: DataFrame
 
 
-def observe(store: VersionedStore, observed: DataFrame, run_id: int, written_at_ns: int, full: bool, complete: bool, policy: Policy) -> Pass:
+def observe(store: VersionedStore, observed: DataFrame, run_id: int, written_at_ns: int, full: bool, complete: bool, policy: Policy, answers: DataFrame | None = None) -> Pass:
     """Classify; move what a safe save renamed; mark what is absent; remove what is gone.
 
     Only working rows go on from here: those that the fast path does not answer, the absent, what has work left, and what is below a
@@ -85,7 +85,7 @@ def observe(store: VersionedStore, observed: DataFrame, run_id: int, written_at_
     """
     items = settled_items(store.read("items"), store.read("passes"))
     rows = materialize(classify.pass_rows(observed, items, written_at_ns), "pass")
-    verdicts, candidates, breaker = classify.settle_pass(rows, classify.live_rows(items), full, complete)
+    verdicts, candidates, breaker = classify.settle_pass(rows, classify.live_rows(items), full, complete, answers=answers)
     verdicts, candidates, breaker = store.keep("verdicts", run_id, verdicts), store.keep("candidates", run_id, candidates), store.keep("breaker", run_id, breaker)
     pairs = verdicts.where("replaces_id is not null").select("source_id", F.col("stable_id").alias("new_id"), F.col("replaces_id").alias("old_id"))
     touched = verdicts.select(*KEYS).unionByName(candidates).unionByName(state.pending_work(items).select(*KEYS)).unionByName(pairs.select("source_id", F.col("old_id").alias("stable_id")))
@@ -282,18 +282,20 @@ def make_pages(store: VersionedStore, seen: Pass, items: DataFrame, made: Conten
 
 def sync(
     store: VersionedStore, observed: DataFrame, files: DataFrame, run_id: int, written_at_ns: int, full: bool, complete: bool, policy: Policy | None = None,
-    tokens: DataFrame | None = None, today: Column | None = None,
+    tokens: DataFrame | None = None, today: Column | None = None, answers: DataFrame | None = None,
 ) -> Report:
     """One cycle: recover what a crash left; classify; move, mark and remove; convert what changed; screen; write pages; publish if nothing blocks.
 
     files: source_id, stable_id, path, name, content (and labels, where items have some) of objects that can be read.
-    tokens: source_id, token, the cursors that count once the run is published.  Every table gets its changed rows only, so a cycle without
+    tokens: source_id, token, the cursors that count once the run is published.
+    answers: source_id, path, status of folders; rows under one that was refused or left unread are not taken for gone, and its source has had
+    no full pass.  Every table gets its changed rows only, so a cycle without
     change writes no data of items, outputs or pages.  The published tag moves last, and not at all if a finding blocks.
     """
     policy, today = policy or Policy(), F.current_date() if today is None else today
     store.recover()
     store.begin(run_id)
-    seen = observe(store, observed, run_id, written_at_ns, full, complete, policy)
+    seen = observe(store, observed, run_id, written_at_ns, full, complete, policy, answers)
     made = make_content(store, seen, files, run_id, policy)
     items = materialize(settle_items(seen.new, made.outcomes), "settled")
     out = make_pages(store, seen, items, made, run_id, today, policy)
@@ -311,6 +313,8 @@ def sync(
     written["failures"] = store.change("failures", run_id, failed, cleared)
     if full and complete:
         listed = observed.select("source_id").distinct().withColumn("last_full_run", F.lit(run_id).cast("bigint"))
+        if answers is not None:
+            listed = listed.join(answers.where(F.col("status").isin(*classify.UNKNOWN)).select("source_id").distinct(), "source_id", "left_anti")
         written["passes"] = store.change("passes", run_id, listed)
     if tokens is not None:
         written["cursors"] = store.replace("cursors", run_id, state.stage_cursors(store.read("cursors"), tokens, run_id))

@@ -1,4 +1,4 @@
-"""Folder trees listed by many tasks, with folders that could not be read known as such, and what that says of rows that are not listed."""
+"""Folder trees listed by many tasks; folders that could not be read are known as such (``classify.absent_or_unknown``)."""
 
 from __future__ import annotations
 
@@ -11,13 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scratch import materialize
-from tidemark.operators.classify import KEYS
 from tidemark.operators.graph import _joined
 
 #: name, kind (file, folder, link, volume), size, mtime_ns
 Entry = tuple[str, str, int, int]
-#: Answers of a folder after which nothing is known of what lies below it.
-UNKNOWN = ("refused", "unread", "volume", "unknown")
 TREE = "path string, kind string, status string, size bigint, mtime_ns bigint"
 
 
@@ -103,23 +100,3 @@ def walk_listed(roots: DataFrame, children: DataFrame, answers: DataFrame) -> Da
         level = materialize(inside.select(F.concat("parent", F.lit("/"), "name").alias("path"), "kind").distinct(), "tree-level")
         found = _joined(found, folders.unionByName(level.where("kind <> 'folder'").withColumn("status", F.lit("listed"))), k)
         front = level.where("kind = 'folder'").select("path").join(found.where("kind = 'folder'").select("path"), "path", "left_anti")
-
-
-def absent_or_unknown(stored: DataFrame, listed: DataFrame, answers: DataFrame, salts: int = 16) -> DataFrame:
-    """source_id, stable_id, rel_path, verdict, folder of stored rows that a pass did not list.
-
-    stored: source_id, stable_id, rel_path.  listed: source_id, stable_id.  answers: source_id, path ('' is the root), status.  A row under a folder of
-    which nothing is known is ``unknown`` and names the nearest such folder; all others are ``missing`` and may count as deleted.
-    Every folder above a row is looked up by one equality join, at any depth; as all rows of a source share its root, the few unknown folders are copied
-    under some salts.
-    """
-    rows = stored.select(*KEYS, "rel_path").join(listed.select(*KEYS).distinct(), list(KEYS), "left_anti")
-    parts = F.split("rel_path", "/")
-    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    salt = F.pmod(F.xxhash64("stable_id"), F.lit(salts)).cast("int")
-    probes = rows.select(*KEYS, salt.alias("__salt"), F.explode(above).alias("path"))
-    blind = answers.where(F.col("status").isin(*UNKNOWN)).select("source_id", "path").distinct()
-    blind = blind.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hit = probes.join(blind, ["source_id", "path", "__salt"]).groupBy(*KEYS).agg(F.max_by("path", F.length("path")).alias("folder"))
-    out = rows.join(hit, list(KEYS), "left")
-    return out.select(*KEYS, "rel_path", F.when(F.col("folder").isNull(), "missing").otherwise("unknown").alias("verdict"), "folder")
