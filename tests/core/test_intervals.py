@@ -131,3 +131,15 @@ def test_trees_with_cycles_and_orphans(spark):
     history = frame(spark, [("s", "1", "p"), ("s", "2", "p"), ("s", "2", "q"), ("s", "3", "q"), ("s", "4", "z"), ("t", "5", "p")], "source_id string, stable_id string, path string")
     ids = graph.erasure_fixpoint(history, frame(spark, [("s", "1")], "source_id string, stable_id string"))
     assert {tuple(r) for r in ids.collect()} == {("s", "1"), ("s", "2"), ("s", "3")}  # a path of another source doesn't spread
+
+
+def test_rows_stream_from_frame_to_frame(spark):
+    rows = [("r", k, 0, f"line {k // 50}" if k % 7 else None, 10.0, 8.0) for k in range(200)] + [("s", 0, 0, None, None, 8.0), ("s", 1, 0, "", None, 8.0)]
+    tracks = layout.row_tracks(frame(spark, rows, "rec string, frame bigint, row bigint, text string, y double, h double"), "rec")
+    got = {(r.rec, r.frame): r.track for r in tracks.collect()}
+    want, last = {}, None
+    for k in range(200):
+        text = f"line {k // 50}" if k % 7 else ""
+        want["r", k] = k if last is None else want["r", k - 1] if text == last else max(want.values()) + 1
+        last = text
+    assert got == want | {("s", 0): 0, ("s", 1): 1} and "MapInArrow" in tracks._jdf.queryExecution().toString()

@@ -3,12 +3,22 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tidemark.functions.ordered import in_order, real
 from tidemark.functions.text import similar
 
+#: Texts, and pairs of them, whose comparison a task remembers.
+LATELY = 50_000
+
 Box = tuple[str, float, float, float, float]  # text, left, top, right, bottom
 
 
@@ -91,30 +101,34 @@ def row_tracks(reads: DataFrame, by: str) -> DataFrame:
     """by, frame, row, track: rows (by, frame, row, text, y, h) that go on from the frame before.
 
     In row order each takes the free row at its place that is alike, an equal text first, then the nearest; then a text
-    that one row alone has on either side is the same row wherever it moved.
+    that one row alone has on either side is the same row wherever it moved.  Frames stream in order; two are held at once.
     """
-    plain = lambda t: re.sub(r"[\W_]", "", t.lower())
-
-    def follow(group: pd.DataFrame) -> pd.DataFrame:
-        out, before, tracks = [], [], 0
-        for frame, part in group.sort_values(["frame", "row"], kind="stable").groupby("frame", sort=True):
-            now = [[r.text, r.y, r.h, None, r.row] for r in part.itertuples()]
-            free = dict(enumerate(before))
-            for r in now:
-                fits = [(plain(p[0]) == plain(r[0]), -abs(p[1] - r[1]), -i) for i, p in free.items() if abs(p[1] - r[1]) <= min(p[2], r[2]) and (plain(p[0]) == plain(r[0]) or similar(p[0], r[0]))]
-                if fits:
-                    r[3] = free.pop(-max(fits)[2])[3]
-            for r in now:
-                mine = [p for p in free.values() if plain(p[0]) == plain(r[0])]
-                if r[3] is None and plain(r[0]) and len(mine) == 1 and sum(plain(q[0]) == plain(r[0]) for q in now) == 1:
-                    r[3] = mine[0][3]
-                    free = {i: p for i, p in free.items() if p is not mine[0]}
-            for r in now:
-                if r[3] is None:
-                    r[3], tracks = tracks, tracks + 1
-                out.append((group[by].iloc[0], frame, r[4], r[3]))
-            before = now
-        return pd.DataFrame(out, columns=[by, "frame", "row", "track"])
-
-    kind = dict(reads.dtypes)[by]
-    return reads.groupBy(by).applyInPandas(follow, f"{by} {kind}, frame bigint, row bigint, track bigint")
+
+    def follow(rows: Iterator[tuple]) -> Iterator[tuple]:
+        plain = lru_cache(LATELY)(lambda t: re.sub(r"[\W_]", "", t.lower()))
+        alike = lru_cache(LATELY)(lambda a, b: similar(a, b))
+        for key, recording in groupby(rows, itemgetter(0)):
+            before, tracks = [], 0
+            for frame, part in groupby(recording, itemgetter(1)):
+                now = [[text, y, h, None, row, plain(text)] for _, _, row, text, y, h in part]
+                free = dict(enumerate(before))
+                for r in now:
+                    text, y, h, _, _, bare = r
+                    fits = [(p[5] == bare, -abs(p[1] - y), -i) for i, p in free.items() if abs(p[1] - y) <= min(p[2], h) and (p[5] == bare or alike(p[0], text))]
+                    if fits:
+                        r[3] = free.pop(-max(fits)[2])[3]
+                lost = [r for r in now if r[3] is None and r[5]] if free else []
+                if lost:
+                    left, here = Counter(p[5] for p in free.values()), Counter(r[5] for r in now)
+                    moved = {p[5]: p[3] for p in free.values()}
+                    for r in lost:
+                        if left[r[5]] == 1 and here[r[5]] == 1:
+                            r[3] = moved[r[5]]
+                for r in now:
+                    if r[3] is None:
+                        r[3], tracks = tracks, tracks + 1
+                    yield key, frame, r[4], r[3]
+                before = now
+
+    rows = reads.where("frame is not null").select(by, F.col("frame").cast("bigint").alias("frame"), F.col("row").cast("bigint").alias("row"), F.coalesce("text", F.lit("")).alias("text"), real("y"), real("h"))
+    return in_order(rows, [by], ["frame", F.col("row").asc_nulls_last(), "text", "y", "h"], follow, {"frame": "bigint", "row": "bigint", "track": "bigint"})
