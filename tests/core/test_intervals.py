@@ -143,3 +143,9 @@ def test_rows_stream_from_frame_to_frame(spark):
         want["r", k] = k if last is None else want["r", k - 1] if text == last else max(want.values()) + 1
         last = text
     assert got == want | {("s", 0): 0, ("s", 1): 1} and "MapInArrow" in tracks._jdf.queryExecution().toString()
+
+
+def test_pages_stream_and_a_line_without_text_is_none(spark):
+    boxes = [(p, f"word {k}" if k else None, 0.9, 0.1, 0.1 + k * 0.05, 0.2, 0.04) for p in range(50) for k in range(3)]
+    pages = layout.reading_order(frame(spark, boxes, "page bigint, text string, confidence double, x double, y double, w double, h double"), "page")
+    assert sorted(tuple(r) for r in pages.collect()) == [(p, k, f"word {k + 1}") for p in range(50) for k in range(2)] and "MapInArrow" in pages._jdf.queryExecution().toString()

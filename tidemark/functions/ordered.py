@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 OUT_ROWS = 10_000
 
 
+def values(column: pa.Array) -> list:
+    """The values of a column; plain kinds without nulls come by way of numpy, which is many times faster."""
+    plain = pa.types.is_integer(column.type) or pa.types.is_floating(column.type) or pa.types.is_string(column.type)
+    return column.to_numpy(zero_copy_only=False).tolist() if plain and not column.null_count else column.to_pylist()
+
+
 def in_order(rows: DataFrame, by: list[str], order: list[str | Column], read: Callable[[Iterator[tuple]], Iterable[tuple]], columns: dict[str, str]) -> DataFrame:
     """by and columns (name: type) of the tuples that ``read`` gives.
 
@@ -27,7 +33,7 @@ def in_order(rows: DataFrame, by: list[str], order: list[str | Column], read: Ca
         def tuples() -> Iterator[tuple]:
             for batch in batches:
                 same[:] = [batch.schema.field(c).type for c in by]
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                yield from zip(*map(values, batch.columns), strict=True)
 
         out = iter(read(tuples()))
         while part := list(islice(out, OUT_ROWS)):

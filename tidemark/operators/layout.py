@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
 from operator import itemgetter
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,25 +23,33 @@ Box = tuple[str, float, float, float, float]  # text, left, top, right, bottom
 
 
 def widest_gap(boxes: list[Box], low: int, high: int) -> tuple[float, float]:
-    """Width and place of the widest stretch between boxes along one axis."""
+    """Width and place of the widest stretch between boxes along one axis, on which they are in order."""
     best, at, reach = 0.0, 0.0, None
-    for b in sorted(boxes, key=lambda b: (b[low], b[high])):
-        if reach is not None and b[low] - reach > best:
-            best, at = b[low] - reach, (b[low] + reach) / 2
-        reach = b[high] if reach is None else max(reach, b[high])
+    for b in boxes:
+        start, end = b[low], b[high]
+        if reach is None:
+            reach = end
+            continue
+        if start - reach > best:
+            best, at = start - reach, (start + reach) / 2
+        if end > reach:
+            reach = end
     return best, at
 
 
 def blocks(boxes: list[Box], height: float) -> list[list[Box]]:
     """Blocks in reading order, cut again and again at the widest stretch: columns need one and a half line heights of
-    white, paragraphs one; short texts that line up across columns stay rows."""
-    todo, out = [boxes], []
+    white, paragraphs one; short texts that line up across columns stay rows.  Boxes are sorted once along each axis."""
+    todo, out = [(sorted(boxes, key=itemgetter(1, 3)), sorted(boxes, key=itemgetter(2, 4)))], []
     while todo:
-        part = todo.pop(0)
+        part, down = todo.pop()
+        if len(part) < 2:
+            out.append(part)
+            continue
         gap_x, at_x = widest_gap(part, 1, 3)
-        gap_y, at_y = widest_gap(part, 2, 4)
+        gap_y, at_y = widest_gap(down, 2, 4)
         x, y = gap_x / (1.5 * height), gap_y / height
-        if len(part) < 2 or max(x, y) < 1:
+        if max(x, y) < 1:
             out.append(part)
             continue
         across = x > y and not table_like(part, at_x, height)
@@ -49,29 +57,38 @@ def blocks(boxes: list[Box], height: float) -> list[list[Box]]:
             out.append(part)
             continue
         low, cut = (1, at_x) if across else (2, at_y)
-        todo[:0] = [[b for b in part if b[low] < cut], [b for b in part if b[low] >= cut]]
+        todo.append(([b for b in part if b[low] >= cut], [b for b in down if b[low] >= cut]))
+        todo.append(([b for b in part if b[low] < cut], [b for b in down if b[low] < cut]))
     return out
 
 
 def table_like(boxes: list[Box], cut: float, height: float) -> bool:
-    left, right = [b for b in boxes if b[1] < cut], [b for b in boxes if b[1] >= cut]
     lengths = sorted(len(b[0]) for b in boxes)
-    if lengths[len(lengths) // 2] >= 25 or not left or not right:
+    if lengths[len(lengths) // 2] >= 25:
+        return False
+    left, right = [b[2] + b[4] for b in boxes if b[1] < cut], sorted(b[2] + b[4] for b in boxes if b[1] >= cut)
+    if not left or not right:
         return False
-    lined = sum(any(abs((a[2] + a[4]) - (b[2] + b[4])) <= height for b in right) for a in left)
+    lined = 0
+    for a in left:
+        k = bisect_left(right, a)
+        lined += any(abs(a - m) <= height for m in right[max(k - 1, 0) : k + 1])  # the nearest on either side
     return lined >= 0.6 * len(left)
 
 
 def rows(boxes: list[Box]) -> list[str]:
     """Texts of a block's rows, top to bottom, cells left to right."""
+    if len(boxes) == 1:
+        return [boxes[0][0]]
     out: list[list[Box]] = []
-    for b in sorted(boxes, key=lambda b: (b[2], b[1], b[4], b[3], b[0])):
-        near = [r for r in out if abs((b[2] + b[4]) - (r[0][2] + r[0][4])) <= min(b[4] - b[2], r[0][4] - r[0][2]) and not any(over(b, m) for m in r)]
+    for b in sorted(boxes, key=itemgetter(2, 1, 4, 3, 0)):
+        middle, high = b[2] + b[4], b[4] - b[2]
+        near = [r for r in out if abs(middle - (r[0][2] + r[0][4])) <= min(high, r[0][4] - r[0][2]) and not any(over(b, m) for m in r)]
         if near:
-            min(near, key=lambda r: abs((b[2] + b[4]) - (r[0][2] + r[0][4]))).append(b)
+            min(near, key=lambda r: abs(middle - (r[0][2] + r[0][4]))).append(b)
         else:
             out.append([b])
-    return [" ".join(b[0] for b in sorted(r, key=lambda b: b[1])) for r in sorted(out, key=lambda r: (r[0][2] + r[0][4], r[0][1]))]
+    return [" ".join(b[0] for b in sorted(r, key=itemgetter(1))) for r in sorted(out, key=lambda r: (r[0][2] + r[0][4], r[0][1]))]
 
 
 def over(a: Box, b: Box) -> bool:
@@ -81,20 +98,23 @@ def over(a: Box, b: Box) -> bool:
 def reading_order(lines: DataFrame, by: str) -> DataFrame:
     """by, place, text of recognised lines (by, text, confidence, x, y, w, h), in reading order, blank between blocks.
 
-    Very short lines that were read with little confidence are noise.
+    Very short lines that were read with little confidence are noise.  Pages stream; a task holds one at a time.
     """
 
-    def read(group: pd.DataFrame) -> pd.DataFrame:
-        kept = [(" ".join(r.text.split()), r.x, r.y, r.x + r.w, r.y + r.h) for r in group.itertuples() if r.text.strip() and not (len(r.text.strip()) <= 2 and r.confidence < 0.35)]
-        out: list[str] = []
-        if kept:
+    def read(lines: Iterator[tuple]) -> Iterator[tuple]:
+        for page, group in groupby(lines, itemgetter(0)):
+            kept = [(" ".join(t.split()), x, y, x + w, y + h) for _, t, sure, x, y, w, h in group if (bare := t.strip()) and not (len(bare) <= 2 and sure < 0.35)]
+            if not kept:
+                continue
             heights = sorted(b[4] - b[2] for b in kept)
+            place = 0
             for block in blocks(kept, max(heights[len(heights) // 2], 1e-9)):
-                out += [""] * bool(out) + rows(block)
-        return pd.DataFrame({by: group[by].iloc[0], "place": range(len(out)), "text": out})
+                for text in ([""] if place else []) + rows(block):
+                    yield page, place, text
+                    place += 1
 
-    kind = dict(lines.dtypes)[by]
-    return lines.groupBy(by).applyInPandas(read, f"{by} {kind}, place bigint, text string")
+    page = lines.select(by, F.coalesce("text", F.lit("")).alias("text"), *map(real, ("confidence", "x", "y", "w", "h")))
+    return in_order(page, [by], [], read, {"place": "bigint", "text": "string"})
 
 
 def row_tracks(reads: DataFrame, by: str) -> DataFrame:
