@@ -213,3 +213,32 @@ def test_nothing_under_an_unknown_folder_is_missing(spark):
     assert {(r.source_id, r.stable_id): (r.verdict, r.folder) for r in got} == {
         ("s", "1"): ("missing", None), ("s", "2"): ("unknown", "b"), ("s", "3"): ("unknown", "b/c"), ("s", "4"): ("missing", None), ("t", "1"): ("missing", None), ("u", "1"): ("unknown", ""), ("u", "2"): ("unknown", "")
     }
+
+
+def test_quotes_in_moments_of_many_texts(spark, monkeypatch):
+    from tidemark.functions.columns import quote_held
+
+    rng = random.Random(5)
+    words = ["alpha", "alphabet", "beta", "béta", "gam_ma", "x1", "- -", "…", "a...b"]
+    said = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    lines = [("p", 1, rng.choice([1, 1, 2]), rng.randrange(30), rng.choice(["heard", "seen"]), said(4) if rng.random() < 0.9 else None) for _ in range(60)]
+    cites = [(k, "p", 1, rng.randrange(30), rng.choice(["heard", "seen"]), rng.choice(["pha", "alpha", "beta alpha", "beta...x1", "- -", "...", "éta", "zeta", None, "gam_ma x1"])) for k in range(200)]
+    spoken = [("p", rng.randrange(30), said(2)) for _ in range(10)]
+    frames = [
+        spark.createDataFrame(cites, CITE), spark.createDataFrame([("p", 1)], "page string, recording int"), spark.createDataFrame([("p", 1, 1)], "page string, recording int, window bigint"),
+        spark.createDataFrame(lines, "page string, recording int, window bigint, second bigint, channel string, text string"), spark.createDataFrame(spoken, "page string, second bigint, text string"),
+    ]
+    pairs = frames[0].join(spark.createDataFrame([(t,) for t in {x[-1] for x in lines + spoken if x[-1]}], "text string").hint("broadcast")).where(quote_held("text", "quote"))
+    holds = {(r.quote, r.text) for r in pairs.select("quote", "text").distinct().collect()}
+    want = {}
+    for i, _, _, second, channel, quote in cites:
+        near = [(s, w == 1, "window", (quote, t) in holds) for _, _, w, s, c, t in lines if c == channel] + [(s, True, "transcript", (quote, t) in holds) for _, s, t in spoken if channel == "heard"]
+        here = [x for x in near if x[0] == second and x[1]]
+        hint = min(((abs(s - second), s) for s, _, _, held in near if held and 0 < abs(s - second) <= 10), default=(0, None))[1]
+        plain = quote is not None and any(ch.isalnum() for ch in quote)
+        outcome = "no-line" if not here else "resolved" if quote is None else "no-words" if not plain else "resolved" if any(x[3] for x in here) else "quote-elsewhere" if hint is not None else "quote-absent"
+        via = max((x[2] for x in here if x[3]), default=max((x[2] for x in here), default=None))
+        want[i] = (outcome, via, hint if plain and outcome in ("no-line", "quote-elsewhere") else None)
+    monkeypatch.setattr(evidence, "SLICE_BYTES", 20)
+    got = evidence.citation_chain(*frames)
+    assert {r.id: (r.outcome, r.via, r.hint) for r in got.collect()} == want and "MapInArrow" in got._jdf.queryExecution().toString()
