@@ -174,3 +174,13 @@ def test_vetoes_by_blocks_of_ticks_and_by_each_tick(spark):
     got = intervals.vetoed(frame(spark, lines, "id bigint, voice bigint, start_ms bigint, end_ms bigint"), frame(spark, lit, "tick bigint, label string"), frame(spark, names, "voice bigint, label string, form string"))
     made = [x for x in got._jdf.queryExecution().toString().splitlines() if "Generate" in x]
     assert {r.id for r in got.collect()} == want and want and not any("explode(sequence" in x for x in made)
+
+
+def test_budgets_stream_past_each_row(spark):
+    rows = [("s", k, None if k == 3 else [5, 9, 2, 0, 7, 1][k % 6]) for k in range(60)] + [(None, 1, 4)]
+    got = aggregates.greedy_budget(frame(spark, rows, "source string, id int, n bigint"), ["source"], ["id"], "n", 20, 6)
+    want, used, files = {(None, 1): True}, 0, 0
+    for s, k, n in rows[:-1]:
+        want[s, k] = n is not None and used + n <= 20 and files < 6
+        used, files = used + n * want[s, k] if n else used, files + want[s, k]
+    assert {(r.source, r.id): r.taken for r in got.collect()} == want and "MapInArrow" in got._jdf.queryExecution().toString()

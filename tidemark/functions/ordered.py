@@ -22,22 +22,22 @@ def in_order(rows: DataFrame, by: list[str], order: list[str | Column], read: Ca
     """by and columns (name: type) of the tuples that ``read`` gives.
 
     ``read`` gets the tuples of all rows of a task, those of a group (by) next to each other and in order, and yields tuples in the
-    order of by and columns.  A group lies in one task, whose sort spills.
+    order of by and columns; a column of another type than bigint, string or boolean is one of rows, by name and type.  A group lies in one task, whose sort spills.
     """
     keys = [rows.schema[c] for c in by]
     kinds = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        same: list[pa.DataType] = []
+        same: dict[str, pa.DataType] = {}
 
         def tuples() -> Iterator[tuple]:
             for batch in batches:
-                same[:] = [batch.schema.field(c).type for c in by]
+                same.update({f.name: f.type for f in batch.schema})
                 yield from zip(*map(values, batch.columns), strict=True)
 
         out = iter(read(tuples()))
         while part := list(islice(out, OUT_ROWS)):
-            types = [*same, *(kinds[k] for k in columns.values())]
+            types = [*(same[c] for c in by), *(kinds[k] if k in kinds else same[c] for c, k in columns.items())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names=[*by, *columns])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys), *(f"`{c}` {k}" for c, k in columns.items())])

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.ordered import in_order
 from tidemark.functions.columns import micros, type_label
 from tidemark.functions.text import nfc_fold
 from tidemark.schemas import PRESENT
@@ -94,19 +98,20 @@ def budget_prefix(rows: DataFrame, by: list[str], order: list[str], size: str, r
 def greedy_budget(rows: DataFrame, by: list[str], order: list[str], size: str, max_bytes: int, max_files: int) -> DataFrame:
     """by, key, taken: rows in order, each taken if it still fits; one too big is left and smaller ones may follow.
 
-    The state is what was used, folded over the sorted rows of a group by a native aggregate.
+    The state is what was used; a group's rows stream past it in order, none is held.
     """
-    picked = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).alias("__size")))).alias("rows"))  # a source's queue of one cycle
-    zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("files"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(a: Column, r: Column) -> Column:
-        fits = (a["used"] + r["__size"] <= max_bytes) & (a["files"] + 1 <= max_files)
-        return F.struct(
-            (a["used"] + F.when(fits, r["__size"]).otherwise(0)).cast("bigint").alias("used"), (a["files"] + fits.cast("int")).alias("files"), F.concat(a["out"], F.array(fits)).alias("out")
-        )
 
-    marked = picked.select(*by, F.arrays_zip("rows", F.aggregate("rows", zero, step)["out"].alias("taken")).alias("z"))
-    return marked.select(*by, F.explode("z").alias("z")).select(*by, *[F.col(f"z.rows.{c}").alias(c) for c in order], F.col("z.taken").alias("taken"))
+    def read(queue: Iterator[tuple]) -> Iterator[tuple]:
+        for _, group in groupby(queue, lambda r: r[: len(by)]):
+            used = files = 0
+            for *row, n in group:
+                fits = n is not None and used + n <= max_bytes and files < max_files
+                if fits:
+                    used, files = used + n, files + 1
+                yield (*row, fits)
+
+    queue = rows.select(*by, *order, F.col(size).cast("bigint").alias("__size"))
+    return in_order(queue, by, [*order, "__size"], read, {c: dict(rows.dtypes)[c] for c in order} | {"taken": "boolean"})
 
 
 def contingency(pairs: DataFrame) -> DataFrame:
