@@ -49,3 +49,13 @@ def in_own_session(df: DataFrame, options: dict[str, str]) -> DataFrame:
     for key, value in options.items():
         own.conf.set(key, value)
     return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.logicalPlan()), own)
+
+
+#: Whole texts come in batches of so many rows, as the engine's 10,000 would hold some dozens of megabytes several times over.
+TEXT_ROWS = 500
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, whose Python functions get whole texts, in a session of its own with small Arrow batches; a size that a user has chosen holds."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    return in_own_session(df, {key: str(TEXT_ROWS)} if df.sparkSession.conf.get(key, "10000") == "10000" else {})

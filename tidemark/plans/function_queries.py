@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as fx
 from tidemark.functions import text as ft
+from tidemark.functions.scratch import text_batches
 from tidemark.operators import cycle, intervals, parts, quality
 from tidemark.plans.registry import query, table
 from tidemark.sources import readers
@@ -20,7 +21,7 @@ def rows(spark, sf_dir, name, *exprs):
 @query("SELECT doc_id, sha256(regexp_replace(replace(nfc_normalize(concat(chr(10), text, chr(13), chr(10), chr(10))), chr(13) || chr(10), chr(10)), '^\\n+|\\n+$', '', 'g') || chr(10)) AS body FROM documents")
 def body_forms(spark, sf_dir):
     d = rows(spark, sf_dir, D, "doc_id", "concat('\\n', text, '\\r\\n\\n') AS text")
-    return d.select("doc_id", fx.sha(fx.body_text(ft.nfc("text"))).alias("body"))
+    return text_batches(d.select("doc_id", fx.sha(fx.body_text(ft.nfc("text"))).alias("body")))
 
 
 @query(
@@ -197,7 +198,7 @@ def mirror_paths(spark, sf_dir):
 @query("SELECT doc_id, sha256(nfc_normalize(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)))) AS said FROM documents")
 def decoded_bytes(spark, sf_dir):
     code = F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).when(F.col("doc_id") % 3 == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"))).otherwise(F.encode("text", "UTF-8"))
-    return table(spark, sf_dir, D).select("doc_id", fx.sha(ft.decode_text(code)).alias("said"))
+    return text_batches(table(spark, sf_dir, D).select("doc_id", fx.sha(ft.decode_text(code)).alias("said")))
 
 
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat('topics/', CAST(doc_id AS STRING), '.md') WHEN 1 THEN concat('mirror/', CAST(doc_id AS STRING)) WHEN 2 THEN NULL ELSE 'topics/a/x' END AS target FROM documents")
