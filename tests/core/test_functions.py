@@ -96,3 +96,12 @@ def test_orders_and_folds(spark):
     assert tx.similar("Total 12", "Totals 12") and not tx.similar("Total 12", "Total 13") and not tx.similar("abc", "xyz")
     assert tx.resolved("a/b/c.md", "../d.md") == "a/d.md" and tx.resolved("a.md", "../../x") is None
     assert fnmatch.fnmatch("a", "a")
+
+
+@pytest.mark.parametrize("name", ["decoded_bytes", "body_forms", "converted_units", "mail_units"])
+def test_whole_texts_come_in_small_batches(spark, sf_dir, name):
+    from tidemark.plans.all_queries import QUERIES
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    assert int(QUERIES[name](spark, sf_dir).sparkSession.conf.get(key)) <= 1000 and spark.conf.get(key) == before

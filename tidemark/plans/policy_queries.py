@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as fx
 from tidemark.functions import text as tx
+from tidemark.functions.scratch import text_batches
 from tidemark.operators import aggregates, converters, governance, graph, intervals, joins, layout, quality
 from tidemark.plans import standin
 from tidemark.plans.registry import query, table
@@ -237,14 +238,14 @@ def converted_units(spark, sf_dir):
     )
     html = table(spark, sf_dir, "pages").select(F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.col("html").cast("binary").alias("content"))
     files = text.unionByName(html).select(F.col("name").alias("path"), "name", "content")
-    return converters.convert(files).select("path", "status", "unit_id", "title", "tokens", F.sha2("body", 256).alias("sha"))
+    return text_batches(converters.convert(files).select("path", "status", "unit_id", "title", "tokens", F.sha2("body", 256).alias("sha")))
 
 
 @query()
 def mail_units(spark, sf_dir):
     body = F.concat(F.lit("From: a@example.org\nTo: b@example.org\nSubject: note "), F.col("conv_id").cast("string"), F.lit("\nContent-Type: text/plain; charset=utf-8\n\n"), F.col("text"))
     mails = table(spark, sf_dir, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("n"), body.cast("binary").alias("content"))
-    return converters.convert(mails.select(F.concat("n", F.lit(".eml")).alias("path"), F.concat("n", F.lit(".eml")).alias("name"), "content")).select("path", "status", "title", "body")
+    return text_batches(converters.convert(mails.select(F.concat("n", F.lit(".eml")).alias("path"), F.concat("n", F.lit(".eml")).alias("name"), "content")).select("path", "status", "title", "body"))
 
 
 @query()
