@@ -182,12 +182,12 @@ def rooted(nodes: DataFrame) -> DataFrame:
     A node whose parent is missing is a root.  On a cycle the least node is the root of it and of all that hangs below.
     """
     ids = nodes.select(F.col("id").alias("__p")).distinct()
-    up = nodes.select("id", "parent").join(ids, F.col("parent") == F.col("__p"), "left").select("id", F.coalesce("__p", "id").alias("at"), (F.col("__p").isNull() | (F.col("__p") == F.col("id"))).alias("top"))
+    up = nodes.select("id", "parent").join(ids.hint("merge"), F.col("parent") == F.col("__p"), "left").select("id", F.coalesce("__p", "id").alias("at"), (F.col("__p").isNull() | (F.col("__p") == F.col("id"))).alias("top"))
     up = materialize(up.withColumn("least", F.least("id", "at")), "up")
     n, steps = up.count(), 1
     while steps <= n and up.where("not top").limit(1).count():
         over = up.select(F.col("id").alias("at"), F.col("at").alias("__at"), F.col("top").alias("__top"), F.col("least").alias("__least"))
-        joined = up.where("not top").join(over, "at").select("id", F.col("__at").alias("at"), F.col("__top").alias("top"), F.least("least", "__least").alias("least"))
+        joined = up.where("not top").join(over.hint("merge"), "at").select("id", F.col("__at").alias("at"), F.col("__top").alias("top"), F.least("least", "__least").alias("least"))
         up = materialize(up.where("top").unionByName(joined), "up")
         steps *= 2
     # what is left leads into a cycle and has gone round it: the least node from where it stands is the least of the cycle
@@ -200,9 +200,9 @@ def preorder(nodes: DataFrame, order: list[str]) -> DataFrame:
 
     The walk down and up every tree is one list (a step down to each node and one up from it, whose successors follow from first
     children, next siblings and parents); ranks in the list come by pointer doubling, a constant row for each step and about
-    log2(2 n) rounds for a tree of n nodes, however deep.  Trees with a cycle are cut before its least node and come last.
+    log2(2 n) rounds for a tree of n nodes, however deep; whole tables are merged, as small files of narrow rows would be sent to the driver whole.  Trees with a cycle are cut before its least node and come last.
     """
-    tree = nodes.join(rooted(nodes), "id")
+    tree = nodes.join(rooted(nodes).hint("merge"), "id")
     looped = materialize(tree.where((F.col("id") == F.col("root")) & F.col("parent").isNotNull()).select("id", "parent"), "looped")
     known = nodes.select(F.col("id").alias("parent")).distinct()
     cyclic = looped.join(known, "parent", "left_semi").select(F.col("id").alias("root"), F.lit(True).alias("cycle"))
@@ -212,7 +212,7 @@ def preorder(nodes: DataFrame, order: list[str]) -> DataFrame:
         tree.where("parent is not null").select("id", "root", "parent", F.lead("id").over(siblings).alias("next"), F.row_number().over(siblings).alias("nth")), "siblings"
     )
     firsts = tree.where("nth = 1").select(F.col("parent").alias("id"), F.col("id").alias("first"))
-    every = nodes.select("id").join(tree.select("id", "parent", "next", "root"), "id", "left").join(firsts, "id", "left")
+    every = nodes.select("id").join(tree.select("id", "parent", "next", "root").hint("merge"), "id", "left").join(firsts.hint("merge"), "id", "left")
     root = F.coalesce("root", "id")
     down, up = F.lit(0), F.lit(1)
     step = lambda i, way: F.struct(i.alias("id"), way.alias("way"))
@@ -223,20 +223,20 @@ def preorder(nodes: DataFrame, order: list[str]) -> DataFrame:
     steps = materialize(steps, "steps")
     while steps.where("to is not null").limit(1).count():
         over = steps.select(F.col("at").alias("to"), F.col("to").alias("__to"), F.col("left").alias("__left"))
-        moved = steps.where("to is not null").join(over, "to").select("root", "at", F.col("__to").alias("to"), (F.col("left") + F.col("__left")).alias("left"))
+        moved = steps.where("to is not null").join(over.hint("merge"), "to").select("root", "at", F.col("__to").alias("to"), (F.col("left") + F.col("__left")).alias("left"))
         steps = materialize(steps.where("to is null").unionByName(moved), "steps")
     ranks = steps.where("at.way = 0").select(F.col("at.id").alias("id"), "root", "left")
     size = ranks.groupBy("root").agg(F.count("*").alias("n"))
-    before = rooted_tops(nodes, cyclic, order).join(size, F.col("id") == F.col("root")).select("root", "nth", "n")
+    before = rooted_tops(nodes, cyclic, order).join(size.hint("merge"), F.col("id") == F.col("root")).select("root", "nth", "n")
     starts = prefix_sums(before, "nth", "n").select("root", "before")
-    return ranks.join(size, "root").join(starts, "root").select("id", "root", (F.col("before") + F.col("n") - F.col("left") + 1).alias("place"))
+    return ranks.join(size.hint("merge"), "root").join(starts.hint("merge"), "root").select("id", "root", (F.col("before") + F.col("n") - F.col("left") + 1).alias("place"))
 
 
 def rooted_tops(nodes: DataFrame, cyclic: DataFrame, order: list[str]) -> DataFrame:
     """id and nth (dense enough to sort by) of the roots: those without a parent in order, then the least nodes of cycles."""
     known = nodes.select(F.col("id").alias("parent")).distinct().withColumn("__known", F.lit(True))
     loops = cyclic.select(F.col("root").alias("id"), F.lit(1).alias("__loop"))
-    tops = nodes.join(known, "parent", "left").join(loops, "id", "left").where("__known is null or __loop = 1")
+    tops = nodes.join(known.hint("merge"), "parent", "left").join(loops, "id", "left").where("__known is null or __loop = 1")
     return tops.select("id", F.struct(F.coalesce("__loop", F.lit(0)).alias("loop"), *[F.col(c).alias(f"o{k}") for k, c in enumerate(order)], "id").alias("nth"))
 
 
