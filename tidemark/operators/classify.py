@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.scratch import materialize
 from tidemark.functions.text import nfc
 from tidemark.schemas import PENDING, QUIET
 
@@ -235,7 +236,10 @@ def settle_pass(
     missing = rows.where("not listed").select(*KEYS, "is_dir", F.col("old_path").alias("rel_path"), "last_seen_run", F.lit("live").alias("state"))
     if answers is not None:
         missing = nearest_unknown(missing, answers).where("folder is null").drop("folder")
-    saves = safe_saves(new, missing) if full else rows.sparkSession.createDataFrame([], "source_id string, new_id string, old_id string")
+    if full and not new.isEmpty() and not missing.isEmpty():
+        saves = materialize(safe_saves(new, missing), "saves")
+    else:  # a pair takes a new id and a missing one
+        saves = rows.select("source_id", F.col("stable_id").alias("new_id"), F.col("stable_id").alias("old_id")).limit(0)
     paired = rows.where("listed").join(saves.withColumnRenamed("new_id", "stable_id"), list(KEYS), "left")
     saved = F.col("old_id").isNotNull()
     verdicts = paired.select(

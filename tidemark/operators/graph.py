@@ -24,7 +24,9 @@ def _joined(found: DataFrame | None, level: DataFrame, round_: int) -> DataFrame
 
 
 def descendants(tree: DataFrame, roots: DataFrame) -> DataFrame:
-    """source_id, stable_id of all nodes below the roots (source_id, stable_id), tombstones included."""
+    """source_id, stable_id of all nodes below the roots (source_id, stable_id), tombstones included; without roots the tree is not read."""
+    if roots.isEmpty():
+        return tree.select("source_id", "stable_id").limit(0)
     found = None
     front = roots.select("source_id", F.col("stable_id").alias("parent_id")).distinct()
     for k in count():

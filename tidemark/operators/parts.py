@@ -146,9 +146,12 @@ def allocated_paths(wanted: DataFrame, owned: DataFrame) -> DataFrame:
     keys = ["source_id", "stable_id"]
     mine = owned.select(*keys, F.col("path").alias("__mine"))
     taken = owned.select(nfc_fold("path").alias("__key")).distinct().withColumn("__taken", F.lit(True))
-    rows = wanted.join(mine, keys, "left").withColumns({"__key": nfc_fold("path"), "__own": nfc_fold("__mine")})
+    rows = materialize(wanted.join(mine, keys, "left").withColumns({"__key": nfc_fold("path"), "__own": nfc_fold("__mine")}), "named")
     kept = rows.where("__own = __key").select(*keys, F.col("__mine").alias("path"))
-    fresh = rows.join(kept.select(*keys), keys, "left_anti").join(taken, "__key", "left")
+    fresh = materialize(rows.join(kept.select(*keys), keys, "left_anti"), "fresh")
+    if fresh.isEmpty():
+        return kept
+    fresh = fresh.join(taken, "__key", "left")
     first = F.row_number().over(W.partitionBy("__key").orderBy("source_id", "stable_id"))
     plain = F.col("__taken").isNull() & (F.col("__n") == 1)
     tail = F.concat(F.lit("-"), sha("stable_id", 8))

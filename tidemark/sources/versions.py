@@ -181,12 +181,16 @@ class VersionedStore:
     def _data(self, table: str, name: str, generation: int) -> str:
         return f"{self.root}/generation={generation}/{table}/{name}"
 
+    def _none(self, schema: T.StructType | str) -> DataFrame:
+        """No rows, and known as such to the optimizer, which drops the joins with them."""
+        return self.spark.createDataFrame([], schema).limit(0)
+
     def _laid_over(self, table: str, files: dict, generation: int) -> DataFrame:
         """The rows of a base with its changes: the last change of a key counts."""
         keys, schema = list(self.keys[table]), T.StructType.fromJson(files["schema"])
         columns = [f.name for f in schema.fields]
         load = lambda name, kind: self.spark.read.schema(kind).parquet(self._data(table, name, generation))
-        base = load(files["base"], schema) if files["base"] else self.spark.createDataFrame([], schema)
+        base = load(files["base"], schema) if files["base"] else self._none(schema)
         if not files["changes"]:
             return base
         wide = T.StructType([*schema.fields, T.StructField("__gone", T.BooleanType())])
@@ -202,7 +206,7 @@ class VersionedStore:
         found = self.manifest(run)
         files = found["tables"].get(table)
         if files is None:
-            return self.spark.createDataFrame([], schemas.TABLES[table])
+            return self._none(schemas.TABLES[table])
         return self._laid_over(table, files, found["generation"])
 
     def has(self, table: str, run: int | None = None) -> bool:
@@ -267,7 +271,7 @@ class VersionedStore:
 
     def _now(self, table: str, run: int, like: DataFrame) -> DataFrame:
         files = self._staged[run]["tables"].get(table)
-        return self.spark.createDataFrame([], like.schema) if files is None else self._laid_over(table, files, self._staged[run]["generation"])
+        return self._none(like.schema) if files is None else self._laid_over(table, files, self._staged[run]["generation"])
 
     def commit(self, run: int) -> None:
         """Publishes a run: its manifest, then the tag.  Promotion of cursors and the end of the run follow."""
