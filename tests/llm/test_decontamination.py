@@ -70,3 +70,25 @@ def test_other_thresholds(spark):
     for threshold, most in ((1.0, 0), (0.95, 1), (0.5, 10)):
         got = {r.doc_id for r in decontamination.overlaps(documents(spark, docs), bench, threshold).collect()}
         assert got == {k for k in range(12) if k <= max(most, 7)} | ({20} if threshold == 0.5 else set())
+
+
+def test_a_long_text_of_passages_under_many_ids(spark):
+    rng = random.Random(23)
+    passage = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+    text = " ".join(["before", *passage * 500, *passage[:20]])  # no row of a place or of a hit may carry it
+    bench = spark.createDataFrame([(k, " ".join(passage)) for k in range(60)] + [(0, "absent words"), (7, " ".join(passage[5:]))], "item_id bigint, text string")
+    for limit in (1 << 25, 0):
+        got = sorted(map(tuple, decontamination.overlaps(documents(spark, [(1, text), (2, "no passage")]), bench, limit=limit).collect()))
+        assert got == [(1, k, 1, 40, 40, 1.0) for k in range(60)]
+    assert [r.doc_id for r in decontamination.drop_contaminated(documents(spark, [(1, text), (2, "no passage")]), bench).collect()] == [2]
+
+
+def test_alignments_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK", 5)
+    rng = random.Random(29)
+    items = [(n, " ".join(f"w{rng.randrange(300)}" for _ in range(n))) for n in (1, 2, 6, 14, 17, 33)]
+    docs = [(k, " ".join([f"w{rng.randrange(300)}" for _ in range(k % 19)] + items[k % 6][1].split()[k % 4 :] + ["after"] * (k % 7))) for k in range(60)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for limit in (1 << 25, 0):
+        got = {(r.doc_id, r.item_id): (r.start, r.matched, r.item_words) for r in decontamination.overlaps(documents(spark, docs), bench, limit=limit).collect()}
+        assert got == plain_overlaps(docs, items) and len(got) > 40

@@ -12,10 +12,12 @@ document, and the overlap is verified there: the share of the item's tokens that
 Alignments at or over the threshold count, and so do those with a run of ``MIN_RUN`` equal tokens, as a part of an item is a
 leak too.
 
-Scale: while the benchmark's hashes are measured under a bound they are broadcast; windows, look-up and verification are
-then one pipelined pass over each text and the documents are not shuffled.  Beyond it narrow rows (row, place, hash) are
-shuffled against the hashes, with heavy hashes dealt to several tasks, and only texts with hits are read again, with the
-items that they met.
+Scale: items of equal words are one, and get their names back at the end.  Texts are cut into blocks of ``BLOCK`` places, and
+what a place meets leaves its block as numbers (row, item, start), once for each alignment: no row of a place or of a hit
+carries its text.  While the benchmark's hashes with their places are measured under a bound they are broadcast, and the
+documents are not shuffled; beyond it the hashes alone sieve the places, and narrow rows (row, place, hash) are shuffled
+against those that passed, with heavy hashes dealt to several tasks.  Then only texts with alignments are read again, and of
+the blocks that these begin in each alignment gets the words that face its item.
 
 Defined results: null or empty text gives no row, nor does an item without a token; one row per doc_id and item with its
 best overlap (the earliest of equal ones), so rows with one doc_id count once; a null doc_id is a doc_id like any other;
@@ -33,6 +35,8 @@ MIN_OVERLAP = 0.8
 MIN_RUN = 13
 #: A mask of stride 2 that spans MIN_RUN tokens.
 MAX_WEIGHT = (MIN_RUN + 1) // 2
+#: Places in a block of a text.
+BLOCK = 1024
 NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
 
 
@@ -63,54 +67,68 @@ def masks(items: DataFrame, threshold: float) -> DataFrame:
     return even.select(*items.columns, "at", "stride", "weight").unionByName(runs)
 
 
+def blocks(texts: DataFrame, places: int, beyond: int) -> DataFrame:
+    """Each text's words in blocks of so many places, with the words beyond the last of them that a place there looks at: texts' columns but text, base, words."""
+    keep = [c for c in texts.columns if c != "text"]
+    worded = texts.select(*keep, words_of(F.coalesce("text", F.lit(""))).alias("words"))
+    bases = F.sequence(F.lit(0), F.size("words") - 1, F.lit(places))
+    cut = F.transform(bases, lambda base: F.struct(base.alias("base"), F.slice("words", base + 1, F.lit(places + beyond)).alias("words")))
+    return worded.select(*keep, F.explode(cut).alias("b")).select(*keep, "b.base", "b.words")
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, threshold: float = MIN_OVERLAP, limit: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, item_id, start (token of the document where the item begins), matched, item_words, overlap."""
     picked = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts, _ = keyed(picked, "row")
-    return best(judged(texts, benchmark, threshold, limit), "doc_id")
+    items, names = kinds(benchmark)
+    top = best(judged(texts, items, threshold, limit), "doc_id", "item")
+    top = best(top.join(side(names, limit), "item"), "doc_id", "item_id")  # an id may have several texts
+    return top.select("doc_id", "item_id", F.col("start").cast("long"), F.col("matched").cast("long"), F.col("item_words").cast("long"), (F.col("matched") / F.col("item_words")).alias("overlap"))
 
 
-def best(found: DataFrame, name: str) -> DataFrame:
-    """The best alignment of each item with each name (a column that is as good as the row)."""
-    top = found.groupBy(name, "item_id").agg(F.max(F.struct("matched", (-F.col("start")).alias("back"), "item_words")).alias("b"))
-    return top.select(
-        name, "item_id", (-F.col("b.back")).cast("long").alias("start"), F.col("b.matched").cast("long").alias("matched"), F.col("b.item_words").cast("long").alias("item_words"),
-        (F.col("b.matched") / F.col("b.item_words")).alias("overlap"),
-    )
+def best(found: DataFrame, *names: str) -> DataFrame:
+    """The best alignment of each combination of names."""
+    top = found.groupBy(*names).agg(F.max(F.struct("matched", (-F.col("start")).alias("back"), "item_words")).alias("b"))
+    return top.select(*names, (-F.col("b.back")).alias("start"), "b.matched", "b.item_words")
 
 
-def judged(texts: DataFrame, benchmark: DataFrame, threshold: float, limit: int) -> DataFrame:
-    """Alignments that count, of texts (row, text and any others, which are carried): texts' columns but text, item_id, start, matched, item_words."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words"))
-    items = materialize(items.where(F.get("words", F.lit(0)) != "").distinct().withColumn("item", F.monotonically_increasing_id()), "items")
+def kinds(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The benchmark's different texts (item, words) and the ids of each (item_id, item)."""
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words"))
+    named = named.where(F.get("words", F.lit(0)) != "").distinct()
+    items = materialize(named.select("words").distinct().withColumn("item", F.monotonically_increasing_id()), "items")
+    return items, materialize(named.join(items, "words").select("item_id", "item"), "names")
+
+
+def judged(texts: DataFrame, items: DataFrame, threshold: float, limit: int) -> DataFrame:
+    """Alignments that count, of texts (row, text and any others, which are carried): texts' columns but text, item, start, matched, item_words."""
     placed = masks(items, threshold)
     shapes = sorted(tuple(r) for r in placed.select("stride", "weight").distinct().collect())  # a few pairs of small numbers
     of_shape = [F.when((F.col("stride") == s) & (F.col("weight") == w), seed_of(F.col("words"), F.col("at"), s, w)) for s, w in shapes]
-    seeds = placed.select(F.coalesce(F.lit(None).cast("long"), *of_shape).alias("seed"), "item", F.col("at").alias("item_at")).distinct()
-    seeds = materialize(seeds.groupBy("seed").agg(F.collect_list(F.struct("item", "item_at")).alias("places"), F.count("*").alias("n")), "seeds")  # numbers only
+    seeds = placed.select(F.coalesce(F.lit(None).cast("long"), *of_shape).alias("seed"), "item", F.col("at").alias("item_at"), F.size("words").alias("n")).distinct()
+    seeds = materialize(seeds.groupBy("seed").agg(F.collect_list(F.struct("item", "item_at", "n")).alias("places")), "seeds")  # numbers only
     keep = [c for c in texts.columns if c != "text"]
-    worded = texts.select(*keep, words_of(F.coalesce("text", F.lit(""))).alias("words"))
     windows = F.array(*[F.when(F.size("words") - F.col("at") > s * (w - 1), seed_of(F.col("words"), F.col("at"), s, w)) for s, w in shapes]).cast("array<bigint>")
-    sought = [F.col("item"), F.col("words").alias("item_text"), F.col("item_id")]
-    if small(seeds, limit) and small(items, limit):
-        at_each = worded.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - 1)))
-        hits = at_each.withColumn("seed", F.explode(windows)).where(F.col("seed").isNotNull()).join(F.broadcast(seeds.drop("n")), "seed")
-        hits = hits.select(*keep, "words", "at", F.explode("places").alias("p")).select(*keep, "words", F.col("p.item").alias("item"), (F.col("at") - F.col("p.item_at")).alias("start"))
-        aligned = hits.join(F.broadcast(items.select(*sought)), "item")
+    cut = blocks(texts.select("row", "text"), BLOCK, max((s * (w - 1) for s, w in shapes), default=0))
+    at_each = cut.withColumn("at", F.explode(F.sequence(F.lit(0), F.least(F.size("words"), F.lit(BLOCK)) - 1)))
+    narrow = at_each.select("row", (F.col("base") + F.col("at")).alias("place"), F.explode(windows).alias("seed")).where(F.col("seed").isNotNull())
+    if small(seeds, limit):
+        hits = narrow.join(F.broadcast(seeds), "seed")
     else:
-        at_each = worded.select("row", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
-        narrow = at_each.select("row", "at", F.explode(windows).alias("seed")).where(F.col("seed").isNotNull())
-        hits = materialize(narrow.join(seeds.select("seed"), "seed", "left_semi"), "seeded")
+        hits = materialize(narrow.join(side(seeds.select("seed"), limit), "seed", "left_semi"), "seeded")
         common = hits.groupBy("seed").agg(F.count("*").alias("n"))
-        met = salted_join(hits, seeds.drop("n"), ["seed"], heavy(common, ["seed"], hits.count()))
-        met = met.select("row", F.explode("places").alias("p"), "at").select("row", F.col("p.item").alias("item"), (F.col("at") - F.col("p.item_at")).alias("start"))
-        met = materialize(met.distinct(), "hits")
-        wide = met.join(side(items.select(*sought), limit), "item")
-        aligned = worded.join(side(met.select("row").distinct(), limit), "row", "left_semi").join(wide, "row")
+        hits = salted_join(hits, seeds, ["seed"], heavy(common, ["seed"], hits.count()))
+    hits = hits.select("row", "place", F.explode("places").alias("p")).select("row", F.col("p.item").alias("item"), (F.col("place") - F.col("p.item_at")).alias("start"), F.col("p.n").alias("n"))
+    # each alignment once, beside the block that it begins in; one that begins before its text is in the first
+    places = max(BLOCK, items.agg(F.max(F.size("words"))).first()[0] or 0)
+    met = materialize(hits.distinct().withColumn("base", (F.floor(F.greatest("start", F.lit(0)) / places) * places).cast("int")), "hits")
+    again = blocks(texts.join(side(met.select("row").distinct(), limit), "row", "left_semi"), places, places)
     head = F.greatest(-F.col("start"), F.lit(0))
-    faced = F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.size("item_text") - head)
-    same = F.zip_with(F.slice("item_text", head + 1, F.size("item_text")), faced, lambda a, b: F.when(a == b, "1").otherwise("0"))
-    out = aligned.select(*keep, "item_id", "start", F.size("item_text").alias("item_words"), F.array_join(same, "").alias("same"))
+    faced = F.slice("words", F.greatest("start", F.lit(0)) - F.col("base") + 1, F.col("n") - head)
+    near = again.join(side(met, limit), ["row", "base"]).select(*keep, "item", "start", faced.alias("faced"))
+    aligned = near.join(side(items.select("item", F.col("words").alias("item_text")), limit), "item")
+    same = F.zip_with(F.slice("item_text", head + 1, F.size("item_text")), "faced", lambda a, b: F.when(a == b, "1").otherwise("0"))
+    out = aligned.select(*keep, "item", "start", F.size("item_text").alias("item_words"), F.array_join(same, "").alias("same"))
     out = out.withColumn("matched", F.length(F.translate("same", "0", "")))
     return out.where((F.col("matched") >= threshold * F.col("item_words")) | F.contains("same", F.lit("1" * MIN_RUN))).drop("same")
 
@@ -123,7 +141,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows without a contaminating overlap, each judged by its own text; all columns stay."""
     key = fresh(docs, "__row")
     rows, _ = keyed(small_batches(docs), key)
-    dirty = judged(rows.select(F.col(key).alias("row"), F.col("text").cast("string").alias("text")), benchmark, MIN_OVERLAP, BROADCAST_BYTES)
+    items, _ = kinds(benchmark)
+    dirty = judged(rows.select(F.col(key).alias("row"), F.col("text").cast("string").alias("text")), items, MIN_OVERLAP, BROADCAST_BYTES)
     dirty = materialize(dirty.select(F.col("row").alias(key)).distinct(), "dirty")
     return rows.join(side(dirty), key, "left_anti").select(*docs.columns)
 
