@@ -63,3 +63,11 @@ def test_every_operator_has_its_query():
     names = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14)) and "pipeline" in names
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_a_long_text_of_passages_leaves_at_decontamination(spark, tmp_path):
+    passage = [f"word{k}" for k in range(40)]
+    docs = documents(spark, [(1, " ".join(passage * 500)), (2, "no passage"), (None, " ".join(passage)), (3, None)])
+    spark.createDataFrame([(k, " ".join(passage)) for k in range(60)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3] and kept.columns == docs.columns
